@@ -1,0 +1,3 @@
+"""The registered queries."""
+
+QUERIES = {}
