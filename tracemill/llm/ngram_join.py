@@ -10,6 +10,9 @@ Signatures meet in buckets. Buckets are never expanded into all pairs: first eac
 smallest document; verified links are contracted; only buckets that still hold several components go on, small ones
 as the pairs across components, large ones in blocks of bounded size that skip what is connected already. All links
 that matter for connectivity are therefore found, and every link used was verified on whole sets.
+
+Before texts move, a pair's profiles are compared: counts of its tokens by hash cell, about two tokens a cell. The sum
+of the cells' minima is an upper bound of the intersection, so no linked pair is lost.
 """
 
 from __future__ import annotations
@@ -125,9 +128,10 @@ def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketch(described: DataFrame) -> np.ndarray:
     """Sum of the tasks' sketches; what reaches the driver is as large as one sketch. Tasks add up a bounded number of cells."""
     parts = described.where("part is not null").select("part", "counts")
-    parts = parts.repartition(SKETCH // _PART, F.col("part"), F.spark_partition_id() % 16).mapInArrow(_add_parts, "part int, counts binary")
+    add = lambda rows, *by: rows.repartition(SKETCH // _PART, *by).mapInArrow(_add_parts, "part int, counts binary")
+    parts = add(add(parts, F.col("part"), F.spark_partition_id() % 16), F.col("part"))
     out = np.zeros(SKETCH, np.int64)
-    for row in parts.collect():  # at most 16 rows a part
+    for row in parts.toLocalIterator():  # one row a part
         out[row.part * _PART : (row.part + 1) * _PART] += np.frombuffer(row.counts, dtype=np.int64)
     return out
 
@@ -140,11 +144,77 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, frequent) ->
         at = np.concatenate([[0], np.cumsum([len(s) for s in signed])])
         flat = np.concatenate(signed) if len(signed) else np.zeros(0, np.int64)
         yield pa.record_batch(
-            [ta.column(run, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), flat).cast(pa.list_(pa.int64()))],
-            names=["doc_id", "n", "sigs"],
+            [
+                ta.column(run, "doc_id"),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), flat).cast(pa.list_(pa.int64())),
+                pa.array([profile(s).tobytes() for s in sets], pa.binary()),
+            ],
+            names=["doc_id", "n", "sigs", "profile"],
         )
 
 
+def profile(s: np.ndarray) -> np.ndarray:
+    """Number of tokens in each of a power of two of hash cells; none if a count doesn't fit a byte."""
+    k = max(1, len(s).bit_length() - 1)
+    counts = np.bincount((s >> _U(64 - k)).astype(np.int64), minlength=1 << k)
+    return counts.astype(np.uint8) if counts.max(initial=0) < 256 else np.zeros(0, np.uint8)
+
+
+def may_link(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
+    """For each pair of a left and a right profile, whether the sets can be similar enough."""
+    known = [len(x) for x in (*left, *right) if len(x)]
+    out = np.ones((len(left), len(right)), dtype=bool)
+    out &= (100 * np.minimum(n_left[:, None], n_right[None]) >= percent * np.maximum(n_left[:, None], n_right[None])) & (n_left[:, None] > 0)
+    if not known:
+        return out
+    cells = min(known)
+    fold = lambda x: x.reshape(cells, -1).sum(axis=1, dtype=np.uint16) if len(x) else np.full(cells, 65535, np.uint16)
+    a, b = np.stack([fold(x) for x in left]), np.stack([fold(x) for x in right])
+    for i in np.flatnonzero(out.any(axis=1)):
+        most = np.minimum(a[i], b).sum(axis=1, dtype=np.int64)
+        out[i] &= 100 * most >= percent * (n_left[i] + n_right - np.minimum(most, n_left[i] + n_right))
+    return out
+
+
+def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, na, nb, pa, pb) -> (a, b) that can link."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        na, nb = ta.column(batch, "na").to_numpy(), ta.column(batch, "nb").to_numpy()
+        for i, (x, y) in enumerate(zip(ta.column(batch, "pa"), ta.column(batch, "pb"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            keep[i] = may_link([x], [y], na[i : i + 1], nb[i : i + 1], percent)[0, 0]
+        yield pa.record_batch([ta.column(batch, "a"), ta.column(batch, "b")], names=["a", "b"]).filter(pa.array(keep))
+
+
+def _plausible_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (task, side, id, n, c, profile) in order of task and side -> (a, b) of different components that can link."""
+    task, sides = None, ([], [])
+
+    def pairs() -> pa.RecordBatch | None:
+        left, right = sides[0], sides[1] or sides[0]
+        if not left:
+            return None
+        (ia, na, ca), (ib, nb, cb) = (np.array([x[:3] for x in side], dtype=np.int64).T for side in (left, right))
+        ok = may_link([x[3] for x in left], [x[3] for x in right], na, nb, percent) & (ca[:, None] != cb[None])
+        if not sides[1]:
+            ok &= ia[:, None] < ib[None]
+        x, y = np.nonzero(ok)
+        return pa.record_batch([pa.array(ia[x]), pa.array(ib[y])], names=["a", "b"]) if len(x) else None
+
+    for batch in batches:
+        columns = [ta.column(batch, c).to_pylist() for c in ("task", "side", "id", "n", "c", "profile")]
+        for t, side, i, n, c, packed in zip(*columns, strict=True):
+            if t != task:
+                if (out := pairs()) is not None:
+                    yield out
+                task, sides = t, ([], [])
+            sides[side].append((i, n, c, np.frombuffer(packed, np.uint8)))
+    if (out := pairs()) is not None:
+        yield out
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all left sets with all right sets."""
     a, b = np.concatenate(left), np.concatenate(right)
@@ -249,16 +319,22 @@ def ngram_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     rows = described.where("part is null").select("doc_id", "n", "k1", "k2")
     same = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "classes")
 
-    signed = docs.mapInArrow(lambda it: _sign(it, shingle, percent, frequent), "doc_id long, n long, sigs array<long>")
+    signed = docs.mapInArrow(lambda it: _sign(it, shingle, percent, frequent), "doc_id long, n long, sigs array<long>, profile binary")
     signed = signed.join(same.select(F.col("id").alias("doc_id"), "n").distinct(), ["doc_id", "n"], "left_semi")  # one document of each class of equal sets
-    index = scratch.save(signed.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig")), "signatures")
+    signed = scratch.save(signed.withColumnRenamed("doc_id", "id"), "signed")
+    index = signed.select("id", F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
     buckets = index.groupBy("sig").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = scratch.save(index.join(buckets, "sig").select("sig", "hub", "size", "id", "n"), "buckets")
-    scratch.drop(index)
+    profiles = signed.select("id", "n", "profile")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(profiles.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("profile").alias(f"p{x}")), x)
+        return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(lambda it: _plausible(it, percent), "a long, b long")
 
     stars = met.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
     strong = scratch.save(stars.where(F.col("shared") * 400 > F.col("n") * (100 - percent)).select("a", "b"), "stars")
-    links = scratch.save(_verified(docs, _stars(strong), shingle, percent), "links")
+    links = scratch.save(_verified(docs, _stars(scratch.save(plausible(strong), "plausible")), shingle, percent), "links")
     joined = components(links, scratch).withColumnRenamed("node", "id")
 
     own = met.join(joined, "id", "left").withColumn("c", F.coalesce("component", "id"))
@@ -268,14 +344,14 @@ def ngram_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     few = open_.where(F.col("size") <= PAIRS)
     pairs = few.select("sig", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")).join(few.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb")), "sig")
     pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-    pairs = scratch.save(pairs.join(strong, ["a", "b"], "left_anti"), "pairs")
     of_hub = joined.select(F.col("id").alias("hub"), F.col("component").alias("hub_c"))
     many = open_.where(F.col("size") > PAIRS).select("hub", "id", "n", "c").distinct().join(of_hub, "hub", "left")
-    many = scratch.save(many.select("hub", "id", "n", (F.col("c") == F.coalesce("hub_c", "hub")).alias("own")), "large")
-    scratch.drop(open_)
-    more = [_verified(docs, tasks, shingle, percent) for tasks, left in ((_stars(pairs), pairs), (_blocks(many, percent), many)) if not left.isEmpty()]
-    for i, found in enumerate(more):
-        links = links.unionByName(scratch.save(found, f"links{i}"))
+    many = scratch.save(many.select("hub", "id", "n", "c", (F.col("c") == F.coalesce("hub_c", "hub")).alias("own")), "large")
+    in_blocks = _blocks(many, percent).join(many.select("id", "c").distinct(), "id").join(profiles, "id")
+    in_blocks = in_blocks.select("task", "side", "id", "n", "c", "profile").repartition("task").sortWithinPartitions("task", "side").mapInArrow(lambda it: _plausible_blocks(it, percent), "a long, b long")
+    more = scratch.save(plausible(pairs).unionByName(in_blocks).distinct().join(strong, ["a", "b"], "left_anti"), "more")
+    links = links.unionByName(scratch.save(_verified(docs, _stars(more), shingle, percent), "more_links"))
+    scratch.drop(open_, signed)
     # equal sets are one node; rows of one doc_id are one node as well
     equal = rows.where("n > 0 and doc_id is not null").join(same.select("k1", "k2", "id"), ["k1", "k2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     final = components(links.select("a", "b").unionByName(equal), scratch)
