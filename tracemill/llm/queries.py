@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, mixing, sharding
 from .ngram_join import ngram_classes
 from .shared import read
 
@@ -12,8 +13,27 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(read(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read(spark, sf_dir, "documents"), n_shards=16)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op4_source_mix": op4_source_mix,
+    "op7_license_scan": op7_license_scan,
+    "op9_rendezvous_shards": op9_rendezvous_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_source_mix": mixing.ORACLE,
+    "op7_license_scan": licenses.ORACLE,
+    "op9_rendezvous_shards": sharding.ORACLE,
+}
