@@ -32,7 +32,7 @@ NOTICES = [
     ("all rights reserved", "reserved"),
 ]
 #: Diagonals up to so far apart are neighbours; share of a notice's word pairs that a span must hold; length of a span against its notice.
-SLACK, COVER, STRETCH = 2, 0.8, 1.5
+SLACK, COVER, STRETCH = 2, 0.85, 1.5
 _MARK = ("\x01", "\x02")
 
 
