@@ -24,17 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import counting
 from . import textarrays as ta
 from .components import components
-from .shared import Scratch
+from .shared import Scratch, keep_ids
 
 #: Cells of the count sketch; it is 4 MB whatever the input.
 SKETCH = 1 << 20
-_PART = 1 << 14
 #: Sets below so many tokens index single tokens only.
 SMALL = 16
-#: Buckets up to this many documents are resolved by pairs, larger ones in blocks of BLOCK documents.
-PAIRS, BLOCK = 24, 128
+#: Buckets up to this many documents are resolved by pairs, larger ones in blocks of BLOCK profiles; texts that meet in one task.
+PAIRS, BLOCK, TEXTS = 24, 1024, 128
 _U = np.uint64
 
 
@@ -107,33 +107,15 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     if held:
         sketch += np.bincount(np.concatenate(waiting) & _U(SKETCH - 1), minlength=SKETCH)
     if sketch.any():
-        k = SKETCH // _PART
-        parts = [sketch[i * _PART : (i + 1) * _PART].astype(np.int32).tobytes() for i in range(k)]
-        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=_DESCRIBED)
+        k = SKETCH // counting.PART
+        yield pa.record_batch([*(pa.nulls(k, pa.int64()) for _ in range(4)), *counting.parts(sketch)], names=_DESCRIBED)
 
 
 _DESCRIBED = ["doc_id", "n", "k1", "k2", "part", "counts"]
 
 
-def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            got = np.frombuffer(counts.as_buffer(), dtype=np.int64 if len(counts.as_buffer()) == 8 * _PART else np.int32)
-            total[part] = total[part] + got if part in total else got.astype(np.int64)
-    if total:
-        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
-
-
 def _sketch(described: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches; what reaches the driver is as large as one sketch. Tasks add up a bounded number of cells."""
-    parts = described.where("part is not null").select("part", "counts")
-    add = lambda rows, *by: rows.repartition(SKETCH // _PART, *by).mapInArrow(_add_parts, "part int, counts binary")
-    parts = add(add(parts, F.col("part"), F.spark_partition_id() % 16), F.col("part"))
-    out = np.zeros(SKETCH, np.int64)
-    for row in parts.toLocalIterator():  # one row a part
-        out[row.part * _PART : (row.part + 1) * _PART] += np.frombuffer(row.counts, dtype=np.int64)
-    return out
+    return counting.total(described.where("part is not null").select("part", "counts"), SKETCH)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
@@ -271,14 +253,14 @@ def _compare(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterato
 def _verified(docs: DataFrame, tasks: DataFrame, n: int, percent: int) -> DataFrame:
     """tasks(task, side, id): each task compares its two sides, both bounded. Only documents named by a task move."""
     wanted = tasks.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id").select(F.col("doc_id").alias("id"), "text")
+    texts = keep_ids(docs, wanted).join(wanted, "doc_id").select(F.col("doc_id").alias("id"), "text")
     rows = tasks.join(texts, "id").select("task", "side", "id", "text")
     return rows.repartition("task").sortWithinPartitions("task", "side").mapInArrow(lambda it: _compare(it, n, percent), "a long, b long")
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b) -> tasks that compare a with up to about BLOCK of its partners; a hub with more gets several tasks."""
-    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    """pairs(a, b) -> tasks that compare a with up to about TEXTS of its partners; a hub with more gets several tasks."""
+    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TEXTS).alias("parts"))
     dealt = pairs.join(size, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("task"))
     return dealt.select("task", F.lit(1).alias("side"), F.col("b").alias("id")).unionByName(dealt.select("task", F.lit(0).alias("side"), F.col("a").alias("id")).distinct())
 
