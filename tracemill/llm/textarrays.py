@@ -83,6 +83,16 @@ def words(texts: pa.Array, lower: bool = False, separator: np.ndarray = _SPACE,
     return Words(data, start, end, first, hashes(data, start, end) if hashed else np.zeros(0, _U))
 
 
+#: All ASCII but letters and digits separates tokens.
+_NO_TOKEN = np.ones(256, dtype=bool)
+_NO_TOKEN[48:58] = _NO_TOKEN[65:91] = _NO_TOKEN[97:123] = _NO_TOKEN[128:] = False
+
+
+def tokens(texts: pa.Array) -> Words:
+    """Runs of ASCII letters, digits and characters beyond ASCII, all in lower case."""
+    return words(pc.utf8_lower(texts.cast(pa.large_string())), separator=_NO_TOKEN)
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range; the ranges are in order and don't overlap."""
     out = np.empty(len(start), dtype=_U)
