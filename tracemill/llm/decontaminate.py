@@ -25,7 +25,9 @@ from .html_text import common
 #: Cells of words, latent dimensions, words of a window and between windows' starts, passages handled in one scan.
 CELLS, RANK, WINDOW, STEP, PASSAGES = 1 << 17, 256, 32, 16, 8192
 #: Least cosine of a candidate; share of an item's words that must stand in order; share from which no answer is asked for; length of the place against the item; shorter items must stand unchanged.
-COSINE, ORDER, VERBATIM, STRETCH, SHORT = 0.35, 0.7, 0.9, 1.6, 8
+COSINE, ORDER, VERBATIM, STRETCH, SHORT = 0.3, 0.7, 0.9, 1.6, 8
+#: Taken off inverse frequencies: words in over a share exp(-COMMON) of the documents hardly count.
+COMMON = 1.0
 _U = np.uint64
 
 
@@ -43,9 +45,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log((documents + 1) / (documents with a word of the cell + 1)) and a little, over all documents."""
+    """log((documents + 1) / (documents with a word of the cell + 1)) less COMMON, at least a little, over all documents."""
     df = counting.total(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies, "part int, counts binary"), CELLS)
-    return np.log((docs.count() + 1.0) / (df + 1.0)) + 0.05
+    return np.maximum(0.05, np.log((docs.count() + 1.0) / (df + 1.0)) - COMMON)
 
 
 def passages(items: list[tuple[int, str, str | None]]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -116,13 +118,14 @@ def latent_basis(benchmark: DataFrame, idf) -> tuple[np.ndarray, np.ndarray]:
         z = np.frombuffer(b"".join(found.column("row").to_pylist()), dtype=np.float32).reshape(len(at), -1)[order] if len(at) else np.zeros((0, RANK), np.float32)
         u, s, _ = np.linalg.svd(z.astype(np.float64), full_matrices=False)
         u = u[:, s > 1e-6 * max(1e-12, s.max(initial=0.0))].astype(np.float32)
-        basis = spark.sparkContext.broadcast((at[order], np.pad(u, ((0, 0), (0, RANK - u.shape[1])))))
+        basis = spark.sparkContext.broadcast((at[order], u))
     return basis.value
 
 
 def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """(doc_id, item_id, score, cosine, first_word, last_word) of all leaks of each text."""
     idf, used, basis, latent, of, names, words, answers = model.value
+    kinds = [np.unique(x, return_counts=True) for x in words]
     row_of = np.full(CELLS, -1, dtype=np.int32)
     row_of[used] = np.arange(len(used))
     weighted = (basis * idf[used][:, None]).astype(np.float32)
@@ -135,7 +138,7 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
         known = row_of[c]
         mass = np.concatenate([[0.0], np.cumsum(square[c])])
         inside = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, square[c], 0.0))])
-        # window starts: each STEP words of a text, the last windows are shorter
+        # blocks of STEP words of a text, the last shorter; a window is a block and the next of its text
         n = -(-w.counts // STEP)
         text = np.repeat(np.arange(len(n)), n)
         begin = w.first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STEP
@@ -143,27 +146,33 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
         norm2 = mass[end] - mass[begin]
         keep = np.flatnonzero((inside[end] - inside[begin] >= COSINE * COSINE * norm2) & (norm2 > 0))
         found: dict[tuple[int, int], tuple] = {}
-        for some in np.array_split(keep, max(1, len(keep) // 512)):
+        for some in np.array_split(keep, max(1, len(keep) // 1024)):
             if not len(some):
                 continue
-            size = end[some] - begin[some]
-            at = known[np.repeat(begin[some], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))]
-            window = np.repeat(np.arange(len(some)), size)
+            blocks = np.union1d(some, some + 1)
+            blocks = blocks[blocks < len(begin)]
+            size = np.minimum(begin[blocks] + STEP, w.first[text[blocks] + 1]) - begin[blocks]
+            at = known[np.repeat(begin[blocks], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))]
+            block = np.repeat(np.arange(len(blocks)), size)
             hit = at >= 0
-            vectors = np.zeros((len(some), RANK), dtype=np.float32)
-            starts = np.flatnonzero(np.diff(window[hit], prepend=-1))
-            vectors[window[hit][starts]] = np.add.reduceat(weighted[at[hit]], starts, axis=0)
-            cosine = vectors @ latent.T / np.sqrt(norm2[some])[:, None].astype(np.float32)
+            at, block = at[hit], block[hit]
+            sums = np.zeros((len(blocks) + 1, weighted.shape[1]), dtype=np.float32)
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            if len(starts):
+                sums[block[starts]] = np.add.reduceat(weighted[at], starts, axis=0)
+            here = np.searchsorted(blocks, some)
+            more = (some + 1 < len(begin)) & (text[np.minimum(some + 1, len(begin) - 1)] == text[some])
+            cosine = (sums[here] + sums[np.where(more, here + 1, len(blocks))]) @ latent.T / np.sqrt(norm2[some])[:, None].astype(np.float32)
             for i, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
                 key = (int(text[some[i]]), int(of[p]))
-                _check(found, key, int(begin[some[i]]), int(end[some[i]]), float(cosine[i, p]), w, words[key[1]], answers[key[1]])
+                _check(found, key, int(begin[some[i]]), int(end[some[i]]), float(cosine[i, p]), w, words[key[1]], kinds[key[1]], answers[key[1]])
         if found:
             t, i, score, cosine, first, last = map(np.array, zip(*((*k, *x) for k, x in sorted(found.items())), strict=True))
             ids = ta.column(run, "doc_id").take(pa.array(t))
             yield pa.record_batch([ids, pa.array([names[k] for k in i], pa.int64()), pa.array(score), pa.array(cosine), pa.array(first - w.first[t]), pa.array(last - w.first[t])], names=["doc_id", "item_id", "score", "cosine", "first_word", "last_word"])
 
 
-def _check(found: dict, key: tuple[int, int], begin: int, end: int, cosine: float, w: ta.Words, item: np.ndarray, answer: np.ndarray) -> None:
+def _check(found: dict, key: tuple[int, int], begin: int, end: int, cosine: float, w: ta.Words, item: np.ndarray, item_words: tuple, answer: np.ndarray) -> None:
     """Compares an item with the words around a candidate window; found keeps (score, cosine, first, last) of the best place."""
     best = found.get(key, (0.0, 0.0, 0, 0))
     if best[0] == 1.0:
@@ -178,7 +187,12 @@ def _check(found: dict, key: tuple[int, int], begin: int, end: int, cosine: floa
             score, first, last = 1.0, lo + int(at[0]), lo + int(at[0]) + n - 1
     else:
         wide = min(len(near), int(STRETCH * n))
-        total = np.concatenate([[0], np.cumsum(np.isin(near, item))])
+        kinds, times = item_words
+        place = np.minimum(np.searchsorted(kinds, near), len(kinds) - 1)
+        held = kinds[place] == near
+        if np.minimum(np.bincount(place[held], minlength=len(kinds)), times).sum() < ORDER * n:
+            return
+        total = np.concatenate([[0], np.cumsum(held)])
         counts = total[wide:] - total[: len(total) - wide]
         if counts.max() >= ORDER * n:
             s = max(0, int(counts.argmax()) - n // 2)
@@ -231,7 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> D
         text_cells, of = passages([(r.item_id, r.text, r.answer) for r in rows])
         if not text_cells:
             continue
-        latent = np.zeros((len(text_cells), RANK), dtype=np.float32)
+        latent = np.zeros((len(text_cells), basis.shape[1]), dtype=np.float32)
         for p, at in enumerate(text_cells):
             at, count = np.unique(at, return_counts=True)
             a = count * idf.value[at]
