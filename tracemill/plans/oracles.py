@@ -1,3 +1,190 @@
 """The registered queries in DuckDB's SQL."""
 
-ORACLES = {}
+from __future__ import annotations
+
+from ..functions import fixed
+from ..functions.scrub import STEPS
+from ..operators.scoring import Scoring
+from . import adapters
+
+
+def _s(value) -> str:
+    return "null" if value is None else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+
+
+def _values(rows: tuple) -> str:
+    return ", ".join("(" + ", ".join(map(_s, r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
+
+
+def _list(values: tuple) -> str:
+    return "[" + ", ".join(map(_s, values)) + "]"
+
+
+def _pick(values: tuple, at: str) -> str:
+    return f"{_list(values)}[({at}) % {len(values)} + 1]"
+
+
+def _json(x: str) -> str:
+    """A JSON string in ASCII; null is null."""
+    one = (
+        "case when c = '' then '' when c in ('\"', chr(92)) then chr(92) || c when c = chr(10) then '\\n' when c = chr(13) then '\\r' when c = chr(9) then '\\t' when c = chr(8) then '\\b' when c = chr(12) then '\\f' "
+        "when unicode(c) between 32 and 126 then c "
+        "when unicode(c) >= 65536 then printf('\\u%04x\\u%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) else printf('\\u%04x', unicode(c)) end"
+    )
+    return f"coalesce('\"' || array_to_string(list_transform(string_split({x}, ''), lambda c: {one}), '') || '\"', 'null')"
+
+
+TURNS = "(select conv_id, turn, case role when 'user' then 'human' else 'gpt' end as r, text from conversations where role in ('user', 'assistant'))"
+CANON = f"""(select conv_id, count(*) as n, '[' || string_agg('{{"from": "' || r || '", "value": ' || {_json("text")} || '}}', ', ' order by turn) || ']' as canon from {TURNS} group by conv_id)"""
+SHARD = "printf('%02x', ('0x' || substr(sha256({0}), 1, 2))::int)"
+TIER = "case when toxic = 1 then 'review_needed' when quality = 1 and n_chars > 2000 then 'gold' when quality = 1 then 'silver' when quality = 0 then 'bronze' end"
+DATASET = f"""(select d.doc_id, 'record_' || substr(sha256(text), 1, 12) as record_id, source as model_name, source as model_slug, coalesce({TIER}, 'review_needed') as tier,
+  {SHARD.format("'record_' || substr(sha256(text), 1, 12)")} as shard, (n_chars % 10001) / 10000.0::double as score, lang,
+  case when d.doc_id % 3 > 0 then {_pick(adapters.GPUS, "d.doc_id")} end as gpu_name, n_chars
+  from documents d left join labels l on d.doc_id = l.doc_id)"""
+TIERS = f"(select model_slug, tier, count(*) as record_count, coalesce(round(avg(score), 4), 0.0) as avg_quality_score, list_sort(list_distinct(list(shard))) as shards from {DATASET} group by 1, 2)"
+RANK = "case tier when 'gold' then 4 when 'silver' then 3 when 'bronze' then 2 when 'review_needed' then 1 else 0 end"
+AVERAGE = "coalesce(printf('%.2f', avg(avg_quality_score) filter (avg_quality_score > 0)), 'N/A')"
+DISTRIBUTION = f"(select tier, sum(n)::bigint as record_count from (select tier, record_count as n from {TIERS} union all select t, 0 from (values ('gold'), ('silver'), ('bronze'), ('review_needed')) v(t)) group by 1)"
+#: Turns numbered from 0 with the tool calls that sample records have.
+NUMBERED = f"(select *, row_number() over (partition by conv_id order by turn) - 1 as i from {TURNS})"
+CALLS = f"(select conv_id, i, unnest(range(1, i % 3 + 1)) as j from {NUMBERED} where r = 'gpt')"
+STATUS = _pick(fixed.TOOL_STATUSES, "conv_id + i + j")
+RATING = "(conv_id % 7)::int"
+TAGS = f"[{_pick(fixed.OUTCOME_TAGS, 'conv_id')}, case when conv_id % 11 = 0 then 'not_a_tag' else {_pick(fixed.OUTCOME_TAGS, 'conv_id * 7')} end]"
+MODEL = _pick(adapters.MODELS, "conv_id")
+PROVIDER = f"case when conv_id % 13 = 0 then 'cloud' else {_pick(fixed.PROVIDERS, 'conv_id')} end"
+ERRORS = f"""array_to_string(list_filter([case when conv_id % 7 = 0 then 'turn_count' end, case when conv_id % 13 = 0 then 'provider' end, case when conv_id % 7 not between 1 and 5 then 'user_rating' end, case when conv_id % 11 = 0 then 'outcome_tags' end], lambda x: x is not null), ',')"""
+CREATED = "strftime(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 60), '{0}')"
+JITTER = "(('0x' || substr(sha256(canon), 1, 15))::bigint % 3601 - 1800)"
+
+
+def _scrubbed(source: str, columns: str) -> str:
+    """Nested sub-queries, one for each pattern, each on the text of the one before."""
+    sql, sums = source, {}
+    for i, (category, pattern, to) in enumerate(STEPS[:-1]):
+        sql = f"(select * replace (regexp_replace(text, {_s(pattern)}, {_s(to)}, 'g') as text), coalesce(len(regexp_extract_all(text, {_s(pattern)})), 0) as n{i} from {sql})"
+        sums.setdefault(category, []).append(f"n{i}")
+    counts = ", ".join(f"({' + '.join(v)})::bigint as {c}" for c, v in sums.items())
+    return f"(select {columns}, {counts} from {sql})"
+
+
+def _gpu(name: str) -> str:
+    return "case when {0} is null then null ".format(name) + " ".join(f"when regexp_matches({name}, {_s(p)}, 'i') then {_s(f)}" for p, f in fixed.GPU_FAMILIES) + f" else {_s(fixed.OTHER_GPU)} end"
+
+
+def _memory(value: str) -> str:
+    return f"case when {value} is null then null when {value} <= 0 then 4 " + " ".join(f"when {value} <= {t} then {t}" for t in fixed.MEMORY_TIERS) + " else 512 end::int"
+
+
+def _os(name: str) -> str:
+    low = f"lower({name})"
+    return f"case when contains({low}, 'darwin') or contains({low}, 'mac') then 'macos' when contains({low}, 'linux') then 'linux' when contains({low}, 'win') then 'windows' else {name} end"
+
+
+def _slug(name: str) -> str:
+    s = f"regexp_replace(lower(regexp_replace({name}, '^\\s+|\\s+$', '', 'g')), '[\\s._]+', '-', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({s}, '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+HARDWARE = f"(values {_values(adapters.HARDWARE_LITERALS)}) h(id, gpu, vram, ram, os)"
+
+
+def _consent(level: str) -> str:
+    gone, text_only, no_text = level == "anonymous", level == "trajectory_only", level == "metadata_only"
+    null = lambda x, kind="varchar": f"null::{kind}"
+    created = _s(adapters.NOW) if gone or text_only else CREATED.format("%Y-%m-%d %H:%M:%S")
+    last_call = f"(select max(i) from {NUMBERED} t where t.conv_id = c.conv_id)"
+    has_call = f"exists (select 1 from {CALLS} k where k.conv_id = c.conv_id and k.i = {last_call})"
+    return f"""select conv_id, {created} as created_at, {null('') if gone else MODEL} as model_name, {null('') if gone or text_only else PROVIDER} as provider,
+  {null('') if gone or text_only else _pick(adapters.SYSTEMS, 'conv_id')} as os, {null('', 'int') if gone else RATING} as user_rating, {'null::int' if gone else '1'} as pain_points,
+  {null('') if gone or text_only else "'c' || conv_id::varchar"} as contributor_id, {null('') if gone else "'1.0'"} as agent_version,
+  {_s(fixed.REDACTED_CONTENT) if no_text else f"(select text from {NUMBERED} t where t.conv_id = c.conv_id and t.i = 0)"} as first_value,
+  case when {has_call} then {_s(fixed.REDACTED_CONTENT) if no_text else "'in'"} else '' end as tool_input, case when {has_call} then 'tool1' else '' end as tool_name
+from (select distinct conv_id from {TURNS}) c"""
+
+
+def _score() -> str:
+    s = Scoring()
+    total = sum(s.weights.values())
+    parts = {
+        "coherence": "(select count(*) filter (i = 0 or r <> before)::double / count(*) from w where w.conv_id = c.conv_id)",
+        "tool_validity": f"coalesce((select count(*) filter ({STATUS} = 'success')::double / nullif(count(*), 0) from k where k.conv_id = c.conv_id), 1.0)",
+        "outcome_quality": f"(({RATING} - 1) / 4.0)::double",
+        "information_density": "(select least(1.0, sum(words)::double / (greatest(count(*), 1) * 40.0::double)) from w where w.conv_id = c.conv_id)",
+        "metadata_completeness": "(2 / 4.0)::double",
+    }
+    score = " + ".join(f"{parts[k]} * {w / total!r}::double" for k, w in s.weights.items())
+    tiers = " ".join(f"when score >= {least} then {_s(t)}" for t, least in s.limits.items())
+    return f"""with w as (select *, lag(r) over (partition by conv_id order by i) as before, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words from {NUMBERED}),
+k as (select * from {CALLS}), c as (select distinct conv_id from {TURNS}), scored as (select conv_id, round({score}, 6) as score from c)
+select conv_id, score, case {tiers} else 'review_needed' end as tier from scored"""
+
+
+SESSIONS = """with ev as (select 'u' || user_id::varchar as session_id, event_id as seq, event_type as t, floor(value % 7)::int as rating from events),
+began as (select session_id, coalesce(max(seq) filter (t = 'signup'), -1) as b from ev group by 1),
+since as (select ev.*, count(*) filter (t in ('view', 'click')) over (partition by session_id order by seq) as turns from ev join began using (session_id) where seq >= b)
+select session_id, count(*) filter (t in ('view', 'click')) as n_turns, arg_max(rating, seq) filter (t = 'purchase' and rating between 1 and 5) as user_rating,
+  count(*) filter (t not in ('view', 'click', 'signup', 'purchase')) as n_reports, max(greatest(turns - 1, 0)) filter (t not in ('view', 'click', 'signup', 'purchase')) as last_turn_index, {0} as ended
+from since group by 1"""
+
+ORACLES: dict[str, str] = {
+    "trajectory_shard_counts": f"select {SHARD.format('id')} as shard, count(*) as n from (select 'record_' || substr(sha256(canon), 1, 12) as id from {CANON}) group by 1",
+    "record_ids": f"""select conv_id, n as turn_count, coalesce(dropped, 0) as dropped, 'record_' || substr(sha256(canon), 1, 12) as record_id from {CANON}
+  left join (select conv_id, count(*) as dropped from conversations where role not in ('user', 'assistant') group by 1) using (conv_id)""",
+    "submission_hashes": f"""select conv_id, 'sha256:' || sha256('{{"model_name": ' || {_json(MODEL)} || ', "rating": ' || {RATING}::varchar || ', "tags": [' || array_to_string(list_transform(list_sort({TAGS}), lambda t: '"' || t || '"'), ', ') || '], "trajectory": ' || canon || '}}') as submission_hash from {CANON}""",
+    "sharegpt_turns": f"select conv_id, i as pos, r as role, text as value from {NUMBERED}",
+    "dpo_pairs": f"select conv_id, coalesce(arg_min(text, i) filter (r = 'human' and text <> ''), '') as prompt, coalesce(string_agg(text, chr(10) order by i) filter (r = 'gpt'), '') as response from {NUMBERED} group by 1",
+    "turn_previews": f"""select conv_id, arg_min(p, i) as first_turn, arg_max(p, i) as last_turn from (select *, case when length(text) > 200 then left(text, 200) || '...' else text end as p from {NUMBERED}) group by 1""",
+    "tool_call_counts": f"""select c.conv_id, count(j) as total_tool_calls, count(j) filter ({STATUS.replace("conv_id", "c.conv_id")} = 'success') as successful_tool_calls, count(j) filter ({STATUS.replace("conv_id", "c.conv_id")} <> 'success') as failed_tool_calls
+  from (select distinct conv_id from {TURNS}) c left join {CALLS} k on c.conv_id = k.conv_id group by 1""",
+    "validation_errors": f"select distinct conv_id, {ERRORS} as errors from {TURNS}",
+    "history_rows": f"select 'record_' || substr(sha256(canon), 1, 12) as record_id, 'task_trajectory' as record_type, n as turn_count, {CREATED.format('%Y-%m-%dT%H:%M:%S')} as created_at, '?' as tier, '-' as score from {CANON}",
+    "scrub_counts_by_category": "select unnest(['" + "', '".join(fixed.CATEGORIES) + "']) as category, unnest([" + ", ".join(f"sum({c})::bigint" for c in fixed.CATEGORIES) + f"]) as n from {_scrubbed('(select text from documents)', 'text')}",
+    "scrub_text_hash": f"select doc_id, sha256(text) as hash from {_scrubbed('(select doc_id, text from documents)', 'doc_id, text')}",
+    "scrub_ips": f"""select doc_id, n::bigint as n from (select doc_id, len(regexp_extract_all(regexp_replace(text, '([^0-9.])', '\\1\\1', 'g'), '(?:^|[^.0-9]){fixed.IPV4}(?:$|[^.0-9])')) as n from documents) where n > 0""",
+    "scrub_literals": f"select id, text, {', '.join(fixed.CATEGORIES)} from {_scrubbed(f'(select * from (values {_values(adapters.SCRUB_LITERALS)}) v(id, text))', 'id, text')}",
+    "scrub_ip_literals": f"select id, expected as text from (values {_values(adapters.IP_LITERALS)}) v(id, text, expected)",
+    "org_domain_flags": f"""select id, domains from (values {_values(tuple((i, e) for i, _, e in adapters.DOMAIN_LITERALS))}) v(id, domains)
+  union all select doc_id + 1000, array_to_string(d, ',') from (select doc_id, list_filter(regexp_extract_all(text, {_s(fixed.ORG_DOMAIN)}), lambda x: lower(x) not in ({', '.join(map(_s, fixed.SAFE_DOMAINS))})) as d from documents) where len(d) > 0""",
+    "gpu_families": f"select id, {_gpu('gpu')} as family from {HARDWARE}",
+    "memory_tiers": f"select id, {_memory('vram')} as vram, {_memory('ram')} as ram from {HARDWARE}",
+    "os_families": f"select id, {_os('os')} as os from {HARDWARE}",
+    "hardware_anonymized": f"""select distinct conv_id, {_gpu(_pick(adapters.GPUS, 'conv_id'))} as gpu_name, {_memory('(conv_id % 90)')} as gpu_vram_gb, {_memory('(conv_id * 7 % 700)')} as ram_gb, {_os(_pick(adapters.SYSTEMS, 'conv_id'))} as os, null::varchar as cuda_version from {TURNS}""",
+    "tier_thresholds": "with r(t, n) as (values ('gold', 4), ('silver', 3), ('bronze', 2), ('review_needed', 1), ('other', 0), (null, 0)), l(t, n) as (values ('gold', 4), ('silver', 3), ('bronze', 2), ('review_needed', 1), ('none', 0)) select r.t as tier, l.t as least, r.n >= l.n as meets from r cross join l",
+    "jitter_offsets": f"select conv_id, {JITTER} as seconds from {CANON}",
+    "model_slugs": f"select name, {_slug('name')} as slug from ((select name from (values {_values(adapters.SLUG_LITERALS)}) v(name)) union all (select distinct source from documents))",
+    "record_paths": f"""select doc_id, 'data/' || case when doc_id % 5 > 0 then model_slug else 'unknown' end || '/' || case when doc_id % 4 > 0 then tier else 'review_needed' end || '/shard_' || shard || '.jsonl' as path from {DATASET}""",
+    "dedup_insert_if_absent": f"""with d as (select * from {DATASET}), e as (select distinct model_slug, tier, record_id from d where doc_id % 2 = 0)
+  select min(doc_id) as doc_id, model_slug, tier, record_id from d anti join e using (model_slug, tier, record_id) where doc_id % 2 = 1 or doc_id % 3 = 0 group by 2, 3, 4""",
+    "outbox_upsert": f"select record_id, max(doc_id) as doc_id, arg_max(lang, doc_id) as lang from {DATASET} group by 1",
+    "active_records": f"with d as (select * from {DATASET}) select model_slug, count(*) as n from d where record_id not in (select record_id from d where tier = 'review_needed' and doc_id % 2 = 0) group by 1",
+    "tier_stats": f"select model_slug, tier, record_count, avg_quality_score, array_to_string(shards, ',') as shards from {TIERS}",
+    "model_stats": f"""with d as (select *, case when doc_id % 4 = 0 then upper(model_name) || ' ' || tier else model_name end as name, row_number() over (partition by model_slug order by tier, shard, doc_id) as at from {DATASET}),
+  langs as (select model_slug, string_agg(lang, ',' order by f) as langs from (select model_slug, lang, min(at) as f from d group by 1, 2) group by 1),
+  gpus as (select model_slug, string_agg(gpu_name || '=' || n::varchar, ',' order by gpu_name) as hardware from (select model_slug, gpu_name, count(*) as n from d where gpu_name is not null group by 1, 2) group by 1)
+  select model_slug, count(*) as total_records, coalesce(arg_min(name, at) filter (name <> model_slug), model_slug) as display_name, any_value(langs) as langs, any_value(hardware) as hardware from d left join langs using (model_slug) left join gpus using (model_slug) group by model_slug""",
+    "quality_distribution": f"select * from {DISTRIBUTION}",
+    "quality_shares": f"select tier, record_count, case when total > 0 then printf('%.1f', record_count / total * 100) else '0.0' end as percentage, {RANK} as rank from (select *, sum(record_count) over ()::double as total from {DISTRIBUTION})",
+    "catalog_totals": f"select sum(record_count)::bigint as total_records, 0::bigint as total_size_bytes, 3::bigint as deletions_count from {TIERS}",
+    "catalog_rollup": f"select model_slug, tier, count(*) as record_count, grouping(model_slug, tier)::bigint as level from {DATASET} group by rollup (model_slug, tier)",
+    "catalog_filter": f"select model_slug, tier, record_count from {TIERS} where contains(model_slug, 'src1') and tier = 'gold'",
+    "browse_pivot": f"select model_slug, coalesce(max(record_count) filter (tier = 'gold'), 0) as gold, coalesce(max(record_count) filter (tier = 'silver'), 0) as silver, coalesce(max(record_count) filter (tier = 'bronze'), 0) as bronze, sum(record_count)::bigint as total, {AVERAGE} as average from {TIERS} group by 1",
+    "model_summary": f"select model_slug, sum(record_count)::bigint as record_count, {AVERAGE} as average, arg_max(tier, {RANK}) as top_tier from {TIERS} group by 1",
+    "model_drill_down": f"select tier, record_count, len(shards)::bigint as n_shards, {RANK} as rank from {TIERS} where model_slug = 'src1'",
+    "shard_plan": f"select model_slug, tier, shard, 'data/' || model_slug || '/' || tier || '/shard_' || shard || '.jsonl' as path from (select model_slug, tier, unnest(shards) as shard from {TIERS} where tier = 'gold')",
+    "download_plan": f"select tier, count(*) as n from (select tier, unnest(shards) as shard from {TIERS}) where shard >= '80' group by 1",
+    "top_sources": "select source, count(*) as n, min(doc_id) as first_seen from documents group by 1 order by n desc, first_seen limit 10",
+    "top_tags": f"select tag, count(*) as n, min(at) as first_seen from (select conv_id * 10 + p - 1 as at, {TAGS}[p] as tag from (select distinct conv_id from {TURNS}) cross join (values (1), (2)) v(p)) group by 1 order by n desc, first_seen limit 10",
+    "pain_category_counts": f"select {_pick(fixed.PAIN_POINT_CATEGORIES, 'conv_id')} as category, count(*) as n from (select distinct conv_id from {TURNS}) group by 1",
+    "submission_tier_counts": f"select '?' as tier, count(*) as n from (select distinct conv_id from {TURNS}) union all select 'error', count(*) from (select distinct conv_id from {TURNS} where {ERRORS} <> '')",
+    "activity_summary": "select event_type as action, count(*) as n from events group by 1",
+    "byte_labels": f"select n, case when n < 1024 then n::varchar || ' B' when n < 1048576 then printf('%.1f KB', n / 1024.0::double) else printf('%.1f MB', n / 1048576.0::double) end as label from (select n::bigint as n from (values {_values(adapters.SIZES)}) v(n))",
+    "tag_splits": f"select tags, array_to_string(list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> ''), '|') as found from (values {_values(adapters.TAGS)}) v(tags)",
+    "tool_text_cuts": "select doc_id, sha256(left(text, 2000)) as hash from documents",
+    "quality_scores": _score(),
+    "sessions_batch": SESSIONS.format("false"),
+    "sessions_stream": SESSIONS.format("true"),
+    "jittered_times": f"select conv_id, strftime(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 60) + to_seconds({JITTER}), '%Y-%m-%d %H:%M:%S') as created_at from {CANON}",
+    "scrub_record_logs": f"select distinct conv_id, 'see [REDACTED_PATH]' as user_comment, 'at [REDACTED_IP]' as description, 1::bigint as file_paths, 1::bigint as network, 0::bigint as flagged from {TURNS}",
+} | {f"consent_strip_{level}": _consent(level) for level in fixed.CONSENT_LEVELS}

@@ -1,3 +1,408 @@
-"""The registered queries."""
+"""The registered queries: each runs one operator, or a few, over whole tables or over literal rows."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed, privacy, text
+from ..functions.scrub import STEPS, org_domains, redactions, scrub
+from ..operators import catalog, consent, dataset, exports, sessions, stats
+from ..operators.scoring import Scoring
+from ..operators.scrub_records import scrub_records
+from ..operators.validate import errors
+from . import adapters
+from .pipeline import submit
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@query
+def trajectory_shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = adapters.trajectories(spark, sf_dir).select(text.record_id(F.col("conversations")).alias("record_id"))
+    return ids.groupBy(text.shard(F.col("record_id")).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = adapters.trajectories(spark, sf_dir)
+    return t.select("conv_id", F.size("conversations").cast("bigint").alias("turn_count"), F.col("dropped").cast("bigint").alias("dropped"), text.record_id(F.col("conversations")).alias("record_id"))
+
+
+@query
+def submission_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = adapters.sample_records(spark, sf_dir)
+    return r.select("conv_id", text.submission_hash(F.col("trajectory.conversations"), F.col("model.model_name"), F.col("outcome.user_rating"), F.col("outcome.outcome_tags")).alias("submission_hash"))
+
+
+@query
+def sharegpt_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = adapters.trajectories(spark, sf_dir)
+    return t.select("conv_id", F.posexplode(exports.sharegpt(F.col("conversations"))).alias("pos", "t")).select("conv_id", F.col("pos").cast("bigint").alias("pos"), F.col("t.from").alias("role"), F.col("t.value").alias("value"))
+
+
+@query
+def dpo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, turns = adapters.trajectories(spark, sf_dir), F.col("conversations")
+    return t.select("conv_id", exports.dpo_prompt(turns).alias("prompt"), exports.dpo_response(turns).alias("response"))
+
+
+@query
+def turn_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = adapters.trajectories(spark, sf_dir)
+    at = lambda i: text.preview(F.element_at("conversations", i)["value"])
+    return t.select("conv_id", at(1).alias("first_turn"), at(-1).alias("last_turn"))
+
+
+@query
+def tool_call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = adapters.sample_records(spark, sf_dir).select("conv_id", exports.tool_counts(F.col("trajectory.conversations")).alias("c"))
+    return counts.select("conv_id", *(F.col(f"c.{x}").cast("bigint").alias(x) for x in ("total_tool_calls", "successful_tool_calls", "failed_tool_calls")))
+
+
+@query
+def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.sample_records(spark, sf_dir).select("conv_id", F.array_join(errors(), ",").alias("errors"))
+
+
+@query
+def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = consent.with_ids(adapters.sample_records(spark, sf_dir))
+    return exports.history(r).withColumn("turn_count", F.col("turn_count").cast("bigint"))
+
+
+@query
+def scrub_counts_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All but addresses: counts of the ordered patterns over all documents."""
+    counts = _patterns_only(_docs(spark, sf_dir).select("text"))
+    sums = counts.agg(*(F.sum(f"{c}_redacted").alias(c) for c in fixed.CATEGORIES))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).cast("bigint").alias("n")) for c in fixed.CATEGORIES))).alias("x")).select("x.*")
+
+
+def _patterns_only(df: DataFrame) -> DataFrame:
+    """The first 19 steps, without addresses: what an engine without look-behind can check."""
+    keep, sums = df.columns, {}
+    for i, (category, pattern, to) in enumerate(STEPS[:-1]):
+        own = F.lit(f"(?U){pattern}")
+        df = df.withColumn(f"_n{i}", F.coalesce(F.regexp_count("text", own), F.lit(0))).withColumn("text", F.when(F.col(f"_n{i}") > 0, F.regexp_replace("text", own, F.lit(to))).otherwise(F.col("text")))
+        sums.setdefault(category, []).append(F.col(f"_n{i}"))
+    return df.select(*keep, *(sum(v[1:], v[0]).alias(f"{c}_redacted") for c, v in sums.items()))
+
+
+@query
+def scrub_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patterns_only(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.sha2(F.col("text"), 256).alias("hash"))
+
+
+@query
+def scrub_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.regexp_count("text", F.lit(f"(?U){STEPS[-1][1]}"))
+    return _docs(spark, sf_dir).select("doc_id", n.cast("bigint").alias("n")).where("n > 0")
+
+
+@query
+def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps over all documents; tests compare it with the patterns in Python."""
+    out = scrub(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.sha2("text", 256).alias("hash"), *(f"{c}_redacted" for c in fixed.CATEGORIES))
+
+
+@query
+def scrub_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patterns_only(adapters.literals(spark, adapters.SCRUB_LITERALS, "id int, text string")).select("id", "text", *(F.col(f"{c}_redacted").cast("bigint").alias(c) for c in fixed.CATEGORIES))
+
+
+@query
+def scrub_ip_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.literals(spark, adapters.IP_LITERALS, "id int, text string, expected string").select("id", "text")
+    return scrub(rows).select("id", "text")
+
+
+@query
+def redaction_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = redactions(_docs(spark, sf_dir).select("doc_id", "text"))
+    return found.groupBy("category", "replacement").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("original").alias("n_distinct"))
+
+
+@query
+def scrub_marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = scrub(_docs(spark, sf_dir).select("text")).select(F.explode(text.redaction_markers(F.col("text"))).alias("marker"))
+    return marks.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def scrub_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.scrub_summary(scrub(_docs(spark, sf_dir).select("text")))
+
+
+@query
+def org_domain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.literals(spark, adapters.DOMAIN_LITERALS, "id int, text string, expected string").select(F.col("id").cast("bigint").alias("id"), "text")
+    rows = rows.unionByName(_docs(spark, sf_dir).select((F.col("doc_id") + 1000).alias("id"), "text"))
+    return rows.select("id", F.array_join(org_domains(F.col("text")), ",").alias("domains")).where("id < 1000 or domains <> ''")
+
+
+def _hardware(spark: SparkSession) -> DataFrame:
+    return adapters.literals(spark, adapters.HARDWARE_LITERALS, "id int, gpu string, vram int, ram int, os string")
+
+
+@query
+def gpu_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hardware(spark).select("id", privacy.gpu_family(F.col("gpu")).alias("family"))
+
+
+@query
+def memory_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hardware(spark).select("id", privacy.memory_tier(F.col("vram")).alias("vram"), privacy.memory_tier(F.col("ram")).alias("ram"))
+
+
+@query
+def os_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hardware(spark).select("id", privacy.os_family(F.col("os")).alias("os"))
+
+
+@query
+def hardware_anonymized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = consent.anonymize(adapters.sample_records(spark, sf_dir))
+    return r.select("conv_id", "hardware.gpu_name", "hardware.gpu_vram_gb", "hardware.ram_gb", "hardware.os", "hardware.cuda_version")
+
+
+@query
+def tier_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiers = spark.createDataFrame([(t,) for t in (*fixed.TIER_RANKS, "other", None)], "tier string")
+    least = spark.createDataFrame([(t,) for t in (*fixed.TIER_RANKS, "none")], "least string")
+    return tiers.join(F.broadcast(least)).select("tier", "least", privacy.meets_tier(F.col("tier"), F.col("least")).alias("meets"))  # two lists of a few values
+
+
+def _consent(level: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = consent.strip(adapters.sample_records(spark, sf_dir), F.lit(adapters.NOW).cast("timestamp"), F.lit(level))
+        call = F.get(F.element_at("trajectory.conversations", -1)["tool_calls"], 0)
+        return r.select(
+            "conv_id",
+            F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+            F.col("model.model_name").alias("model_name"),
+            F.col("model.provider").alias("provider"),
+            F.col("hardware.os").alias("os"),
+            F.col("outcome.user_rating").alias("user_rating"),
+            F.size("pain_points").alias("pain_points"),
+            F.col("submission.contributor_id").alias("contributor_id"),
+            F.col("submission.agent_version").alias("agent_version"),
+            F.element_at("trajectory.conversations", 1)["value"].alias("first_value"),
+            F.coalesce(call["tool_input"], F.lit("")).alias("tool_input"),
+            F.coalesce(call["tool_name"], F.lit("")).alias("tool_name"),
+        )
+
+    return run
+
+
+for _level in fixed.CONSENT_LEVELS:
+    QUERIES[f"consent_strip_{_level}"] = _consent(_level)
+
+
+@query
+def jitter_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.trajectories(spark, sf_dir).select("conv_id", privacy.jitter_seconds(F.col("conversations")).cast("bigint").alias("seconds"))
+
+
+@query
+def jittered_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = consent.jitter_created(adapters.sample_records(spark, sf_dir))
+    return r.select("conv_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query
+def model_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = adapters.literals(spark, adapters.SLUG_LITERALS, "name string").unionByName(_docs(spark, sf_dir).select(F.col("source").alias("name")).distinct())
+    return names.select("name", text.model_slug(F.col("name")).alias("slug"))
+
+
+@query
+def record_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = adapters.dataset(spark, sf_dir)
+    tier = F.when(F.col("doc_id") % 4 > 0, F.col("tier"))
+    return d.select("doc_id", text.record_path(F.when(F.col("doc_id") % 5 > 0, F.col("model_name")), tier, F.col("record_id")).alias("path"))
+
+
+@query
+def dedup_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = adapters.dataset(spark, sf_dir)
+    existing, batch = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1 or doc_id % 3 = 0")
+    return dataset.insert_if_absent(batch, existing, "doc_id").select("doc_id", "model_slug", "tier", "record_id")
+
+
+@query
+def outbox_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.last_of_each(adapters.dataset(spark, sf_dir).select("record_id", "doc_id", "lang"), "record_id", "doc_id")
+
+
+@query
+def active_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = adapters.dataset(spark, sf_dir)
+    deleted = d.where("tier = 'review_needed' and doc_id % 2 = 0").select("record_id")
+    return dataset.active(d, deleted).groupBy("model_slug").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def tier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = catalog.tier_stats(adapters.dataset(spark, sf_dir))
+    return t.withColumn("shards", F.array_join("shards", ","))
+
+
+@query
+def model_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = catalog.model_stats(adapters.dataset(spark, sf_dir).withColumn("model_name", F.when(F.col("doc_id") % 4 == 0, F.concat(F.upper("model_name"), F.lit(" "), F.col("tier"))).otherwise(F.col("model_name"))), ("lang",))
+    gpus = F.array_join(F.transform(F.map_entries("hardware_distribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return m.select("model_slug", "total_records", "display_name", F.array_join("langs", ",").alias("langs"), gpus.alias("hardware"))
+
+
+@query
+def quality_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.quality_distribution(catalog.tier_stats(adapters.dataset(spark, sf_dir)))
+
+
+@query
+def quality_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.tier_shares(catalog.quality_distribution(catalog.tier_stats(adapters.dataset(spark, sf_dir))))
+
+
+@query
+def catalog_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.catalog_totals(catalog.tier_stats(adapters.dataset(spark, sf_dir)), deletions=3)
+
+
+@query
+def catalog_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.rollup(adapters.dataset(spark, sf_dir)).withColumn("level", F.col("level").cast("bigint"))
+
+
+@query
+def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.filter_catalog(catalog.tier_stats(adapters.dataset(spark, sf_dir)), "SRC1", "gold").select("model_slug", "tier", "record_count")
+
+
+@query
+def browse_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.browse(catalog.tier_stats(adapters.dataset(spark, sf_dir)))
+
+
+@query
+def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.model_summary(catalog.tier_stats(adapters.dataset(spark, sf_dir)))
+
+
+@query
+def model_drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiers = catalog.tier_stats(adapters.dataset(spark, sf_dir))
+    return catalog.drill_down(tiers, "src1").select("tier", "record_count", F.col("n_shards").cast("bigint").alias("n_shards"), "rank")
+
+
+@query
+def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.shard_plan(catalog.filter_catalog(catalog.tier_stats(adapters.dataset(spark, sf_dir)), tier="gold"))
+
+
+@query
+def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = catalog.shard_plan(catalog.tier_stats(adapters.dataset(spark, sf_dir)))
+    return dataset.to_download(plan, plan.where("shard < '80'")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.top(_docs(spark, sf_dir), "source", "doc_id", 10)
+
+
+@query
+def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = adapters.sample_records(spark, sf_dir).select("conv_id", F.posexplode("outcome.outcome_tags").alias("pos", "tag"))
+    return stats.top(tags.withColumn("at", F.col("conv_id") * 10 + F.col("pos")), "tag", "at", 10)
+
+
+@query
+def pain_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.pain_counts(adapters.sample_records(spark, sf_dir))
+
+
+@query
+def submission_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tier counts with the error bucket: records that fail validation also count in their tier."""
+    r = adapters.sample_records(spark, sf_dir)
+    return stats.with_errors(stats.tier_counts(r), r.where(F.size(errors()) > 0))
+
+
+@query
+def activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.activity_summary(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("action")))
+
+
+@query
+def byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.literals(spark, adapters.SIZES, "n bigint").select("n", text.byte_label(F.col("n")).alias("label"))
+
+
+@query
+def tag_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.literals(spark, adapters.TAGS, "tags string").select("tags", F.array_join(text.split_tags(F.col("tags")), "|").alias("found"))
+
+
+@query
+def tool_text_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(text.tool_text(F.col("text")), 256).alias("hash"))
+
+
+@query
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scoring()
+    r = adapters.sample_records(spark, sf_dir)
+    return r.select("conv_id", s.score().alias("score")).select("conv_id", "score", s.tier(F.col("score")).alias("tier"))
+
+
+def _session_rows(assembled: DataFrame) -> DataFrame:
+    return assembled.select(
+        "session_id",
+        F.size("conversations").cast("bigint").alias("n_turns"),
+        "user_rating",
+        F.size("pain_points").cast("bigint").alias("n_reports"),
+        F.array_max(F.transform("pain_points", lambda p: p["turn_index"])).cast("bigint").alias("last_turn_index"),
+        "ended",
+    )
+
+
+@query
+def sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session_rows(sessions.assemble(sessions.from_event_table(spark.read.parquet(f"{sf_dir}/events.parquet"))))
+
+
+@query
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sessions through the stateful stream, each closed by an end event after its last one."""
+    from ..streaming.run import stream_sessions
+
+    return _session_rows(stream_sessions(spark, f"{sf_dir}/events.parquet"))
+
+
+@query
+def submitted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole submit pipeline: redaction, generalization, jitter, consent, score and ids."""
+    r = adapters.sample_records(spark, sf_dir)
+    out = submit(r, "conv_id", F.lit(adapters.NOW).cast("timestamp"))
+    return out.select("conv_id", "record_id", "submission_hash", F.col("quality.quality_tier").alias("tier"), F.col("hardware.gpu_name").alias("gpu_name"), F.col("outcome.user_comment").alias("user_comment"), F.element_at("pain_points", 1)["description"].alias("description"), F.col("submission.scrub_log.network_redacted").alias("network_redacted"))
+
+
+@query
+def scrub_record_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scrub_records(adapters.sample_records(spark, sf_dir), "conv_id")
+    log = F.col("submission.scrub_log")
+    return out.select("conv_id", F.col("outcome.user_comment").alias("user_comment"), F.element_at("pain_points", 1)["description"].alias("description"), log["file_paths_redacted"].cast("bigint").alias("file_paths"), log["network_redacted"].cast("bigint").alias("network"), log["items_flagged"].cast("bigint").alias("flagged"))
