@@ -11,8 +11,9 @@ smallest document; verified links are contracted; only buckets that still hold s
 as the pairs across components, large ones in blocks of bounded size that skip what is connected already. All links
 that matter for connectivity are therefore found, and every link used was verified on whole sets.
 
-Before texts move, a pair's profiles are compared: counts of its tokens by hash cell, about two tokens a cell. The sum
-of the cells' minima is an upper bound of the intersection, so no linked pair is lost.
+Before texts move, a pair's profiles are compared: counts of its tokens by hash cell, fewer than one token a cell. The
+sum of the cells' minima is an upper bound of the intersection, so no linked pair is lost. Of the pairs that may link,
+one for each document and other component is verified first; the others only if that leaves them in two components.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, frequent) ->
 
 def profile(s: np.ndarray) -> np.ndarray:
     """Number of tokens in each of a power of two of hash cells; none if a count doesn't fit a byte."""
-    k = max(1, len(s).bit_length() - 1)
+    k = max(1, len(s).bit_length())
     counts = np.bincount((s >> _U(64 - k)).astype(np.int64), minlength=1 << k)
     return counts.astype(np.uint8) if counts.max(initial=0) < 256 else np.zeros(0, np.uint8)
 
@@ -331,8 +332,18 @@ def ngram_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     many = scratch.save(many.select("hub", "id", "n", "c", (F.col("c") == F.coalesce("hub_c", "hub")).alias("own")), "large")
     in_blocks = _blocks(many, percent).join(many.select("id", "c").distinct(), "id").join(profiles, "id")
     in_blocks = in_blocks.select("task", "side", "id", "n", "c", "profile").repartition("task").sortWithinPartitions("task", "side").mapInArrow(lambda it: _plausible_blocks(it, percent), "a long, b long")
-    more = scratch.save(plausible(pairs).unionByName(in_blocks).distinct().join(strong, ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(scratch.save(_verified(docs, _stars(more), shingle, percent), "more_links"))
+    named = {x: joined.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
+    more = plausible(pairs).unionByName(in_blocks).distinct().join(strong, ["a", "b"], "left_anti")
+    more = more.join(named["a"], "a", "left").join(named["b"], "b", "left")
+    more = scratch.save(more.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "more")
+    first = scratch.save(more.groupBy("a", "cb").agg(F.min("b").alias("b")).select("a", "b"), "first")
+    links = links.unionByName(scratch.save(_verified(docs, _stars(first), shingle, percent), "first_links"))
+    now = components(links.select("a", "b"), scratch)
+    rest = more.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for x in "ab":
+        rest = rest.join(now.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+    rest = scratch.save(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+    links = links.unionByName(scratch.save(_verified(docs, _stars(rest), shingle, percent), "rest_links"))
     scratch.drop(open_, signed)
     # equal sets are one node; rows of one doc_id are one node as well
     equal = rows.where("n > 0 and doc_id is not null").join(same.select("k1", "k2", "id"), ["k1", "k2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
