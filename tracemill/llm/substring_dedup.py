@@ -133,11 +133,14 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     """docs(doc_id, text) -> (doc_id, places): starts of the windows that a smaller doc_id holds too."""
     docs = docs.where("doc_id is not null and text is not null")
     level1 = scratch.save(docs.mapInArrow(lambda it: _level1(it, window), "h long, doc_id long, pos int"), "level1")
-    alive = scratch.save(_places(level1.join(_repeated(level1).select("h"), "h")), "alive")
+    # the repeated hashes are written first, so that both sides of the join are plain shuffles and a hot hash's rows can be split
+    again = scratch.save(_repeated(level1), "repeated1")
+    alive = scratch.save(_places(level1.join(again.select("h"), "h")), "alive")
     scratch.drop(level1)
     texts = keep_ids(docs, alive).join(alive, "doc_id")
     level2 = scratch.save(texts.select("doc_id", "text", "places").mapInArrow(lambda it: _level2(it, window), "h long, doc_id long, pos int"), "level2")
-    found = scratch.save(_places(level2.join(_repeated(level2), "h").where("doc_id > low")), "found")
+    again = scratch.save(_repeated(level2), "repeated2")
+    found = scratch.save(_places(level2.join(again, "h").where("doc_id > low")), "found")
     scratch.drop(level2, alive)
     return found
 
