@@ -11,7 +11,7 @@ smallest document; verified links are contracted; only buckets that still hold s
 as the pairs across components, large ones in blocks of bounded size that skip what is connected already. All links
 that matter for connectivity are therefore found, and every link used was verified on whole sets.
 
-Before texts move, a pair's profiles are compared: counts of its tokens by hash cell, fewer than one token a cell. The
+Before texts move, a pair's profiles are compared: counts of its tokens by hash cell, one or two tokens a cell. The
 sum of the cells' minima is an upper bound of the intersection, so no linked pair is lost. Of the pairs that may link,
 one for each document and other component is verified first; the others only if that leaves them in two components.
 """
@@ -139,7 +139,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, frequent) ->
 
 def profile(s: np.ndarray) -> np.ndarray:
     """Number of tokens in each of a power of two of hash cells; none if a count doesn't fit a byte."""
-    k = max(1, len(s).bit_length())
+    k = max(1, len(s).bit_length() - 1)
     counts = np.bincount((s >> _U(64 - k)).astype(np.int64), minlength=1 << k)
     return counts.astype(np.uint8) if counts.max(initial=0) < 256 else np.zeros(0, np.uint8)
 
@@ -266,6 +266,13 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return dealt.select("task", F.lit(1).alias("side"), F.col("b").alias("id")).unionByName(dealt.select("task", F.lit(0).alias("side"), F.col("a").alias("id")).distinct())
 
 
+def _merge_hubs(members: DataFrame) -> DataFrame:
+    """members(hub, id, n, c) with hubs whose members also have a smaller hub replaced by it, so that a group that meets in many buckets is compared once."""
+    lowest = members.groupBy("id").agg(F.min("hub").alias("low"))
+    top = members.join(lowest, "id").groupBy("hub").agg(F.min("low").alias("top"))
+    return members.join(top, "hub").select(F.col("top").alias("hub"), "id", "n", "c").distinct()
+
+
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
     """members(hub, id, n, own): within each hub, tasks that compare blocks of similar size, but for two blocks of the hub's own component."""
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
@@ -328,7 +335,7 @@ def ngram_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     pairs = few.select("sig", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")).join(few.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb")), "sig")
     pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
     of_hub = joined.select(F.col("id").alias("hub"), F.col("component").alias("hub_c"))
-    many = open_.where(F.col("size") > PAIRS).select("hub", "id", "n", "c").distinct().join(of_hub, "hub", "left")
+    many = _merge_hubs(scratch.save(open_.where(F.col("size") > PAIRS).select("hub", "id", "n", "c").distinct(), "hubs")).join(of_hub, "hub", "left")
     many = scratch.save(many.select("hub", "id", "n", "c", (F.col("c") == F.coalesce("hub_c", "hub")).alias("own")), "large")
     in_blocks = _blocks(many, percent).join(many.select("id", "c").distinct(), "id").join(profiles, "id")
     in_blocks = in_blocks.select("task", "side", "id", "n", "c", "profile").repartition("task").sortWithinPartitions("task", "side").mapInArrow(lambda it: _plausible_blocks(it, percent), "a long, b long")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 _U = np.uint64
 #: Texts are handled in runs of about so many bytes, which bounds the memory of a task; one longer text is a run of its own.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 _SEGMENT = 1 << 21
 _BASE = _U(0x9E3779B97F4A7C15)
 
