@@ -6,6 +6,8 @@ one expression, text and counts would repeat all steps before, and the plan woul
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,13 @@ def org_domains(text: Column) -> Column:
 def redactions(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each redaction: df's other columns, category, original, replacement, and step, in the order of the steps; values are those of the text at that step."""
     keep = [c for c in df.columns if c != text]
-    found = []
+
+    def described(i: int, category: str, to: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(i).alias("step"), F.lit(category).alias("category"), x.alias("original"), F.lit(to).alias("replacement"))
+
     for i, (category, pattern, to) in enumerate(STEPS):
         own = F.lit(f"(?U){pattern}")
-        found.append(F.transform(F.coalesce(F.regexp_extract_all(text, own, F.lit(0)), F.array().cast("array<string>")), lambda x, i=i, c=category, to=to: F.struct(F.lit(i).alias("step"), F.lit(c).alias("category"), x.alias("original"), F.lit(to).alias("replacement"))))
-        df = df.withColumn(f"_f{i}", found[-1]).withColumn(text, F.regexp_replace(text, own, F.lit(to)))
+        found = F.coalesce(F.regexp_extract_all(text, own, F.lit(0)), F.array().cast("array<string>"))
+        df = df.withColumn(f"_f{i}", F.transform(found, described(i, category, to))).withColumn(text, F.regexp_replace(text, own, F.lit(to)))
     listed = F.concat(*(F.col(f"_f{i}") for i in range(len(STEPS))))
     return df.select(*keep, F.explode(listed).alias("r")).select(*keep, "r.*")

@@ -91,7 +91,8 @@ def browse(tiers: DataFrame) -> DataFrame:
 
 def _average() -> Column:
     """Unweighted mean of the tiers' averages over 0, as text."""
-    return F.coalesce(F.format_string("%.2f", F.avg(F.when(F.col("avg_quality_score") > 0, F.col("avg_quality_score")))), F.lit("N/A"))
+    mean = F.avg(F.when(F.col("avg_quality_score") > 0, F.col("avg_quality_score")))
+    return F.when(mean.isNotNull(), F.format_string("%.2f", mean)).otherwise("N/A")
 
 
 def model_summary(tiers: DataFrame) -> DataFrame:

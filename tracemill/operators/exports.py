@@ -37,7 +37,7 @@ def history(records: DataFrame) -> DataFrame:
         F.size("trajectory.conversations").alias("turn_count"),
         F.left(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(19)).alias("created_at"),
         F.coalesce("quality.quality_tier", F.lit("?")).alias("tier"),
-        F.coalesce(F.format_string("%.3f", F.col("quality.composite_score")), F.lit("-")).alias("score"),
+        F.when(F.col("quality.composite_score").isNotNull(), F.format_string("%.3f", F.col("quality.composite_score"))).otherwise("-").alias("score"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,11 +134,15 @@ def _typed(made: DataFrame) -> DataFrame:
             out[name] = F.struct(*(F.col(name)[f.name].cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in want.fields))
         elif kind.startswith("array<struct"):
             have = {f.name for f in made.schema[name].dataType.elementType.fields}
-            out[name] = F.transform(name, lambda x, w=want, h=have: F.struct(*(x[f.name].cast(f.dataType).alias(f.name) if f.name in h else F.lit(None).cast(f.dataType).alias(f.name) for f in w.elementType.fields)))
+            out[name] = F.transform(name, _filled(want.elementType.fields, have))
     made = made.withColumns(out)
     return complete(made).withColumn("conv_id", F.lit(None).cast("bigint")) if "conv_id" not in made.columns else _with_key(made)
 
 
+def _filled(fields: list, have: set[str]) -> Callable[[Column], Column]:
+    return lambda x: F.struct(*(x[f.name].cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def _with_key(made: DataFrame) -> DataFrame:
     full = [F.col(k) if k in made.columns else F.lit(None).cast(v).alias(k) for k, v in FIELDS.items()]
     out = made.select("conv_id", *full)

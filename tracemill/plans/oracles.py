@@ -160,10 +160,10 @@ ORACLES: dict[str, str] = {
     "outbox_upsert": f"select record_id, max(doc_id) as doc_id, arg_max(lang, doc_id) as lang from {DATASET} group by 1",
     "active_records": f"with d as (select * from {DATASET}) select model_slug, count(*) as n from d where record_id not in (select record_id from d where tier = 'review_needed' and doc_id % 2 = 0) group by 1",
     "tier_stats": f"select model_slug, tier, record_count, avg_quality_score, array_to_string(shards, ',') as shards from {TIERS}",
-    "model_stats": f"""with d as (select *, case when doc_id % 4 = 0 then upper(model_name) || ' ' || tier else model_name end as name, row_number() over (partition by model_slug order by tier, shard, doc_id) as at from {DATASET}),
-  langs as (select model_slug, string_agg(lang, ',' order by f) as langs from (select model_slug, lang, min(at) as f from d group by 1, 2) group by 1),
+    "model_stats": f"""with d as (select *, case when doc_id % 4 = 0 then upper(model_name) || ' ' || tier else model_name end as name, row_number() over (partition by model_slug order by tier, shard, doc_id) as place from {DATASET}),
+  langs as (select model_slug, string_agg(lang, ',' order by f) as langs from (select model_slug, lang, min(place) as f from d group by 1, 2) group by 1),
   gpus as (select model_slug, string_agg(gpu_name || '=' || n::varchar, ',' order by gpu_name) as hardware from (select model_slug, gpu_name, count(*) as n from d where gpu_name is not null group by 1, 2) group by 1)
-  select model_slug, count(*) as total_records, coalesce(arg_min(name, at) filter (name <> model_slug), model_slug) as display_name, any_value(langs) as langs, any_value(hardware) as hardware from d left join langs using (model_slug) left join gpus using (model_slug) group by model_slug""",
+  select model_slug, count(*) as total_records, coalesce(arg_min(name, place) filter (name <> model_slug), model_slug) as display_name, any_value(langs) as langs, any_value(hardware) as hardware from d left join langs using (model_slug) left join gpus using (model_slug) group by model_slug""",
     "quality_distribution": f"select * from {DISTRIBUTION}",
     "quality_shares": f"select tier, record_count, case when total > 0 then printf('%.1f', record_count / total * 100) else '0.0' end as percentage, {RANK} as rank from (select *, sum(record_count) over ()::double as total from {DISTRIBUTION})",
     "catalog_totals": f"select sum(record_count)::bigint as total_records, 0::bigint as total_size_bytes, 3::bigint as deletions_count from {TIERS}",
@@ -175,7 +175,7 @@ ORACLES: dict[str, str] = {
     "shard_plan": f"select model_slug, tier, shard, 'data/' || model_slug || '/' || tier || '/shard_' || shard || '.jsonl' as path from (select model_slug, tier, unnest(shards) as shard from {TIERS} where tier = 'gold')",
     "download_plan": f"select tier, count(*) as n from (select tier, unnest(shards) as shard from {TIERS}) where shard >= '80' group by 1",
     "top_sources": "select source, count(*) as n, min(doc_id) as first_seen from documents group by 1 order by n desc, first_seen limit 10",
-    "top_tags": f"select tag, count(*) as n, min(at) as first_seen from (select conv_id * 10 + p - 1 as at, {TAGS}[p] as tag from (select distinct conv_id from {TURNS}) cross join (values (1), (2)) v(p)) group by 1 order by n desc, first_seen limit 10",
+    "top_tags": f"select tag, count(*) as n, min(place) as first_seen from (select conv_id * 10 + p - 1 as place, {TAGS}[p] as tag from (select distinct conv_id from {TURNS}) cross join (values (1), (2)) v(p)) group by 1 order by n desc, first_seen limit 10",
     "pain_category_counts": f"select {_pick(fixed.PAIN_POINT_CATEGORIES, 'conv_id')} as category, count(*) as n from (select distinct conv_id from {TURNS}) group by 1",
     "submission_tier_counts": f"select '?' as tier, count(*) as n from (select distinct conv_id from {TURNS}) union all select 'error', count(*) from (select distinct conv_id from {TURNS} where {ERRORS} <> '')",
     "activity_summary": "select event_type as action, count(*) as n from events group by 1",

@@ -25,6 +25,6 @@ def stream_sessions(spark: SparkSession, events: str) -> DataFrame:
     ends = rows.groupBy("session_id").agg((F.max("seq") + 1).alias("seq")).withColumn("kind", F.lit("end"))
     rows.unionByName(ends, allowMissingColumns=True).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    query = assemble_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query = assemble_stream(stream, idle_ms=None).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(SESSION).parquet(f"{folder}/out")

@@ -34,7 +34,7 @@ def _row(key: str, events: list[dict]) -> dict:
     return {"session_id": key, "conversations": turns, "user_rating": rated and int(rated["rating"]), "outcome_tags": rated and rated["tags"], "pain_points": reports, "ended": True}
 
 
-def _on_events(idle_ms: int):
+def _on_events(idle_ms: int | None):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -48,16 +48,21 @@ def _on_events(idle_ms: int):
             yield pd.DataFrame([_row(key[0], held)])
         else:
             state.update((json.dumps(held),))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
 
     return step
 
 
-def assemble_stream(events: DataFrame, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def assemble_stream(events: DataFrame, idle_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """events: a stream with the columns of operators.sessions.EVENT. A session's state is dropped when it ends, or after idle_ms without events.
 
+    idle_ms None keeps state until the end. A finite run (availableNow) needs that: with a timeout by processing time,
+    Spark plans one more batch to look for idle sessions, and then another, without end.
+
     Events that arrive in the batch of the session's end, or before, count in the order of seq; those of later batches
     begin a new session.
     """
     grouped = events.groupBy("session_id")
-    return grouped.applyInPandasWithState(_on_events(idle_ms), SESSION, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return grouped.applyInPandasWithState(_on_events(idle_ms), SESSION, _STATE, "append", timeout)
