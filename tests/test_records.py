@@ -1,0 +1,232 @@
+"""Fixed examples, worked out by hand or with Python's own json, re and hashlib."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracemill.functions import fixed, privacy, text
+from tracemill.functions.scrub import scrub
+from tracemill.operators import catalog, consent, dataset, sessions
+from tracemill.operators.scoring import Scoring
+from tracemill.operators.scrub_records import scrub_records
+from tracemill.operators.validate import errors, validate
+from tracemill.plans import adapters
+from tracemill.plans.pipeline import publish, route, submit
+from tracemill.sources import files, sinks
+from tracemill.streaming.sessions import assemble_stream
+
+STRINGS = ["plain", "", 'q"u\\o', "tab\tnew\nret\r\b\f", "ünï", "日本", "😀 end", "\x00\x1f\x7f", " ", None]
+
+
+def test_json_strings_are_those_of_python(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(STRINGS)], "i int, s string")
+    got = {r.i: r.j for r in df.select("i", text.json_value(F.col("s")).alias("j")).collect()}
+    assert got == {i: json.dumps(s) for i, s in enumerate(STRINGS)}
+
+
+def test_ids_are_those_of_canonical_json(spark):
+    turns = [{"from": "human", "value": "hé\n"}, {"from": "gpt", "value": 'a "b"'}]
+    df = spark.createDataFrame([(turns, "m", 4, ["b", "a"]), (turns, None, None, None)], "t array<struct<`from`: string, value: string>>, m string, r int, g array<string>")
+    got = df.select(text.record_id(F.col("t")).alias("id"), text.submission_hash(F.col("t"), F.col("m"), F.col("r"), F.col("g")).alias("h")).collect()
+    assert got[0].id == "record_" + hashlib.sha256(json.dumps(turns, sort_keys=True).encode()).hexdigest()[:12]
+    for row, (m, r, g) in zip(got, (("m", 4, ["a", "b"]), (None, None, None))):
+        whole = json.dumps({"trajectory": turns, "model_name": m, "rating": r, "tags": g}, sort_keys=True)
+        assert row.h == "sha256:" + hashlib.sha256(whole.encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("name", "slug"), [("GPT-4o", "gpt-4o"), ("a!!b@@c", "abc"), ("", ""), ("my_model_v2", "my-model-v2"), ("  Three 3.5  Words ", "three-3-5-words")])
+def test_slugs(spark, name, slug):
+    assert spark.range(1).select(text.model_slug(F.lit(name))).first()[0] == slug
+
+
+def test_shards_take_the_first_byte(spark):
+    ids = [f"record_{i}" for i in range(300)]
+    df = spark.createDataFrame([(i,) for i in ids], "i string")
+    for n in (256, 16, 1000):
+        got = [r.s for r in df.select(text.shard(F.col("i"), n).alias("s")).collect()]
+        assert got == [f"{int(hashlib.sha256(i.encode()).hexdigest()[:2], 16) % n:02x}" for i in ids]
+
+
+def python_scrub(t):
+    counts = dict.fromkeys(fixed.CATEGORIES, 0)
+    for category, pattern, to in fixed.SCRUB_PATTERNS:
+        t, n = re.subn(pattern, lambda _, to=to: to, t)
+        counts[fixed.COUNTED_AS.get(category, category)] += n
+    version = re.compile("(?:" + "|".join(re.escape(w) for w in fixed.VERSION_WORDS) + r")\s*$", re.I)
+
+    def address(m):
+        if version.search(m.string[max(0, m.start() - fixed.VERSION_REACH) : m.start()]):
+            return m[0]
+        counts["network"] += 1
+        return fixed.IP_PLACEHOLDER
+
+    return re.sub(rf"(?<![.\d]){fixed.IPV4}(?![.\d])", address, t), counts
+
+
+def test_scrub_agrees_with_python(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [t for _, t in adapters.SCRUB_LITERALS if t is not None] + [t for _, t, _ in adapters.IP_LITERALS]
+    texts += ["ſk-" + "a" * 40, "Bearer abc", "call 555 123 4567", "ünder ~/é x"]
+    df = scrub(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    for r in df.collect():
+        want, counts = python_scrub(texts[r.i])
+        assert (r.text, {c: r[f"{c}_redacted"] for c in fixed.CATEGORIES}) == (want, counts)
+
+
+def test_scrub_plan_grows_with_the_steps_alone(spark):
+    df = scrub(spark.createDataFrame([("x",)], "text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 3 * len(fixed.SCRUB_PATTERNS)
+
+
+def test_scrub_of_records_reaches_all_texts(spark, sf_dir):
+    r = adapters.sample_records(spark, sf_dir).withColumn("pain_points", F.when(F.col("conv_id") % 2 == 0, F.col("pain_points")))
+    r = r.withColumn("outcome", F.when(F.col("conv_id") % 3 > 0, F.col("outcome")))
+    turns = F.transform("trajectory.conversations", lambda t: t.withField("tool_calls", F.transform(t["tool_calls"], lambda c: c.withField("tool_output", F.lit("mail a@b.org")))))
+    r = r.withColumn("trajectory", F.col("trajectory").withField("conversations", turns))
+    before, after = ({x.conv_id: x for x in df.collect()} for df in (r, scrub_records(r, "conv_id")))
+    assert before.keys() == after.keys()
+    for k, x in after.items():
+        assert [t["from"] for t in x.trajectory.conversations] == [t["from"] for t in before[k].trajectory.conversations]
+        calls = [c for t in x.trajectory.conversations for c in t.tool_calls or []]
+        assert all(c.tool_output == "mail [REDACTED_EMAIL]" and c.tool_input == "in" for c in calls)
+        assert x.submission.scrub_log.emails_redacted == len(calls)
+        assert (x.outcome is None) == (k % 3 == 0) and (x.pain_points is None) == (k % 2 == 1)
+        assert x.outcome is None or x.outcome.user_comment == "see [REDACTED_PATH]"
+
+
+@pytest.mark.parametrize(("gb", "tier"), [(13, 16), (24, 32), (64, 64), (11, 16), (0, 4), (-1, 4), (513, 512)])
+def test_memory_tiers(spark, gb, tier):
+    assert spark.range(1).select(privacy.memory_tier(F.lit(gb))).first()[0] == tier
+
+
+def test_jitter_is_within_half_an_hour_and_follows_the_turns(spark, sf_dir):
+    t = adapters.trajectories(spark, sf_dir).select("conv_id", privacy.jitter_seconds(F.col("conversations")).alias("s"))
+    a, b = dict(map(tuple, t.collect())), dict(map(tuple, t.collect()))
+    assert a == b and len(set(a.values())) > len(a) // 2 and all(-1800 <= s <= 1800 for s in a.values())
+
+
+def test_validation_splits_and_explains(spark, sf_dir):
+    r = adapters.sample_records(spark, sf_dir)
+    good, bad = validate(r)
+    assert good.count() + bad.count() == r.count()
+    for x in bad.select("conv_id", "errors").collect():
+        assert ("user_rating" in x.errors) == (x.conv_id % 7 in (0, 6)) and ("provider" in x.errors) == (x.conv_id % 13 == 0)
+    empty = r.withColumn("trajectory", F.col("trajectory").withField("conversations", F.slice("trajectory.conversations", 1, 0))).select(errors().alias("e")).first().e
+    assert "conversations" in empty
+
+
+def test_insert_if_absent_is_idempotent_and_ignores_order(spark, sf_dir):
+    d = adapters.dataset(spark, sf_dir)
+    batch = d.where("doc_id % 3 > 0")
+    new = dataset.insert_if_absent(batch, d.where("false"), "doc_id").persist()
+    assert dataset.insert_if_absent(batch, new, "doc_id").count() == 0
+    again = dataset.insert_if_absent(batch.orderBy(F.desc("doc_id")), d.where("false"), "doc_id")
+    key = lambda df: {(r.model_slug, r.tier, r.record_id, r.doc_id) for r in df.collect()}
+    assert key(new) == key(again)
+    no_id = batch.withColumn("record_id", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.lit(None)))
+    assert dataset.insert_if_absent(no_id, new, "doc_id").count() == 0
+
+
+def test_submit_route_and_publish(spark, sf_dir):
+    now = F.lit(adapters.NOW).cast("timestamp")
+    r = submit(adapters.sample_records(spark, sf_dir), "conv_id", now).persist()
+    passed, kept = route(r, "silver")
+    assert passed.count() + kept.count() == r.count()
+    new, rejects = publish(r, dataset.placed(r).where("false"), now, "conv_id")
+    ids = [(x.model_slug, x.tier, x.record_id) for x in new.collect()]
+    assert len(ids) == len(set(ids)) and len(ids) + rejects.count() <= r.count()
+    score = r.select(Scoring().score().alias("s")).agg(F.min("s"), F.max("s")).first()
+    assert 0 <= score[0] <= score[1] <= 1
+
+
+def test_ids_collide_where_all_text_is_redacted(spark, sf_dir):
+    r = adapters.sample_records(spark, sf_dir)
+    out = consent.with_ids(consent.strip(r, F.lit(adapters.NOW).cast("timestamp"), F.lit("metadata_only")))
+    shapes = out.groupBy(F.transform("trajectory.conversations", lambda t: t["from"]).alias("roles")).agg(F.countDistinct("record_id").alias("n"))
+    assert {x.n for x in shapes.collect()} == {1}
+
+
+def test_files_round_trip(spark, sf_dir, tmp_path):
+    root = f"file://{tmp_path}"
+    r = consent.with_ids(adapters.sample_records(spark, sf_dir)).drop("conv_id").limit(6)
+    sinks.export(r, f"{root}/outbox_one")
+    good = [p.read_text() for p in (tmp_path / "outbox_one").glob("part-*")][0]
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/a.jsonl").write_text(good + "\n\n{broken\n" + good.splitlines()[0] + "\n")
+    got = files.outbox(spark, f"{root}/out").collect()
+    assert [x.record_id for x in got] == [json.loads(line)["record_id"] for line in good.splitlines()]
+    shard = tmp_path / "data/m/gold"
+    shard.mkdir(parents=True)
+    (shard / "shard_0a.jsonl").write_text(good + "[1, 2]\n\nnot json\n")
+    (shard / "shard_0b.jsonl").write_text("")
+    assert files.shards(spark, root).where("model_slug = 'm' and tier = 'gold' and shard = 'shard_0a.jsonl'").count() == 6
+    listed = {x.shard: x["size"] for x in files.shard_files(spark, root).collect()}
+    assert listed["shard_0b.jsonl"] == 0 and listed["shard_0a.jsonl"] > 0
+    (tmp_path / "staging").mkdir()
+    for i, name in enumerate(("old.json", "new.json", "newest.jsonl", "bad.json")):
+        (tmp_path / "staging" / name).write_text("{nope" if name == "bad.json" else good.splitlines()[i])
+        import os
+
+        os.utime(tmp_path / "staging" / name, (time.time() - 1000 + i * (1 if name != "bad.json" else -5),) * 2)
+    assert files.staging(spark, f"{root}/staging").count() == 3
+    assert files.latest_staging(spark, f"{root}/staging").first().path.endswith("new.json")
+    placed = dataset.placed(r)
+    sinks.append_shards(placed, f"{root}/store")
+    assert spark.read.parquet(f"{root}/store").where("shard >= '00'").count() == 6
+    sinks.append_json(spark.createDataFrame([("a", "t", None)], "record_id string, deleted_at string, reason string"), f"{root}/deleted")
+    assert dataset.active(placed, files.deletions(spark, f"{root}/deleted/*.json")).count() == 6
+
+
+def test_catalog_file_and_readme(spark, sf_dir, tmp_path):
+    d = adapters.dataset(spark, sf_dir).withColumn("shard", F.concat(F.lit("shard_"), "shard", F.lit(".jsonl")))
+    sizes = d.groupBy("model_slug", "tier", "shard").agg((F.count(F.lit(1)) * 10).alias("size")).withColumn("modified", F.lit("2024-01-01").cast("timestamp"))
+    tiers = catalog.tier_stats(d, sizes)
+    distribution, totals = catalog.quality_distribution(tiers), catalog.catalog_totals(tiers, 2)
+    written = sinks.catalog_json(tiers, catalog.model_stats(d, ("lang",)), distribution, totals, "now")
+    sinks.write_text(spark, f"file://{tmp_path}/catalog.json", written)
+    back = files.catalog(spark, f"file://{tmp_path}/catalog.json").first()
+    assert back.total_records == d.count() == sum(back.quality_distribution.values()) and back.total_size_bytes == 10 * d.count()
+    assert sum(t.record_count for m in back.models.values() for t in m.tiers.values()) == d.count()
+    assert "| gold |" in sinks.readme(tiers, distribution, totals)
+    empty = catalog.tier_stats(d.where("false"), sizes.limit(1))
+    assert empty.first().record_count == 0 and empty.first().avg_quality_score == 0.0
+
+
+EVENTS = [
+    ("a", 1, "start", None, None, None, None, None, None),
+    ("a", 2, "turn", "user", "hi", None, None, None, None),
+    ("a", 3, "turn", "assistant", None, None, None, None, None),
+    ("a", 4, "turn", "assistant", "yes", None, None, None, None),
+    ("a", 5, "rate", None, None, 9, ["x"], None, None),
+    ("a", 6, "rate", None, None, 4, ["perfect"], None, None),
+    ("a", 7, "report", None, None, None, None, "other", "slow"),
+    ("a", 8, "end", None, None, None, None, None, None),
+    ("b", 1, "turn", "user", "lost", None, None, None, None),
+    ("b", 2, "start", None, None, None, None, None, None),
+    ("b", 3, "report", None, None, None, None, "other", "early"),
+    ("b", 4, "end", None, None, None, None, None, None),
+    ("c", 1, "turn", "user", "open", None, None, None, None),
+]
+
+
+def test_sessions_in_batch_and_stream_agree(spark, tmp_path):
+    events = spark.createDataFrame(EVENTS, sessions.EVENT)
+    batch = {r.session_id: r for r in sessions.assemble(events).collect()}
+    assert [(t["from"], t["value"]) for t in batch["a"].conversations] == [("human", "hi"), ("gpt", "yes")]
+    assert (batch["a"].user_rating, batch["a"].outcome_tags, batch["a"].pain_points[0].turn_index) == (4, ["perfect"], 1)
+    assert batch["b"].conversations == [] and batch["b"].pain_points[0].turn_index == 0 and not batch["c"].ended
+    folder = f"file://{tmp_path}"
+    for seqs in ("seq < 5", "seq >= 5"):
+        events.where(seqs).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = assemble_stream(stream, idle_ms=None).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = {r.session_id: r for r in spark.read.schema(sessions.SESSION).parquet(f"{folder}/out").collect()}
+    assert out == {k: batch[k] for k in ("a", "b")}
