@@ -30,8 +30,8 @@ from . import textarrays as ta
 from .components import components
 from .shared import Scratch, keep_ids
 
-#: Cells of the count sketch; it is 4 MB whatever the input.
-SKETCH = 1 << 20
+#: Cells of the count sketch; a task's is 8 MB whatever the input, what is broadcast a bit for each cell.
+SKETCH = 1 << 21
 #: Sets below so many tokens index single tokens only.
 SMALL = 16
 #: Buckets up to this many documents are resolved by pairs, larger ones in blocks of BLOCK profiles; texts that meet in one task.
@@ -93,20 +93,15 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    sketch, waiting, held = np.zeros(SKETCH, np.int64), [], 0
+    sketch = np.zeros(SKETCH, np.int32)
     for run in ta.runs(batches):
         sets = gram_sets(ta.words(ta.column(run, "text"), lower=True), n)
         k = len(sets)
         one = np.array([s.sum(dtype=_U) for s in sets], dtype=_U)
         two = np.array([ta.mix(s).sum(dtype=_U) for s in sets], dtype=_U)
         yield pa.record_batch([ta.column(run, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), ta.signed(one), ta.signed(ta.mix(two)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=_DESCRIBED)
-        waiting += sets
-        held += sum(map(len, sets))
-        if held >= SKETCH:
-            sketch += np.bincount(np.concatenate(waiting) & _U(SKETCH - 1), minlength=SKETCH)
-            waiting, held = [], 0
-    if held:
-        sketch += np.bincount(np.concatenate(waiting) & _U(SKETCH - 1), minlength=SKETCH)
+        for some in sets:
+            np.add.at(sketch, (some & _U(SKETCH - 1)).astype(np.int64), 1)
     if sketch.any():
         k = SKETCH // counting.PART
         yield pa.record_batch([*(pa.nulls(k, pa.int64()) for _ in range(4)), *counting.parts(sketch)], names=_DESCRIBED)
@@ -305,7 +300,7 @@ def ngram_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = scratch.save(docs.mapInArrow(lambda it: _describe(it, shingle), "doc_id long, n long, k1 long, k2 long, part int, counts binary"), "described")
     counts = _sketch(described)
-    frequent = spark.sparkContext.broadcast(np.packbits(counts > 4 * counts.mean() + 32, bitorder="little"))
+    frequent = spark.sparkContext.broadcast(np.packbits(counts > counts.mean() + 6 * np.sqrt(counts.mean()) + 16, bitorder="little"))
     rows = described.where("part is null").select("doc_id", "n", "k1", "k2")
     same = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "classes")
 
