@@ -215,7 +215,7 @@ def _labels(net: Network, model: int, w: ta.Words) -> tuple[np.ndarray, np.ndarr
     return row, out[back, :-1], out[back, -1]
 
 
-def _predict(batches: Iterator[pa.RecordBatch], languages: list[str], packed) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], languages: list[str], packed, kept: list[str]) -> Iterator[pa.RecordBatch]:
     net, model = Network.load(packed.value), hash(packed.value)
     names = np.array([*languages, UNKNOWN], dtype=object)
     for run in ta.runs(batches):
@@ -230,8 +230,7 @@ def _predict(batches: Iterator[pa.RecordBatch], languages: list[str], packed) ->
             has[i] = any(map(str.isalpha, texts[int(i)].as_py()))
         best = np.where(has, total.argmax(axis=1), len(languages))
         score = np.where(has, np.clip(total.max(axis=1), 0, 1), 0.0)
-        others = [ta.column(run, c) for c in run.schema.names if c != "text"]
-        yield pa.record_batch([*others, pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))], names=[*(c for c in run.schema.names if c != "text"), "lang_pred", "score"])
+        yield pa.record_batch([*(ta.column(run, c) for c in kept), pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))], names=[*kept, "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -242,12 +241,10 @@ def identify(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     ids are harmless. An empty table gives no rows.
     """
     model = train(docs)
-    plain = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *carry)
-    kept = [c for c in plain.columns if c != "text"]
+    plain = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
+    kept = ["doc_id", "held_out", *carry]
     if model is None:
         return plain.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     languages, packed = model[0], docs.sparkSession.sparkContext.broadcast(model[1])
     schema = ", ".join(f"`{k}` {t}" for k, t in plain.select(*kept).dtypes)
-    if "text" in carry:
-        raise ValueError("text is read anyway")
-    return plain.mapInArrow(lambda it: _predict(it, languages, packed), f"{schema}, lang_pred string, score double")
+    return plain.mapInArrow(lambda it: _predict(it, languages, packed, kept), f"{schema}, lang_pred string, score double")
