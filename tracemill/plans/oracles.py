@@ -128,6 +128,9 @@ select session_id, count(*) filter (t in ('view', 'click')) as n_turns, arg_max(
   count(*) filter (t not in ('view', 'click', 'signup', 'purchase')) as n_reports, max(greatest(turns - 1, 0)) filter (t not in ('view', 'click', 'signup', 'purchase')) as last_turn_index, {0} as ended
 from since group by 1"""
 
+#: Addresses by document, without the rule about version words, which no supplied document meets.
+IPS = f"""select doc_id, n::bigint as n from (select doc_id, len(regexp_extract_all(regexp_replace(text, '([^0-9.])', '\\1\\1', 'g'), '(?:^|[^.0-9]){fixed.IPV4}(?:$|[^.0-9])')) as n from documents) where n > 0"""
+
 ORACLES: dict[str, str] = {
     "trajectory_shard_counts": f"select {SHARD.format('id')} as shard, count(*) as n from (select 'record_' || substr(sha256(canon), 1, 12) as id from {CANON}) group by 1",
     "record_ids": f"""select conv_id, n as turn_count, coalesce(dropped, 0) as dropped, 'record_' || substr(sha256(canon), 1, 12) as record_id from {CANON}
@@ -142,7 +145,7 @@ ORACLES: dict[str, str] = {
     "history_rows": f"select 'record_' || substr(sha256(canon), 1, 12) as record_id, 'task_trajectory' as record_type, n as turn_count, {CREATED.format('%Y-%m-%dT%H:%M:%S')} as created_at, '?' as tier, '-' as score from {CANON}",
     "scrub_counts_by_category": "select unnest(['" + "', '".join(fixed.CATEGORIES) + "']) as category, unnest([" + ", ".join(f"sum({c})::bigint" for c in fixed.CATEGORIES) + f"]) as n from {_scrubbed('(select text from documents)', 'text')}",
     "scrub_text_hash": f"select doc_id, sha256(text) as hash from {_scrubbed('(select doc_id, text from documents)', 'doc_id, text')}",
-    "scrub_ips": f"""select doc_id, n::bigint as n from (select doc_id, len(regexp_extract_all(regexp_replace(text, '([^0-9.])', '\\1\\1', 'g'), '(?:^|[^.0-9]){fixed.IPV4}(?:$|[^.0-9])')) as n from documents) where n > 0""",
+    "scrub_ips": IPS,
     "scrub_literals": f"select id, text, {', '.join(fixed.CATEGORIES)} from {_scrubbed(f'(select * from (values {_values(adapters.SCRUB_LITERALS)}) v(id, text))', 'id, text')}",
     "scrub_ip_literals": f"select id, expected as text from (values {_values(adapters.IP_LITERALS)}) v(id, text, expected)",
     "org_domain_flags": f"""select id, domains from (values {_values(tuple((i, e) for i, _, e in adapters.DOMAIN_LITERALS))}) v(id, domains)
@@ -185,6 +188,8 @@ ORACLES: dict[str, str] = {
     "quality_scores": _score(),
     "sessions_batch": SESSIONS.format("false"),
     "sessions_stream": SESSIONS.format("true"),
+    "scrub_summary_rows": "select label, n from (select unnest([" + ", ".join(_s(c.replace("_", " ").title()) for c in fixed.CATEGORIES) + "]) as label, unnest([" + ", ".join(f"sum({c})::bigint" + (f" + (select coalesce(sum(n), 0)::bigint from ({IPS}))" if c == "network" else "") for c in fixed.CATEGORIES) + f"]) as n from {_scrubbed('(select text from documents)', 'text')}) where n > 0",
+    "scrub_marker_counts": f"select marker, count(*) as n from (select unnest(regexp_extract_all(text, '\\[REDACTED_\\w+\\]')) as marker from {_scrubbed('(select text from documents)', 'text')}) group by 1 union all select {_s(fixed.IP_PLACEHOLDER)}, sum(n)::bigint from ({IPS}) having sum(n) > 0",
     "jittered_times": f"select conv_id, strftime(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 60) + to_seconds({JITTER}), '%Y-%m-%d %H:%M:%S') as created_at from {CANON}",
     "scrub_record_logs": f"select distinct conv_id, 'see [REDACTED_PATH]' as user_comment, 'at [REDACTED_IP]' as description, 1::bigint as file_paths, 1::bigint as network, 0::bigint as flagged from {TURNS}",
 } | {f"consent_strip_{level}": _consent(level) for level in fixed.CONSENT_LEVELS}
