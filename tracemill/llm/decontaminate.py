@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import counting
 from . import textarrays as ta
 from .html_text import common
+from .shared import short_batches
 
 #: Cells of words, latent dimensions, words of a window and between windows' starts, passages handled in one scan.
 CELLS, RANK, WINDOW, STEP, PASSAGES = 1 << 17, 256, 32, 16, 8192
@@ -229,6 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> D
     Item texts are broadcast, PASSAGES items at a time, each with a scan of the documents of its own.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("answer"))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, score double, cosine double, first_word long, last_word long"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import held_out
+from .shared import held_out, short_batches
 
 #: Bytes of a piece; hidden units for each direction; documents the network learns from, in all and for one language.
 PIECE, HIDDEN, SAMPLE, SAMPLE_LANG = 16, 16, 2000, 400
@@ -240,6 +240,7 @@ def identify(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     has a language to learn from. lang is read in training only. Rows are independent, so repeated rows and missing
     ids are harmless. An empty table gives no rows.
     """
+    short_batches(docs.sparkSession)
     model = train(docs)
     plain = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
     kept = ["doc_id", "held_out", *carry]

@@ -30,6 +30,7 @@ class Scratch:
     """Intermediate results as Parquet in the shared folder: they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession):
+        short_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/tracemill-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +48,18 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of text in an Arrow batch. Texts are long: Spark's own 10,000 rows would be tens of megabytes on both sides of each task.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model learns from; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

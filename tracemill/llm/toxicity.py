@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import held_out
+from .shared import held_out, short_batches
 
 CELLS = 1 << 20
 #: Labelled documents it learns from, for each label.
@@ -119,6 +119,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     documents, teach nothing; a document labelled twice counts twice. Without any label all scores are 0.5. Rows are
     independent, so repeated rows and missing ids are harmless. An empty table gives no rows.
     """
+    short_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     plain = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = dict(plain.dtypes)["doc_id"]
