@@ -22,7 +22,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         point = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "point")
         for _ in range(2):
             far = point.select(F.col("node").alias("to"), F.col("to").alias("far")).where("to <> far")
-            point = scratch.save(point.join(far, "to", "left").select("node", F.coalesce("far", "to").alias("to")), "jump")
+            point = point.join(far, "to", "left").select("node", F.coalesce("far", "to").alias("to"))
+        point = scratch.save(point, "jump")
         maps.append(point)
         ends = [point.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab"]
         live = scratch.save(
