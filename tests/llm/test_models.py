@@ -204,3 +204,42 @@ def test_leaks_of_odd_rows(make_docs, spark):
     assert got == {(4, 2), (5, 2), (None, 2), (3, None), (6, 3), (8, 4)}
     assert decontaminate.leaks(make_docs([]), items).count() == 0
     assert decontaminate.leaks(make_docs(ODD), items.where("false")).count() == 0
+
+
+def many_items(n=2000, seed=11):
+    r = np.random.default_rng(seed)
+    words = np.array([f"t{i}" for i in range(3000)])
+    p = 1 / np.arange(1, 3001)
+    text = lambda n: words[r.choice(3000, n, p=p / p.sum())].tolist()
+    items = [text(int(r.integers(16, 60))) for _ in range(n)]
+    docs, want = [], set()
+    for i in range(0, n, 4):
+        w = text(120)
+        w[50:50] = items[i]
+        docs.append((i, " ".join(w)))
+        want.add((i, i))
+    return docs, [(k, " ".join(x)) for k, x in enumerate(items)], want
+
+
+def test_a_benchmark_of_many_more_passages_than_dimensions_loses_no_verbatim_leak(spark):
+    docs, items, want = many_items()
+    assert len(items) > 4 * decontaminate.RANK
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r for r in found}
+    assert len(want & got.keys()) >= 0.99 * len(want)
+    assert len(got.keys() - want) <= len(want) // 50
+
+
+def test_passages_that_keep_too_little_are_looked_up_by_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "RANK", 4)
+    r = np.random.default_rng(12)
+    text = lambda n: [f"t{i}" for i in r.integers(0, 900, n)]
+    items = [text(1500), text(1200)]  # many passages of one item: more than the dimensions of its group
+    docs = []
+    for i, x in enumerate(items):
+        own = list(x)
+        for k in range(3, len(own), 8):
+            own[k] = "changed"
+        docs += [(2 * i, " ".join(text(200) + x + text(100))), (2 * i + 1, " ".join(text(50) + own + text(300)))]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (1, 0), (2, 1), (3, 1)}

@@ -1,12 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval, then sequence and answer checks.
 
-Benchmark texts are cut into passages of up to WINDOW words. Their TF-IDF vectors, with document frequencies over all
-documents, get a randomised SVD: tasks multiply their passages by random signs, and once more by an orthonormal basis,
-and only sums by word cell reach the driver. Windows of every document are compared with all passages by cosine in the
-latent space. A window whose weight lies mostly in words of no passage can't reach the least cosine, whatever its
+Benchmark texts are cut into passages of up to WINDOW words, dealt into groups of about three quarters of RANK passages.
+The TF-IDF vectors of a group, with document frequencies over all documents, get a randomised SVD: tasks multiply their
+passages by random signs, and once more by an orthonormal basis, and only sums by word cell reach the driver. Windows of
+every document are compared with all passages by cosine in the latent space of each group. A window whose weight lies mostly in words of no passage can't reach the least cosine, whatever its
 latent vector; such windows are left out by that bound. What is found is a candidate; it counts as a leak if the
 passage's words stand there in order, all but a few, by longest common subsequence, and if the answer, where a
 benchmark has answers and the words were changed, stands there too.
+
+A group with more passages than RANK (a long item is never divided) can leave a passage too little of its length in the
+latent space. Items with such a passage are looked up by their rarest words as well: so many of them that a place which
+holds the share ORDER of an item in order can't miss all but a few.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from . import textarrays as ta
 from .html_text import common
 from .shared import short_batches
 
-#: Cells of words, latent dimensions, words of a window and between windows' starts, passages handled in one scan.
-CELLS, RANK, WINDOW, STEP, PASSAGES = 1 << 17, 256, 32, 16, 8192
+#: Cells of words, latent dimensions, words of a window and between windows' starts, items handled in one scan.
+CELLS, RANK, WINDOW, STEP, PASSAGES = 1 << 17, 256, 32, 16, 2048
+#: Passages of a group against RANK; least share of a passage's squared length in the latent space; rare words that must meet near each other; hits handled at once.
+FILL, KEPT, MEET, HITS = 0.75, 0.95, 3, 1 << 21
 #: Least cosine of a candidate; share of an item's words that must stand in order; share from which no answer is asked for; length of the place against the item; shorter items must stand unchanged.
 COSINE, ORDER, VERBATIM, STRETCH, SHORT = 0.3, 0.7, 0.9, 1.6, 8
 #: Taken off inverse frequencies: words in over a share exp(-COMMON) of the documents hardly count.
@@ -45,10 +51,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(list(counting.parts(df)), names=["part", "counts"])
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log((documents + 1) / (documents with a word of the cell + 1)) less COMMON, at least a little, over all documents."""
+def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """log((documents + 1) / (documents with a word of the cell + 1)) less COMMON, at least a little, over all documents; and documents by cell."""
     df = counting.total(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies, "part int, counts binary"), CELLS)
-    return np.maximum(0.05, np.log((docs.count() + 1.0) / (df + 1.0)) - COMMON)
+    return np.maximum(0.05, np.log((docs.count() + 1.0) / (df + 1.0)) - COMMON), df
 
 
 def passages(items: list[tuple[int, str, str | None]]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -74,22 +80,24 @@ def _signs(at: np.ndarray, rank: int) -> np.ndarray:
 
 
 def _multiply(batches: Iterator[pa.RecordBatch], idf, basis, rank: int) -> Iterator[pa.RecordBatch]:
-    """Passages' part of A' A B, by cell; B: random signs, or basis (cells, matrix)."""
+    """Passages' part of A' A B, by group and cell, as group * CELLS + cell; B: random signs, or for each group a basis (cells, matrix)."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         items = list(zip(ta.column(batch, "item_id").to_pylist(), ta.column(batch, "text").to_pylist(), [None] * batch.num_rows, strict=True))
-        for own in passages(items)[0]:
+        groups = ta.column(batch, "group").to_pylist()
+        for own, i in zip(*passages(items), strict=True):
             at, count = np.unique(own, return_counts=True)
             a = count * idf.value[at]
             a = (a / max(1e-12, float(np.sqrt((a * a).sum())))).astype(np.float32)
-            b = _signs(at, rank) if basis is None else basis.value[1][np.searchsorted(basis.value[0], at)]
+            g = groups[i]
+            b = _signs(at, rank) if basis is None else basis.value[g][1][np.searchsorted(basis.value[g][0], at)]
             y = a @ b
-            for c, x in zip(at.tolist(), a, strict=True):
+            for c, x in zip((at + g * CELLS).tolist(), a, strict=True):
                 sums[c] = sums[c] + x * y if c in sums else x * y
     if sums:
-        at = np.array(sorted(sums))
-        flat = np.stack([sums[c] for c in at.tolist()]).astype(np.float32)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["cell", "row"])
+        at = sorted(sums)
+        for some in (at[i : i + 1000] for i in range(0, len(at), 1000)):
+            yield pa.record_batch([pa.array(some, pa.int64()), pa.array([sums[c].astype(np.float32).tobytes() for c in some], pa.binary())], names=["cell", "row"])
 
 
 def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,81 +109,161 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row = row + x
                 continue
             if cell is not None:
-                yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=["cell", "row"])
+                yield pa.record_batch([pa.array([cell], pa.int64()), pa.array([row.tobytes()], pa.binary())], names=["cell", "row"])
             cell, row = c, x
     if cell is not None:
-        yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=["cell", "row"])
+        yield pa.record_batch([pa.array([cell], pa.int64()), pa.array([row.tobytes()], pa.binary())], names=["cell", "row"])
 
 
-def latent_basis(benchmark: DataFrame, idf) -> tuple[np.ndarray, np.ndarray]:
-    """Cells in order and an orthonormal basis of the passages' leading right singular vectors on them: at most PASSAGES * WINDOW * 2 cells."""
-    spark, basis = benchmark.sparkSession, None
+def latent_bases(benchmark: DataFrame, idf, n_groups: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each group, cells in order and an orthonormal basis of its passages' leading right singular vectors on them: at most PASSAGES * WINDOW * 2 cells in all."""
+    spark, bases = benchmark.sparkSession, None
     for _ in range(2):
-        use = basis  # bound now: the tasks run below
-        rows = benchmark.mapInArrow(lambda it: _multiply(it, idf, use, RANK), "cell int, row binary")  # noqa: B023
-        found = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_sum_rows, "cell int, row binary").toArrow()
-        at = found.column("cell").to_numpy()
+        use = bases  # bound now: the tasks run below
+        rows = benchmark.mapInArrow(lambda it: _multiply(it, idf, use, RANK), "cell long, row binary")  # noqa: B023
+        found = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_sum_rows, "cell long, row binary").toArrow()
+        at, flat = found.column("cell").to_numpy(), found.column("row").to_pylist()
         order = np.argsort(at)
-        z = np.frombuffer(b"".join(found.column("row").to_pylist()), dtype=np.float32).reshape(len(at), -1)[order] if len(at) else np.zeros((0, RANK), np.float32)
-        u, s, _ = np.linalg.svd(z.astype(np.float64), full_matrices=False)
-        u = u[:, s > 1e-6 * max(1e-12, s.max(initial=0.0))].astype(np.float32)
-        basis = spark.sparkContext.broadcast((at[order], u))
-    return basis.value
+        made = []
+        for g in range(n_groups):
+            own = order[np.searchsorted(at[order], g * CELLS) : np.searchsorted(at[order], (g + 1) * CELLS)]
+            z = np.frombuffer(b"".join(flat[i] for i in own), dtype=np.float32).reshape(len(own), -1) if len(own) else np.zeros((0, RANK), np.float32)
+            u, s, _ = np.linalg.svd(z.astype(np.float64), full_matrices=False)
+            made.append((at[own] - g * CELLS, u[:, s > 1e-6 * max(1e-12, s.max(initial=0.0))].astype(np.float32)))
+        bases = spark.sparkContext.broadcast(made)
+    return bases.value
+
+
+def _lookup(words: list[np.ndarray], items: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes in order; for each posting the number of its hash; its item; for each item, how many of its words must meet).
+
+    A place with the share ORDER of an item's n words in order lacks at most n - ceil(ORDER n) of them; of so many and
+    MEET more, the rarest, it holds MEET or more.
+    """
+    meet, hashes, of = np.ones(len(words), dtype=np.int64), [], []
+    for i in items:
+        n = len(words[i])
+        lacking = n - int(np.ceil(ORDER * n - 1e-9))
+        meet[i] = max(1, min(MEET, n - lacking))
+        rarest = np.argsort(df[(words[i] & _U(CELLS - 1)).astype(np.int64)], kind="stable")[: lacking + meet[i]]
+        own = np.unique(words[i][rarest])
+        hashes.append(own)
+        of.append(np.full(len(own), i))
+    if not hashes:
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), meet
+    keys, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    return keys, number, np.concatenate(of), meet
+
+
+def _hits(keys: np.ndarray, number: np.ndarray, w: ta.Words, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of words by key, one key after the other; and for each posting the first of its key's places, and how many there are."""
+    known = np.zeros(CELLS, dtype=bool)
+    known[(keys & _U(CELLS - 1)).astype(np.int64)] = True
+    at = np.flatnonzero(known[c])
+    key = np.minimum(np.searchsorted(keys, w.hash[at]), len(keys) - 1)
+    right = keys[key] == w.hash[at]
+    at, key = at[right], key[right]
+    order = np.argsort(key, kind="stable")
+    n = np.bincount(key, minlength=len(keys))
+    return at[order], (np.cumsum(n) - n)[number], n[number]
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers first[i] to first[i] + n[i] - 1, and their i."""
+    i = np.repeat(np.arange(len(n)), n)
+    return first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n), i
+
+
+def _meetings(lookup: tuple, lengths: np.ndarray, w: ta.Words, c: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first, last) of places where as many of an item's rare words as must meet stand within its stretch."""
+    keys, number, of, meet = lookup
+    if not len(keys):
+        return
+    places, first, n = _hits(keys, number, w, c)
+    # runs of whole items with about HITS hits; the postings stand in order of their items
+    last = np.searchsorted(of, of, side="right") - 1
+    batch = np.cumsum(n)[last] // HITS
+    for b in np.unique(batch[n > 0]):
+        own = np.flatnonzero((batch == b) & (n > 0))
+        at, i = _spread(first[own], n[own])
+        at, item = places[at], of[own][i]
+        order = np.lexsort((at, item))
+        at, item = at[order], item[order]
+        other = np.arange(len(at)) + meet[item] - 1
+        ok = other < len(at)
+        other = np.minimum(other, len(at) - 1)
+        wide = (STRETCH * lengths[item]).astype(np.int64)
+        ok &= (item[other] == item) & (row[at[other]] == row[at]) & (at[other] - at <= wide)
+        before = (-1, -1, 0)
+        for k in np.flatnonzero(ok).tolist():
+            t, j, p = int(row[at[k]]), int(item[k]), int(at[k])
+            half = int(lengths[j]) // 2
+            if before[:2] == (t, j) and p < before[2] + half:
+                continue  # the stretch compared before reaches half an item further than it must
+            before, more = (t, j, p), int(wide[k]) - int(lengths[j])
+            yield t, j, p - more, int(at[other[k]]) + 1 + more + half
 
 
 def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """(doc_id, item_id, score, cosine, first_word, last_word) of all leaks of each text."""
-    idf, used, basis, latent, of, names, words, answers = model.value
+    idf, groups, names, words, answers, lookup = model.value
     kinds = [np.unique(x, return_counts=True) for x in words]
-    row_of = np.full(CELLS, -1, dtype=np.int32)
-    row_of[used] = np.arange(len(used))
-    weighted = (basis * idf[used][:, None]).astype(np.float32)
+    lengths = np.array([len(x) for x in words])
+    spaces = []
+    for used, basis, latent, of in groups:
+        row_of = np.full(CELLS, -1, dtype=np.int32)
+        row_of[used] = np.arange(len(used))
+        spaces.append((row_of, (basis * idf[used][:, None]).astype(np.float32), latent, of))
     square = (idf * idf).astype(np.float64)
     for run in ta.runs(batches):
         w = ta.tokens(ta.column(run, "text"))
         if not len(w.hash):
             continue
         c = cells(w)
-        known = row_of[c]
         mass = np.concatenate([[0.0], np.cumsum(square[c])])
-        inside = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, square[c], 0.0))])
         # blocks of STEP words of a text, the last shorter; a window is a block and the next of its text
         n = -(-w.counts // STEP)
         text = np.repeat(np.arange(len(n)), n)
         begin = w.first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STEP
         end = np.minimum(begin + WINDOW, w.first[text + 1])
         norm2 = mass[end] - mass[begin]
-        keep = np.flatnonzero((inside[end] - inside[begin] >= COSINE * COSINE * norm2) & (norm2 > 0))
         found: dict[tuple[int, int], tuple] = {}
-        for some in np.array_split(keep, max(1, len(keep) // 1024)):
-            if not len(some):
-                continue
-            blocks = np.union1d(some, some + 1)
-            blocks = blocks[blocks < len(begin)]
-            size = np.minimum(begin[blocks] + STEP, w.first[text[blocks] + 1]) - begin[blocks]
-            at = known[np.repeat(begin[blocks], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))]
-            block = np.repeat(np.arange(len(blocks)), size)
-            hit = at >= 0
-            at, block = at[hit], block[hit]
-            sums = np.zeros((len(blocks) + 1, weighted.shape[1]), dtype=np.float32)
-            starts = np.flatnonzero(np.diff(block, prepend=-1))
-            if len(starts):
-                sums[block[starts]] = np.add.reduceat(weighted[at], starts, axis=0)
-            here = np.searchsorted(blocks, some)
-            more = (some + 1 < len(begin)) & (text[np.minimum(some + 1, len(begin) - 1)] == text[some])
-            cosine = (sums[here] + sums[np.where(more, here + 1, len(blocks))]) @ latent.T / np.sqrt(norm2[some])[:, None].astype(np.float32)
-            for i, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                key = (int(text[some[i]]), int(of[p]))
-                _check(found, key, int(begin[some[i]]), int(end[some[i]]), float(cosine[i, p]), w, words[key[1]], kinds[key[1]], answers[key[1]])
+        for row_of, weighted, latent, of in spaces:
+            known = row_of[c]
+            inside = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, square[c], 0.0))])
+            keep = np.flatnonzero((inside[end] - inside[begin] >= COSINE * COSINE * norm2) & (norm2 > 0))
+            for some in np.array_split(keep, max(1, len(keep) // 1024)):
+                if not len(some):
+                    continue
+                blocks = np.union1d(some, some + 1)
+                blocks = blocks[blocks < len(begin)]
+                size = np.minimum(begin[blocks] + STEP, w.first[text[blocks] + 1]) - begin[blocks]
+                at = known[np.repeat(begin[blocks], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))]
+                block = np.repeat(np.arange(len(blocks)), size)
+                hit = at >= 0
+                at, block = at[hit], block[hit]
+                sums = np.zeros((len(blocks) + 1, weighted.shape[1]), dtype=np.float32)
+                starts = np.flatnonzero(np.diff(block, prepend=-1))
+                if len(starts):
+                    sums[block[starts]] = np.add.reduceat(weighted[at], starts, axis=0)
+                here = np.searchsorted(blocks, some)
+                more = (some + 1 < len(begin)) & (text[np.minimum(some + 1, len(begin) - 1)] == text[some])
+                cosine = (sums[here] + sums[np.where(more, here + 1, len(blocks))]) @ latent.T / np.sqrt(norm2[some])[:, None].astype(np.float32)
+                for i, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                    key = (int(text[some[i]]), int(of[p]))
+                    _check(found, key, int(begin[some[i]]), int(end[some[i]]), float(cosine[i, p]), w, words[key[1]], kinds[key[1]], answers[key[1]])
+        for t, i, lo, hi in _meetings(lookup, lengths, w, c, w.row):
+            _check(found, (t, i), lo, hi, None, w, words[i], kinds[i], answers[i])
         if found:
-            t, i, score, cosine, first, last = map(np.array, zip(*((*k, *x) for k, x in sorted(found.items())), strict=True))
+            t, i, score, cosine, first, last = zip(*((*k, *x) for k, x in sorted(found.items())), strict=True)
+            t, first, last = np.array(t), np.array(first), np.array(last)
             ids = ta.column(run, "doc_id").take(pa.array(t))
-            yield pa.record_batch([ids, pa.array([names[k] for k in i], pa.int64()), pa.array(score), pa.array(cosine), pa.array(first - w.first[t]), pa.array(last - w.first[t])], names=["doc_id", "item_id", "score", "cosine", "first_word", "last_word"])
+            yield pa.record_batch([ids, pa.array([names[k] for k in i], pa.int64()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64()), pa.array(first - w.first[t]), pa.array(last - w.first[t])], names=["doc_id", "item_id", "score", "cosine", "first_word", "last_word"])
 
 
-def _check(found: dict, key: tuple[int, int], begin: int, end: int, cosine: float, w: ta.Words, item: np.ndarray, item_words: tuple, answer: np.ndarray) -> None:
+def _check(found: dict, key: tuple[int, int], begin: int, end: int, cosine: float | None, w: ta.Words, item: np.ndarray, item_words: tuple, answer: np.ndarray) -> None:
     """Compares an item with the words around a candidate window; found keeps (score, cosine, first, last) of the best place."""
-    best = found.get(key, (0.0, 0.0, 0, 0))
+    best = found.get(key, (0.0, None, 0, 0))
     if best[0] == 1.0:
         return
     n = len(item)
@@ -222,7 +310,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> D
     """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> (doc_id, item_id, score, cosine, first_word, last_word).
 
     A row for each document and benchmark item that it holds, unchanged or with words changed: score is the share of the
-    item's words found in order, first_word and last_word the place, words numbered from 0. answer names a column of
+    item's words found in order, first_word and last_word the place, words numbered from 0; cosine is null where only the
+    item's rare words led to the place. answer names a column of
     benchmark; where it isn't null or empty, changed items count only with the answer near. Null and empty texts hold
     nothing; items without words are in no document. Rows of one doc_id, or one item_id, give one row with the best
     score. Rows without doc_id are scored too. An empty table on either side gives no rows.
@@ -237,25 +326,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> D
     n_items = items.count()
     if not n_items:
         return spark.createDataFrame([], schema)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
+    weights, df = inverse_frequencies(docs)
+    idf = spark.sparkContext.broadcast(weights)
     out = None
     n_parts = -(-n_items // PASSAGES)
     for k in range(n_parts):
         own = items if n_parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k)
-        used, basis = latent_basis(own, idf)
         rows = own.collect()  # about PASSAGES
         text_cells, of = passages([(r.item_id, r.text, r.answer) for r in rows])
         if not text_cells:
             continue
-        latent = np.zeros((len(text_cells), basis.shape[1]), dtype=np.float32)
-        for p, at in enumerate(text_cells):
-            at, count = np.unique(at, return_counts=True)
-            a = count * idf.value[at]
-            latent[p] = (a / np.sqrt((a * a).sum())) @ basis[np.searchsorted(used, at)]
+        n_groups = 1 if len(text_cells) <= RANK else -(-len(text_cells) // int(FILL * RANK))
+        before = np.searchsorted(of, np.arange(len(rows)))  # passages of the items before each
+        group_of = before * n_groups // len(text_cells) if n_groups > 1 else np.zeros(len(rows), np.int64)
+        group_of = np.minimum(group_of, n_groups - 1)
+        grouped = spark.createDataFrame([(r.item_id, r.text, int(g)) for r, g in zip(rows, group_of, strict=True)], "item_id long, text string, group int")
+        groups, poor = [], set()
+        for g, (used, basis) in enumerate(latent_bases(grouped, idf, n_groups)):
+            mine = np.flatnonzero(group_of[of] == g)
+            latent = np.zeros((len(mine), basis.shape[1]), dtype=np.float32)
+            for k_own, p in enumerate(mine):
+                at, count = np.unique(text_cells[p], return_counts=True)
+                x = count * weights[at]
+                latent[k_own] = (x / np.sqrt((x * x).sum())) @ basis[np.searchsorted(used, at)]
+            poor.update(of[mine][(latent * latent).sum(axis=1) < KEPT].tolist())
+            groups.append((used, basis, latent, of[mine]))
         w, a = ta.tokens(pa.array([r.text for r in rows], pa.string())), ta.tokens(pa.array([r.answer for r in rows], pa.string()))
         words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(rows))]
         answers = [a.hash[a.first[i] : a.first[i + 1]] for i in range(len(rows))]
-        model = spark.sparkContext.broadcast((idf.value, used, basis, latent, of, [r.item_id for r in rows], words, answers))
+        model = spark.sparkContext.broadcast((weights, groups, [r.item_id for r in rows], words, answers, _lookup(words, np.array(sorted(poor), dtype=np.int64), df)))
         found = docs.mapInArrow(lambda it, m=model: _find(it, m), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
