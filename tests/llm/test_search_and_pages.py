@@ -41,6 +41,25 @@ def test_agrees_with_brute_force(spark, monkeypatch, seed):
     assert sorted(tuple(r) for r in mtree.top_k(df, 10, 10).collect()) == brute(rows, 10, 10)
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_repeated_rows_and_ids_take_no_neighbours_place(spark, monkeypatch, seed):
+    for name, value in (("TREE", 200), ("LEAF", 8), ("FANOUT", 4), ("BLOCK", 7), ("SAMPLE", 300)):
+        monkeypatch.setattr(mtree, name, value)
+    rows = vectors(seed)
+    rows = rows + rows + [(7, v) for _, v in rows[:100]]  # every row twice, and one id with many vectors
+    rows += [(2000 + i % 12, [9.0] * 8) for i in range(400)]  # one vector, each id many times
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], EMB)
+    assert sorted(tuple(r) for r in mtree.top_k(df, 10, 10).collect()) == brute(rows, 10, 10)
+
+
+def test_large_components_are_compared(spark):
+    rows = [(i, [float(i % 7), 2.0**17 * (i % 5), 1.0 + i]) for i in range(300)] + [(300, [2.0**27, 1.0, 2.0]), (301, [-(2.0**14), 0.5, 3.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], EMB)
+    assert sorted(tuple(r) for r in mtree.top_k(df, 10, 100).collect()) == brute(rows, 10, 100)
+    with pytest.raises(Exception, match="fit a long"):
+        mtree.top_k(spark.createDataFrame([(0, [1.0e30], 0), (1, [1.0], 0)], EMB), 10, 100).collect()
+
+
 def test_a_tree_finds_the_best_of_clustered_points():
     r = np.random.default_rng(2)
     points = np.unique(np.round(np.repeat(r.standard_normal((40, 6)) * 3000, 100, axis=0) + r.standard_normal((4000, 6)) * 30).astype(np.int32), axis=0)

@@ -26,8 +26,8 @@ from .shared import Scratch
 
 #: Objects in a tree, in a leaf, entries of an inner node, queries in a block, vectors that give queries a first bound.
 TREE, LEAF, FANOUT, BLOCK, SAMPLE = 8192, 64, 16, 1024, 2048
-#: Scaled components are below this, so that scores fit a long.
-LARGEST = 1 << 27
+#: Scaled components and scores are below this, or there is no result: what doesn't fit a long is an error, as in SQL.
+LARGEST = 1 << 63
 _NEVER = np.iinfo(np.int64).min
 _NO_ID = np.iinfo(np.int64).max
 
@@ -41,11 +41,12 @@ def _integers(batches: Iterator[pa.RecordBatch], scale: float, k: int, every: in
             if vec_id is None or not vector.is_valid or vector.values.null_count:
                 continue
             x = np.floor(vector.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-            if np.isfinite(x).all() and (np.abs(x) < LARGEST).all():
-                out.append((x.astype(np.int32).tobytes(), vec_id, len(x)))
-        out.sort()
+            if np.isfinite(vector.values.to_numpy(zero_copy_only=False)).all():
+                if not (np.abs(x) < LARGEST).all():
+                    raise OverflowError(f"vector {vec_id}: a scaled component doesn't fit a long")
+                out.append((x.astype(np.int64).tobytes(), vec_id, len(x)))
         kept, last, n = [], None, 0
-        for v, vec_id, dim in out:
+        for v, vec_id, dim in sorted(set(out)):
             n = n + 1 if v == last else 0
             last, query = v, vec_id % every == 0
             if n <= k or query:
@@ -54,6 +55,17 @@ def _integers(batches: Iterator[pa.RecordBatch], scale: float, k: int, every: in
             yield pa.record_batch(list(map(pa.array, zip(*kept, strict=True))), schema=pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("name", pa.int64()), ("v", pa.binary()), ("query", pa.bool_()), ("object", pa.bool_())]))
 
 
+def _dot(q: np.ndarray, points: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Inner products of 64-bit integers; an error if one doesn't fit a long, but for those of queries with their own rows."""
+    a, b = q.astype(np.float64), points.astype(np.float64)
+    size = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None]
+    if size.max(initial=0.0) >= 2.0**62:
+        for i, j in zip(*np.nonzero(~own & (np.abs(a @ b.T) + 1e-9 * size >= 2.0**62)), strict=True):
+            if abs(sum(x * y for x, y in zip(q[i].tolist(), points[j].tolist(), strict=True))) >= LARGEST:
+                raise OverflowError("an inner product doesn't fit a long")
+    return q @ points.T  # sums that fit are right even where a part of them wrapped
+
+
 def hash_bytes(v: bytes) -> int:
     x = np.frombuffer(v, dtype=np.uint32).astype(np.uint64)
     return int(ta.signed(ta.mix(np.array([ta.mix(x + np.arange(1, len(x) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)])))[0])
@@ -65,6 +77,7 @@ class Tree:
     def __init__(self, points: np.ndarray, ids: list[np.ndarray]):
         self.count = np.array([len(x) for x in ids])
         self.ids = np.concatenate(ids)
+        self.repeats = len(np.unique(self.ids)) < len(self.ids)  # an id with several vectors
         self.points = points
         y = points.astype(np.float64)
         norm = (y * y).sum(axis=1)
@@ -100,6 +113,7 @@ class Tree:
         q2 = (q * q).sum(axis=1)
         exact = float(np.sqrt(q2.max(initial=0.0) * self.m2)) < 2.0**52
         slack = 1e-9 * (q2 + self.m2) + 0.5
+        margin = 1e-6 + 1e-7 * np.sqrt(q2 + self.m2)
         best_id, best = np.full((len(q), k), _NO_ID), np.full((len(q), k), _NEVER)
         begin = np.concatenate([[0], np.cumsum(self.count)])
 
@@ -123,14 +137,14 @@ class Tree:
             if not len(rows) or not len(at):
                 continue
             # by the stored distances alone; the rounding of distances near 0 is covered by a margin
-            near = np.abs(to_centre[:, None] - stored[None]) - radii[None] <= reach[:, None] + 1e-6 * (1 + to_centre[:, None])
+            near = np.abs(to_centre[:, None] - stored[None]) - radii[None] <= reach[:, None] + margin[rows][:, None] + 1e-6 * to_centre[:, None]
             wanted = near.any(axis=0)
             if not wanted.any():
                 continue
             which = np.flatnonzero(wanted)
             if leaf:
                 objects = at[which]
-                score = (q[rows] @ self.points[objects].T.astype(np.float64)).astype(np.int64) if exact else queries[rows].astype(np.int64) @ self.points[objects].T.astype(np.int64)
+                score = (q[rows] @ self.points[objects].T.astype(np.float64)).astype(np.int64) if exact else _dot(queries[rows], self.points[objects], (self.count[objects] == 1)[None] & (self.ids[begin[objects]][None] == own[rows][:, None]))
                 copies = np.repeat(np.arange(len(objects)), self.count[objects])
                 ids = np.concatenate([self.ids[begin[o] : begin[o + 1]] for o in objects])
                 score = np.where(ids[None] == own[rows][:, None], _NEVER, score[:, copies])
@@ -139,15 +153,21 @@ class Tree:
                 if len(rows):
                     found = np.concatenate([best[rows], score], axis=1)
                     names = np.concatenate([best_id[rows], np.where(score == _NEVER, _NO_ID, np.broadcast_to(ids, score.shape))], axis=1)
+                    if self.repeats:  # an id's best score counts
+                        at_name = np.lexsort((~found, names), axis=1)
+                        sorted_names = np.take_along_axis(names, at_name, 1)
+                        again = np.zeros(names.shape, dtype=bool)
+                        np.put_along_axis(again, at_name[:, 1:], sorted_names[:, 1:] == sorted_names[:, :-1], 1)
+                        found, names = np.where(again, _NEVER, found), np.where(again, _NO_ID, names)
                     order = np.lexsort((names, -found.astype(np.float64)) if exact else (names, ~found), axis=1)[:, :k]
                     best[rows], best_id[rows] = np.take_along_axis(found, order, 1), np.take_along_axis(names, order, 1)
                 continue
             d = distance(rows, at[which])
             for j, i in enumerate(which):
                 lower = np.maximum(0.0, d[:, j] - radii[i])
-                take = near[:, i] & (lower <= reach + 1e-6 * (1 + d[:, j]))
+                take = near[:, i] & (lower <= reach + margin[rows] + 1e-6 * d[:, j])
                 if take.any():
-                    lower = np.maximum(0.0, lower[take] - 1e-6 * (1 + d[take, j]))
+                    lower = np.maximum(0.0, lower[take] - margin[rows[take]] - 1e-6 * d[take, j])
                     heapq.heappush(heap, (float((lower / np.sqrt(q2[rows[take]] + self.m2 + 1)).min()), children[i], rows[take], d[take, j], lower))
         return best_id, best
 
@@ -158,7 +178,7 @@ def _build(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
     def packed() -> pa.RecordBatch:
         v = list(held)
-        points = np.stack([np.frombuffer(x, dtype=np.int32) for x in v])
+        points = np.stack([np.frombuffer(x, dtype=np.int64) for x in v])
         ids = [np.sort(np.unique(held[x]))[: k + 1] for x in v]
         np.savez(to := io.BytesIO(), points=points, ids=np.concatenate(ids), count=[len(x) for x in ids])
         return pa.record_batch([pa.array([tree[0]], pa.int32()), pa.array([tree[1]], pa.int64()), pa.array([to.getvalue()], pa.binary())], names=["dim", "tree", "page"])
@@ -180,11 +200,14 @@ def _pack(batches: Iterator[pa.RecordBatch], k: int, sample) -> Iterator[pa.Reco
 
     def packed() -> pa.RecordBatch:
         ids = np.array([i for i, _ in held])
-        q = np.stack([np.frombuffer(v, dtype=np.int32) for _, v in held])
+        q = np.stack([np.frombuffer(v, dtype=np.int64) for _, v in held])
         floor = np.full(len(ids), _NEVER)
         if block[0] in sample.value:
             names, points = sample.value[block[0]]
-            score = q.astype(np.int64) @ points.astype(np.int64).T
+            order = np.argsort(names, kind="stable")
+            score = _dot(q, points[order], ids[:, None] == names[order][None])
+            names, first = np.unique(names[order], return_index=True)
+            score = np.maximum.reduceat(score, first, axis=1)  # of several rows of one id, the best
             score[ids[:, None] == names[None]] = _NEVER
             if score.shape[1] >= k:
                 floor = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
@@ -222,8 +245,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
 
     Components are floor(scale * x); the score is the integer inner product; a query's own id is no candidate; ties go to
     the smaller vec_id; all candidates are returned where there are fewer than k. Vectors that are null or hold a null,
-    a non-finite or a component of LARGEST or more after scaling take no part, nor do rows without vec_id. Vectors of
-    different length aren't compared. Repeated rows of one vec_id and vector are one row; with different vectors, the
+    or a non-finite component take no part, nor do rows without vec_id; a scaled component or a score that doesn't fit a
+    long is an error. Vectors of different length aren't compared. Repeated rows of one vec_id and vector are one row; with different vectors, the
     best counts. An empty table gives no rows.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
@@ -238,7 +261,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
     chosen: dict[int, list] = {}
     for r in objects.orderBy(F.xxhash64("name", "vec_id"), "vec_id").limit(SAMPLE).collect():
         chosen.setdefault(r.dim, []).append((r.vec_id, r.v))
-    sample = spark.sparkContext.broadcast({d: (np.array([i for i, _ in x]), np.stack([np.frombuffer(v, dtype=np.int32) for _, v in x])) for d, x in chosen.items()})
+    sample = spark.sparkContext.broadcast({d: (np.array([i for i, _ in x]), np.stack([np.frombuffer(v, dtype=np.int64) for _, v in x])) for d, x in chosen.items()})
     blocks = queries.distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, queries.count() // BLOCK))))
     blocks = blocks.repartition("dim", "block").sortWithinPartitions("dim", "block").mapInArrow(lambda it: _pack(it, k, sample), "dim int, page binary")
     blocks = scratch.save(blocks, "blocks")
