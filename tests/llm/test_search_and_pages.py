@@ -132,6 +132,13 @@ def test_frames_shared_with_the_nearest_page_go(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_a_short_article_in_a_long_shared_frame_loses_the_frame(spark):
+    frame = "".join(f"<div><li>Entry {i}</li></div>" for i in range(10))
+    rows = [(i, f"http://a.org/news/{i}", f"{frame}<article><p>Story number {i}</p></article>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story number {i}" for i in range(3)}
+
+
 def test_longest_common_subsequences():
     r = random.Random(4)
 

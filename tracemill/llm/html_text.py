@@ -3,8 +3,8 @@
 A page is cut into text blocks. Blocks in menus, headers, footers, sidebars, forms, adverts, notices and comments go by
 element, role and name; blocks within an article or main element stay. Of all other blocks a page's own markup says
 nothing: the page is paired with its nearest page by URL path on the same host, both sequences of such lines are
-aligned by longest common subsequence, and the shared lines, the site's frame, are deleted. Two pages that share most
-of their lines are copies, which shows nothing about a frame; then the lines stay.
+aligned by longest common subsequence, and the shared lines, the site's frame, are deleted. A page without article or
+main of which all lines are shared is a copy, which shows nothing about a frame; then the lines stay.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ CONTENT = frozenset(("article", "main"))
 #: Words in class or id, and roles, that name what isn't the article.
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: A page whose pair holds so large a share of its lines is a copy.
-COPY = 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -252,7 +250,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts, lines, others in zip(*(ta.column(batch, c).to_pylist() for c in ("blocks", "lines", "others")), strict=True):
             at = [i for i, x in enumerate(lines) if x]
             gone = {at[i] for i in common([lines[i] for i in at], [x for x in others or [] if x])} if others else set()
-            if len(gone) >= COPY * max(1, len(parts)) and len(gone) == len(at):
+            if len(gone) == len(parts):
                 gone = set()
             texts.append(" ".join(x for i, x in enumerate(parts) if i not in gone))
         yield pa.record_batch([ta.column(batch, "page_id"), ta.column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
