@@ -139,6 +139,18 @@ def test_a_short_article_in_a_long_shared_frame_loses_the_frame(spark):
     assert got == {i: f"Story number {i}" for i in range(3)}
 
 
+def test_lines_that_pages_repeat_within_their_articles_go(spark):
+    story = lambda i: f"<p>{' '.join(f'word{i}x{k}' for k in range(40))}</p>"
+    page = lambda i: f"<main><div class='x1'>The Site</div>{story(i)}<div class='x2'>Tell a friend</div>{story(i + 100)}<div>Written by the desk</div></main>"
+    rows = [(i, f"http://a.org/news/{i}", page(i)) for i in range(4)]
+    rows += [(10 + i, f"http://b.org/copy/{i}", page(7)) for i in range(2)]  # true copies
+    rows += [(20 + i, f"http://c.org/edit/{i}", page(8).replace("word8x3", f"other{i}")) for i in range(2)]  # half of it edited
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    plain = lambda h: " ".join(re.sub("<[^>]*>", " ", h).split())
+    assert {i: got[i] for i in range(4)} == {i: plain(story(i) + story(i + 100)) for i in range(4)}
+    assert all(got[i] == plain(h) for i, _, h in rows if i >= 10)
+
+
 def test_longest_common_subsequences():
     r = random.Random(4)
 

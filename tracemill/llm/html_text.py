@@ -1,10 +1,11 @@
-"""Main text of web pages: page structure, and nearest-URL differencing where structure doesn't decide.
+"""Main text of web pages: nearest-URL differencing, with page structure as evidence.
 
 A page is cut into text blocks. Blocks in menus, headers, footers, sidebars, forms, adverts, notices and comments go by
-element, role and name; blocks within an article or main element stay. Of all other blocks a page's own markup says
-nothing: the page is paired with its nearest page by URL path on the same host, both sequences of such lines are
-aligned by longest common subsequence, and the shared lines, the site's frame, are deleted. A page without article or
-main of which all lines are shared is a copy, which shows nothing about a frame; then the lines stay.
+element, role and name. Each page is paired with its nearest page by URL path on the same host, both sequences of lines
+are aligned by longest common subsequence, and the shared lines, the site's frame, are deleted. Lines within an article
+or main element are text of the article unless differencing has good evidence: they go only where the shared ones hold
+less than COPY of the characters within, for otherwise the pages are copies, in whole or in part. A page without article
+or main of which all lines are shared is a copy too. A copy shows nothing about a frame; then such lines stay.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import Scratch
+from .shared import Scratch, keep_ids
 
 #: Elements whose content is never text of the article.
 DROPPED = frozenset("script style noscript template svg math iframe object nav header footer aside form button select textarea dialog menu head title canvas audio video map".split())
@@ -33,6 +34,8 @@ CONTENT = frozenset(("article", "main"))
 #: Words in class or id, and roles, that name what isn't the article.
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+#: Where a page's pair holds so large a share of the characters within its article or main, the pages are copies.
+COPY = 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -160,19 +163,19 @@ def _host_path(url: str | None) -> tuple[str, str]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in ta.runs(batches, "html"):
-        texts, lines, hosts, paths = [], [], [], []
+        texts, lines, inside, sizes, hosts, paths = [], [], [], [], [], []
         for page, url in zip(ta.column(run, "html").to_pylist(), ta.column(run, "url").to_pylist(), strict=True):
             found = blocks(page or "")
             texts.append([x for x, _ in found])
-            open_ = [x for x, inside in found if not inside]
-            marks = iter(ta.signed(ta.words(pa.array(open_, pa.string()), separator=np.zeros(256, bool)).hash) if open_ else [])
-            lines.append([0 if inside else int(next(marks)) or 1 for _, inside in found])
+            lines.append(ta.signed(ta.words(pa.array(texts[-1], pa.string()), separator=np.zeros(256, bool)).hash).tolist() if found else [])
+            inside.append([x for _, x in found])
+            sizes.append([len(x) for x, _ in found])
             host, path = _host_path(url)
             hosts.append(host)
             paths.append(path)
         yield pa.record_batch(
-            [ta.column(run, "page_id"), ta.column(run, "url"), pa.array(texts, pa.list_(pa.string())), pa.array(lines, pa.list_(pa.int64())), pa.array(hosts, pa.string()), pa.array(paths, pa.string())],
-            names=["page_id", "url", "blocks", "lines", "host", "path"],
+            [ta.column(run, "page_id"), ta.column(run, "url"), *(pa.array(x, pa.list_(t)) for x, t in ((texts, pa.string()), (lines, pa.int64()), (inside, pa.bool_()), (sizes, pa.int32()))), pa.array(hosts, pa.string()), pa.array(paths, pa.string())],
+            names=["page_id", "url", "blocks", "lines", "inside", "sizes", "host", "path"],
         )
 
 
@@ -245,15 +248,18 @@ def nearest(keys: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, page, gone): numbers of the blocks that go, of pages where some do."""
     for batch in batches:
-        texts = []
-        for parts, lines, others in zip(*(ta.column(batch, c).to_pylist() for c in ("blocks", "lines", "others")), strict=True):
-            at = [i for i, x in enumerate(lines) if x]
-            gone = {at[i] for i in common([lines[i] for i in at], [x for x in others or [] if x])} if others else set()
-            if len(gone) == len(parts):
-                gone = set()
-            texts.append(" ".join(x for i, x in enumerate(parts) if i not in gone))
-        yield pa.record_batch([ta.column(batch, "page_id"), ta.column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        out = []
+        for page_id, page, lines, inside, sizes, others in zip(*(ta.column(batch, c).to_pylist() for c in ("page_id", "page", "lines", "inside", "sizes", "others")), strict=True):
+            gone = common(lines, others)
+            within = [i for i, x in enumerate(inside) if x]
+            if sum(sizes[i] for i in within if i in gone) >= COPY * sum(sizes[i] for i in within):
+                gone -= set(within)
+            if len(gone) < len(lines) and gone:
+                out.append((page_id, page, sorted(gone)))
+        if out:
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["page_id", "page", "gone"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -265,12 +271,18 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     scratch = Scratch(pages.sparkSession)
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = scratch.save(plain.mapInArrow(_parse, "page_id long, url string, blocks array<string>, lines array<long>, host string, path string"), "parsed")
-    undecided = F.exists("lines", lambda x: x != 0)
-    decided = parsed.where(~undecided).select("page_id", "url", F.array_join("blocks", " ").alias("text"))
-    decided = decided.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    parsed = scratch.save(plain.mapInArrow(_parse, "page_id long, url string, blocks array<string>, lines array<long>, inside array<boolean>, sizes array<int>, host string, path string"), "parsed")
+    parsed = parsed.withColumn("page", F.xxhash64("lines", "inside"))
     mates = nearest(parsed.where("page_id is not null").select("host", "path", "page_id"), scratch).groupBy("page_id").agg(F.min("mate").alias("mate"))
-    others = parsed.where(undecided).groupBy(F.col("page_id").alias("mate")).agg(F.min("lines").alias("others"))
-    open_ = parsed.where(undecided).join(mates, "page_id", "left").join(others, "mate", "left")
-    open_ = open_.select("page_id", "url", "blocks", "lines", "others").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
-    return decided.unionByName(open_)
+    # only the lines' hashes move here; texts move only where lines go
+    lined = parsed.where("page_id is not null and size(lines) > 0").select("page_id", "page", "lines", "inside", "sizes")
+    others = lined.groupBy(F.col("page_id").alias("mate")).agg(F.min("lines").alias("others"))
+    gone = lined.join(mates, "page_id").join(others, "mate").select("page_id", "page", "lines", "inside", "sizes", "others")
+    gone = gone.mapInArrow(_difference, "page_id long, page long, gone array<int>").groupBy("page_id", "page").agg(F.min("gone").alias("gone"))
+    gone = scratch.save(gone, "gone")
+    plain = parsed.select("page_id", "url", "blocks", "page")
+    ids = gone.select("page_id")
+    moved = keep_ids(plain, ids, "page_id").join(gone, ["page_id", "page"], "left")
+    left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda _, i: ~F.array_contains("gone", i)))
+    text = moved.select("page_id", "url", F.array_join(left, " ").alias("text")).unionByName(keep_ids(plain, ids, "page_id", others=True).select("page_id", "url", F.array_join("blocks", " ").alias("text")))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

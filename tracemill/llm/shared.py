@@ -73,11 +73,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 FILTER_BITS = 1 << 22
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", others: bool = False) -> DataFrame:
     """docs without most rows whose key isn't in ids, so that a join with ids moves few other texts.
 
     A bit for each hash of an id, aggregated by the executors; only the fixed number of bits is broadcast. Rows may
-    stay wrongly (all do when the bits are full), none goes wrongly; the join that follows decides.
+    stay wrongly (all do when the bits are full), none goes wrongly; the join that follows decides. others: the rows
+    that go, in place of those that stay, and rows without key.
     """
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)).cast("int")
     bits = ids.select(slot(key).alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1, s & 31)")).alias("bits")).toArrow()
@@ -89,8 +90,10 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             at = batch.column(batch.num_columns - 1).to_numpy()
             hit = (packed.value[at >> 5] >> (at & 31).astype(np.int32)) & 1
-            if hit.any():
-                yield batch.filter(pa.array(hit == 1)).select(range(batch.num_columns - 1))
+            take = hit != others
+            if take.any():
+                yield batch.filter(pa.array(take)).select(range(batch.num_columns - 1))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.where(F.col(key).isNotNull()).withColumn("_slot", slot(key)).mapInArrow(keep, schema)
+    kept = docs.where(F.col(key).isNotNull()).withColumn("_slot", slot(key)).mapInArrow(keep, schema)
+    return kept.unionByName(docs.where(F.col(key).isNull())) if others else kept
