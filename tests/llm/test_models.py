@@ -230,6 +230,26 @@ def test_a_benchmark_of_many_more_passages_than_dimensions_loses_no_verbatim_lea
     assert len(got.keys() - want) <= len(want) // 50
 
 
+@pytest.mark.parametrize("n", [2, 4, 7, 8, 10, 15, 24])
+def test_short_items_among_rare_words_are_found(spark, n):
+    r = np.random.default_rng(n)
+    common, item = [f"c{i}" for i in range(40)], [f"c{i}" for i in r.integers(0, 40, n)]
+    docs = []
+    for i in range(200):  # words of one text only around the item, common words in most texts
+        w = [f"own{i}x{k}" for k in range(60)] + [common[k] for k in r.integers(0, 40, 30)]
+        r.shuffle(w)
+        if i % 4 == 0:
+            w[30:30] = item
+        docs.append((i, " ".join(w)))
+    changed = [*item[: n // 2], "else", *item[n // 2 + 1 :]]
+    docs.append((999, " ".join(f"z{k}" for k in range(40)) + " " + " ".join(changed) + " " + " ".join(f"y{k}" for k in range(40))))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    got, text = {r.doc_id for r in found}, " ".join(item)
+    want = {i for i, t in docs if f" {text} " in f" {t} "}
+    assert want <= got and (n < decontaminate.SHORT) == (999 not in got)
+    assert all(r.score < 1.0 for r in found if r.doc_id not in want)
+
+
 def test_passages_that_keep_too_little_are_looked_up_by_rare_words(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "RANK", 4)
     r = np.random.default_rng(12)

@@ -9,8 +9,10 @@ passage's words stand there in order, all but a few, by longest common subsequen
 benchmark has answers and the words were changed, stands there too.
 
 A group with more passages than RANK (a long item is never divided) can leave a passage too little of its length in the
-latent space. Items with such a passage are looked up by their rarest words as well: so many of them that a place which
-holds the share ORDER of an item in order can't miss all but a few.
+latent space, and an item shorter than a window is diluted by what stands around it. Such items are looked up by their
+rarest words as well: so many of them that a place which holds the share ORDER of an item in order can't miss all but a
+few. Whatever its length or words, an item that stands unchanged in a text is found by its rarest word and a comparison
+of all others.
 """
 
 from __future__ import annotations
@@ -143,6 +145,8 @@ def _lookup(words: list[np.ndarray], items: np.ndarray, df: np.ndarray) -> tuple
     meet, hashes, of = np.ones(len(words), dtype=np.int64), [], []
     for i in items:
         n = len(words[i])
+        if n < SHORT:
+            continue  # must stand unchanged
         lacking = n - int(np.ceil(ORDER * n - 1e-9))
         meet[i] = max(1, min(MEET, n - lacking))
         rarest = np.argsort(df[(words[i] & _U(CELLS - 1)).astype(np.int64)], kind="stable")[: lacking + meet[i]]
@@ -174,6 +178,41 @@ def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n), i
 
 
+def _rarest(words: list[np.ndarray], df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes in order; for each item with words the number of its rarest word's hash; the item; the word's place in it)."""
+    of = np.array([i for i, x in enumerate(words) if len(x)], dtype=np.int64)
+    place = np.array([int(df[(words[i] & _U(CELLS - 1)).astype(np.int64)].argmin()) for i in of], dtype=np.int64)
+    keys, number = np.unique(np.array([words[i][k] for i, k in zip(of, place, strict=True)], dtype=_U), return_inverse=True)
+    return keys, number, of, place
+
+
+def _unchanged(rarest: tuple, words: list[np.ndarray], lengths: np.ndarray, w: ta.Words, c: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, item, first) of the first place where an item stands unchanged in a text, by item."""
+    keys, number, of, place = rarest
+    if not len(keys):
+        return
+    flat, start = np.concatenate(words), np.cumsum(lengths) - lengths
+    places, first, n = _hits(keys, number, w, c)
+    batch = np.cumsum(n) // HITS
+    for b in np.unique(batch[n > 0]):
+        own = np.flatnonzero((batch == b) & (n > 0))
+        at, i = _spread(first[own], n[own])
+        text, item, s = row[places[at]], of[own][i], places[at] - place[own][i]
+        fits = (s >= w.first[text]) & (s + lengths[item] <= w.first[text + 1])
+        text, item, s, k = text[fits], item[fits], s[fits], 0
+        while len(s):
+            whole = lengths[item] == k
+            if whole.any():
+                t, j, f = text[whole], item[whole], s[whole]
+                order = np.lexsort((f, t, j))
+                t, j, f = t[order], j[order], f[order]
+                new = (np.diff(t, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0)
+                yield from zip(t[new].tolist(), j[new].tolist(), f[new].tolist(), strict=True)
+                text, item, s = text[~whole], item[~whole], s[~whole]
+            same = w.hash[s + k] == flat[start[item] + k]
+            text, item, s, k = text[same], item[same], s[same], k + 1
+
+
 def _meetings(lookup: tuple, lengths: np.ndarray, w: ta.Words, c: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, first, last) of places where as many of an item's rare words as must meet stand within its stretch."""
     keys, number, of, meet = lookup
@@ -206,7 +245,7 @@ def _meetings(lookup: tuple, lengths: np.ndarray, w: ta.Words, c: np.ndarray, ro
 
 def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """(doc_id, item_id, score, cosine, first_word, last_word) of all leaks of each text."""
-    idf, groups, names, words, answers, lookup = model.value
+    idf, groups, names, words, answers, lookup, rarest = model.value
     kinds = [np.unique(x, return_counts=True) for x in words]
     lengths = np.array([len(x) for x in words])
     spaces = []
@@ -252,7 +291,12 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
                 for i, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
                     key = (int(text[some[i]]), int(of[p]))
                     _check(found, key, int(begin[some[i]]), int(end[some[i]]), float(cosine[i, p]), w, words[key[1]], kinds[key[1]], answers[key[1]])
-        for t, i, lo, hi in _meetings(lookup, lengths, w, c, w.row):
+        row = w.row
+        for t, i, at in _unchanged(rarest, words, lengths, w, c, row):
+            best = found.get((t, i), (0.0, None))
+            if best[0] < 1.0:
+                found[t, i] = (1.0, best[1], at, at + len(words[i]) - 1)
+        for t, i, lo, hi in _meetings(lookup, lengths, w, c, row):
             _check(found, (t, i), lo, hi, None, w, words[i], kinds[i], answers[i])
         if found:
             t, i, score, cosine, first, last = zip(*((*k, *x) for k, x in sorted(found.items())), strict=True)
@@ -310,8 +354,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> D
     """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> (doc_id, item_id, score, cosine, first_word, last_word).
 
     A row for each document and benchmark item that it holds, unchanged or with words changed: score is the share of the
-    item's words found in order, first_word and last_word the place, words numbered from 0; cosine is null where only the
-    item's rare words led to the place. answer names a column of
+    item's words found in order, first_word and last_word the place, words numbered from 0; cosine is null where only
+    the item's rare words led to the place. answer names a column of
     benchmark; where it isn't null or empty, changed items count only with the answer near. Null and empty texts hold
     nothing; items without words are in no document. Rows of one doc_id, or one item_id, give one row with the best
     score. Rows without doc_id are scored too. An empty table on either side gives no rows.
@@ -354,7 +398,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> D
         w, a = ta.tokens(pa.array([r.text for r in rows], pa.string())), ta.tokens(pa.array([r.answer for r in rows], pa.string()))
         words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(rows))]
         answers = [a.hash[a.first[i] : a.first[i + 1]] for i in range(len(rows))]
-        model = spark.sparkContext.broadcast((weights, groups, [r.item_id for r in rows], words, answers, _lookup(words, np.array(sorted(poor), dtype=np.int64), df)))
+        sought = poor | {i for i, x in enumerate(words) if 0 < len(x) < WINDOW}
+        model = spark.sparkContext.broadcast((weights, groups, [r.item_id for r in rows], words, answers, _lookup(words, np.array(sorted(sought), dtype=np.int64), df), _rarest(words, df)))
         found = docs.mapInArrow(lambda it, m=model: _find(it, m), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
