@@ -71,8 +71,8 @@ def sainte_lague(parties: DataFrame, weight: str, seats: str, within: list[str],
     return won.groupBy(*parties.columns).agg((F.min("_low") + F.sum(F.col("_won").cast("long"))).alias(to))
 
 
-def mix(docs: DataFrame, seed: str = "0", block: int = BLOCK, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> (doc_id, size, source_size, target, taken), one row for each row of docs.
+def mix(docs: DataFrame, seed: str = "0", block: int = BLOCK, shard_docs: int = SHARD_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> (doc_id, *carry, size, source_size, target, taken), one row for each row of docs.
 
     size counts the words of the text, 0 for null or empty texts; taken is how many of them the mix takes, repeats
     counted, at most REPEATS times size. All documents take part, also those without source (a source of its own,
@@ -83,6 +83,7 @@ def mix(docs: DataFrame, seed: str = "0", block: int = BLOCK, shard_docs: int =
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sizes = docs.select(
         "doc_id",
+        *carry,
         _key(F.col("source")).alias("source_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         digest.alias("place"),
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, seed: str = "0", block: int = BLOCK, shard_docs: int =
     full = F.coalesce(F.floor(F.col("quota") / F.nullif(F.col("shard_size"), F.lit(0))), F.lit(0)).cast("long")
     rest = F.col("quota") - full * F.col("shard_size")
     taken = full * F.col("size") + F.least("size", F.greatest(F.lit(0), rest - F.coalesce(F.sum("size").over(line), F.lit(0))))
-    return placed.join(shards, ["source_key", "shard"]).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return placed.join(shards, ["source_key", "shard"]).select("doc_id", *carry, "size", "source_size", "target", taken.alias("taken"))
 
 
 ORACLE = """
