@@ -166,9 +166,14 @@ def _train(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[
     yield pa.record_batch([pa.array([net.dump()], pa.binary())], names=["model"])
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """The rows that training can learn from: with a language and a text, and not held out."""
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+
+
 def train(docs: DataFrame) -> tuple[list[str], bytes] | None:
     """Learns from text and lang of up to about SAMPLE documents with a language that aren't held out, in one task; None without any."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    known = labelled(docs).select("doc_id", "text", "lang")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not counts:
         return None
