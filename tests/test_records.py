@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import re
@@ -12,14 +13,15 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, privacy, text
 from tracemill.functions.scrub import scrub
-from tracemill.operators import catalog, consent, dataset, sessions
+from tracemill.config import Settings
+from tracemill.operators import annotations, catalog, consent, dataset, exports, sessions
 from tracemill.operators.scoring import Scoring
 from tracemill.operators.scrub_records import scrub_records
-from tracemill.operators.validate import errors, validate
+from tracemill.operators.validate import errors, require_valid, validate
 from tracemill.plans import adapters
-from tracemill.plans.pipeline import publish, route, submit
+from tracemill.plans.pipeline import end_sessions, publish, route, submit
 from tracemill.sources import files, sinks
-from tracemill.streaming.sessions import assemble_stream
+from tracemill.streaming.sessions import ROCKSDB, assemble_stream
 
 STRINGS = ["plain", "", 'q"u\\o', "tab\tnew\nret\r\b\f", "ünï", "日本", "😀 end", "\x00\x1f\x7f", " ", None]
 
@@ -178,10 +180,115 @@ def test_files_round_trip(spark, sf_dir, tmp_path):
     assert files.staging(spark, f"{root}/staging").count() == 3
     assert files.latest_staging(spark, f"{root}/staging").first().path.endswith("new.json")
     placed = dataset.placed(r)
-    sinks.append_shards(placed, f"{root}/store")
-    assert spark.read.parquet(f"{root}/store").where("shard >= '00'").count() == 6
     sinks.append_json(spark.createDataFrame([("a", "t", None)], "record_id string, deleted_at string, reason string"), f"{root}/deleted")
     assert dataset.active(placed, files.deletions(spark, f"{root}/deleted/*.json")).count() == 6
+    assert files.count_lines(spark, f"{root}/deleted/*.json") == 1 and files.count_lines(spark, f"{root}/none/*.json") == 0
+
+
+def test_shards_are_appended_in_the_layout_of_the_format(spark, sf_dir, tmp_path):
+    """Write, scan, append: ids that are there aren't written again, lines keep their order, other shards aren't touched."""
+    root = f"file://{tmp_path}"
+    r = dataset.placed(consent.with_ids(adapters.sample_records(spark, sf_dir)))
+    first, second = r.where("conv_id % 3 > 0"), r
+    nothing = r.where("false")
+    wrote = sinks.append_shards(dataset.insert_if_absent(first, nothing, "conv_id"), root, "conv_id")
+    ids = {x.record_id for x in first.collect()}
+    scanned = files.shards(spark, root)
+    assert wrote == scanned.count() == len(ids) and {x.record_id for x in scanned.collect()} == ids
+    before = {p: p.read_text() for p in (tmp_path / "data").rglob("shard_*.jsonl")}
+    existing = scanned.select("model_slug", "tier", "record_id")
+    more = sinks.append_shards(dataset.insert_if_absent(second, existing, "conv_id"), root, "conv_id")
+    assert more == r.select("record_id").distinct().count() - len(ids)
+    assert all(p.read_text().startswith(t) for p, t in before.items())
+    again = files.shards(spark, root)
+    assert sinks.append_shards(dataset.insert_if_absent(second, again.select("model_slug", "tier", "record_id"), "conv_id"), root, "conv_id") == 0
+    for x in again.select("model_slug", "tier", "shard", "record_id").collect():
+        assert x.shard == "shard_" + f"{int(hashlib.sha256(x.record_id.encode()).hexdigest()[:2], 16):02x}.jsonl"
+    one = json.loads(next(iter(before.values())).splitlines()[0])
+    assert one["quality"] is None and "conv_id" not in one and one["trajectory"]["conversations"][0]["from"] in fixed.ROLES
+
+    plan = files.shard_files(spark, root).select(F.concat_ws("/", F.lit("data"), "model_slug", "tier", "shard").alias("path"))
+    (tmp_path / "data/x/gold").mkdir(parents=True)
+    (tmp_path / "data/x/gold/shard_00.jsonl").write_text('{"a": 1}\n\n{"b": 2}\n')
+    wanted = plan.unionByName(spark.createDataFrame([("data/x/gold/shard_00.jsonl",), ("data/x/gold/shard_01.jsonl",)], "path string"))
+    to = f"file://{tmp_path}/copy"
+    sizes = sum(p.stat().st_size for p in (tmp_path / "data").rglob("shard_*.jsonl"))
+    got = sinks.download(wanted, root, to).first()
+    n = plan.count() + 1
+    assert (got.downloaded, got.skipped, got.failed, got.records, got.bytes) == (n, 0, 1, again.count() + 2, sizes)
+    assert all((tmp_path / "copy" / p.relative_to(tmp_path)).read_text() == p.read_text() for p in (tmp_path / "data").rglob("shard_*.jsonl"))
+    assert sinks.download(wanted, root, to).first().skipped == n
+
+
+def test_staging_and_outbox_files(spark, sf_dir, tmp_path):
+    r = consent.with_ids(adapters.sample_records(spark, sf_dir)).withColumn("session_id", F.when(F.col("conv_id") > 1, F.col("conv_id").cast("string"))).where("conv_id < 6").drop("conv_id")
+    folder = f"file://{tmp_path}/staging"
+    assert sinks.write_staging(r, folder) == 5
+    assert sorted(p.name for p in (tmp_path / "staging").glob("*.json")) == ["session_2.json", "session_3.json", "session_4.json", "session_5.json", "session_unknown.json"]
+    assert files.staging(spark, folder).count() == 5 and len((tmp_path / "staging/session_2.json").read_text().splitlines()) > 5
+    with pytest.raises(ValueError, match="user_rating"):
+        sinks.update_staging(r.withColumn("outcome", F.col("outcome").withField("user_rating", F.lit(9))), folder)
+    assert sinks.write_outbox(r, f"file://{tmp_path}/out") == r.select("record_id").distinct().count()
+    assert files.outbox(spark, f"file://{tmp_path}/out").count() == r.select("record_id").distinct().count()
+
+
+def test_a_session_ends_in_the_outbox_or_in_staging(spark):
+    now = F.lit(adapters.NOW).cast("timestamp")
+    built = sessions.build_records(sessions.assemble(session_events(spark)).where("ended"), now)
+    assert require_valid(built.where("session_id = 'a'"), "session_id").count() == 1
+    a = built.where("session_id = 'a'").first()
+    assert (a.trajectory.turn_count, a.trajectory.total_tool_calls, a.trajectory.failed_tool_calls, a.submission.consent_level) == (2, 2, 1, "full")
+    sent, kept, log = end_sessions(built, now)
+    assert (sent.count(), kept.count(), log.count()) == (0, 2, 0)
+    sent, kept, log = end_sessions(built, now, "continuous", "silver")
+    assert [x.session_id for x in sent.collect()] == ["a"] and {x.action for x in log.collect()} == {"auto_submitted", "queued_for_review"}
+    assert sent.first().hardware.gpu_name == "Other GPU" and sent.first().record_id.startswith("record_")
+    assert kept.where("quality is not null").count() == 0
+
+
+def test_annotations(spark, sf_dir):
+    staged = adapters.sample_records(spark, sf_dir).where("conv_id < 4")
+    ratings = spark.createDataFrame([(1, 1, 2, ["perfect"], "a"), (1, 2, 5, None, ""), (1, 3, 6, None, "too high"), (2, 1, 3, ["nope"], None)], f"conv_id bigint, {annotations.RATING}")
+    o = {x.conv_id: x.outcome for x in annotations.rate(staged, ratings, "conv_id").collect()}
+    assert (o[1].user_rating, o[1].outcome_tags, o[1].user_comment) == (5, [], None) and o[2].user_comment == "see ~/notes/x"
+    reports = spark.createDataFrame([(1, 1, "OTHER", "x", None), (1, 2, "other", None, None), (1, 3, "other", "y", "Critical"), (9, 1, "other", "z", None)], f"conv_id bigint, {annotations.REPORT}")
+    p = {x.conv_id: x.pain_points for x in annotations.report(staged.withColumn("pain_points", F.when(F.col("conv_id") != 1, F.col("pain_points"))), reports, "conv_id").collect()}
+    assert [(x.category, x.severity, x.description, x.turn_index) for x in p[1]] == [("other", "medium", "x", None), ("other", "critical", "y", None)] and len(p[2]) == 1
+    decisions = spark.createDataFrame([(0, "approve"), (1, "REJECT"), (2, "quit"), (3, "approve")], "conv_id bigint, action string")
+    sent, stays, counts = annotations.review(staged, decisions, "conv_id", [F.col("conv_id")])
+    assert [x.conv_id for x in sent.collect()] == [0] and {x.conv_id for x in stays.collect()} == {2, 3} and tuple(counts.first()) == (1, 1, 0)
+
+
+def test_flags_of_previews_come_from_the_raw_turns(spark, sf_dir):
+    r = adapters.sample_records(spark, sf_dir).where("conv_id = 1")
+    turns = F.transform("trajectory.conversations", lambda t, i: t.withField("value", F.when(i == 0, "mail me@acme.io or see acme.org").otherwise("no")).withField("tool_calls", F.array(F.struct(F.lit("n").alias("tool_name"), F.lit("at big.company").alias("tool_input"), F.lit(None).cast("string").alias("tool_output"), F.lit("success").alias("tool_status"), F.lit(None).cast("bigint").alias("latency_ms")))))
+    r = r.withColumn("trajectory", F.col("trajectory").withField("conversations", F.slice(turns, 1, 1)))
+    assert r.select(exports.preview_flags().alias("f")).first().f == ["acme.io", "acme.org", "big.company"]
+    assert scrub_records(r, "conv_id").first().submission.scrub_log.items_flagged == 2
+
+
+def test_browse_goes_to_the_one_model_that_matches(spark, sf_dir):
+    d = adapters.dataset(spark, sf_dir)
+    models, tiers = catalog.model_stats(d), catalog.tier_stats(d)
+    for model, kind in (("SRC19", "model"), ("src1", "summary"), (None, "summary"), ("zzz", "none")):
+        assert catalog.browse_filtered(models.withColumns({f"{a}s": F.array().cast("array<string>") for a in ("parameter_count", "quantization", "context_window")}), tiers, model)[0] == kind
+    assert catalog.browse_filtered(models, tiers.where("false"))[0] == "empty"
+
+
+def test_settings(tmp_path):
+    s = Settings(tmp_path / "c/config.json")
+    assert s.get("min_quality_tier") == "silver"
+    s.set("auto_submit", "TRUE")
+    s.set("auto_submit_interval", "5")
+    s.path.write_text(s.path.read_text()[:-1] + ', "other": {"x": 1}}')
+    s.set("dataset_repo", "a/b")
+    assert json.loads(s.path.read_text()) == {"tracemill": {"auto_submit": True, "auto_submit_interval": 5, "dataset_repo": "a/b"}, "other": {"x": 1}}
+    for key, value in (("min_quality_tier", "tin"), ("auto_submit_interval", "-1"), ("auto_submit_interval", "x"), ("auto_submit", "maybe")):
+        with pytest.raises(ValueError, match="must be"):
+            s.set(key, value)
+    with pytest.raises(KeyError):
+        s.get("nope")
+    assert ("auto_submit", "True", "config") in s.show() and ("consent_level", "full", "default") in s.show()
 
 
 def test_catalog_file_and_readme(spark, sf_dir, tmp_path):
@@ -199,33 +306,58 @@ def test_catalog_file_and_readme(spark, sf_dir, tmp_path):
     assert empty.first().record_count == 0 and empty.first().avg_quality_score == 0.0
 
 
+CALLS = [("search", "q" * 3000, None, None, 7), ("run", None, "out", "timeout", None)]
+#: session_id, seq, kind and whatever else the event has.
 EVENTS = [
-    ("a", 1, "start", None, None, None, None, None, None),
-    ("a", 2, "turn", "user", "hi", None, None, None, None),
-    ("a", 3, "turn", "assistant", None, None, None, None, None),
-    ("a", 4, "turn", "assistant", "yes", None, None, None, None),
-    ("a", 5, "rate", None, None, 9, ["x"], None, None),
-    ("a", 6, "rate", None, None, 4, ["perfect"], None, None),
-    ("a", 7, "report", None, None, None, None, "other", "slow"),
-    ("a", 8, "end", None, None, None, None, None, None),
-    ("b", 1, "turn", "user", "lost", None, None, None, None),
-    ("b", 2, "start", None, None, None, None, None, None),
-    ("b", 3, "report", None, None, None, None, "other", "early"),
-    ("b", 4, "end", None, None, None, None, None, None),
-    ("c", 1, "turn", "user", "open", None, None, None, None),
+    ("a", 1, "start", {"model": {"quantization": "q4", "context_used": 5}, "hardware": {"gpu_name": "Voodoo 3"}, "at": datetime.datetime(2024, 1, 1)}),
+    ("a", 2, "turn", {"role": "user", "content": "hi"}),
+    ("a", 3, "turn", {"role": "assistant"}),
+    ("a", 4, "turn", {"role": "assistant", "content": "yes", "tool_calls": CALLS, "token_count": 3, "latency_ms": 4}),
+    ("a", 5, "turn", {"role": "system", "content": "no such role"}),
+    ("a", 6, "turn", {"role": "assistant", "content": "bad status", "tool_calls": [("x", None, None, "broken", None)]}),
+    ("a", 7, "rate", {"rating": 9, "tags": ["perfect"]}),
+    ("a", 8, "rate", {"rating": 4, "tags": ["perfect"], "comment": "fine"}),
+    ("a", 9, "rate", {"rating": 5, "tags": ["not_a_tag"]}),
+    ("a", 10, "report", {"category": "other", "description": "slow", "severity": "high"}),
+    ("a", 11, "report", {"category": "no such", "description": "ignored"}),
+    ("a", 12, "end", {}),
+    ("b", 1, "turn", {"role": "user", "content": "lost"}),
+    ("b", 2, "start", {}),
+    ("b", 3, "report", {"category": "other", "description": "early"}),
+    ("b", 4, "end", {}),
+    ("c", 1, "turn", {"role": "user", "content": "open"}),
 ]
 
 
+def session_events(spark):
+    from pyspark.sql.types import StructType
+
+    kinds = spark.createDataFrame([], sessions.EVENT).schema
+
+    def typed(kind, value):
+        if isinstance(kind, StructType) and isinstance(value, dict):
+            return tuple(value.get(f.name) for f in kind.fields)
+        return value
+
+    rows = [tuple(typed(f.dataType, {"session_id": i, "seq": n, "kind": k, **more}.get(f.name)) for f in kinds.fields) for i, n, k, more in EVENTS]
+    return spark.createDataFrame(rows, kinds)
+
+
 def test_sessions_in_batch_and_stream_agree(spark, tmp_path):
-    events = spark.createDataFrame(EVENTS, sessions.EVENT)
+    events = session_events(spark)
     batch = {r.session_id: r for r in sessions.assemble(events).collect()}
     assert [(t["from"], t["value"]) for t in batch["a"].conversations] == [("human", "hi"), ("gpt", "yes")]
-    assert (batch["a"].user_rating, batch["a"].outcome_tags, batch["a"].pain_points[0].turn_index) == (4, ["perfect"], 1)
+    assert (batch["a"].user_rating, batch["a"].outcome_tags, batch["a"].user_comment) == (4, ["perfect"], "fine")
+    assert [(p.severity, p.turn_index) for p in batch["a"].pain_points] == [("high", 1)]
+    calls = batch["a"].conversations[1].tool_calls
+    assert [(c.tool_name, len(c.tool_input), c.tool_output, c.tool_status) for c in calls] == [("search", 2000, "", "success"), ("run", 0, "out", "timeout")]
+    assert (batch["a"].model.model_name, batch["a"].model.context_used, batch["a"].hardware.gpu_name) == ("unknown", None, "Voodoo 3")
     assert batch["b"].conversations == [] and batch["b"].pain_points[0].turn_index == 0 and not batch["c"].ended
     folder = f"file://{tmp_path}"
     for seqs in ("seq < 5", "seq >= 5"):
         events.where(seqs).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = assemble_stream(stream, idle_ms=None).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
     out = {r.session_id: r for r in spark.read.schema(sessions.SESSION).parquet(f"{folder}/out").collect()}

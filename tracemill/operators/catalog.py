@@ -13,11 +13,22 @@ from ..functions.privacy import tier_rank
 from ..functions.text import byte_label
 
 
+#: GPUs named in a model's details.
+TOP_HARDWARE = 5
+#: Scores to nine decimals; sums of 10^19 records fit.
+SCORE = "decimal(18, 9)"
+
+
 def tier_stats(records: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """records(model_slug, tier, shard, score) [files(model_slug, tier, shard, size, modified)] -> a row per model and tier, also for tiers of empty files."""
+    """records(model_slug, tier, shard, score) [files(model_slug, tier, shard, size, modified)] -> a row per model and tier, also for tiers of empty files.
+
+    Scores are added up as decimals: the mean doesn't depend on the order of the rows, nor its rounding on the last bit.
+    """
+    exact = F.sum(F.col("score").cast(SCORE))
+    mean = F.round(exact / F.count("score"), 4).cast("double")
     stats = records.groupBy("model_slug", "tier").agg(
         F.count(F.lit(1)).alias("record_count"),
-        F.coalesce(F.round(F.avg("score"), 4), F.lit(0.0)).alias("avg_quality_score"),
+        F.coalesce(mean, F.lit(0.0)).alias("avg_quality_score"),
         F.array_sort(F.collect_set("shard")).alias("shards"),
     )
     if files is None:
@@ -112,6 +123,30 @@ def shard_plan(tiers: DataFrame) -> DataFrame:
     return tiers.select("model_slug", "tier", F.explode("shards").alias("shard")).withColumn("path", F.concat(F.concat_ws("/", F.lit("data"), "model_slug", "tier", F.concat(F.lit("shard_"), "shard")), F.lit(".jsonl")))
 
 
-def drill_down(tiers: DataFrame, slug: str) -> DataFrame:
+def tier_breakdown(tiers: DataFrame, slug: str) -> DataFrame:
     own = tiers.where(F.col("model_slug") == slug)
     return own.select("tier", "record_count", "avg_quality_score", F.size("shards").alias("n_shards"), byte_label(F.col("total_size_bytes")).alias("size") if "total_size_bytes" in tiers.columns else F.lit(None).cast("string").alias("size"), tier_rank(F.col("tier")).alias("rank"))
+
+
+def drill_down(models: DataFrame, tiers: DataFrame, slug: str, attributes: tuple[str, ...] = ("parameter_count", "quantization", "context_window")) -> DataFrame:
+    """One row for a model of model_stats() and tier_stats(): its name, its attribute lists as text, `---` where empty, its tiers, best first, and its five most frequent GPUs."""
+    listed = [F.coalesce(F.nullif(F.array_join(F.transform(f"{a}s", lambda x: x.cast("string")), ", "), F.lit("")), F.lit("---")).alias(f"{a}s") for a in attributes]
+    in_order = F.array_sort(F.transform(F.map_entries("hardware_distribution"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("name"))))
+    top = F.array_join(F.transform(F.slice(in_order, 1, TOP_HARDWARE), lambda x: F.format_string("%s (%d)", x["name"], -x["n"])), ", ")
+    per = tier_breakdown(tiers, slug).groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("place"), "tier", "record_count", "avg_quality_score"))).alias("t"))  # a row per tier
+    shown = F.array_join(F.transform("t", lambda x: F.format_string("%s %d %.2f", x["tier"], x["record_count"], x["avg_quality_score"])), ", ")
+    return models.where(F.col("model_slug") == slug).join(F.broadcast(per)).select("model_slug", "display_name", *listed, "total_records", shown.alias("tiers"), F.coalesce(top, F.lit("")).alias("hardware"))
+
+
+def available(tiers: DataFrame) -> DataFrame:
+    """What to choose from where a filter finds nothing: one row with all models and all tiers, in order."""
+    return tiers.agg(F.array_sort(F.collect_set("model_slug")).alias("models"), F.array_sort(F.collect_set("tier")).alias("tiers"))
+
+
+def browse_filtered(models: DataFrame, tiers: DataFrame, model: str | None = None, tier: str | None = None) -> tuple[str, DataFrame]:
+    """(`empty`, nothing), (`none`, available()), (`model`, drill_down()) where a model filter leaves one model, or (`summary`, browse())."""
+    found = filter_catalog(tiers, model, tier)
+    slugs = [r.model_slug for r in found.select("model_slug").distinct().limit(2).collect()]
+    if not slugs:
+        return ("empty", tiers) if tiers.isEmpty() else ("none", available(tiers))
+    return ("model", drill_down(models, found, slugs[0])) if model and len(slugs) == 1 else ("summary", browse(found))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CATEGORIES
+from ..functions.scrub import org_domains
+from ..functions.text import preview
+from ..sources.records import FIELDS, TOOL_CALL
+
+if TYPE_CHECKING:
+    from .scoring import Scoring
 
 
 def sharegpt(turns: Column) -> Column:
@@ -46,3 +54,34 @@ def scrub_summary(counts: DataFrame) -> DataFrame:
     sums = counts.agg(*(F.sum(f"{c}_redacted").alias(c) for c in CATEGORIES))
     rows = sums.select(F.explode(F.array(*(F.struct(F.initcap(F.lit(c.replace("_", " "))).alias("label"), F.col(c).alias("n")) for c in CATEGORIES))).alias("x"))
     return rows.select("x.*").where("n > 0")
+
+
+def preview_flags() -> Column:
+    """Organisations' domains in the texts of turns and tools as they stand, in order; those of comments and pain points don't count."""
+    texts = lambda t: F.concat(F.array(t["value"]), F.flatten(F.transform(F.coalesce(t["tool_calls"], F.array().cast(f"array<{TOOL_CALL}>")), lambda c: F.array(c["tool_input"], c["tool_output"]))))
+    return F.flatten(F.transform(F.flatten(F.transform("trajectory.conversations", texts)), lambda x: F.coalesce(org_domains(x), F.array().cast("array<string>"))))
+
+
+def record_preview(records: DataFrame, scoring: Scoring) -> DataFrame:
+    """What a record's owner sees before it is submitted: counts, model, tier and score, annotations, flags, and the first and last turn. records: redacted ones, with a column raw_flags of preview_flags()."""
+    t, turns = F.col("trajectory"), F.col("trajectory.conversations")
+    model = F.when(F.col("model.quantization").isNotNull(), F.format_string("%s (%s)", F.col("model.model_name"), F.col("model.quantization"))).otherwise(F.col("model.model_name"))
+    calls = F.format_string("%d total (%d success, %d failed)", *(F.coalesce(t[c], F.lit(0)) for c in ("total_tool_calls", "successful_tool_calls", "failed_tool_calls")))
+    pains = F.transform("pain_points", lambda p: F.format_string("[%s] %s: %s", p["severity"], p["category"], p["description"]))
+    last = F.when(F.size(turns) > 1, preview(F.element_at(turns, -1)["value"]))
+    return records.withColumn("_score", scoring.score()).select(
+        *(c for c in records.columns if c not in FIELDS and c != "raw_flags"),
+        "record_type",
+        t["turn_count"].alias("turn_count"),
+        calls.alias("tool_calls"),
+        model.alias("model"),
+        scoring.tier(F.col("_score")).alias("tier"),
+        F.format_string("%.3f", F.col("_score")).alias("score"),
+        F.format_string("%d/5", F.col("outcome.user_rating")).alias("rating"),
+        F.array_join("outcome.outcome_tags", ", ").alias("tags"),
+        F.col("outcome.user_comment").alias("comment"),
+        F.array_join(pains, "\n").alias("pain_points"),
+        F.array_join("raw_flags", ", ").alias("flags"),
+        preview(F.get(turns, 0)["value"]).alias("first_turn"),
+        last.alias("last_turn"),
+    )

@@ -55,3 +55,11 @@ def validate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid records, rejects with a column `errors`)."""
     judged = records.withColumn("errors", errors())
     return judged.where(F.size("errors") == 0).drop("errors"), judged.where(F.size("errors") > 0)
+
+
+def require_valid(records: DataFrame, key: str) -> DataFrame:
+    """records if all of them are valid; else an error that names up to ten and what is wrong with each."""
+    bad = validate(records)[1].select(key, "errors").limit(10).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r[0]}: {', '.join(r.errors)}" for r in bad))
+    return records

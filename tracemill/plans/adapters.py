@@ -166,3 +166,28 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = placed(rows, "model_name", "given_tier").drop("given_tier")
     return out.withColumn("at", F.struct("tier", "shard", "doc_id"))
+
+
+def _turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("conv_id"), F.col("turn").cast("bigint").alias("seq"))
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of staged records by fixed rules, one for each turn of every third conversation; some are invalid."""
+    k, n = F.col("conv_id"), F.col("seq")
+    tags = F.array(F.when((k + n) % 5 == 0, "not_a_tag").otherwise(_of(fixed.OUTCOME_TAGS, k + n)))
+    return _turn_rows(spark, sf_dir).where(k % 3 == 0).select("conv_id", "seq", ((k + n) % 7).cast("int").alias("score"), F.when(n % 4 > 0, tags).alias("tags"), F.when(n % 2 == 0, F.concat(F.lit("at "), n.cast("string"))).otherwise("").alias("comment"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on staged records by fixed rules, one for each turn of every fourth conversation; some are invalid."""
+    k, n = F.col("conv_id"), F.col("seq")
+    severity = F.when(n % 3 == 0, F.upper(_of(fixed.SEVERITIES, k + n))).when(n % 3 == 1, "unheard of")
+    return _turn_rows(spark, sf_dir).where(k % 4 == 0).select("conv_id", "seq", _of(fixed.PAIN_POINT_CATEGORIES, k + n).alias("category"), F.when(n % 5 < 4, F.concat(F.lit("turn "), n.cast("string"))).alias("description"), severity.alias("severity"))
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on staged records by fixed rules: approve, reject, skip, none, and one that ends the review."""
+    k = F.col("conv_id")
+    action = F.when(k == 5, "quit").when(k % 4 == 0, "Approve").when(k % 4 == 1, "reject").when(k % 4 == 2, "skip")
+    return _turn_rows(spark, sf_dir).select("conv_id").distinct().select("conv_id", action.alias("action")).where("action is not null")

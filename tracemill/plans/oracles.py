@@ -42,7 +42,7 @@ DATASET = f"""(select d.doc_id, 'record_' || substr(sha256(text), 1, 12) as reco
   {SHARD.format("'record_' || substr(sha256(text), 1, 12)")} as shard, (n_chars % 10001) / 10000.0::double as score, lang,
   case when d.doc_id % 3 > 0 then {_pick(adapters.GPUS, "d.doc_id")} end as gpu_name, n_chars
   from documents d left join labels l on d.doc_id = l.doc_id)"""
-TIERS = f"(select model_slug, tier, count(*) as record_count, coalesce(round(avg(score), 4), 0.0) as avg_quality_score, list_sort(list_distinct(list(shard))) as shards from {DATASET} group by 1, 2)"
+TIERS = f"(select model_slug, tier, count(*) as record_count, coalesce((2 * sum(round(score * 10000)::bigint) + count(score))::bigint // (2 * count(score)) / 10000.0::double, 0.0) as avg_quality_score, list_sort(list_distinct(list(shard))) as shards from {DATASET} group by 1, 2)"
 RANK = "case tier when 'gold' then 4 when 'silver' then 3 when 'bronze' then 2 when 'review_needed' then 1 else 0 end"
 AVERAGE = "coalesce(printf('%.2f', avg(avg_quality_score) filter (avg_quality_score > 0)), 'N/A')"
 DISTRIBUTION = f"(select tier, sum(n)::bigint as record_count from (select tier, record_count as n from {TIERS} union all select t, 0 from (values ('gold'), ('silver'), ('bronze'), ('review_needed')) v(t)) group by 1)"
@@ -121,10 +121,97 @@ k as (select * from {CALLS}), c as (select distinct conv_id from {TURNS}), score
 select conv_id, score, case {tiers} else 'review_needed' end as tier from scored"""
 
 
+def _submitted(columns: str, scored: str) -> str:
+    """Sample records by their own consent level, after consent: what of the canonical turns, model, hardware and outcome is left."""
+    level = _pick(fixed.CONSENT_LEVELS, "conv_id")
+    redacted = f"""(select conv_id, '[' || string_agg('{{"from": "' || r || '", "value": "{fixed.REDACTED_CONTENT}"}}', ', ' order by turn) || ']' as redacted from {TURNS} group by conv_id)"""
+    return f"""with w as (select *, lag(r) over (partition by conv_id order by i) as before, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words from {NUMBERED}),
+k as (select * from {CALLS}),
+c as (select conv_id, {level} as level, case when {level} = 'metadata_only' then redacted else canon end as canon, case when {level} = 'anonymous' then null else {MODEL} end as model,
+  case when {level} = 'anonymous' then null else {RATING} end as rating, case when {level} = 'anonymous' then null else {TAGS} end as tags,
+  case when {level} in ('anonymous', 'trajectory_only') then null else {_gpu(_pick(adapters.GPUS, "conv_id"))} end as gpu_name from {CANON} join {redacted} using (conv_id)),
+scored as (select *, {scored} as score from c)
+select {columns} from scored c"""
+
+
+def _after_consent() -> str:
+    """The score of records after consent, as _score() has it before."""
+    s = Scoring()
+    total = sum(s.weights.values())
+    parts = {
+        "coherence": "(select count(*) filter (i = 0 or r <> before)::double / count(*) from w where w.conv_id = c.conv_id)",
+        "tool_validity": f"coalesce((select count(*) filter ({STATUS} = 'success')::double / nullif(count(*), 0) from k where k.conv_id = c.conv_id), 1.0)",
+        "outcome_quality": "coalesce((rating - 1) / 4.0, 0.5)::double",
+        "information_density": "(select least(1.0, sum(case when c.level = 'metadata_only' then 1 else words end)::double / (greatest(count(*), 1) * 40.0::double)) from w where w.conv_id = c.conv_id)",
+        "metadata_completeness": "((model is not null)::int + (gpu_name is not null)::int) / 4.0::double",
+    }
+    return "round(" + " + ".join(f"{parts[k]} * {w / total!r}::double" for k, w in s.weights.items()) + ", 6)"
+
+
+TIER_OF = "case " + " ".join(f"when score >= {least} then {_s(t)}" for t, least in Scoring().limits.items()) + " else 'review_needed' end"
+RECORD_ID = "'record_' || substr(sha256(canon), 1, 12)"
+SUBMISSION = f"""'sha256:' || sha256('{{"model_name": ' || {_json("model")} || ', "rating": ' || coalesce(rating::varchar, 'null') || ', "tags": ' || coalesce('[' || array_to_string(list_transform(list_sort(tags), lambda t: '"' || t || '"'), ', ') || ']', 'null') || ', "trajectory": ' || canon || '}}')"""
+
+#: Addresses in a text, by RE2: a mark goes between a version word and the numbers after it, and numbers with the mark before them are none.
+MARK = "chr(1)"
+_VERSIONS = "|".join(rf"(?i:{w.replace('.', chr(92) + '.')})\s{{0,{fixed.VERSION_REACH - len(w)}}}" for w in sorted(fixed.VERSION_WORDS, key=len, reverse=True))
+
+
+def _marked(text: str) -> str:
+    return f"regexp_replace({text}, '({_VERSIONS})({fixed.IPV4})', '\\1' || {MARK} || '\\2', 'g')"
+
+
+def _no_addresses(text: str) -> str:
+    """Two passes: neighbours share the character between them."""
+    out = _marked(text)
+    for _ in range(2):
+        out = f"regexp_replace({out}, '(^|[^.0-9' || {MARK} || '])' || {_s(fixed.IPV4)} || '($|[^.0-9])', '\\1{fixed.IP_PLACEHOLDER}\\3', 'g')"
+    return f"replace({out}, {MARK}, '')"
+
+
+def _steps_of(source: str) -> str:
+    """(category, replacement, original) of all redactions, step by step."""
+    sql, parts = source, []
+    for i, (category, pattern, to) in enumerate(STEPS[:-1]):
+        parts.append(f"select {_s(category)} as category, {_s(to)} as replacement, unnest(regexp_extract_all(text, {_s(pattern)})) as original from t{i}")
+        sql += f", t{i + 1} as (select regexp_replace(text, {_s(pattern)}, {_s(to)}, 'g') as text from t{i})"
+    doubled = f"regexp_replace({_marked('text')}, '([^0-9.])', '\\1\\1', 'g')"
+    parts.append(f"select 'network', {_s(fixed.IP_PLACEHOLDER)}, unnest(regexp_extract_all({doubled}, '(?:^|[^.0-9' || {MARK} || '])' || {_s(fixed.IPV4)} || '(?:$|[^.0-9])', 1)) from t{len(STEPS) - 1}")
+    return f"with {sql}, found as ({' union all '.join(parts)})"
+
+
+EVENTS = """with ev as (select 'u' || user_id::varchar as session_id, user_id, event_id as seq, event_type as t, floor(value % 7)::int as rating, props, ts from events),
+began as (select session_id, coalesce(max(seq) filter (t = 'signup'), -1) as b from ev group by 1),
+since as (select ev.* from ev join began using (session_id) where seq >= b),
+built as (select session_id, count(*) filter (t in ('view', 'click')) as turn_count, count(*) filter (t = 'click' and seq % 2 = 0) as total_tool_calls,
+  count(*) filter (t = 'click' and seq % 2 = 0 and seq % 3 > 0) as successful_tool_calls, max(case when t = 'signup' then case when user_id % 7 > 0 then 'model ' || (user_id % 7)::varchar else 'unknown' end end) as model_name,
+  max(case when t = 'signup' then 'NVIDIA RTX 4090' end) as gpu_name, max(case when t = 'signup' then ts end) as started,
+  max(seq) filter (t = 'purchase' and rating between 1 and 5 and seq % 5 > 0) as rated, max(seq) filter (t not in ('view', 'click', 'signup', 'purchase')) as reported, min(seq) filter (t = 'click' and seq % 2 = 0) as called
+  from since group by 1)"""
+
+
+def _session_scores() -> str:
+    s = Scoring()
+    total = sum(s.weights.values())
+    parts = {
+        "coherence": "case when turn_count > 0 then (select count(*) filter (before is null or before <> t)::double / count(*) from turns w where w.session_id = c.session_id) else 0.0 end",
+        "tool_validity": "case when total_tool_calls > 0 then successful_tool_calls::double / total_tool_calls else 1.0 end",
+        "outcome_quality": "coalesce(((select rating from since e where e.session_id = c.session_id and e.seq = c.rated) - 1) / 4.0, 0.5)::double",
+        "information_density": "(select least(1.0, coalesce(sum(words), 0)::double / (greatest(count(*), 1) * 40.0::double)) from turns w where w.session_id = c.session_id)",
+        "metadata_completeness": "((model_name is not null)::int + (gpu_name is not null)::int) / 4.0::double",
+    }
+    score = " + ".join(f"{parts[k]} * {w / total!r}::double" for k, w in s.weights.items())
+    return f"""{EVENTS}, turns as (select session_id, t, lag(t) over (partition by session_id order by seq) as before, len(list_filter(regexp_split_to_array(props, '\\s+'), lambda x: x <> '')) as words from since where t in ('view', 'click')),
+scored as (select *, round({score}, 6) as score from built c), routed as (select session_id, {TIER_OF} as tier, case when {TIER_OF} in ('gold', 'silver') then 'outbox' else 'staging' end as place from scored)"""
+
+
+RATED = f"""(select conv_id, max(turn) as seq from conversations where conv_id % 3 = 0 and (conv_id + turn) % 7 between 1 and 5 and (turn % 4 = 0 or (conv_id + turn) % 5 > 0) group by 1)"""
+DECIDED = f"""(select conv_id, case when conv_id <= (select max(conv_id) from {TURNS} where conv_id = 5) then 'not reviewed' when conv_id % 4 = 0 then 'approve' when conv_id % 4 = 1 then 'reject' else 'skip' end as action from (select distinct conv_id from {TURNS}))"""
+
 SESSIONS = """with ev as (select 'u' || user_id::varchar as session_id, event_id as seq, event_type as t, floor(value % 7)::int as rating from events),
 began as (select session_id, coalesce(max(seq) filter (t = 'signup'), -1) as b from ev group by 1),
 since as (select ev.*, count(*) filter (t in ('view', 'click')) over (partition by session_id order by seq) as turns from ev join began using (session_id) where seq >= b)
-select session_id, count(*) filter (t in ('view', 'click')) as n_turns, arg_max(rating, seq) filter (t = 'purchase' and rating between 1 and 5) as user_rating,
+select session_id, count(*) filter (t in ('view', 'click')) as n_turns, arg_max(rating, seq) filter (t = 'purchase' and rating between 1 and 5 and seq % 5 > 0) as user_rating,
   count(*) filter (t not in ('view', 'click', 'signup', 'purchase')) as n_reports, max(greatest(turns - 1, 0)) filter (t not in ('view', 'click', 'signup', 'purchase')) as last_turn_index, {0} as ended
 from since group by 1"""
 
@@ -192,4 +279,35 @@ ORACLES: dict[str, str] = {
     "scrub_marker_counts": f"select marker, count(*) as n from (select unnest(regexp_extract_all(text, '\\[REDACTED_\\w+\\]')) as marker from {_scrubbed('(select text from documents)', 'text')}) group by 1 union all select {_s(fixed.IP_PLACEHOLDER)}, sum(n)::bigint from ({IPS}) having sum(n) > 0",
     "jittered_times": f"select conv_id, strftime(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 60) + to_seconds({JITTER}), '%Y-%m-%d %H:%M:%S') as created_at from {CANON}",
     "scrub_record_logs": f"select distinct conv_id, 'see [REDACTED_PATH]' as user_comment, 'at [REDACTED_IP]' as description, 1::bigint as file_paths, 1::bigint as network, 0::bigint as flagged from {TURNS}",
+    "scrub_documents": f"""with t as (select doc_id, text as scrubbed, {', '.join(fixed.CATEGORIES)} from {_scrubbed('(select doc_id, text from documents)', 'doc_id, text')}), u as (select *, {_no_addresses('scrubbed')} as clean from t)
+  select doc_id, sha256(clean) as hash, {', '.join(f"({c}" + (f" + len(regexp_extract_all(clean, {_s(chr(92) + '[REDACTED_IP' + chr(92) + ']')})) - len(regexp_extract_all(scrubbed, {_s(chr(92) + '[REDACTED_IP' + chr(92) + ']')}))" if c == 'network' else '') + f")::int as {c}_redacted" for c in fixed.CATEGORIES)} from u""",
+    "redaction_details": f"{_steps_of('t0 as (select text from documents)')} select category, replacement, count(*) as n, count(distinct original) as n_distinct from found group by 1, 2",
+    "submitted_records": _submitted(f"conv_id, {RECORD_ID} as record_id, {SUBMISSION} as submission_hash, {TIER_OF} as tier, gpu_name, case when level <> 'anonymous' then 'see [REDACTED_PATH]' end as user_comment, case when level <> 'anonymous' then 'at [REDACTED_IP]' end as description, 1::int as network_redacted", _after_consent()),
+    "exported_records": _submitted(f"conv_id, {RECORD_ID} as record_id, {SUBMISSION} as submission_hash, false as scored, gpu_name", "0"),
+    "session_records": f"""{EVENTS} select session_id, turn_count, total_tool_calls, successful_tool_calls, total_tool_calls - successful_tool_calls as failed_tool_calls, model_name, gpu_name,
+  coalesce(strftime(started, '%Y-%m-%d %H:%M:%S'), {_s(adapters.NOW)}) as created_at, (select nullif(props, '') from since e where e.session_id = b.session_id and e.seq = b.rated and e.seq % 2 = 0) as user_comment,
+  case when reported % 3 = 0 then 'high' when reported is not null then 'medium' end as last_severity,
+  (select 'tool' || (seq % 4)::varchar || ' ' || props || ' ' || case when seq % 3 = 0 then 'failure' else 'success' end from since e where e.session_id = b.session_id and e.seq = b.called) as first_call from built b""",
+    "session_routes": f"{_session_scores()} select session_id, place, case when place = 'outbox' then tier end as tier from routed",
+    "session_activity": f"{_session_scores()} select case when place = 'outbox' then 'auto_submitted' else 'queued_for_review' end as action, tier as quality_tier, count(*) as n from routed group by 1, 2",
+    "staged_ratings": f"""select c.conv_id, case when seq is null then {RATING.replace("conv_id", "c.conv_id")} else ((c.conv_id + seq) % 7)::int end as user_rating,
+  case when seq is null then array_to_string({TAGS.replace("conv_id", "c.conv_id")}, ',') when seq % 4 > 0 then {_pick(fixed.OUTCOME_TAGS, "c.conv_id + seq")} else '' end as tags,
+  case when seq is null then 'see ~/notes/x' when seq % 2 = 0 then 'at ' || seq::varchar end as user_comment from (select distinct conv_id from {TURNS}) c left join {RATED} r on c.conv_id = r.conv_id""",
+    "staged_reports": f"""select c.conv_id, {_pick(fixed.PAIN_POINT_CATEGORIES, "c.conv_id")} || ' medium -' || coalesce(',' || added, '') as pain_points from (select distinct conv_id from {TURNS}) c left join
+  (select conv_id, string_agg({_pick(fixed.PAIN_POINT_CATEGORIES, "conv_id + turn")} || ' ' || case when turn % 3 = 0 then {_pick(fixed.SEVERITIES, "conv_id + turn")} else 'medium' end || ' -', ',' order by turn) as added
+   from conversations where conv_id % 4 = 0 and turn % 5 < 4 and turn % 3 <> 1 group by 1) a on c.conv_id = a.conv_id""",
+    "review_decisions": f"select conv_id, action from {DECIDED}",
+    "review_summary": f"select count(*) filter (action = 'approve') as approved, count(*) filter (action = 'reject') as rejected, count(*) filter (action = 'skip') as skipped from {DECIDED}",
+    "model_details": f"""with d as (select *, row_number() over (order by tier, shard, doc_id) as place from {DATASET} where model_slug = 'src1'),
+  langs as (select string_agg(lang, ', ' order by f) as langs from (select lang, min(place) as f from d where lang <> '' group by 1)),
+  gpus as (select coalesce(string_agg(gpu_name || ' (' || n::varchar || ')', ', ' order by n desc, gpu_name), '') as hardware from (select gpu_name, count(*) as n from d where gpu_name is not null group by 1 order by n desc, gpu_name limit 5)),
+  t as (select string_agg(tier || ' ' || record_count::varchar || ' ' || printf('%.2f', avg_quality_score), ', ' order by {RANK} desc) as tiers from {TIERS} where model_slug = 'src1')
+  select 'src1' as model_slug, 'src1' as display_name, coalesce(langs, '---') as langs, (select count(*) from d) as total_records, tiers, hardware from langs cross join gpus cross join t""",
+    "available_choices": f"select string_agg(distinct model_slug, ',' order by model_slug) as models, string_agg(distinct tier, ',' order by tier) as tiers from {DATASET}",
+    "publish_summary_row": f"""with d as (select * from {DATASET}), e as (select distinct model_slug, tier, record_id from d where doc_id % 2 = 0), n as (select distinct model_slug, tier, record_id from d anti join e using (model_slug, tier, record_id) where doc_id % 2 = 1)
+  select count(*) as n_records, array_to_string(list_sort(list_distinct(list(model_slug))), ',') as models, array_to_string(list_sort(list_distinct(list(tier))), ',') as tiers, array_to_string(list_sort(list_distinct(list(model_slug)))[1:5], ',') as first_models from n""",
+    "top_hardware": f"select gpu_name, count(*) as n, min(doc_id) as first_seen from {DATASET} where gpu_name is not null group by 1 order by n desc, first_seen limit 5",
+    "record_previews": f"""with scored as ({_score()}), p as (select conv_id, count(*) as turns, arg_min(p, i) as first_turn, arg_max(p, i) as last_turn from (select *, case when length(text) > 200 then left(text, 200) || '...' else text end as p from {NUMBERED}) group by 1)
+  select conv_id, 'task_trajectory' as record_type, turns + case when conv_id % 7 = 0 then 1 else 0 end as turn_count, '0 total (0 success, 0 failed)' as tool_calls, {MODEL} as model, tier, printf('%.3f', floor(score * 1000 + 0.5 + 1e-7) / 1000) as score, ({RATING})::varchar || '/5' as rating,
+  array_to_string({TAGS}, ', ') as tags, 'see [REDACTED_PATH]' as comment, '[medium] ' || {_pick(fixed.PAIN_POINT_CATEGORIES, "conv_id")} || ': at [REDACTED_IP]' as pain_points, '' as flags, first_turn, case when turns > 1 then last_turn end as last_turn from scored join p using (conv_id)""",
 } | {f"consent_strip_{level}": _consent(level) for level in fixed.CONSENT_LEVELS}

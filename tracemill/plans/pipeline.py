@@ -1,4 +1,4 @@
-"""The record pipelines: submit staged records, publish the outbox, and build the catalog of a dataset."""
+"""The record pipelines: submit staged records, end sessions, publish the outbox, and build the catalog of a dataset."""
 
 from __future__ import annotations
 
@@ -22,18 +22,47 @@ def submit(records: DataFrame, key: str, now: Column, scoring: Scoring | None =
     return consent.with_ids(out if score_first else out.withColumn("quality", quality))
 
 
+def export_records(records: DataFrame, key: str, now: Column) -> DataFrame:
+    """What a session exports: as submit(), but without a score."""
+    return consent.with_ids(consent.strip(consent.jitter_created(consent.anonymize(scrub_records(records, key))), now))
+
+
 def route(records: DataFrame, least_tier: str) -> tuple[DataFrame, DataFrame]:
     """(records that reach the tier and go to the outbox, the others, which stay in staging)."""
     good = meets_tier(F.col("quality.quality_tier"), F.lit(least_tier))
     return records.where(good), records.where(~good)
 
 
+def end_sessions(records: DataFrame, now: Column, mode: str = "ad-hoc", least_tier: str = "silver", key: str = "session_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records of ended sessions -> (rows for the outbox, rows for staging, activity).
+
+    mode `ad-hoc` leaves all of them in staging, as they are, and logs nothing; so does every mode but `continuous`.
+    `continuous` submits those that reach least_tier, and logs `auto_submitted`; the others stay in staging as they
+    are, not redacted, and are logged as `queued_for_review` by their key. A record's tier is judged once, from its
+    redacted form before consent.
+    """
+    activity = "action string, record_id string, quality_tier string, timestamp timestamp"
+    if mode != "continuous":
+        return records.where("false"), records, records.sparkSession.createDataFrame([], activity)
+    done = submit(records, key, now, score_first=True)
+    sent, kept = route(done, least_tier)
+    log = lambda df, action, name: df.select(F.lit(action).alias("action"), F.col(name).alias("record_id"), F.col("quality.quality_tier").alias("quality_tier"), now.alias("timestamp"))
+    staged = records.join(kept.select(key), key, "left_semi").select(*records.columns)
+    return sent, staged, log(sent, "auto_submitted", "record_id").unionByName(log(kept, "queued_for_review", key))
+
+
 def publish(outbox: DataFrame, existing: DataFrame, now: Column, order: str) -> tuple[DataFrame, DataFrame]:
     """(rows to append to the dataset, rejects): valid records with consent applied again, new to their model and tier."""
     valid, rejects = validate(outbox)
     return dataset.insert_if_absent(dataset.placed(consent.strip(valid, now)), existing, order), rejects
 
 
+def publish_summary(written: DataFrame) -> DataFrame:
+    """One row for what a publish appends, or would append in a dry run: count, models and tiers in order, and the first five models."""
+    models = F.array_sort(F.collect_set("model_slug"))  # no more values than there are models
+    return written.agg(F.count(F.lit(1)).alias("n_records"), models.alias("models"), F.array_sort(F.collect_set("tier")).alias("tiers"), F.slice(models, 1, 5).alias("first_models"))
+
+
 def build_catalog(placed: DataFrame, deletions: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tiers, quality distribution, totals) of records with model_slug, tier, shard and score."""
     tiers = catalog.tier_stats(placed)

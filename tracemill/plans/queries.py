@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, privacy, text
 from ..functions.scrub import STEPS, org_domains, redactions, scrub
-from ..operators import catalog, consent, dataset, exports, sessions, stats
+from ..operators import annotations, catalog, consent, dataset, exports, sessions, stats
 from ..operators.scoring import Scoring
 from ..operators.scrub_records import scrub_records
 from ..operators.validate import errors
 from . import adapters
-from .pipeline import submit
+from .pipeline import end_sessions, export_records, publish_summary, submit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,13 +91,8 @@ def scrub_counts_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _patterns_only(df: DataFrame) -> DataFrame:
-    """The first 19 steps, without addresses: what an engine without look-behind can check."""
-    keep, sums = df.columns, {}
-    for i, (category, pattern, to) in enumerate(STEPS[:-1]):
-        own = F.lit(f"(?U){pattern}")
-        df = df.withColumn(f"_n{i}", F.coalesce(F.regexp_count("text", own), F.lit(0))).withColumn("text", F.when(F.col(f"_n{i}") > 0, F.regexp_replace("text", own, F.lit(to))).otherwise(F.col("text")))
-        sums.setdefault(category, []).append(F.col(f"_n{i}"))
-    return df.select(*keep, *(sum(v[1:], v[0]).alias(f"{c}_redacted") for c, v in sums.items()))
+    """The first 19 steps, without addresses."""
+    return scrub(df, steps=STEPS[:-1])
 
 
 @query
@@ -113,7 +108,7 @@ def scrub_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All steps over all documents; tests compare it with the patterns in Python."""
+    """All steps over all documents."""
     out = scrub(_docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.sha2("text", 256).alias("hash"), *(f"{c}_redacted" for c in fixed.CATEGORIES))
 
@@ -305,7 +300,7 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiers = catalog.tier_stats(adapters.dataset(spark, sf_dir))
-    return catalog.drill_down(tiers, "src1").select("tier", "record_count", F.col("n_shards").cast("bigint").alias("n_shards"), "rank")
+    return catalog.tier_breakdown(tiers, "src1").select("tier", "record_count", F.col("n_shards").cast("bigint").alias("n_shards"), "rank")
 
 
 @query
@@ -406,3 +401,110 @@ def scrub_record_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scrub_records(adapters.sample_records(spark, sf_dir), "conv_id")
     log = F.col("submission.scrub_log")
     return out.select("conv_id", F.col("outcome.user_comment").alias("user_comment"), F.element_at("pain_points", 1)["description"].alias("description"), log["file_paths_redacted"].cast("bigint").alias("file_paths"), log["network_redacted"].cast("bigint").alias("network"), log["items_flagged"].cast("bigint").alias("flagged"))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assembled = sessions.assemble(sessions.from_event_table(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return sessions.build_records(assembled, F.lit(adapters.NOW).cast("timestamp"))
+
+
+@query
+def session_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records built from sessions: turn and tool counts, model and hardware of the start, annotations."""
+    t = F.col("trajectory")
+    last = F.when(F.size("pain_points") > 0, F.element_at("pain_points", -1))
+    call = F.element_at(F.filter(t["conversations"], lambda x: x["tool_calls"].isNotNull()), 1)["tool_calls"][0]
+    has_call = F.exists(t["conversations"], lambda x: x["tool_calls"].isNotNull())
+    return _built(spark, sf_dir).select(
+        "session_id",
+        *(t[c].cast("bigint").alias(c) for c in ("turn_count", "total_tool_calls", "successful_tool_calls", "failed_tool_calls")),
+        F.col("model.model_name").alias("model_name"),
+        F.col("hardware.gpu_name").alias("gpu_name"),
+        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        F.col("outcome.user_comment").alias("user_comment"),
+        last["severity"].alias("last_severity"),
+        F.when(has_call, F.concat_ws(" ", call["tool_name"], call["tool_input"], call["tool_status"])).alias("first_call"),
+    )
+
+
+@query
+def session_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the records of sessions go in continuous mode: submitted, or kept for review."""
+    sent, kept, activity = end_sessions(_built(spark, sf_dir), F.lit(adapters.NOW).cast("timestamp"), "continuous", "silver")
+    gone = sent.select("session_id", F.lit("outbox").alias("place"), F.col("quality.quality_tier").alias("tier"))
+    return gone.unionByName(kept.select("session_id", F.lit("staging").alias("place"), F.lit(None).cast("string").alias("tier")))
+
+
+@query
+def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What continuous mode logs of them."""
+    activity = end_sessions(_built(spark, sf_dir), F.lit(adapters.NOW).cast("timestamp"), "continuous", "silver")[2]
+    return activity.groupBy("action", "quality_tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def exported_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = export_records(adapters.sample_records(spark, sf_dir), "conv_id", F.lit(adapters.NOW).cast("timestamp"))
+    return out.select("conv_id", "record_id", "submission_hash", F.col("quality").isNotNull().alias("scored"), F.col("hardware.gpu_name").alias("gpu_name"))
+
+
+@query
+def staged_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = annotations.rate(adapters.sample_records(spark, sf_dir), adapters.ratings(spark, sf_dir), "conv_id")
+    o = F.col("outcome")
+    return out.select("conv_id", o["user_rating"].alias("user_rating"), F.array_join(o["outcome_tags"], ",").alias("tags"), o["user_comment"].alias("user_comment"))
+
+
+@query
+def staged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = annotations.report(adapters.sample_records(spark, sf_dir), adapters.reports(spark, sf_dir), "conv_id")
+    shown = F.transform("pain_points", lambda p: F.concat_ws(" ", p["category"], p["severity"], F.coalesce(p["turn_index"].cast("string"), F.lit("-"))))
+    return out.select("conv_id", F.array_join(shown, ",").alias("pain_points"))
+
+
+@query
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each staged record in a review that ends with a quit."""
+    staged = adapters.sample_records(spark, sf_dir)
+    done = annotations.decided(staged, adapters.decisions(spark, sf_dir), "conv_id", [-F.col("conv_id")])
+    return done.select("conv_id", F.coalesce("action", F.lit("not reviewed")).alias("action"))
+
+
+@query
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.review(adapters.sample_records(spark, sf_dir), adapters.decisions(spark, sf_dir), "conv_id", [-F.col("conv_id")])[2]
+
+
+@query
+def model_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of one model: its lists, tiers and most frequent hardware."""
+    d = adapters.dataset(spark, sf_dir)
+    return catalog.drill_down(catalog.model_stats(d, ("lang",)), catalog.tier_stats(d), "src1", ("lang",))
+
+
+@query
+def available_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a catalog offers where a filter finds nothing."""
+    d = adapters.dataset(spark, sf_dir)
+    _, found = catalog.browse_filtered(catalog.model_stats(d), catalog.tier_stats(d), "no such model")
+    return found.select(*(F.array_join(c, ",").alias(c) for c in ("models", "tiers")))
+
+
+@query
+def publish_summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = adapters.dataset(spark, sf_dir)
+    new = dataset.insert_if_absent(d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0"), "doc_id")
+    return publish_summary(new).select("n_records", *(F.array_join(c, ",").alias(c) for c in ("models", "tiers", "first_models")))
+
+
+@query
+def top_hardware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.top(adapters.dataset(spark, sf_dir), "gpu_name", "doc_id", 5)
+
+
+@query
+def record_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What owners see of their records before they submit them; flags come from the texts as they stand, all else from the redacted record."""
+    r = adapters.sample_records(spark, sf_dir)
+    raw = r.select("conv_id", exports.preview_flags().alias("raw_flags"))
+    return exports.record_preview(consent.anonymize(scrub_records(r, "conv_id")).join(raw, "conv_id"), Scoring()).withColumn("turn_count", F.col("turn_count").cast("bigint"))

@@ -23,11 +23,19 @@ def listing(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, size bigint, modified double").withColumn("modified", F.timestamp_seconds("modified"))
 
 
-def lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, modified, line, value): non-blank lines numbered from 0 within their file; a file is read by one task."""
-    whole = spark.read.option("pathGlobFilter", "*").text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    split = whole.select("path", "modified", F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return split.where(F.trim("value") != "")
+def lines(spark: SparkSession, pattern: str | list[str], blank: bool = False) -> DataFrame:
+    """(path, modified, line, value): lines that aren't blank (all of them with `blank`). line orders the lines of a file: the start of the split it was read in, and its row there.
+
+    Files are read in splits, so one of any size is read by many tasks.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
+    rows = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), at.alias("line"), "value")
+    return rows if blank else rows.where(F.trim("value") != "")
+
+
+def count_lines(spark: SparkSession, file: str) -> int:
+    """Lines that aren't blank, readable or not; none where there is no file: how many deletions a dataset has."""
+    return lines(spark, file).count() if listing(spark, file).count() else 0
 
 
 def _parsed(df: DataFrame, schema: str) -> DataFrame:
@@ -43,10 +51,12 @@ def staging(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_staging(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest *.json file, or the newest *.jsonl file if there is no other; no row if it can't be read."""
-    whole = spark.read.option("pathGlobFilter", "*.{json,jsonl}").text(folder, wholetext=True)
-    whole = whole.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    one = whole.orderBy(F.desc(F.col("path").endswith(".json")), F.desc("modified"), "path").limit(1)
+    """The newest *.json file, or the newest *.jsonl file if there is no other; no row if it can't be read. Only that file is opened."""
+    found = listing(spark, f"{folder}/*.json*").where(F.col("path").endswith(".json") | F.col("path").endswith(".jsonl"))
+    newest = found.orderBy(F.desc(F.col("path").endswith(".json")), F.desc("modified"), "path").first()
+    if newest is None:
+        return spark.createDataFrame([], f"path string, modified timestamp, {record_ddl()}")
+    one = spark.read.text(newest.path, wholetext=True).select(F.lit(newest.path).alias("path"), F.lit(newest.modified).alias("modified"), "value")
     return _parsed(one, record_ddl()).where("r is not null").select("path", "modified", "r.*")
 
 

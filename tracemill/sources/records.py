@@ -30,10 +30,10 @@ def record_ddl() -> str:
     return ", ".join(f"`{k}` {v}" for k, v in FIELDS.items())
 
 
-def complete(df: DataFrame) -> DataFrame:
-    """df with the record's columns in order and type: missing ones null, defaults set, unknown ones dropped."""
+def complete(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df with the record's columns in order and type after those of `keep`: missing ones null, defaults set, unknown ones dropped."""
     has = set(df.columns)
-    out = df.select(*(F.col(k).cast(v).alias(k) if k in has else F.lit(None).cast(v).alias(k) for k, v in FIELDS.items()))
+    out = df.select(*keep, *(F.col(k).cast(v).alias(k) if k in has else F.lit(None).cast(v).alias(k) for k, v in FIELDS.items()))
     return out.withColumn("schema_version", F.coalesce("schema_version", F.lit(SCHEMA_VERSION))).withColumn("record_type", F.coalesce("record_type", F.lit("task_trajectory")))
 
 

@@ -1,32 +1,131 @@
-"""Writers: keyed overwrite, export, insert-if-absent append, catalog and readme files, tombstones, activity."""
+"""Writers: files of the record format by exact name, export, insert-if-absent append, download, catalog and readme files, tombstones, activity."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.validate import require_valid
+from .files import lines, listing
+
 LAYOUT = ["model_slug", "tier", "shard"]
 
 
+def json_value(df: DataFrame, pretty: bool = False) -> Column:
+    """A row as JSON with null keys written."""
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"} | ({"pretty": "true"} if pretty else {}))
+
+
 def json_lines(df: DataFrame) -> DataFrame:
-    """One column `value`: each row as JSON with null keys written."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    """One column `value`: each row as JSON."""
+    return df.select(json_value(df).alias("value"))
 
 
 def export(df: DataFrame, path: str) -> None:
     json_lines(df).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_files(rows: DataFrame, root: str, order: list[Column]) -> int:
+    """rows(path, value, ...): writes the lines `value`, in `order`, to the file `path` below root, over one that is there; returns the number of files.
+
+    The format names its files, Spark doesn't: tasks write each file whole, under a digest of its path, in a folder
+    beside them; then the driver moves the files to their names, which reads and writes no content. A file is written by
+    one task, as it is the unit of the format. What was there is replaced file by file, once all are complete.
+    """
+    spark, staged = rows.sparkSession, f"{root.rstrip('/')}/_incoming"
+    keyed = rows.withColumn("_file", F.sha2("path", 256))
+    names = {r._file: r.path for r in keyed.select("_file", "path").distinct().collect()}  # a row per file written
+    if not names:
+        return 0
+    in_files = keyed.select("_file", "value", F.struct(*order).alias("_at")).repartition("_file").sortWithinPartitions("_file", "_at")
+    in_files.select("_file", "value").write.mode("overwrite").partitionBy("_file").text(staged)
+    fs, at = _fs(spark, staged)
+    for name, path in names.items():
+        parts = [s.getPath() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}/_file={name}/part-*"))]
+        to = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
+        fs.mkdirs(to.getParent())
+        if len(parts) > 1:
+            raise RuntimeError(f"{path} was written in parts")
+        fs.delete(to, False)
+        fs.rename(parts[0], to)
+    fs.delete(at, True)
+    return len(names)
+
+
+def write_staging(records: DataFrame, folder: str, key: str = "session_id") -> int:
+    """A file session_{key}.json for each record, indented, over one that is there; no key is `unknown`, of records that share a file one stays. No privacy step."""
+    body = records.drop(key)
+    path = F.concat(F.lit("session_"), F.coalesce(F.nullif(F.col(key), F.lit("")), F.lit("unknown")), F.lit(".json"))
+    one = records.select(path.alias("path"), json_value(body, pretty=True).alias("value")).groupBy("path").agg(F.max("value").alias("value"))
+    return write_files(one, folder, [F.lit(0)])
+
+
+def update_staging(records: DataFrame, folder: str, key: str = "session_id") -> int:
+    """As write_staging, for records that were changed: all must be valid, or nothing is written."""
+    return write_staging(require_valid(records, key), folder, key)
+
+
+def write_outbox(records: DataFrame, folder: str) -> int:
+    """A file record_{record_id}.jsonl of one line for each record, over one that is there; of records that share an id one stays."""
+    named = records.select(F.concat(F.lit("record_"), "record_id", F.lit(".jsonl")).alias("path"), json_value(records).alias("value"))
+    return write_files(named.groupBy("path").agg(F.max("value").alias("value")), folder, [F.lit(0)])
+
+
 def overwrite_by_key(df: DataFrame, path: str, key: str) -> None:
     """One file set per key value; those of other keys stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path, ignoreNullFields=False)
 
 
-def append_shards(df: DataFrame, path: str) -> None:
-    """Appends records that carry the layout's columns; one task writes one shard, so files stay few."""
-    df.repartition(*LAYOUT).write.mode("append").partitionBy(*LAYOUT).parquet(path)
+def append_shards(new: DataFrame, root: str, order: str) -> int:
+    """Appends records that carry the layout's columns to data/{model}/{tier}/shard_{xx}.jsonl; returns how many.
+
+    Only the shards that get records are read and written again. What is new to its model and tier is for
+    dataset.insert_if_absent to say.
+    """
+    spark = new.sparkSession
+    body = new.drop(*LAYOUT, order)
+    path = F.concat_ws("/", F.lit("data"), "model_slug", "tier", F.concat(F.lit("shard_"), "shard", F.lit(".jsonl")))
+    zero = F.lit(0).cast("bigint")
+    added = new.select(path.alias("path"), F.lit(1).alias("part"), zero.alias("start"), zero.alias("row"), F.col(order).alias("_o"), F.to_json(F.struct(*body.columns), {"ignoreNullFields": "false"}).alias("value"))
+    there = [r.path for r in listing(spark, f"{root}/data/*/*/shard_*.jsonl").select("path").collect()]
+    touched = {r.path for r in added.select("path").distinct().collect()}  # a row per shard that gets records
+    old = [p for p in there if any(p.endswith(f"/{t}") for t in touched)] if len(touched) < 64 else there
+    count = added.count()
+    if old:
+        kept = lines(spark, old).select(F.concat(F.lit("data/"), F.array_join(F.slice(F.split("path", "/"), -3, 3), "/")).alias("path"), F.lit(0).alias("part"), "line.start", "line.row", F.lit(None).cast(added.schema["_o"].dataType).alias("_o"), "value")
+        added = added.unionByName(kept.join(F.broadcast(spark.createDataFrame([(t,) for t in touched], "path string")), "path", "left_semi"))  # a name per shard written
+    write_files(added, root, [F.col("part"), F.col("start"), F.col("row"), F.col("_o")])
+    return count
+
+
+def download(plan: DataFrame, source: str, target: str) -> DataFrame:
+    """Copies the shard files of a plan (path) from source to target; one row: files downloaded, skipped because they are there, failed because source lacks them, and records (lines that aren't blank) and bytes of those downloaded."""
+    spark = plan.sparkSession
+    below = lambda root: listing(spark, f"{root}/data/*/*/shard_*.jsonl").select(F.concat(F.lit("data/"), F.array_join(F.slice(F.split("path", "/"), -3, 3), "/")).alias("path"), F.col("path").alias("full"), "size")
+    wanted, have, there = plan.select("path").distinct(), below(target).select("path"), below(source)
+    missing = wanted.join(have, "path", "left_anti")
+    found = missing.join(there, "path").persist()
+    files = [(r.path, r.full, r["size"]) for r in found.collect()]  # a row per file to copy
+    n_missing, n_wanted = missing.count(), wanted.count()
+    records = 0
+    if files:
+        text = lines(spark, [full for _, full, _ in files], blank=True)
+        named = text.withColumn("path", F.concat(F.lit("data/"), F.array_join(F.slice(F.split("path", "/"), -3, 3), "/")))
+        write_files(named.select("path", "value", "line"), target, [F.col("line")])
+        records = named.where(F.trim("value") != "").count()
+    for path, full, size in files:  # a file without lines has no rows to write
+        if size == 0:
+            write_text(spark, f"{target}/{path}", "")
+    found.unpersist()
+    row = (len(files), n_wanted - n_missing, n_missing - len(files), records, sum(size for _, _, size in files))
+    return spark.createDataFrame([row], "downloaded bigint, skipped bigint, failed bigint, records bigint, bytes bigint")
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -35,8 +134,8 @@ def append_json(df: DataFrame, path: str) -> None:
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A single small file through Hadoop, which reaches every store that Spark reads."""
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    fs, to = _fs(spark, path)
+    out = fs.create(to, True)
     out.write(bytearray(text.encode()))
     out.close()
 

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sessions import SESSION, from_event_table
-from .sessions import assemble_stream
+from .sessions import ROCKSDB, assemble_stream
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; in a temporary place only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
+    """A new folder below spark.checkpoint.dir; where that is unset, in a temporary place of a local session, and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -25,6 +31,11 @@ def stream_sessions(spark: SparkSession, events: str) -> DataFrame:
     ends = rows.groupBy("session_id").agg((F.max("seq") + 1).alias("seq")).withColumn("kind", F.lit("end"))
     rows.unionByName(ends, allowMissingColumns=True).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    query = assemble_stream(stream, idle_ms=None).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        query = assemble_stream(stream, idle_ms=None).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     return spark.read.schema(SESSION).parquet(f"{folder}/out")

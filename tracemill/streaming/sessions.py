@@ -1,4 +1,8 @@
-"""Live sessions: the same assembly as a stateful stream, a row for each session when it ends."""
+"""Live sessions: the same assembly as a stateful stream, a row for each session when it ends.
+
+A session's events are a list in the state store: a batch appends its own events and reads the others only when the
+session ends, so the work for a session grows with its events and not with the square of their number.
+"""
 
 from __future__ import annotations
 
@@ -7,62 +11,120 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.sessions import SESSION
+from ..functions.fixed import OUTCOME_TAGS, PAIN_POINT_CATEGORIES, SEVERITIES, TOOL_STATUSES, TOOL_TEXT
+from ..operators.sessions import ASSISTANT, HUMAN, SESSION
 
-_STATE = "events string"
+_EVENT = StructType([StructField("event", StringType())])
+#: The stateful operator keeps lists only in this store.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _plain(value):
-    if hasattr(value, "tolist"):
+    """Values of a pandas cell as Python's own: null for what is missing, dicts for rows, text for times."""
+    if hasattr(value, "asDict"):
+        value = value.asDict(recursive=True)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if hasattr(value, "tolist") and not isinstance(value, pd.Timestamp):
         value = value.tolist()
-    return None if value is None or isinstance(value, float) and value != value else value
+    if isinstance(value, list | tuple):
+        return [_plain(v) for v in value]
+    if value is None or value is pd.NaT or isinstance(value, float) and value != value:
+        return None
+    return value.isoformat() if isinstance(value, pd.Timestamp) else value
+
+
+def _whole(value) -> int | None:
+    return None if value is None else int(value)
+
+
+def _turn(e: dict) -> dict | None:
+    if e["role"] not in HUMAN + ASSISTANT or e["content"] is None:
+        return None
+    calls = []
+    for c in e["tool_calls"] or []:
+        if c["name"] is None or c["status"] is not None and c["status"] not in TOOL_STATUSES:
+            return None
+        calls.append({"tool_name": c["name"], "tool_input": (c["input"] or "")[:TOOL_TEXT], "tool_output": (c["output"] or "")[:TOOL_TEXT], "tool_status": c["status"] or "success", "latency_ms": _whole(c["latency_ms"])})
+    return {"from": "human" if e["role"] in HUMAN else "gpt", "value": e["content"], "tool_calls": calls or None, "token_count": _whole(e["token_count"]), "generation_latency_ms": _whole(e["latency_ms"])}
 
 
 def _row(key: str, events: list[dict]) -> dict:
-    begins = [e["seq"] for e in events if e["kind"] == "start"]
-    since = [e for e in events if not begins or e["seq"] >= max(begins)]
+    starts = [e for e in events if e["kind"] == "start"]
+    begin = max(starts, key=lambda e: e["seq"]) if starts else None
     turns, reports, rated = [], [], None
-    for e in since:
-        if e["kind"] == "turn" and e["role"] is not None and e["content"] is not None:
-            turns.append({"from": "human" if e["role"] in ("user", "human") else "gpt", "value": e["content"]})
-        elif e["kind"] == "rate" and e["rating"] is not None and 1 <= e["rating"] <= 5:
+    for e in events:
+        if begin is not None and e["seq"] < begin["seq"]:
+            continue
+        if e["kind"] == "turn" and (turn := _turn(e)) is not None:
+            turns.append(turn)
+        elif e["kind"] == "rate" and e["rating"] is not None and 1 <= e["rating"] <= 5 and all(t in OUTCOME_TAGS for t in e["tags"] or []):
             rated = e
-        elif e["kind"] == "report":
-            reports.append({"category": e["category"], "description": e["description"], "turn_index": max(0, len(turns) - 1)})
-    return {"session_id": key, "conversations": turns, "user_rating": rated and int(rated["rating"]), "outcome_tags": rated and rated["tags"], "pain_points": reports, "ended": True}
+        elif e["kind"] == "report" and e["category"] in PAIN_POINT_CATEGORIES and (e["severity"] or "medium") in SEVERITIES and e["description"] is not None:
+            reports.append({"category": e["category"], "severity": e["severity"] or "medium", "description": e["description"], "turn_index": max(0, len(turns) - 1), "reproducible": None})
+    model = begin and begin["model"]
+    if model:
+        model = model | {"model_name": model["model_name"] or "unknown", "context_used": None}
+    return {
+        "session_id": key,
+        "conversations": turns,
+        "user_rating": rated and int(rated["rating"]),
+        "outcome_tags": rated and (rated["tags"] or []),
+        "user_comment": rated and (rated["comment"] or None),
+        "pain_points": reports,
+        "model": model,
+        "hardware": begin and begin["hardware"],
+        "created_at": pd.Timestamp(begin["at"]) if begin and begin["at"] else pd.NaT,
+        "ended": True,
+    }
+
+
+class Assembly(StatefulProcessor):
+    """Appends each event to its session's list; an end gives the session's row and clears the list, so do idle_ms without events."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.events = handle, handle.getListState("events", _EVENT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [{k: _plain(v) for k, v in r.items()} for frame in rows for r in frame.to_dict("records")]
+        if any(e["kind"] == "end" for e in new):
+            held = [json.loads(x[0]) for x in self.events.get()] + new
+            self.events.clear()
+            self._forget_timers()
+            yield pd.DataFrame([_row(key[0], sorted(held, key=lambda e: e["seq"]))])
+            return
+        self.events.appendList([(json.dumps(e),) for e in new])
+        if self.idle_ms is not None:
+            self._forget_timers()
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
+    def _forget_timers(self) -> None:
+        if self.idle_ms is not None:
+            for (timer,) in [tuple(t) if isinstance(t, tuple | list) else (t,) for t in self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
 
-def _on_events(idle_ms: int | None):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else []
-        for frame in frames:
-            held += [{k: _plain(v) for k, v in r.items()} for r in frame.to_dict("records")]
-        held.sort(key=lambda e: e["seq"])
-        if any(e["kind"] == "end" for e in held):
-            state.remove()
-            yield pd.DataFrame([_row(key[0], held)])
-        else:
-            state.update((json.dumps(held),))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.events.clear()
+        yield from ()
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def assemble_stream(events: DataFrame, idle_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """events: a stream with the columns of operators.sessions.EVENT. A session's state is dropped when it ends, or after idle_ms without events.
 
-    idle_ms None keeps state until the end. A finite run (availableNow) needs that: with a timeout by processing time,
-    Spark plans one more batch to look for idle sessions, and then another, without end.
+    idle_ms None keeps state until the end, as a finite run (availableNow) needs. The session has to be set to the state
+    store ROCKSDB.
 
     Events that arrive in the batch of the session's end, or before, count in the order of seq; those of later batches
     begin a new session.
     """
-    grouped = events.groupBy("session_id")
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return grouped.applyInPandasWithState(_on_events(idle_ms), SESSION, _STATE, "append", timeout)
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return events.groupBy("session_id").transformWithStateInPandas(Assembly(idle_ms), outputStructType=SESSION, outputMode="append", timeMode=mode)
