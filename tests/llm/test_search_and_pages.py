@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import html
+import os
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -102,6 +105,12 @@ CASES = [
     ("<article>cut <a href='x", "cut"),
     ("<p>address, header-like words and loads</p>", "address, header-like words and loads"),
     ("<div class='loads'><p>kept</p></div>", "kept"),
+    ("<article><p class='related-work'>a</p><h2 class='header'>b</h2><section id='notice'>c</section><p>body</p></article>", "a b c body"),
+    ("<article><header><h1>Title</h1></header><p>body</p><footer>f</footer><aside>n</aside></article>", "Title body"),
+    ("<header><h1>Site</h1></header><main><div class='social-bar'>tell</div><div class='related'>more</div><div class='related-work'>kept</div></main>", "kept"),
+    ("<p title=\"it's\">one</p><p title='x>two</p><p>three</p>", "one two three"),
+    ("<p title='a > b'>kept</p>", "kept"),
+    ("<div>x</span></b></div><p>y<p>z", "x y z"),
     ("", ""),
     (None, ""),
 ]
@@ -113,6 +122,79 @@ def test_blocks(spark):
     assert got == {i: t for i, (_, t) in enumerate(CASES)}
 
 
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<a '" * 250_000, "<a \"'" * 200_000, "<!--" * 250_000, "<b>" * 300_000 + "</i>" * 200_000, "<b>" * 100_000 + "<p></p>" * 100_000, "<script" * 100_000, "<script>" + "</script " * 100_000, "&" * 1_000_000, "<p " + "class=" * 150_000 + ">"])
+def test_a_hostile_page_costs_no_more_than_its_length(page):
+    began = time.perf_counter()
+    html_text.blocks(page)
+    assert time.perf_counter() - began < 3
+
+
+def test_long_sequences_are_aligned_in_bounded_memory():
+    r = random.Random(1)
+    a = [r.randrange(3000) for _ in range(12_000)]
+    b = [x for x in a if r.random() < 0.9]
+    tracemalloc.start()
+    assert len(html_text.common(a, b)) == len(b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # all rows would be 12,000 numbers of 10,800 bits and their masks
+
+
+def brute_lines(pages):
+    """page_id -> text: all pages of a host in order, plain tables of longest common subsequences."""
+
+    def lcs(a, b):
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            old, new = rows[-1], [0]
+            for j, y in enumerate(b):
+                new.append(old[j] + 1 if x == y else max(old[j + 1], new[j]))
+            rows.append(new)
+        out, i, j = set(), len(a), len(b)
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.add(i)
+        return out
+
+    rows = sorted((*html_text._host_path(p.url), p.page_id, html_text.blocks(p.html or "")) for p in pages)
+    out = {}
+    for k, (host, path, page_id, found) in enumerate(rows):
+        near = sorted((x for x in (rows[k - 1] if k else None, rows[k + 1] if k + 1 < len(rows) else None) if x and x[0] == host), key=lambda x: -len(os.path.commonprefix([path, x[1]])))
+        within = [i for i, x in enumerate(found) if x[1]]
+        judged, gone, copies = within or range(len(found)), None, []
+        for other in near:
+            if not other[3]:
+                continue
+            hit = lcs([x for x, _ in found], [x for x, _ in other[3]])
+            if sum(len(found[i][0]) for i in judged if i in hit) < (0.5 if within else 0.9) * sum(len(found[i][0]) for i in judged):
+                gone = hit
+                break
+            copies.append(hit)
+        if gone is None:
+            gone = set.intersection(*copies) - set(within) if copies else set()
+            gone = gone if len(gone) < len(found) else set()
+        out[page_id] = " ".join(x for i, (x, _) in enumerate(found) if i not in gone)
+    return out
+
+
+def test_pages_agree_with_brute_force(spark, sf_dir):
+    """The supplied pages on two hosts, each in a frame of its section without article elements, some of them copies."""
+    given = [p.html for p in spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").collect()]
+    rows = []
+    for i, h in enumerate(given):
+        inner = re.search(r"<article>(.*?)</article>", h, re.S)[1] if i % 7 else ""
+        frame = "".join(f"<div>Section {i % 3} entry {k}</div>" for k in range(i % 3 + 3))
+        copy = i % 5 == 4
+        rows.append((i, f"http://h{i % 2}.org/{i % 3}/{i // (2 if copy else 1)}", f"{frame}<div>{inner if not copy else given[i - 1]}</div><div>Written for section {i % 3}</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == brute_lines(df.collect())
+
+
 def test_frames_shared_with_the_nearest_page_go(spark):
     page = lambda *own: "<div>Site name</div><div>Home | News</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>All rights</div>"
     rows = [

@@ -1,16 +1,18 @@
 """Main text of web pages: nearest-URL differencing, with page structure as evidence.
 
 A page is cut into text blocks. Blocks in menus, headers, footers, sidebars, forms, adverts, notices and comments go by
-element, role and name. Each page is paired with its nearest page by URL path on the same host, both sequences of lines
-are aligned by longest common subsequence, and the shared lines, the site's frame, are deleted. Lines within an article
-or main element are text of the article unless differencing has good evidence: they go only where the shared ones hold
-less than COPY of the characters within, for otherwise the pages are copies, in whole or in part. A page without article
-or main of which all lines are shared is a copy too. A copy shows nothing about a frame; then such lines stay.
+element, role and name. Each page is paired with its nearest pages by URL path on the same host, both sequences of lines
+are aligned by longest common subsequence, and the shared lines, the site's frame, are deleted. The nearest page that
+isn't a copy decides, as a copy shows nothing about a frame. Pages are copies where the shared lines hold COPY or more of
+the characters within article or main, or, of a page without either, WHOLE or more of all its characters. A page that
+has only copies for neighbours keeps what is within article or main; without either it loses the lines that it shares
+with all of them, unless that were all.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import os.path
 import re
 from collections.abc import Iterator
@@ -34,17 +36,26 @@ CONTENT = frozenset(("article", "main"))
 #: Words in class or id, and roles, that name what isn't the article.
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Where a page's pair holds so large a share of the characters within its article or main, the pages are copies.
-COPY = 0.5
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Within article and main only these count, as a whole word of class or id, and not on headings, paragraphs and sections: there the author names things.
+NAMES_WITHIN = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies disqus menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Of these, the ones that count as a part of a word too.
+NAMES_OF_PARTS = NAMES_WITHIN - frozenset("menu navigation notice notices overlay related widget".split())
+AUTHORED = frozenset("p h1 h2 h3 h4 h5 h6 section header figure figcaption blockquote pre table article main".split())
+#: Where a page's pair holds so large a share of the characters within its article or main, or of all where it has neither, the pages are copies.
+COPY, WHOLE = 0.5, 0.9
+
+# Each alternative ends only where the page does or what it looks for is found, so a page is read once, whatever stands in it.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(.?)", re.S)
+# The same where a quotation mark has no partner: from there on they don't count.
+_TOKEN_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(.?)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_CUT = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
+_ENDINGS = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str, within: bool) -> bool:
+    """Whether an element and all in it isn't text of the article. within: it stands in an article or main element, whose own header holds its title."""
     if tag in DROPPED:
-        return True
+        return not (within and tag == "header")
     if tag in ("html", "body", "article", "main") or "=" not in attributes:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -52,6 +63,9 @@ def _unwanted(tag: str, attributes: str) -> bool:
         if name.lower() == "role":
             if words in ROLES:
                 return True
+        elif within:
+            if tag not in AUTHORED and (not NAMES_WITHIN.isdisjoint(words.split()) or not NAMES_OF_PARTS.isdisjoint(re.split(r"[\s_-]+", words))):
+                return True
         elif not NAMES.isdisjoint(re.split(r"[\s_-]+", words)):
             return True
     return "hidden" in attributes.split() or 'aria-hidden="true"' in attributes
@@ -59,11 +73,11 @@ def _unwanted(tag: str, attributes: str) -> bool:
 
 def blocks(page: str) -> list[tuple[str, bool]]:
     """(text, whether it lies in an article or main element) of all blocks that structure doesn't rule out, in page order."""
-    page = _CUT.sub("", page)  # a tag cut off at the end of the page
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements; whether each is ruled out
-    ruled_out, content, at = 0, 0, 0
+    opened: dict[str, int] = {}
+    ruled_out, content, at, token = 0, 0, 0, _TOKEN
 
     def end_block() -> None:
         if parts:
@@ -77,42 +91,48 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         for name, bad in stack[upto:]:
             ruled_out -= bad
             content -= name in CONTENT
+            opened[name] -= 1
         del stack[upto:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    while (m := token.search(page, at)) is not None:
+        if m[2] is not None and m[4] in ("'", '"'):  # a quotation mark without partner
+            token = _TOKEN_PLAIN
             continue
         if m.start() > at and not ruled_out:
             parts.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
+        if not m[4]:  # a tag cut off at the end of the page
+            break
         tag = m[2].lower()
         if tag not in INLINE:
             end_block()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in DROPPED and tag in INLINE:
-                    break
+            if opened.get(tag):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        close(i)
+                        break
+                    if stack[i][0] in DROPPED and tag in INLINE:
+                        break
             continue
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "script", "iframe"):
             continue
         if tag in RAW:
-            ending = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            ending = _ENDINGS[tag].search(page, at)
             at = ending.end() if ending else len(page)
             continue
-        if tag == "p":  # a paragraph ends where the next begins
+        if tag == "p" and opened.get("p"):  # a paragraph ends where the next begins
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     close(i)
                     break
                 if stack[i][0] not in INLINE:
                     break
-        bad = _unwanted(tag, m[3])
+        bad = _unwanted(tag, m[3], content > 0)
         stack.append((tag, bad))
+        opened[tag] = opened.get(tag, 0) + 1
         ruled_out += bad
         content += tag in CONTENT
     if not ruled_out and at < len(page):
@@ -136,21 +156,34 @@ def common(a: list[int], b: list[int]) -> set[int]:
     masks: dict[int, int] = {}
     for j, x in enumerate(right):
         masks[x] = masks.get(x, 0) | 1 << j
-    full, row, rows = (1 << len(right)) - 1, (1 << len(right)) - 1, []
-    for i in left:
-        rows.append(row)
-        u = row & masks.get(a[i], 0)
-        row = ((row + u) | (row - u)) & full
+    full = (1 << len(right)) - 1
+
+    def after(row: int, i: int) -> int:
+        u = row & masks.get(a[left[i]], 0)
+        return ((row + u) | (row - u)) & full
+
+    # rows are kept at every step-th item only and made again from there, so that memory grows with the root of the length
+    step = max(1, math.isqrt(len(left)))
+    kept, row = [], full
+    for i in range(len(left)):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, i)
+    part: list[int] = []
     # bit j of a row is 0 where the length grows at column j
     length = lambda r, j: j - (r & ((1 << j) - 1)).bit_count()
     j = len(right)
     for k in range(len(left) - 1, -1, -1):
-        after = row if k == len(left) - 1 else rows[k + 1]
-        if length(after, j) == length(rows[k], j):
+        if k % step == step - 1 or k == len(left) - 1:
+            part = [kept[k // step]]
+            for i in range(k - k % step, k + 1):
+                part.append(after(part[-1], i))
+        before, now = part[k % step], part[k % step + 1]
+        if length(now, j) == length(before, j):
             continue
         found.add(left[k])
-        want = length(rows[k], j)
-        while j and length(rows[k], j - 1) == want and length(after, j - 1) > want:
+        want = length(before, j)
+        while j and length(before, j - 1) == want and length(now, j - 1) > want:
             j -= 1
         j -= 1
     return found
@@ -179,53 +212,50 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (host, path, page_id) -> each with its neighbours in the partition; null at its ends."""
-    before = None
-    for batch in batches:
-        rows = list(zip(*(ta.column(batch, c).to_pylist() for c in ("host", "path", "page_id")), strict=True))
-        for row in rows:
-            if before is not None:
-                yield _link(*before, row)
-            before = (before[1] if before is not None else None, row)
-    if before is not None:
-        yield _link(*before, None)
-
-
 _NEAR = ["host", "path", "page_id", "host0", "path0", "page0", "host1", "path1", "page1"]
+_NONE = (None, None, None)
 
 
-def _link(before, row, after) -> pa.RecordBatch:
-    values = [*row, *(before or (None,) * 3), *(after or (None,) * 3)]
-    kinds = [pa.string(), pa.string(), pa.int64()] * 3
-    return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=_NEAR)
-
-
-def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (host, path, page_id) -> each with its neighbours in the partition; null at its ends."""
+    held: list[tuple] = []  # the last row, and the one before it
+
+    def linked(rows: list[tuple], last: bool) -> pa.RecordBatch | None:
+        first = 0 if not before_known else 1
+        stop = len(rows) if last else len(rows) - 1
+        if first >= stop:
+            return None
+        out = [(*rows[i], *(rows[i - 1] if i else _NONE), *(rows[i + 1] if i + 1 < len(rows) else _NONE)) for i in range(first, stop)]
+        kinds = [pa.string(), pa.string(), pa.int64()] * 3
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_NEAR)
+
+    before_known = False
     for batch in batches:
-        held.append(batch)
-        if len(held) >= 4096:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _mate(host: str, path: str, near: list[tuple]) -> int | None:
-    """Of the neighbours on the same host, the one with the longest common start of the path; the earlier wins ties."""
+        rows = held + list(zip(*(ta.column(batch, c).to_pylist() for c in ("host", "path", "page_id")), strict=True))
+        if (out := linked(rows, last=False)) is not None:
+            yield out
+        if len(rows) > 1:
+            held, before_known = rows[-2:], True
+        else:
+            held = rows
+    if held and (out := linked(held, last=True)) is not None:
+        yield out
+
+
+def _ranked(host: str, path: str, near: list[tuple]) -> list[int]:
+    """The neighbours on the same host, the one with the longest common start of the path first; the earlier wins ties."""
     near = [x for x in near if x[2] is not None and x[0] == host]
-    return max(near, key=lambda x: len(os.path.commonprefix([path, x[1]])))[2] if near else None
+    return [x[2] for x in sorted(near, key=lambda x: -len(os.path.commonprefix([path, x[1]])))]
 
 
 def nearest(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """keys(host, path, page_id) -> (page_id, mate): the neighbour in the order of all keys, however they are partitioned.
+    """keys(host, path, page_id) -> (page_id, mate, rank): the neighbours in the order of all keys, the nearest first, however they are partitioned.
 
     The keys are range-partitioned, so a host may have any share of them. Neighbours across two partitions' ends come
     from the ends alone, two rows a partition.
     """
     chained = keys.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    chained = scratch.save(chained.mapInArrow(lambda it: _batched(_chain(it)), "host string, path string, page_id long, host0 string, path0 string, page0 long, host1 string, path1 string, page1 long"), "chain")
+    chained = scratch.save(chained.mapInArrow(_chain, "host string, path string, page_id long, host0 string, path0 string, page0 long, host1 string, path1 string, page1 long"), "chain")
     ends = sorted((tuple(r) for r in chained.where("page0 is null or page1 is null").collect()), key=lambda r: (r[0], r[1], r[2], r[5] is not None, r[8] is None))
     fixed = []
     for i, r in enumerate(ends):
@@ -239,24 +269,38 @@ def nearest(keys: DataFrame, scratch: Scratch) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            found = [(r[2], _mate(r[0], r[1], [r[3:6], r[6:9]])) for r in rows]
-            found = [x for x in found if x[1] is not None and x[1] != x[0]]
+            found = [(r[2], mate, k) for r in rows for k, mate in enumerate(_ranked(r[0], r[1], [r[3:6], r[6:9]])) if mate != r[2]]
             if found:
-                yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["page_id", "mate"])
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["page_id", "mate", "rank"])
+
+    return whole.select(*_NEAR).mapInArrow(pick, "page_id long, mate long, rank int")
+
 
-    return whole.select(*_NEAR).mapInArrow(pick, "page_id long, mate long")
+def shared_lines(lines: list[int], inside: list[bool], sizes: list[int], mates: list[list[int]]) -> set[int]:
+    """Numbers of the lines that go. mates: the lines of the neighbours, the nearest first."""
+    within = {i for i, x in enumerate(inside) if x}
+    total = sum(sizes[i] for i in within) if within else sum(sizes)
+    least = COPY if within else WHOLE
+    copies = []
+    for others in filter(len, mates):
+        gone = common(lines, others)
+        held = sum(sizes[i] for i in gone if i in within or not within)
+        if held < least * total:
+            return gone
+        copies.append(gone)
+    if not copies:
+        return set()
+    gone = set.intersection(*copies) - within
+    return gone if len(gone) < len(lines) else set()
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page_id, page, gone): numbers of the blocks that go, of pages where some do."""
     for batch in batches:
         out = []
-        for page_id, page, lines, inside, sizes, others in zip(*(ta.column(batch, c).to_pylist() for c in ("page_id", "page", "lines", "inside", "sizes", "others")), strict=True):
-            gone = common(lines, others)
-            within = [i for i, x in enumerate(inside) if x]
-            if sum(sizes[i] for i in within if i in gone) >= COPY * sum(sizes[i] for i in within):
-                gone -= set(within)
-            if len(gone) < len(lines) and gone:
+        for page_id, page, lines, inside, sizes, one, two in zip(*(ta.column(batch, c).to_pylist() for c in ("page_id", "page", "lines", "inside", "sizes", "lines0", "lines1")), strict=True):
+            gone = shared_lines(lines, inside, sizes, [x for x in (one, two) if x is not None])
+            if gone:
                 out.append((page_id, page, sorted(gone)))
         if out:
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["page_id", "page", "gone"])
@@ -273,11 +317,14 @@ def extract(pages: DataFrame) -> DataFrame:
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = scratch.save(plain.mapInArrow(_parse, "page_id long, url string, blocks array<string>, lines array<long>, inside array<boolean>, sizes array<int>, host string, path string"), "parsed")
     parsed = parsed.withColumn("page", F.xxhash64("lines", "inside"))
-    mates = nearest(parsed.where("page_id is not null").select("host", "path", "page_id"), scratch).groupBy("page_id").agg(F.min("mate").alias("mate"))
+    mate = lambda rank: F.min(F.when(F.col("rank") == rank, F.col("mate"))).alias(f"mate{rank}")
+    mates = nearest(parsed.where("page_id is not null").select("host", "path", "page_id"), scratch).groupBy("page_id").agg(mate(0), mate(1))
     # only the lines' hashes move here; texts move only where lines go
-    lined = parsed.where("page_id is not null and size(lines) > 0").select("page_id", "page", "lines", "inside", "sizes")
-    others = lined.groupBy(F.col("page_id").alias("mate")).agg(F.min("lines").alias("others"))
-    gone = lined.join(mates, "page_id").join(others, "mate").select("page_id", "page", "lines", "inside", "sizes", "others")
+    lined = parsed.where("page_id is not null and size(lines) > 0").select("page_id", "page", "lines", "inside", "sizes").join(mates, "page_id")
+    others = parsed.where("page_id is not null").groupBy("page_id").agg(F.min("lines").alias("l"))
+    for k in range(2):
+        lined = lined.join(others.select(F.col("page_id").alias(f"mate{k}"), F.col("l").alias(f"lines{k}")), f"mate{k}", "left")
+    gone = lined.select("page_id", "page", "lines", "inside", "sizes", "lines0", "lines1")
     gone = gone.mapInArrow(_difference, "page_id long, page long, gone array<int>").groupBy("page_id", "page").agg(F.min("gone").alias("gone"))
     gone = scratch.save(gone, "gone")
     plain = parsed.select("page_id", "url", "blocks", "page")
