@@ -48,13 +48,45 @@ def test_language_held_out_accuracy(spark, sf_dir):
 
 def test_a_document_gets_the_mean_over_its_letters():
     net = language.Network.new(2)
-    w = ta.words(pa.array(["ab 1 cdé ab", ""]), lower=True, hashed=False)
-    row, sums, letters = language._labels(net, 123, w)
-    want = np.zeros(2)
-    for word in ("ab", "cdé", "ab"):
-        b = np.frombuffer(word.encode(), dtype=np.uint8)[None]
-        want += net.label(b, np.array([b.shape[1]]))[:, 0].sum(axis=0)
-    assert np.allclose(sums[row == 0].sum(axis=0), want, atol=1e-5) and letters.sum() == 8
+    texts = ["ab 1 CDé, ab", "", "1 !"]
+    row, sums, letters = language._labels(net, 123, language.chunks(pa.array(texts)))
+    b = np.frombuffer("ab cdé ab".encode(), dtype=np.uint8)[None]
+    labels = net.label(b, np.array([b.shape[1]]))[:, 0]
+    want = labels[[i for i, x in enumerate(b[0]) if x != 32]].sum(axis=0)
+    assert np.allclose(sums[row == 0].sum(axis=0), want, atol=1e-5) and letters.sum() == 8 and set(row) == {0}
+
+
+def test_chunks_tile_texts_at_the_edges_of_characters():
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("aé日😀 1"), int(n))) for n in r.integers(0, 900, 40)] + ["", "x" * language.CHUNK, "日" * 500]
+    c = language.chunks(pa.array(texts))
+    for i, text in enumerate(texts):
+        cores = []
+        for k in np.flatnonzero(c.row == i):
+            c.data[c.start[k] : c.start[k] + c.length[k]].tobytes().decode()  # whole characters
+            cores.append(c.data[c.start[k] + c.low[k] : c.start[k] + c.high[k]].tobytes().decode())
+            assert c.length[k] <= language.CHUNK + 2 * language.CONTEXT + 6
+        assert "".join(cores) == re.sub("[\0-@\\[-`{-\x7f]+", " ", text.translate({k: k + 32 for k in range(65, 91)})).lstrip(" ")
+
+
+def test_a_label_depends_on_what_stands_beyond_the_word():
+    net = language.Network.new(2)
+    sums = [language._labels(net, k, language.chunks(pa.array([f"{w} and so on"])))[1] for k, w in enumerate(("abc", "xyz"))]
+    b = [np.frombuffer(f"{w} and so on".encode(), dtype=np.uint8)[None] for w in ("abc", "xyz")]
+    far = [net.label(x, np.array([x.shape[1]]))[6, 0] for x in b]
+    assert not np.allclose(sums[0], sums[1], atol=1e-6) and not np.allclose(far[0], far[1], atol=1e-7)
+
+
+def test_languages_without_spaces_told_by_the_order_of_characters(spark):
+    """Both languages use the same characters as often; only what follows on what tells them apart."""
+    r, rows = np.random.default_rng(5), []
+    for i in range(240):
+        text, lang = "", i % 2
+        for _ in range(60):
+            text += ("日月火", "月日火")[lang] if r.random() < 0.8 else ("月日火", "日月火")[lang]
+        rows.append((i, text, "xy"[lang]))
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert np.mean([x.lang_pred == "xy"[x.doc_id % 2] for x in got if x.held_out]) > 0.9
 
 
 def test_language_of_odd_rows(make_docs):
@@ -93,6 +125,58 @@ def test_toxicity_held_out_accuracy(labelled):
     assert 0 < len(at) < 2000  # sparse: the documents have over 100,000 n-grams
 
 
+def test_toxicity_agrees_with_brute_force(spark, sf_dir):
+    """Plain loops over dictionaries, on the supplied labels: the same scores."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    u = np.uint64
+
+    def hashed(word):
+        b = np.frombuffer(word, dtype=np.uint8)
+        return ta.hashes(b, np.array([0]), np.array([len(b)]))[0]
+
+    def cells(text):
+        w = [x.lower().encode() for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        h = [hashed(x) for x in w]
+        out = {int(ta.mix(np.array([x ^ u(1)]))[0]) for x in h}
+        out |= {int(ta.mix(np.array([hashed(x[:n]) ^ u(n)]))[0]) for x in w for n in toxicity.STEMS if len(x) > n}
+        for gap, salt in ((1, 12), (2, 13)):
+            out |= {int(ta.mix(np.array([h[i]]) * u(3) + ta.mix(np.array([h[i + gap] ^ u(salt)])))[0]) for i in range(len(h) - gap)}
+        return sorted({x % toxicity.CELLS for x in out})
+
+    texts, marks = {d.doc_id: cells(d.text) for d in docs.collect()}, {}
+    for x in labels.collect():
+        if x.toxic is not None and not held(x.doc_id) and x.doc_id in texts:
+            marks[x.doc_id] = max(marks.get(x.doc_id, 0), int(x.toxic == 1))
+    z, n, order = {}, {}, sorted(marks)
+
+    def weight(k):
+        l1 = 0.0 if k == "bias" else toxicity.L1
+        zk = z.get(k, 0.0)
+        return 0.0 if abs(zk) <= l1 else -(zk - np.sign(zk) * l1) / ((toxicity.BETA + n.get(k, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    score = lambda own: 1 / (1 + np.exp(-np.clip(sum(map(weight, [*own, "bias"])), -35, 35)))
+    r = np.random.default_rng(3)
+    for _ in range(toxicity.EPOCHS):
+        for i in r.permutation(len(order)):
+            own = texts[order[i]]
+            g = score(own) - marks[order[i]]
+            for k, w in [(k, weight(k)) for k in [*own, "bias"]]:
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / toxicity.ALPHA * w
+                n[k] = n.get(k, 0.0) + g * g
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(texts) and all(abs(x.score - score(texts[x.doc_id])) < 1e-6 for x in got)
+
+
+def test_toxicity_reads_all_documents_in_parallel(labelled):
+    docs, labels, _ = labelled
+    rows = toxicity.training_texts(docs.repartition(7), labels.union(labels))
+    assert rows.count() == rows.select("doc_id").distinct().count()
+    plan = rows.repartition(1)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.index("Exchange SinglePartition") < plan.index("BroadcastHashJoin")
+    twice = docs.union(docs.selectExpr("doc_id", "text || ' more'"))
+    assert toxicity.training_texts(twice, labels).count() == rows.count()
+
+
 def test_toxicity_doesnt_learn_from_held_out_labels(labelled):
     docs, labels, _ = labelled
     flipped = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - toxic else toxic end as toxic")

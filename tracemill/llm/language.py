@@ -1,15 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word (longer words in pieces of PIECE bytes) from both ends and labels every byte with
-a probability of each language; a document's probabilities are the mean over all its letters' bytes. Words are read one
-by one, so a word met again in a batch, or lately by the same worker, isn't computed again: its labels are the same.
-Training is backpropagation through time in numpy, on words of a bounded sample of labelled documents.
+A text is read as its letters, with one blank for each run of anything else, in chunks of CHUNK bytes cut at the edges of
+characters, whatever spaces they hold; the network reads CONTEXT bytes more on either side of a chunk. It reads from both
+ends and labels every byte with a probability of each language; a document's probabilities are the mean over all its
+letters' bytes. A chunk met again in a batch, or lately by the same worker, as in copies, isn't computed again. Training
+is backpropagation through time in numpy, on chunks of a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +21,65 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .shared import held_out, short_batches
 
-#: Bytes of a piece; hidden units for each direction; documents the network learns from, in all and for one language.
-PIECE, HIDDEN, SAMPLE, SAMPLE_LANG = 16, 16, 2000, 400
-STEPS, BATCH, RATE = 300, 512, 0.02
-#: Words whose labels a worker remembers.
-REMEMBERED = 1 << 19
+#: Bytes of a chunk and beside it; hidden units for each direction; documents the network learns from, in all and for one language, and chunks of one of them.
+CHUNK, CONTEXT, HIDDEN, SAMPLE, SAMPLE_LANG, SAMPLE_CHUNKS = 96, 8, 12, 2000, 400, 16
+STEPS, BATCH, RATE = 200, 96, 0.03
+#: Chunks computed at once, and chunks whose labels a worker remembers.
+AT_ONCE, REMEMBERED = 768, 1 << 16
 UNKNOWN = "und"
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _ASCII_LETTER = _LETTER & (np.arange(256) < 128)
 
 
-def pieces(w: ta.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and text number of the pieces of all words."""
-    size = w.end - w.start
-    parts = -(-size // PIECE)
-    first = np.repeat(np.cumsum(parts) - parts, parts)
-    start = np.repeat(w.start, parts) + (np.arange(parts.sum()) - first) * PIECE
-    return start, np.minimum(PIECE, np.repeat(w.end, parts) - start), np.repeat(w.row, parts)
+@dataclass
+class Chunks:
+    """Letters of texts and their chunks: start and length of what is read, start and end within it of what counts, and the text it belongs to."""
+
+    data: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    row: np.ndarray
+
+
+def _edge(data: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """at, moved on to the next edge of a character, within [least, most]."""
+    at = np.clip(at, least, most)
+    for _ in range(3):
+        inner = (at < most) & ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
+        at = at + inner
+    return at
+
+
+def chunks(texts: pa.Array) -> Chunks:
+    """A-Z count as a-z; runs of ASCII that isn't a letter count as one blank, or nothing at the start."""
+    data, at = ta.raw(texts)
+    data = ta.lowered(data)
+    letter = _LETTER[data]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    begin = at[:-1][at[:-1] < len(data)]
+    keep[begin] = letter[begin]
+    at = np.concatenate([[0], np.cumsum(keep)])[at]
+    data = np.where(letter, data, np.uint8(32))[keep]
+    size = np.diff(at)
+    parts = -(-size // CHUNK)
+    row = np.repeat(np.arange(len(size)), parts)
+    if not len(row):
+        none = np.zeros(0, np.int64)
+        return Chunks(data, none, none, none, none, none)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first, last = at[:-1][row], at[1:][row]
+    low = _edge(data, first + number * CHUNK, first, last)
+    high = _edge(data, first + (number + 1) * CHUNK, first, last)
+    start, stop = _edge(data, low - CONTEXT, first, last), _edge(data, high + CONTEXT, first, last)
+    return Chunks(data, start, stop - start, low - start, high - start, row)
 
 
 def matrix(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Bytes of each piece in a row, 0 beyond its end."""
+    """Bytes of each chunk in a row, 0 beyond its end."""
     at = np.arange(int(length.max(initial=1)))
     out = data[np.minimum(start[:, None] + at, max(0, len(data) - 1))]
     out[at >= length[:, None]] = 0
@@ -72,25 +111,28 @@ class Network:
         k = u.shape[0]
         out = np.empty((x.shape[1], x.shape[0], k), dtype=np.float32)
         h = np.zeros((x.shape[0], k), dtype=np.float32)
+        shortest = int(length.min(initial=0))
         for t in range(x.shape[1]) if way == "f" else range(x.shape[1] - 1, -1, -1):
             g, a = table[x[:, t]], h @ u
             gates = _sigmoid(g[:, : 2 * k] + a[:, : 2 * k])
             z, r = gates[:, :k], gates[:, k:]
             n = np.tanh(g[:, 2 * k :] + r * a[:, 2 * k :])
             inside = (t < length)[:, None]
-            new = np.where(inside, n + z * (h - n), h)
+            new = n + z * (h - n)
+            if t >= shortest:
+                new = np.where(inside, new, h)
             if keep is not None:
                 keep.append((t, h, z, r, n, a[:, 2 * k :], inside))
             out[t] = h = new
         return out
 
     def label(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Probabilities by step, piece and language."""
+        """Probabilities by step, chunk and language."""
         both = np.concatenate([self.states(x, length, "f"), self.states(x, length, "b")], axis=2)
         return _softmax(both @ self.p["v"] + self.p["c"])
 
     def gradients(self, x: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over all bytes within the pieces, and its gradients by backpropagation through time."""
+        """Mean cross entropy over all bytes within the chunks, and its gradients by backpropagation through time."""
         kept: dict[str, list] = {"f": [], "b": []}
         both = np.concatenate([self.states(x, length, w, kept[w]) for w in "fb"], axis=2)
         p = _softmax(both @ self.p["v"] + self.p["c"])
@@ -116,14 +158,12 @@ class Network:
                 da = np.concatenate([dz, dr, pre * r], axis=1)
                 carry = stay + dn * z + da @ u.T
                 du += h.T @ da
-                one = np.zeros((len(y), 256), dtype=np.float32)
-                one[np.arange(len(y)), x[:, t]] = 1
-                dt += one.T @ np.concatenate([dz, dr, pre], axis=1)
+                np.add.at(dt, x[:, t], np.concatenate([dz, dr, pre], axis=1))
             out |= {f"u{way}": du, f"t{way}": dt}
         return loss, out
 
     def fit(self, x: np.ndarray, length: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 2) -> Network:
-        """Adam on batches with as many pieces of each language."""
+        """Adam on batches with as many chunks of each language."""
         r = np.random.default_rng(seed)
         of = [np.flatnonzero(y == k) for k in range(self.p["c"].size)]
         one, two = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
@@ -155,14 +195,22 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _train(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
     number = {k: i for i, k in enumerate(languages)}
     rows = sorted((str(i), text or "", number[lang]) for b in batches for i, text, lang in zip(*(ta.column(b, c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True))
-    w = ta.words(pa.array([x[1] for x in rows], pa.string()), lower=True, hashed=False)
-    start, length, row = pieces(w)
-    keep = np.add.reduceat(_LETTER[w.data].astype(np.int64), start)[: len(start)] > 0 if len(start) else np.zeros(0, bool)
-    start, length, row = start[keep], length[keep], row[keep]
-    y = np.array([x[2] for x in rows], dtype=np.int64)[row] if len(row) else np.zeros(0, np.int64)
     net = Network.new(len(languages))
-    if len(y):
-        net.fit(matrix(w.data, start, length), length, y)
+    found, y = [], []
+    for some in (rows[i : i + 256] for i in range(0, len(rows), 256)):
+        c = chunks(pa.array([x[1] for x in some], pa.large_string()))
+        number_in = np.arange(len(c.row)) - np.searchsorted(c.row, c.row)
+        step = np.maximum(1, -(-np.bincount(c.row, minlength=len(some)) // SAMPLE_CHUNKS))[c.row]
+        letters = np.concatenate([[0], np.cumsum(_LETTER[c.data])])
+        take = (number_in % step == 0) & (letters[c.start + c.length] > letters[c.start])  # SAMPLE_CHUNKS of a document, all over it
+        wide = CHUNK + 2 * CONTEXT + 6
+        x = np.zeros((int(take.sum()), wide), np.uint8)
+        own = matrix(c.data, c.start[take], c.length[take])
+        x[:, : own.shape[1]] = own
+        found.append((x, c.length[take]))
+        y.append(np.array([x[2] for x in some], dtype=np.int64)[c.row[take]])
+    if y and sum(map(len, y)):
+        net.fit(np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found]), np.concatenate(y))
     yield pa.record_batch([pa.array([net.dump()], pa.binary())], names=["model"])
 
 
@@ -180,44 +228,47 @@ def train(docs: DataFrame) -> tuple[list[str], bytes] | None:
     each = min(SAMPLE_LANG, max(1, SAMPLE // len(counts)))
     scale = 1 << 30
     rate = F.coalesce(*(F.when(F.col("lang") == k, F.lit(max(1, int(min(1.0, each / n) * scale)))) for k, n in sorted(counts.items())))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(scale)) < rate).limit(2 * SAMPLE + 2 * len(counts))
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(scale)) < rate).limit(2 * SAMPLE + 2 * len(counts))
     languages = sorted(counts)
-    return languages, sample.coalesce(1).mapInArrow(lambda it: _train(it, languages), "model binary").first().model
+    return languages, sample.repartition(1).mapInArrow(lambda it: _train(it, languages), "model binary").first().model
 
 
 _memory: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _labels(net: Network, model: int, w: ta.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each piece: its text's number, the sums of its letters' probabilities, and how many bytes of letters it has."""
-    start, length, row = pieces(w)
-    if not len(start):
-        return row, np.zeros((0, net.p["c"].size)), np.zeros(0)
-    name = ta.hashes(w.data, start, start + length)
+def _labels(net: Network, model: int, c: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each chunk: its text's number, the sums of its letters' probabilities, and how many bytes of letters it has."""
+    languages = net.p["c"].size
+    if not len(c.start):
+        return c.row, np.zeros((0, languages)), np.zeros(0)
+    # a chunk's name: what is read, and what of it counts
+    name = ta.mix(ta.window_sums(c.data, c.start, c.length) ^ (c.low * 4099 + c.high).astype(np.uint64))
     unique, first, back = np.unique(name, return_index=True, return_inverse=True)
-    known, sums = _memory.get(model, (np.zeros(0, np.uint64), np.zeros((0, net.p["c"].size + 1), np.float32)))
+    known, sums = _memory.get(model, (np.zeros(0, np.uint64), np.zeros((0, languages + 1), np.float32)))
     at = np.searchsorted(known, unique)
     met = known[np.minimum(at, len(known) - 1)] == unique if len(known) else np.zeros(len(unique), bool)
-    out = np.zeros((len(unique), net.p["c"].size + 1), dtype=np.float32)
+    out = np.zeros((len(unique), languages + 1), dtype=np.float32)
     out[met] = sums[at[met]]
     todo = np.flatnonzero(~met)
-    todo = todo[np.argsort(length[first[todo]], kind="stable")]
-    for some in np.array_split(todo, max(1, len(todo) // 4096)):
+    todo = todo[np.argsort(c.length[first[todo]], kind="stable")]
+    for some in np.array_split(todo, max(1, -(-len(todo) // AT_ONCE))):
         if not len(some):
             continue
-        n = length[first[some]]
-        x = matrix(w.data, start[first[some]], n)
-        letters = _LETTER[x] & (np.arange(x.shape[1]) < n[:, None])
+        own = first[some]
+        n = c.length[own]
+        x = matrix(c.data, c.start[own], n)
+        place = np.arange(x.shape[1])
+        letters = _LETTER[x] & (place >= c.low[own][:, None]) & (place < c.high[own][:, None])
         out[some, :-1] = np.einsum("tnl,nt->nl", net.label(x, n), letters.astype(np.float32), optimize=True)
         out[some, -1] = letters.sum(axis=1)
     if len(todo):
         if len(known) + len(todo) > REMEMBERED:
             known, sums = known[:0], sums[:0]
-        names = np.concatenate([known, unique[todo]])
+        names = np.concatenate([known, unique[todo]])[:REMEMBERED]
         order = np.argsort(names, kind="stable")
         _memory.clear()
-        _memory[model] = (names[order], np.concatenate([sums, out[todo]])[order])
-    return row, out[back, :-1], out[back, -1]
+        _memory[model] = (names[order], np.concatenate([sums, out[todo]])[:REMEMBERED][order])
+    return c.row, out[back, :-1], out[back, -1]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], languages: list[str], packed, kept: list[str]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +276,7 @@ def _predict(batches: Iterator[pa.RecordBatch], languages: list[str], packed, ke
     names = np.array([*languages, UNKNOWN], dtype=object)
     for run in ta.runs(batches):
         texts = ta.column(run, "text")
-        w = ta.words(texts, lower=True, hashed=False)
-        row, sums, letters = _labels(net, model, w)
+        row, sums, letters = _labels(net, model, chunks(texts))
         total = np.stack([np.bincount(row, sums[:, k], minlength=run.num_rows) for k in range(len(languages))], axis=1) / np.maximum(1, np.bincount(row, letters, minlength=run.num_rows))[:, None]
         data, at = ta.raw(texts)
         count = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,22 +17,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one of a local session, as in tests; on a cluster, an error."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not named:
-        set_before = spark.sparkContext.getCheckpointDir()
-        named = set_before or f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
-        if not set_before:
-            spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 class Scratch:
-    """Intermediate results as Parquet in the shared folder: they cut lineage and outlive executors."""
+    """Intermediate results as Parquet in the shared folder: they cut lineage and outlive executors.
+
+    A result is read when its query runs, so its tables stay until then; all folders go when the driver's process ends.
+    """
 
     def __init__(self, spark: SparkSession):
         short_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/tracemill-{uuid.uuid4().hex}", 0
+        atexit.register(self._remove)
+
+    def _remove(self) -> None:
+        """Deletes the folder, if its session still runs."""
+        if self.n and self.spark.sparkContext._jsc is not None:
+            try:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            except Exception:  # noqa: BLE001  the JVM went first; the folder is named for whoever cleans the shared one
+                return
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1

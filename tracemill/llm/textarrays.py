@@ -43,6 +43,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOWER[data]
+
+
 @dataclass
 class Words:
     """Words of consecutive texts: byte range and 64-bit hash of each; first[i]:first[i + 1] are those of text i."""
@@ -116,6 +121,15 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def window_sums(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range of up to a few hundred bytes; the ranges may overlap."""
+    out = np.zeros(len(start), dtype=_U)
+    for k in range(int(length.max(initial=0))):
+        inside = k < length
+        out[inside] += _BYTE[data[start[inside] + k]] * _POWER[k]
+    return mix(out)
+
+
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word and hash of each n consecutive words of one text, in order."""
     if len(w.hash) < n:

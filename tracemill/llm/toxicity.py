@@ -84,16 +84,26 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([at], pa.list_(pa.int64())), pa.array([w], pa.list_(pa.float64())), pa.array([bias])], names=["at", "w", "bias"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Cells, weights and bias, learnt in one task from at most about SAMPLE documents of each label that aren't held out."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of at most about SAMPLE documents of each label that aren't held out, a row per doc_id.
+
+    A document labelled more than once is toxic if any label says so; of several texts with one doc_id the first in
+    order serves. All documents are read in parallel and met with the ids, at most 3 * SAMPLE short rows; what remains
+    is aggregated before anything moves to one task.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     is_toxic = F.col("toxic") == 1
     counts = {r.y: r.n for r in known.groupBy(is_toxic.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     scale = 1 << 30
     rate = F.when(is_toxic, F.lit(int(min(1.0, SAMPLE / max(1, counts.get(True, 0))) * scale))).otherwise(F.lit(int(min(1.0, SAMPLE / max(1, counts.get(False, 0))) * scale)))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(scale)) < rate).limit(3 * SAMPLE)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # at most 3 * SAMPLE short rows
-    rows = texts.coalesce(1).mapInArrow(_train, "at array<bigint>, w array<double>, bias double").collect()
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Cells, weights and bias, learnt in one task from training_texts()."""
+    rows = training_texts(docs, labels).repartition(1).mapInArrow(_train, "at array<bigint>, w array<double>, bias double").collect()
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
     return np.array(rows[0].at, dtype=np.int64), np.array(rows[0].w), rows[0].bias
@@ -116,7 +126,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...), labels(doc_id, toxic) -> (doc_id, held_out, score, predicted), one row for each row of docs.
 
     Only text is scored; a null or empty text gets the bias's score. Labels that are null, or of held-out or unknown
-    documents, teach nothing; a document labelled twice counts twice. Without any label all scores are 0.5. Rows are
+    documents, teach nothing; a document labelled twice counts once, as toxic if any label says so. Without any label all scores are 0.5. Rows are
     independent, so repeated rows and missing ids are harmless. An empty table gives no rows.
     """
     short_batches(docs.sparkSession)
