@@ -1,18 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval, then sequence and answer checks.
 
-Benchmark texts are cut into passages of up to WINDOW words, dealt into groups of about three quarters of RANK passages.
-The TF-IDF vectors of a group, with document frequencies over all documents, get a randomised SVD: tasks multiply their
-passages by random signs, and once more by an orthonormal basis, and only sums by word cell reach the driver. Windows of
-every document are compared with all passages by cosine in the latent space of each group. A window whose weight lies mostly in words of no passage can't reach the least cosine, whatever its
-latent vector; such windows are left out by that bound. What is found is a candidate; it counts as a leak if the
-passage's words stand there in order, all but a few, by longest common subsequence, and if the answer, where a
-benchmark has answers and the words were changed, stands there too.
-
-A group with more passages than RANK (a long item is never divided) can leave a passage too little of its length in the
-latent space, and an item shorter than a window is diluted by what stands around it. Such items are looked up by their
-rarest words as well: so many of them that a place which holds the share ORDER of an item in order can't miss all but a
-few. Whatever its length or words, an item that stands unchanged in a text is found by its rarest word and a comparison
-of all others.
+Benchmark texts are cut into passages of up to WINDOW words, dealt into groups of three quarters of RANK passages; the
+rest of a group are windows of documents, a sample of fixed size. The TF-IDF vectors of a group, with document
+frequencies over all documents, get a randomised SVD: tasks multiply their passages by random signs, and once more by an
+orthonormal basis, and only sums by word cell reach the driver. Windows of every document are compared with all
+passages by cosine in the latent space of each group. A projection is no longer than what it projects, so a window of
+which the words that some passage holds are too short a part can't reach the least cosine; such windows are left out.
+What is found is a candidate; it counts as a leak if the item's words stand there in order, all but a few, by longest
+common subsequence, and if the answer, where a benchmark has answers and the words were changed, stands there too.
+
+An item that no window lies within (shorter than WINDOW + STEP words) is diluted by what stands around it, and a passage may lose too much of its length in the
+latent space. Such items are looked up by their rarest words as well: so many of them that a place which holds the share
+ORDER of an item in order can't miss all but a few. Whatever its length or words, an item that stands unchanged in a text
+is found by its rarest word and a comparison of all others.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from . import counting
 from . import textarrays as ta
 from .html_text import common
-from .shared import short_batches
+from .shared import Scratch
 
-#: Cells of words, latent dimensions, words of a window and between windows' starts, items handled in one scan.
+#: Cells of words, latent dimensions, words of a window and between windows' starts, passages handled in one scan, or those of one item.
 CELLS, RANK, WINDOW, STEP, PASSAGES = 1 << 17, 256, 32, 16, 2048
-#: Passages of a group against RANK; least share of a passage's squared length in the latent space; rare words that must meet near each other; hits handled at once.
+#: Passages of a group against RANK, the rest are windows of documents; least share of a passage's squared length in the latent space; rare words that must meet near each other; hits handled at once.
 FILL, KEPT, MEET, HITS = 0.75, 0.95, 3, 1 << 21
+SAMPLE = RANK - int(FILL * RANK)
 #: Least cosine of a candidate; share of an item's words that must stand in order; share from which no answer is asked for; length of the place against the item; shorter items must stand unchanged.
 COSINE, ORDER, VERBATIM, STRETCH, SHORT = 0.3, 0.7, 0.9, 1.6, 8
 #: Taken off inverse frequencies: words in over a share exp(-COMMON) of the documents hardly count.
@@ -45,18 +46,34 @@ def cells(w: ta.Words) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by word cell, in parts; and as part -1 the SAMPLE windows with the smallest hashes, as their cells."""
     df = np.zeros(CELLS, np.int64)
+    drawn: dict[int, bytes] = {}
     for run in ta.runs(batches):
         w = ta.tokens(ta.column(run, "text"))
-        df += np.bincount(np.unique(w.row * CELLS + cells(w)) % CELLS, minlength=CELLS)
+        c = cells(w)
+        df += np.bincount(np.unique(w.row * CELLS + c) % CELLS, minlength=CELLS)
+        first = np.flatnonzero((np.arange(len(c)) - w.first[w.row]) % WINDOW == 0)
+        mark = ta.signed(ta.mix(w.hash[first] + (first - w.first[w.row[first]]).astype(_U)))
+        for k in np.argsort(mark)[: 4 * SAMPLE]:
+            end = min(first[k] + WINDOW, w.first[w.row[first[k]] + 1])
+            drawn[int(mark[k])] = c[first[k] : end].astype(np.int32).tobytes()
+        drawn = dict(sorted(drawn.items())[:SAMPLE])
     if df.any():
-        yield pa.record_batch(list(counting.parts(df)), names=["part", "counts"])
+        part, counts = counting.parts(df)
+        marks = list(drawn)
+        yield pa.record_batch(
+            [pa.concat_arrays([part, pa.array([-1] * len(marks), pa.int32())]), pa.concat_arrays([counts, pa.array([drawn[m] for m in marks], pa.binary())]), pa.concat_arrays([pa.nulls(len(part), pa.int64()), pa.array(marks, pa.int64())])],
+            names=["part", "counts", "mark"],
+        )
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """log((documents + 1) / (documents with a word of the cell + 1)) less COMMON, at least a little, over all documents; and documents by cell."""
-    df = counting.total(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies, "part int, counts binary"), CELLS)
-    return np.maximum(0.05, np.log((docs.count() + 1.0) / (df + 1.0)) - COMMON), df
+def inverse_frequencies(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """log((documents + 1) / (documents with a word of the cell + 1)) less COMMON, at least a little, over all documents; documents by cell; and cells of the SAMPLE windows."""
+    found = scratch.save(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies, "part int, counts binary, mark long"), "frequencies")
+    df = counting.total(found.where("part >= 0").select("part", "counts"), CELLS)
+    drawn = found.where("part < 0").groupBy("mark").agg(F.min("counts").alias("counts")).orderBy("mark").limit(SAMPLE).collect()
+    return np.maximum(0.05, np.log((docs.count() + 1.0) / (df + 1.0)) - COMMON), df, [np.frombuffer(r.counts, dtype=np.int32).astype(np.int64) for r in drawn]
 
 
 def passages(items: list[tuple[int, str, str | None]]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -85,13 +102,10 @@ def _multiply(batches: Iterator[pa.RecordBatch], idf, basis, rank: int) -> Itera
     """Passages' part of A' A B, by group and cell, as group * CELLS + cell; B: random signs, or for each group a basis (cells, matrix)."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        items = list(zip(ta.column(batch, "item_id").to_pylist(), ta.column(batch, "text").to_pylist(), [None] * batch.num_rows, strict=True))
-        groups = ta.column(batch, "group").to_pylist()
-        for own, i in zip(*passages(items), strict=True):
-            at, count = np.unique(own, return_counts=True)
+        for own, g in zip(ta.column(batch, "cells").to_pylist(), ta.column(batch, "group").to_pylist(), strict=True):
+            at, count = np.unique(np.array(own, dtype=np.int64), return_counts=True)
             a = count * idf.value[at]
             a = (a / max(1e-12, float(np.sqrt((a * a).sum())))).astype(np.float32)
-            g = groups[i]
             b = _signs(at, rank) if basis is None else basis.value[g][1][np.searchsorted(basis.value[g][0], at)]
             y = a @ b
             for c, x in zip((at + g * CELLS).tolist(), a, strict=True):
@@ -117,12 +131,12 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([cell], pa.int64()), pa.array([row.tobytes()], pa.binary())], names=["cell", "row"])
 
 
-def latent_bases(benchmark: DataFrame, idf, n_groups: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each group, cells in order and an orthonormal basis of its passages' leading right singular vectors on them: at most PASSAGES * WINDOW * 2 cells in all."""
-    spark, bases = benchmark.sparkSession, None
+def latent_bases(passages: DataFrame, idf, n_groups: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """passages(group, cells) -> for each group, cells in order and an orthonormal basis of its passages' leading right singular vectors on them: at most RANK * WINDOW * 2 cells a group."""
+    spark, bases = passages.sparkSession, None
     for _ in range(2):
         use = bases  # bound now: the tasks run below
-        rows = benchmark.mapInArrow(lambda it: _multiply(it, idf, use, RANK), "cell long, row binary")  # noqa: B023
+        rows = passages.mapInArrow(lambda it: _multiply(it, idf, use, RANK), "cell long, row binary")  # noqa: B023
         found = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_sum_rows, "cell long, row binary").toArrow()
         at, flat = found.column("cell").to_numpy(), found.column("row").to_pylist()
         order = np.argsort(at)
@@ -243,6 +257,22 @@ def _meetings(lookup: tuple, lengths: np.ndarray, w: ta.Words, c: np.ndarray, ro
             yield t, j, p - more, int(at[other[k]]) + 1 + more + half
 
 
+def _squares(known: np.ndarray, square: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Squared length, by window, of the TF-IDF vector of the words that have a number in known: a word that stands there n times counts n * n times the square of its number.
+
+    A window is its block of STEP words and the next one; a word's times in it come from the sorted pairs of window and word.
+    """
+    at = np.flatnonzero(known >= 0)
+    if not len(at):
+        return np.zeros(len(begin))
+    block = np.searchsorted(begin, at, side="right") - 1
+    before = (block > 0) & (at < end[np.maximum(block - 1, 0)])  # also in the window that the block before it begins
+    key = np.sort(np.concatenate([block, block[before] - 1]) * CELLS + known[np.concatenate([at, at[before]])])
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(np.append(new, len(key)))
+    return np.bincount(key[new] // CELLS, times * times * square[key[new] % CELLS], minlength=len(begin))
+
+
 def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """(doc_id, item_id, score, cosine, first_word, last_word) of all leaks of each text."""
     idf, groups, names, words, answers, lookup, rarest = model.value
@@ -252,7 +282,7 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for used, basis, latent, of in groups:
         row_of = np.full(CELLS, -1, dtype=np.int32)
         row_of[used] = np.arange(len(used))
-        spaces.append((row_of, (basis * idf[used][:, None]).astype(np.float32), latent, of))
+        spaces.append((used, row_of, (basis * idf[used][:, None]).astype(np.float32), latent, of))
     square = (idf * idf).astype(np.float64)
     for run in ta.runs(batches):
         w = ta.tokens(ta.column(run, "text"))
@@ -265,12 +295,12 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
         text = np.repeat(np.arange(len(n)), n)
         begin = w.first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STEP
         end = np.minimum(begin + WINDOW, w.first[text + 1])
-        norm2 = mass[end] - mass[begin]
+        norm2 = mass[end] - mass[begin]  # a word that repeats counts for less than it has, so no cosine is too small
         found: dict[tuple[int, int], tuple] = {}
-        for row_of, weighted, latent, of in spaces:
+        last: dict[tuple[int, int], int] = {}
+        for used, row_of, weighted, latent, of in spaces:
             known = row_of[c]
-            inside = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, square[c], 0.0))])
-            keep = np.flatnonzero((inside[end] - inside[begin] >= COSINE * COSINE * norm2) & (norm2 > 0))
+            keep = np.flatnonzero((_squares(known, square[used], begin, end) >= 0.999 * COSINE * COSINE * norm2) & (norm2 > 0))
             for some in np.array_split(keep, max(1, len(keep) // 1024)):
                 if not len(some):
                     continue
@@ -289,8 +319,12 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
                 more = (some + 1 < len(begin)) & (text[np.minimum(some + 1, len(begin) - 1)] == text[some])
                 cosine = (sums[here] + sums[np.where(more, here + 1, len(blocks))]) @ latent.T / np.sqrt(norm2[some])[:, None].astype(np.float32)
                 for i, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    key = (int(text[some[i]]), int(of[p]))
-                    _check(found, key, int(begin[some[i]]), int(end[some[i]]), float(cosine[i, p]), w, words[key[1]], kinds[key[1]], answers[key[1]])
+                    key, b = (int(text[some[i]]), int(of[p])), int(begin[some[i]])
+                    half = int(lengths[key[1]]) // 2
+                    if 0 <= b - last.get(key, b + 1) < max(1, half):
+                        continue  # what was compared before reaches half an item further than it must
+                    last[key] = b
+                    _check(found, key, b, int(end[some[i]]) + half, float(cosine[i, p]), w, words[key[1]], kinds[key[1]], answers[key[1]])
         row = w.row
         for t, i, at in _unchanged(rarest, words, lengths, w, c, row):
             best = found.get((t, i), (0.0, None))
@@ -360,34 +394,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> D
     nothing; items without words are in no document. Rows of one doc_id, or one item_id, give one row with the best
     score. Rows without doc_id are scored too. An empty table on either side gives no rows.
 
-    Item texts are broadcast, PASSAGES items at a time, each with a scan of the documents of its own.
+    Items are broadcast in sets of about PASSAGES passages, each with a scan of the documents of its own; an item with more is a set by itself.
     """
     spark = docs.sparkSession
-    short_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("answer"))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, score double, cosine double, first_word long, last_word long"
     n_items = items.count()
     if not n_items:
         return spark.createDataFrame([], schema)
-    weights, df = inverse_frequencies(docs)
+    weights, df, windows = inverse_frequencies(docs, Scratch(spark))
     idf = spark.sparkContext.broadcast(weights)
     out = None
-    n_parts = -(-n_items // PASSAGES)
+    # words, about, bound an item's passages; a scan takes items of PASSAGES of them, but for one item that has more
+    n_passages = items.agg(F.sum(F.ceil(F.regexp_count("text", F.lit(r"\S+")) / WINDOW + 1))).first()[0]
+    n_parts = max(1, -(-int(n_passages) // PASSAGES)) if n_items > 1 else 1
     for k in range(n_parts):
         own = items if n_parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k)
-        rows = own.collect()  # about PASSAGES
+        rows = own.collect()
         text_cells, of = passages([(r.item_id, r.text, r.answer) for r in rows])
         if not text_cells:
             continue
         n_groups = 1 if len(text_cells) <= RANK else -(-len(text_cells) // int(FILL * RANK))
-        before = np.searchsorted(of, np.arange(len(rows)))  # passages of the items before each
-        group_of = before * n_groups // len(text_cells) if n_groups > 1 else np.zeros(len(rows), np.int64)
-        group_of = np.minimum(group_of, n_groups - 1)
-        grouped = spark.createDataFrame([(r.item_id, r.text, int(g)) for r, g in zip(rows, group_of, strict=True)], "item_id long, text string, group int")
+        group_of = np.arange(len(text_cells)) * n_groups // len(text_cells)
+        listed = [(int(g), x.tolist()) for g, x in zip(group_of, text_cells, strict=True)] + [(g, x.tolist()) for g in range(n_groups) for x in windows[: RANK - int(np.bincount(group_of).max())]]
+        grouped = spark.createDataFrame(listed, "group int, cells array<int>").repartition(max(1, n_groups))
         groups, poor = [], set()
         for g, (used, basis) in enumerate(latent_bases(grouped, idf, n_groups)):
-            mine = np.flatnonzero(group_of[of] == g)
+            mine = np.flatnonzero(group_of == g)
             latent = np.zeros((len(mine), basis.shape[1]), dtype=np.float32)
             for k_own, p in enumerate(mine):
                 at, count = np.unique(text_cells[p], return_counts=True)
@@ -398,7 +432,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> D
         w, a = ta.tokens(pa.array([r.text for r in rows], pa.string())), ta.tokens(pa.array([r.answer for r in rows], pa.string()))
         words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(rows))]
         answers = [a.hash[a.first[i] : a.first[i + 1]] for i in range(len(rows))]
-        sought = poor | {i for i, x in enumerate(words) if 0 < len(x) < WINDOW}
+        sought = poor | {i for i, x in enumerate(words) if 0 < len(x) < WINDOW + STEP}
         model = spark.sparkContext.broadcast((weights, groups, [r.item_id for r in rows], words, answers, _lookup(words, np.array(sorted(sought), dtype=np.int64), df), _rarest(words, df)))
         found = docs.mapInArrow(lambda it, m=model: _find(it, m), schema)
         out = found if out is None else out.unionByName(found)
