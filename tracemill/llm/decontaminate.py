@@ -273,8 +273,8 @@ def _squares(known: np.ndarray, square: np.ndarray, begin: np.ndarray, end: np.n
     return np.bincount(key[new] // CELLS, times * times * square[key[new] % CELLS], minlength=len(begin))
 
 
-def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """(doc_id, item_id, score, cosine, first_word, last_word) of all leaks of each text."""
+def _found(batches: Iterator[pa.RecordBatch], model) -> Iterator[tuple[pa.RecordBatch, ta.Words, dict]]:
+    """Runs of rows, their words, and (text, item number) -> (score, cosine, first, last) of all leaks."""
     idf, groups, names, words, answers, lookup, rarest = model.value
     kinds = [np.unique(x, return_counts=True) for x in words]
     lengths = np.array([len(x) for x in words])
@@ -287,6 +287,7 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for run in ta.runs(batches):
         w = ta.tokens(ta.column(run, "text"))
         if not len(w.hash):
+            yield run, w, {}
             continue
         c = cells(w)
         mass = np.concatenate([[0.0], np.cumsum(square[c])])
@@ -332,6 +333,13 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
                 found[t, i] = (1.0, best[1], at, at + len(words[i]) - 1)
         for t, i, lo, hi in _meetings(lookup, lengths, w, c, row):
             _check(found, (t, i), lo, hi, None, w, words[i], kinds[i], answers[i])
+        yield run, w, found
+
+
+def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """(doc_id, item_id, score, cosine, first_word, last_word) of all leaks of each text."""
+    names = model.value[2]
+    for run, w, found in _found(batches, model):
         if found:
             t, i, score, cosine, first, last = zip(*((*k, *x) for k, x in sorted(found.items())), strict=True)
             t, first, last = np.array(t), np.array(first), np.array(last)
@@ -339,6 +347,14 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids, pa.array([names[k] for k in i], pa.int64()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64()), pa.array(first - w.first[t]), pa.array(last - w.first[t])], names=["doc_id", "item_id", "score", "cosine", "first_word", "last_word"])
 
 
+def _keep(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """The rows without leaks."""
+    for run, _, found in _found(batches, model):
+        clean = np.ones(run.num_rows, dtype=bool)
+        clean[[t for t, _ in found]] = False
+        yield run.filter(pa.array(clean))
+
+
 def _check(found: dict, key: tuple[int, int], begin: int, end: int, cosine: float | None, w: ta.Words, item: np.ndarray, item_words: tuple, answer: np.ndarray) -> None:
     """Compares an item with the words around a candidate window; found keeps (score, cosine, first, last) of the best place."""
     best = found.get(key, (0.0, None, 0, 0))
@@ -384,28 +400,15 @@ def _places(near: np.ndarray, words: np.ndarray) -> np.ndarray:
     return at
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> DataFrame:
-    """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> (doc_id, item_id, score, cosine, first_word, last_word).
-
-    A row for each document and benchmark item that it holds, unchanged or with words changed: score is the share of the
-    item's words found in order, first_word and last_word the place, words numbered from 0; cosine is null where only
-    the item's rare words led to the place. answer names a column of
-    benchmark; where it isn't null or empty, changed items count only with the answer near. Null and empty texts hold
-    nothing; items without words are in no document. Rows of one doc_id, or one item_id, give one row with the best
-    score. Rows without doc_id are scored too. An empty table on either side gives no rows.
-
-    Items are broadcast in sets of about PASSAGES passages, each with a scan of the documents of its own; an item with more is a set by itself.
-    """
+def models(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> Iterator:
+    """What tasks need to look for a benchmark in texts, broadcast: one for each set of items."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("answer"))
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, score double, cosine double, first_word long, last_word long"
     n_items = items.count()
     if not n_items:
-        return spark.createDataFrame([], schema)
+        return
     weights, df, windows = inverse_frequencies(docs, Scratch(spark))
     idf = spark.sparkContext.broadcast(weights)
-    out = None
     # words, about, bound an item's passages; a scan takes items of PASSAGES of them, but for one item that has more
     n_passages = items.agg(F.sum(F.ceil(F.regexp_count("text", F.lit(r"\S+")) / WINDOW + 1))).first()[0]
     n_parts = max(1, -(-int(n_passages) // PASSAGES)) if n_items > 1 else 1
@@ -433,11 +436,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> D
         words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(rows))]
         answers = [a.hash[a.first[i] : a.first[i + 1]] for i in range(len(rows))]
         sought = poor | {i for i, x in enumerate(words) if 0 < len(x) < WINDOW + STEP}
-        model = spark.sparkContext.broadcast((weights, groups, [r.item_id for r in rows], words, answers, _lookup(words, np.array(sorted(sought), dtype=np.int64), df), _rarest(words, df)))
-        found = docs.mapInArrow(lambda it, m=model: _find(it, m), schema)
+        yield spark.sparkContext.broadcast((weights, groups, [r.item_id for r in rows], words, answers, _lookup(words, np.array(sorted(sought), dtype=np.int64), df), _rarest(words, df)))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> DataFrame:
+    """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> (doc_id, item_id, score, cosine, first_word, last_word).
+
+    A row for each document and benchmark item that it holds, unchanged or with words changed: score is the share of the
+    item's words found in order, first_word and last_word the place, words numbered from 0; cosine is null where only
+    the item's rare words led to the place. answer names a column of
+    benchmark; where it isn't null or empty, changed items count only with the answer near. Null and empty texts hold
+    nothing; items without words are in no document. Rows of one doc_id, or one item_id, give one row with the best
+    score. Rows without doc_id are scored too. An empty table on either side gives no rows.
+
+    Items are broadcast in sets of about PASSAGES passages, each with a scan of the documents of its own; an item with more is a set by itself.
+    """
+    spark, texts = docs.sparkSession, docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, item_id long, score double, cosine double, first_word long, last_word long"
+    out = None
+    for model in models(texts, benchmark, answer):
+        found = texts.mapInArrow(lambda it, m=model: _find(it, m), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)
     best = F.max(F.struct("score", "cosine", (-F.col("first_word")).alias("first"), (-F.col("last_word")).alias("last")))
     best = out.groupBy("doc_id", "item_id").agg(best.alias("b"))
     return best.select("doc_id", "item_id", F.col("b.score").alias("score"), F.col("b.cosine").alias("cosine"), (-F.col("b.first")).alias("first_word"), (-F.col("b.last")).alias("last_word"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> DataFrame:
+    """The rows of docs whose text holds no item of benchmark, by the rules of leaks(). Each row is judged where it is read: none moves, and doc_id has no part in it."""
+    out, schema = docs, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    for model in models(docs, benchmark, answer):
+        out = out.mapInArrow(lambda it, m=model: _keep(it, m), schema)
+    return out

@@ -77,10 +77,11 @@ def mix(docs: DataFrame, seed: str = "0", block: int = BLOCK, shard_docs: int =
     size counts the words of the text, 0 for null or empty texts; taken is how many of them the mix takes, repeats
     counted, at most REPEATS times size. All documents take part, also those without source (a source of its own,
     last in order) or doc_id. Equal rows are interchangeable. Rows of empty sources, and those of a table without
-    words, take 0. An empty table gives no rows. Reruns agree: only doc_id, source, size and seed decide.
+    words, take 0. An empty table gives no rows. Reruns agree: only doc_id, source, text and seed decide; rows that share
+    a doc_id, or have none, are spread by their texts.
     """
     scratch = Scratch(docs.sparkSession)
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     sizes = docs.select(
         "doc_id",
         *carry,
@@ -116,7 +117,7 @@ ORACLE = """
 with sizes as (
   select doc_id, coalesce('0' || source, '1') as source_key,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-         md5('0|' || coalesce(doc_id::varchar, '')) as place
+         md5('0|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))) as place
   from documents),
 sources as (
   select source_key, sum(size)::bigint as source_size, greatest(1, ceil(count(*) / 2048.0))::bigint as n_shards from sizes group by 1),

@@ -53,25 +53,25 @@ def assign(docs: DataFrame, n_shards: int, weights: Sequence[float] | None = Non
     CRC of no bytes, 0. Rows without doc_id go to the shard of the empty key. Rows of one doc_id share a shard;
     fully equal rows get different slots. An empty table gives no rows. Other columns are not read.
 
-    The rows of a shard are never sorted in one task: each shard is cut into PARTS parts by the key's hash, parts are
-    counted from the narrow key column first, and a row's slot is its part's offset plus its number in the part. The
+    The rows of a shard are never sorted in one task: each shard is cut into PARTS parts by the hashes of key and text (rows
+    that share a doc_id, or have none, are in one shard), parts are counted first, and a row's slot is its part's offset
+    plus its number in the part. The
     table of counts has at most shards * PARTS rows, whatever the input.
     """
     weights = list(weights or [1.0] * n_shards)
     placed = docs.withColumn("_digest", key_digest(F.col("doc_id"))).select(
         "doc_id",
-        "text",
+        F.coalesce(F.octet_length("text") + 1, F.lit(1)).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         rendezvous(F.col("_digest"), weights).alias("shard"),
         rendezvous(F.col("_digest"), [*weights, 1.0]).alias("grown_shard"),
-        (_digits(F.col("_digest"), 17) % PARTS).alias("part"),
-    )
+        _digits(F.col("_digest"), 17).alias("part"),
+    ).withColumn("part", F.col("part").bitwiseXOR(F.col("text_crc32")) % PARTS)
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("rows"))
     ahead = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("offset"))
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = placed.select("doc_id", F.coalesce(F.octet_length("text") + 1, F.lit(1)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), "shard", "part", "grown_shard")
     number = F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
-    rows = rows.withColumn("number", number).join(offsets, ["shard", "part"])
+    rows = placed.withColumn("number", number).join(offsets, ["shard", "part"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("number") - 1).alias("slot"), "grown_shard")
 
 
@@ -91,15 +91,16 @@ keyed as (
 placed as (
   select doc_id, text,
          ('0x' || substr(digest, 1, 8))::bigint % {PRIME} as u, ('0x' || substr(digest, 9, 8))::bigint % {PRIME} as v,
-         ('0x' || substr(digest, 17, 8))::bigint % {PRIME} % {PARTS} as part
+         ('0x' || substr(digest, 17, 8))::bigint % {PRIME} as by_key
   from keyed),
 sized as (
-  select doc_id, part, octet_length(encode(coalesce(text, '')))::bigint + 1 as size,
+  select doc_id, by_key, octet_length(encode(coalesce(text, '')))::bigint + 1 as size,
          xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode(coalesce(text, ''))) + 1), lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i - 1, 2))::bigint)),
                          lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32,
          ({_sql_shard(16)})::int as shard, ({_sql_shard(17)})::int as grown_shard
-  from placed cross join crc_table)
+  from placed cross join crc_table),
+parted as (select *, xor(by_key, text_crc32) % {PARTS} as part from sized)
 select doc_id, size, text_crc32, 'key' as law, shard,
        row_number() over (partition by shard order by part, doc_id, text_crc32, size) - 1 as slot, grown_shard
-from sized
+from parted
 """

@@ -83,21 +83,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bits of the filter in keep_ids; half a megabyte whatever the input.
-FILTER_BITS = 1 << 22
+#: Bits of the filter in keep_ids: half a megabyte, or where over a part FULL of them is set, sixteen; whatever the input.
+FILTER_BITS, MORE_BITS, FULL = 1 << 22, 1 << 27, 0.2
+
+
+def _bits(ids: DataFrame, key: str, size: int) -> np.ndarray:
+    """A bit for each hash of an id, aggregated by the executors, 32 in a word."""
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(size)).cast("int")
+    bits = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1, s & 31)")).alias("bits")).toArrow()
+    words = np.zeros(size // 32, dtype=np.int32)
+    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
+    return words
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", others: bool = False) -> DataFrame:
     """docs without most rows whose key isn't in ids, so that a join with ids moves few other texts.
 
-    A bit for each hash of an id, aggregated by the executors; only the fixed number of bits is broadcast. Rows may
-    stay wrongly (all do when the bits are full), none goes wrongly; the join that follows decides. others: the rows
-    that go, in place of those that stay, and rows without key.
+    Only a fixed number of bits is broadcast. Rows may stay wrongly (of more than some 50 million ids, most do), none
+    goes wrongly; the join that follows decides. others: the rows that go, in place of those that stay, and rows
+    without key.
     """
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)).cast("int")
-    bits = ids.select(slot(key).alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1, s & 31)")).alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 32, dtype=np.int32)
-    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
+    words = _bits(ids, key, FILTER_BITS)
+    if np.bitwise_count(words).sum() > FULL * FILTER_BITS:
+        words = _bits(ids, key, MORE_BITS)
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(32 * len(words))).cast("int")
     packed = docs.sparkSession.sparkContext.broadcast(words)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,5 +118,5 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", others: bool
                 yield batch.filter(pa.array(take)).select(range(batch.num_columns - 1))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    kept = docs.where(F.col(key).isNotNull()).withColumn("_slot", slot(key)).mapInArrow(keep, schema)
+    kept = docs.where(F.col(key).isNotNull()).withColumn("_slot", slot).mapInArrow(keep, schema)
     return kept.unionByName(docs.where(F.col(key).isNull())) if others else kept
