@@ -66,14 +66,62 @@ def test_large_components_are_compared(spark):
 def test_a_tree_finds_the_best_of_clustered_points():
     r = np.random.default_rng(2)
     points = np.unique(np.round(np.repeat(r.standard_normal((40, 6)) * 3000, 100, axis=0) + r.standard_normal((4000, 6)) * 30).astype(np.int32), axis=0)
-    tree = mtree.Tree(points, [np.array([i]) for i in range(len(points))])
+    pages, centre, _, m2 = mtree.grow(points, [np.array([i]) for i in range(len(points))])
+    tree = mtree.Tree([p.dump() for p in pages], centre, m2)
     q = points[:5]
     ids, best = tree.search(q, np.arange(5), 10, np.full(5, mtree._NEVER))
     scores = q.astype(np.int64) @ points.T.astype(np.int64)
     scores[np.arange(5), np.arange(5)] = mtree._NEVER
     want = np.array([sorted(range(len(points)), key=lambda j: (-int(s[j]), j))[:10] for s in scores])
     assert (ids == want).all() and (best == np.take_along_axis(scores, want, 1)).all()
-    assert sum(p[0] for p in tree.pages) > 60
+    assert sum(p.leaf for p in pages) > 60 and len(tree.open) < len(pages)  # pages that no bound leads to are never read
+    assert tree.computed < 0.5 * len(q) * len(points)
+
+
+def test_radii_cover_and_stored_distances_are_those_to_the_centre():
+    r = np.random.default_rng(9)
+    points = np.unique(r.integers(-900, 900, (3000, 5)), axis=0)
+    pages, centre, radius, m2 = mtree.grow(points, [np.array([i]) for i in range(len(points))])
+    lift = lambda x: np.concatenate([x, np.sqrt(np.maximum(0, m2 - (x.astype(float) ** 2).sum(axis=1)))[:, None]], axis=1)
+
+    def below(k):
+        p = pages[k]
+        return p.points if p.leaf else np.concatenate([below(c) for c in p.numbers])
+
+    seen = []
+
+    def check(k, centre, radius):
+        p = pages[k]
+        assert np.linalg.norm(lift(below(k)) - lift(centre[None]), axis=1).max() <= radius * (1 + 1e-9) + 1e-9
+        assert np.allclose(p.stored, np.linalg.norm(lift(p.points) - lift(centre[None]), axis=1))
+        if p.leaf:
+            seen.append(len(p.points))
+        for i in range(0 if p.leaf else len(p.points)):
+            check(p.numbers[i], p.points[i], p.radii[i])
+
+    check(len(pages) - 1, centre, radius)
+    assert sum(seen) == len(points) and max(seen) <= mtree.LEAF
+
+
+def test_distances_are_avoided_where_vectors_cluster(spark, monkeypatch):
+    """Through the whole operator: fewer than a third of all pairs of query and vector are worked out, and the result is that of all."""
+    monkeypatch.setattr(mtree, "TREE", 512)
+    r = np.random.default_rng(6)
+    x = np.repeat(r.standard_normal((60, 16)), 100, axis=0) + r.standard_normal((6000, 16)) * 0.03
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, EMB)
+    spent = mtree.walked(df, 10, 100, 1024.0).where("query_id is null").agg({"score": "sum"}).first()[0]
+    assert spent < 60 * 6000 / 3
+    got = sorted(tuple(t) for t in mtree.top_k(df, 10, 100).collect())
+    assert got == brute([t[:2] for t in rows], 10, 100)
+
+
+def test_many_dimensions_and_rows_of_one_vector(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, (r.standard_normal(1024) * 3e4).tolist(), 0) for i in range(150)] + [(1000 + i, [1.0] * 1024, 0) for i in range(300)]
+    got = sorted(tuple(t) for t in mtree.top_k(spark.createDataFrame(rows, EMB), 10, 100).collect())
+    assert got == brute([t[:2] for t in rows], 10, 100)
 
 
 def test_odd_vectors(spark):
