@@ -8,7 +8,7 @@ import pytest
 from tests.conftest import same_rows
 from tests.llm.conftest import ODD
 
-from tracemill.llm import licenses, mixing, sharding
+from tracemill.llm import license_texts, licenses, mixing, sharding
 
 
 @pytest.mark.parametrize("name", ["op3_mtree_top_k", "op4_source_mix", "op7_license_scan", "op8_substring_dedup", "op9_rendezvous_shards"])
@@ -116,3 +116,35 @@ def test_notices_with_changes_are_found_and_others_not(make_docs):
     ]
     got = {r.doc_id: (r.base_labels, r.labels) for r in licenses.scan(make_docs(texts)).collect()}
     assert got == {0: ("apache", "apache"), 1: ("apache", "apache"), 2: ("", "cc-by-nc"), 3: ("", ""), 4: ("", "")}
+
+
+def edited(text, seed, every):
+    """A license with one word in `every` replaced, dropped or doubled, in other case and punctuation."""
+    import random
+
+    r, out = random.Random(seed), []
+    for i, w in enumerate(text.split()):
+        kind = r.randrange(3) if i % every == every - 1 else None
+        out += [] if kind == 1 else [w.upper(), w] if kind == 2 else ["changed"] if kind == 0 else [w]
+    return " * ".join(out)
+
+
+def test_whole_licenses_are_found_when_edited_and_told_apart(make_docs):
+    filler = "the terms of the software and of the use of any work are those of the author in the case of a copy " * 30
+    texts = [f"{filler} {edited(t, k, 14)} {filler}" for k, (t, _) in enumerate(license_texts.TEXTS)]
+    got = {r.doc_id: r for r in licenses.scan(make_docs([*texts, filler])).collect()}
+    for k, (t, label) in enumerate(license_texts.TEXTS):
+        assert label in got[k].labels.split(","), label
+        own = [x for x in got[k].spans.split(",") if x.startswith(f"{label}:")]
+        low, high = map(int, own[0].split(":")[1].split("-"))
+        n, before = len(licenses.Template(t, label).words()), len(licenses.Template(filler, "").words())
+        assert before <= low <= before + 0.3 * n and high <= before + 1.2 * n
+    assert [set(got[k].labels.split(",")) - {label} for k, (_, label) in enumerate(license_texts.TEXTS)] == [set()] * len(license_texts.TEXTS)
+    assert got[len(texts)].labels == ""
+
+
+def test_grams_of_other_lengths(make_docs):
+    for k in (2, 3, 6):
+        own = [licenses.Template(license_texts.ZLIB, "zlib", k=k, cover=0.5)]
+        got = licenses.scan(make_docs([license_texts.ZLIB, "nothing of the kind", edited(license_texts.ZLIB, 1, 30)]), own).collect()
+        assert {r.doc_id: r.labels for r in got} == {0: "zlib", 1: "", 2: "zlib"}

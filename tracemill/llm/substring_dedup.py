@@ -1,10 +1,11 @@
 """Removal of word windows that an earlier document holds, found by level-wise doubling.
 
-Level 1 looks at windows of half the length. Of those, each text marks only the ones with the smallest hash among all
-that lie within some full window: equal full windows mark equal half windows, so one marked half window stands for
-each full window. Half windows that only one document holds drop out. Level 2 looks at the full windows whose marked
-half window is repeated, and finds for each the smallest document that holds it. grow() doubles further, for reports
-of how long the repeats are, until no candidates survive.
+The lengths double up to that of the windows (13, 25 and 50 words). At each length below it a text marks only those of
+its short windows that have the smallest hash within some full window that is still a candidate: equal full windows
+mark equal short ones, so one mark stands for each full window. Marks that only one document holds drop out, and with
+them their full windows; the others are extended to the next length. At the last one, the full windows that remain are
+looked at themselves, and the smallest document of each is found. grow() doubles further, for reports of how long the
+repeats are: the windows that repeat at one length are extended to twice that length, until no candidate survives.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from . import textarrays as ta
 from .shared import Scratch, keep_ids
 
 WINDOW = 50
+#: No level below so many words, but for one.
+LEAST = 12
 _U = np.uint64
 _MOST = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -50,49 +53,63 @@ def sliding(x: np.ndarray, size: int, pick=np.minimum) -> np.ndarray:
     return out
 
 
-def _marks(w: ta.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of half windows, the smallest within each full window, which full windows lie within a text, and marked half windows."""
-    half = (window + 1) // 2
-    span = window - half + 1
-    h = window_hash(w.hash, half)
-    least = sliding(h, span)
-    row = w.row
-    valid = row[: len(least)] == row[window - 1 : window - 1 + len(least)] if len(least) else np.zeros(0, bool)
-    padded = np.zeros(len(h) + span - 1, dtype=_U)
-    padded[span - 1 : span - 1 + len(least)] = np.where(valid, least, _U(0))
-    most = sliding(padded, span, np.maximum)
-    return h, least, valid, (most == h) & (h > 0)
+def levels(window: int) -> list[int]:
+    """Lengths up to the window's, each half of the next, rounded up."""
+    out = [window]
+    while len(out) == 1 or out[0] > 2 * LEAST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
 
+def _alive(run: pa.RecordBatch, w: ta.Words, h: np.ndarray) -> np.ndarray:
+    """Hashes where `places` says that a window is repeated, the largest value elsewhere."""
+    alive = np.full(len(h), _MOST, dtype=_U)
+    for i, places in enumerate(ta.column(run, "places")):
+        at = places.values.to_numpy() + w.first[i]
+        at = at[at < min(len(h), w.first[i + 1])]
+        alive[at] = h[at]
+    return alive
 
-def _level1(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+
+def _level(batches: Iterator[pa.RecordBatch], window: int, size: int, before: int | None) -> Iterator[pa.RecordBatch]:
+    """Marks of length `size` for the full windows whose mark of length `before` is repeated, all at first; at the last level, these windows."""
     for run in ta.runs(batches):
         w = ta.words(ta.column(run, "text"))
         if len(w.hash) < window:
             continue
-        h, _, _, marked = _marks(w, window)
-        at = np.flatnonzero(marked)
-        row = w.row[at]
-        ids = ta.column(run, "doc_id").to_numpy(zero_copy_only=False)
-        yield pa.record_batch([pa.array(ta.signed(h[at])), pa.array(ids[row].astype(np.int64)), pa.array((at - w.first[row]).astype(np.int32))], names=["h", "doc_id", "pos"])
-
-
-def _level2(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    span = window - (window + 1) // 2 + 1
+        row = w.row
+        full = row[: len(row) - window + 1] == row[window - 1 :]
+        if before is not None:
+            h = window_hash(w.hash, before)
+            span = window - before + 1
+            full &= sliding(_alive(run, w, h), span) == sliding(h, span)
+        h = window_hash(w.hash, size)
+        if size == window:
+            at = np.flatnonzero(full)
+        else:
+            span = window - size + 1
+            padded = np.zeros(len(h) + span - 1, dtype=_U)
+            padded[span - 1 : span - 1 + len(full)] = np.where(full, sliding(h, span), _U(0))
+            at = np.flatnonzero((sliding(padded, span, np.maximum) == h) & (h > 0))
+        yield _placed(run, w, h, at)
+
+
+def _placed(run: pa.RecordBatch, w: ta.Words, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    row = w.row[at]
+    ids = ta.column(run, "doc_id").to_numpy(zero_copy_only=False)
+    return pa.record_batch([pa.array(ta.signed(h[at])), pa.array(ids[row].astype(np.int64)), pa.array((at - w.first[row]).astype(np.int32))], names=["h", "doc_id", "pos"])
+
+
+def _doubled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Windows of twice the length of which both halves are repeated."""
     for run in ta.runs(batches):
         w = ta.words(ta.column(run, "text"))
-        if len(w.hash) < window:
+        if len(w.hash) < 2 * size:
             continue
-        h, least, valid, _ = _marks(w, window)
-        alive = np.full(len(h), _MOST, dtype=_U)
-        for i, places in enumerate(ta.column(run, "places")):
-            at = places.values.to_numpy() + w.first[i]
-            at = at[at < min(len(h), w.first[i + 1])]
-            alive[at] = h[at]
-        full = window_hash(w.hash, window)
-        at = np.flatnonzero(valid & (sliding(alive, span) == least))
-        row = w.row[at]
-        ids = ta.column(run, "doc_id").to_numpy()
-        yield pa.record_batch([pa.array(ta.signed(full[at])), pa.array(ids[row]), pa.array((at - w.first[row]).astype(np.int32))], names=["h", "doc_id", "pos"])
+        both = _alive(run, w, window_hash(w.hash, size)) != _MOST
+        row = w.row
+        n = len(row) - 2 * size + 1
+        yield _placed(run, w, window_hash(w.hash, 2 * size), np.flatnonzero(both[:n] & both[size : size + n] & (row[:n] == row[2 * size - 1 :])))
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -126,22 +143,33 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))  # no more than a document has words
+    return rows.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # no more than a document has words, however often its row is repeated
+
+
+_ROWS = "h long, doc_id long, pos int"
+
+
+def _last_level(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, DataFrame]:
+    """(full windows that may be repeated, hashes of those that are, with their smallest doc_id)."""
+    docs, before, alive = docs.where("doc_id is not null and text is not null"), None, None
+    for size in levels(window):
+        texts = docs if alive is None else keep_ids(docs, alive).join(alive, "doc_id").select("doc_id", "text", "places")
+        rows = scratch.save(texts.mapInArrow(lambda it, size=size, before=before: _level(it, window, size, before), _ROWS), f"level{size}")
+        # the repeated hashes are written first, so that both sides of the join are plain shuffles and a hot hash's rows can be split
+        again = scratch.save(_repeated(rows), f"repeated{size}")
+        if alive is not None:
+            scratch.drop(alive)
+        if size < window:
+            alive, before = scratch.save(_places(rows.join(again.select("h"), "h")), f"alive{size}"), size
+            scratch.drop(rows, again)
+    return rows, again
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, places): starts of the windows that a smaller doc_id holds too."""
-    docs = docs.where("doc_id is not null and text is not null")
-    level1 = scratch.save(docs.mapInArrow(lambda it: _level1(it, window), "h long, doc_id long, pos int"), "level1")
-    # the repeated hashes are written first, so that both sides of the join are plain shuffles and a hot hash's rows can be split
-    again = scratch.save(_repeated(level1), "repeated1")
-    alive = scratch.save(_places(level1.join(again.select("h"), "h")), "alive")
-    scratch.drop(level1)
-    texts = keep_ids(docs, alive).join(alive, "doc_id")
-    level2 = scratch.save(texts.select("doc_id", "text", "places").mapInArrow(lambda it: _level2(it, window), "h long, doc_id long, pos int"), "level2")
-    again = scratch.save(_repeated(level2), "repeated2")
-    found = scratch.save(_places(level2.join(again, "h").where("doc_id > low")), "found")
-    scratch.drop(level2, alive)
+    rows, again = _last_level(docs, scratch, window)
+    found = scratch.save(_places(rows.join(again, "h").where("doc_id > low")), "found")
+    scratch.drop(rows, again)
     return found
 
 
@@ -165,17 +193,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return plain.join(cut, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "kept")
 
 
-def grow(docs: DataFrame, window: int = WINDOW, most: int = 1 << 20) -> DataFrame:
-    """docs(doc_id, text) -> (window, doc_id, n_windows): at each doubled length, documents with windows that a smaller doc_id holds, until none survives."""
-    scratch, out, size = Scratch(docs.sparkSession), None, window
-    while size <= most:
-        found = repeated_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, size)
-        level = scratch.save(found.select(F.lit(size).alias("window"), "doc_id", F.size("places").alias("n_windows")), "grown")
+def grow(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs(doc_id, text) -> (window, doc_id, n_windows): at each doubled length, documents with windows that a smaller doc_id holds, until none survives.
+
+    Each length reads only the documents and places that repeat at the one before.
+    """
+    scratch, size, out = Scratch(docs.sparkSession), window, None
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, again = _last_level(docs, scratch, window)
+    while True:
+        met = scratch.save(rows.join(again, "h").select("doc_id", "pos", "low").distinct(), "met")
+        scratch.drop(rows, again)
+        level = scratch.save(met.where("doc_id > low").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_windows")).select(F.lit(size).alias("window"), "doc_id", "n_windows"), "grown")
         out = level if out is None else out.unionByName(level)
-        if level.isEmpty():
-            break
+        if met.isEmpty():
+            return out
+        alive = scratch.save(_places(met), "alive")
+        scratch.drop(met)
+        rows = scratch.save(keep_ids(docs, alive).join(alive, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it, size=size: _doubled(it, size), _ROWS), "doubled")
+        again = scratch.save(_repeated(rows), "repeated")
         size *= 2
-    return out
 
 
 ORACLE = r"""
