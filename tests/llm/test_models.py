@@ -52,11 +52,22 @@ def test_a_document_gets_the_mean_over_its_letters():
     texts = ["ab 1 CDé, ab", "", "1 !"]
     row, sums, letters = language._labels(net, 123, language.chunks(pa.array(texts)))
     b = np.frombuffer("ab cdé ab".encode(), dtype=np.uint8)[None]
-    labels = net.label(b, np.array([b.shape[1]]))[:, 0]
+    labels = net.label(b, np.array([b.shape[1]]))[:, :, 0]
     want = labels[[i for i, x in enumerate(b[0]) if x != 32]].sum(axis=0)
     assert np.allclose(sums[row == 0].sum(axis=0), want, atol=1e-5) and letters.sum() == 8 and set(row) == {0}
 
 
+def test_labels_are_those_of_the_network_that_is_trained():
+    r = np.random.default_rng(3)
+    net, length = language.Network.new(3), np.array([9, 4, 7])
+    x = r.integers(97, 123, (3, 9)).astype(np.uint8)
+    x[np.arange(9) >= length[:, None]] = 0
+    both = np.concatenate([net.states(x, length, w) for w in "fb"], axis=2)
+    want = language._softmax(both @ net.p["v"] + net.p["c"]).transpose(0, 2, 1)
+    got = net.label(x, length)
+    assert all(np.allclose(got[: length[i], :, i], want[: length[i], :, i], atol=1e-5) for i in range(3))
+
+
 def test_chunks_tile_texts_at_the_edges_of_characters():
     r = np.random.default_rng(4)
     texts = ["".join(r.choice(list("aé日😀 1"), int(n))) for n in r.integers(0, 900, 40)] + ["", "x" * language.CHUNK, "日" * 500]
@@ -74,7 +85,7 @@ def test_a_label_depends_on_what_stands_beyond_the_word():
     net = language.Network.new(2)
     sums = [language._labels(net, k, language.chunks(pa.array([f"{w} and so on"])))[1] for k, w in enumerate(("abc", "xyz"))]
     b = [np.frombuffer(f"{w} and so on".encode(), dtype=np.uint8)[None] for w in ("abc", "xyz")]
-    far = [net.label(x, np.array([x.shape[1]]))[6, 0] for x in b]
+    far = [net.label(x, np.array([x.shape[1]]))[6, :, 0] for x in b]
     assert not np.allclose(sums[0], sums[1], atol=1e-6) and not np.allclose(far[0], far[1], atol=1e-7)
 
 
