@@ -19,7 +19,7 @@ from tracemill.operators.scoring import Scoring
 from tracemill.operators.scrub_records import scrub_records
 from tracemill.operators.validate import errors, require_valid, validate
 from tracemill.plans import adapters
-from tracemill.plans.pipeline import end_sessions, publish, route, submit
+from tracemill.plans.pipeline import delete, end_sessions, publish, publish_to, route, submit
 from tracemill.sources import files, sinks
 from tracemill.streaming.sessions import ROCKSDB, assemble_stream
 
@@ -362,3 +362,32 @@ def test_sessions_in_batch_and_stream_agree(spark, tmp_path):
     query.awaitTermination()
     out = {r.session_id: r for r in spark.read.schema(sessions.SESSION).parquet(f"{folder}/out").collect()}
     assert out == {k: batch[k] for k in ("a", "b")}
+
+
+def test_an_outbox_is_published_to_a_dataset(spark, sf_dir, tmp_path):
+    root, now = f"file://{tmp_path}", F.lit(adapters.NOW).cast("timestamp")
+    out = submit(adapters.sample_records(spark, sf_dir), "conv_id", now).persist()
+    assert files.catalog(spark, f"{root}/catalog.json") is None
+    dry, rejects = publish_to(out, root, now, "conv_id", "now", dry_run=True)
+    assert not list(tmp_path.rglob("*.jsonl"))
+    summary, _ = publish_to(out, root, now, "conv_id", "now")
+    n = summary.first().n_records
+    assert summary.first() == dry.first() and 0 < n <= out.count() - rejects.count()
+    assert files.shards(spark, root).count() == n == files.catalog(spark, f"{root}/catalog.json").first().total_records
+    assert publish_to(out, root, now, "conv_id", "later")[0].first().n_records == 0
+    one = files.shards(spark, root).first().record_id
+    delete(spark, root, one, "now")
+    delete(spark, root, "no such record", "now", "a reason")
+    assert dataset.active(files.shards(spark, root), files.deletions(spark, f"{root}/deletions.jsonl")).count() < n
+    publish_to(out, root, now, "conv_id", "again")
+    back = files.catalog(spark, f"{root}/catalog.json").first()
+    assert (back.deletions_count, back.total_records) == (2, n) and "Deleted: 2" in (tmp_path / "README.md").read_text()
+    sinks.write_text(spark, f"{root}/catalog.json", "{broken")
+    assert files.catalog(spark, f"{root}/catalog.json") is None
+
+
+def test_scores_outside_their_range_are_rejected(spark, sf_dir):
+    r = adapters.sample_records(spark, sf_dir).where("conv_id = 1")
+    quality = lambda score, tier: F.struct(F.lit(tier).cast("string").alias("quality_tier"), F.lit(score).cast("double").alias("composite_score"), F.create_map().cast("map<string, double>").alias("sub_scores"), F.lit(None).cast("timestamp").alias("scored_at"))
+    for score, tier, wrong in ((0.0, "gold", []), (1.0, "gold", []), (1.01, "gold", ["composite_score"]), (-0.1, "gold", ["composite_score"]), (None, None, ["quality_tier", "composite_score"])):
+        assert r.withColumn("quality", quality(score, tier)).select(errors().alias("e")).first().e == wrong

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.privacy import meets_tier
@@ -10,6 +12,7 @@ from ..operators import catalog, consent, dataset
 from ..operators.scoring import Scoring
 from ..operators.scrub_records import scrub_records
 from ..operators.validate import validate
+from ..sources import files, sinks
 
 
 def submit(records: DataFrame, key: str, now: Column, scoring: Scoring | None = None, score_first: bool = False) -> DataFrame:
@@ -57,6 +60,52 @@ def publish(outbox: DataFrame, existing: DataFrame, now: Column, order: str) ->
     return dataset.insert_if_absent(dataset.placed(consent.strip(valid, now)), existing, order), rejects
 
 
+def publish_to(outbox: DataFrame, root: str, now: Column, order: str, generated_at: str, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Publishes an outbox to the dataset at root -> (publish_summary(), rejects).
+
+    Appends what is new to its model and tier to the shards, then writes catalog.json and README.md from a scan of all
+    of them. A dry run writes nothing.
+    """
+    spark = outbox.sparkSession
+    new, rejects = publish(outbox, files.shards(spark, root).select(*dataset.KEY), now, order)
+    new = new.persist()
+    summary = spark.createDataFrame(publish_summary(new).collect(), "n_records bigint, models array<string>, tiers array<string>, first_models array<string>")  # one row, before the shards change
+    if not dry_run:
+        sinks.append_shards(new, root, order)
+        write_catalog(spark, root, generated_at)
+    new.unpersist()
+    return summary, rejects
+
+
+def write_catalog(spark: SparkSession, root: str, generated_at: str) -> None:
+    """catalog.json and README.md of the dataset at root, from its shards, their sizes and its deletions."""
+    scanned = files.shards(spark, root)
+    rows = scanned.select(
+        "model_slug",
+        "tier",
+        "shard",
+        F.col("quality.composite_score").alias("score"),
+        F.col("model.model_name").alias("model_name"),
+        F.col("hardware.gpu_name").alias("gpu_name"),
+        *(F.col(f"model.{c}").alias(c) for c in ("parameter_count", "quantization", "context_window")),
+        F.struct("tier", "shard", "line").alias("at"),
+    )
+    tiers = catalog.tier_stats(rows, files.shard_files(spark, root)).persist()  # a row per model and tier
+    models = catalog.model_stats(rows, ("parameter_count", "quantization", "context_window"))
+    distribution = catalog.quality_distribution(tiers)
+    totals = catalog.catalog_totals(tiers, files.count_lines(spark, f"{root}/deletions.jsonl"))
+    sinks.write_text(spark, f"{root}/catalog.json", sinks.catalog_json(tiers, models, distribution, totals, generated_at))
+    sinks.write_text(spark, f"{root}/README.md", sinks.readme(tiers, distribution, totals))
+    tiers.unpersist()
+
+
+def delete(spark: SparkSession, root: str, record_id: str, deleted_at: str, reason: str | None = None) -> None:
+    """Appends a tombstone to the dataset's deletions.jsonl; whether there is such a record isn't looked at."""
+    file = f"{root.rstrip('/')}/deletions.jsonl"
+    before = [r.value for r in files.lines(spark, file).orderBy("line").select("value").collect()]
+    sinks.write_text(spark, file, "\n".join([*before, json.dumps({"record_id": record_id, "deleted_at": deleted_at, "reason": reason})]) + "\n")
+
+
 def publish_summary(written: DataFrame) -> DataFrame:
     """One row for what a publish appends, or would append in a dry run: count, models and tiers in order, and the first five models."""
     models = F.array_sort(F.collect_set("model_slug"))  # no more values than there are models

@@ -26,8 +26,10 @@ def listing(spark: SparkSession, pattern: str) -> DataFrame:
 def lines(spark: SparkSession, pattern: str | list[str], blank: bool = False) -> DataFrame:
     """(path, modified, line, value): lines that aren't blank (all of them with `blank`). line orders the lines of a file: the start of the split it was read in, and its row there.
 
-    Files are read in splits, so one of any size is read by many tasks.
+    Files are read in splits, so one of any size is read by many tasks. No rows where no file matches a pattern.
     """
+    if isinstance(pattern, str) and not listing(spark, pattern).count():
+        return spark.createDataFrame([], "path string, modified timestamp, line struct<start: bigint, row: bigint>, value string")
     at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
     rows = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), at.alias("line"), "value")
     return rows if blank else rows.where(F.trim("value") != "")
@@ -35,7 +37,7 @@ def lines(spark: SparkSession, pattern: str | list[str], blank: bool = False) ->
 
 def count_lines(spark: SparkSession, file: str) -> int:
     """Lines that aren't blank, readable or not; none where there is no file: how many deletions a dataset has."""
-    return lines(spark, file).count() if listing(spark, file).count() else 0
+    return lines(spark, file).count()
 
 
 def _parsed(df: DataFrame, schema: str) -> DataFrame:
@@ -89,5 +91,9 @@ def activity(spark: SparkSession, file: str) -> DataFrame:
     return spark.read.schema("action string, record_id string, quality_tier string, timestamp string").json(file, mode="FAILFAST")
 
 
-def catalog(spark: SparkSession, file: str) -> DataFrame:
-    return spark.read.schema(CATALOG).json(file, multiLine=True)
+def catalog(spark: SparkSession, file: str) -> DataFrame | None:
+    """The catalog, one row; None where nothing is published yet, or the file isn't JSON."""
+    if not listing(spark, file).count():
+        return None
+    read = _parsed(spark.read.text(file, wholetext=True), CATALOG).where("r is not null").select("r.*")
+    return None if read.isEmpty() else read
