@@ -38,6 +38,8 @@ SAMPLE = RANK - int(FILL * RANK)
 COSINE, ORDER, VERBATIM, STRETCH, SHORT = 0.3, 0.7, 0.9, 1.6, 8
 #: Taken off inverse frequencies: words in over a share exp(-COMMON) of the documents hardly count.
 COMMON = 1.0
+#: Windows compared at once: few enough for a processor's cache.
+AT_ONCE = 192
 _U = np.uint64
 
 
@@ -282,7 +284,8 @@ def _found(batches: Iterator[pa.RecordBatch], model) -> Iterator[tuple[pa.Record
     for used, basis, latent, of in groups:
         row_of = np.full(CELLS, -1, dtype=np.int32)
         row_of[used] = np.arange(len(used))
-        spaces.append((used, row_of, (basis * idf[used][:, None]).astype(np.float32), latent, of))
+        # what each word adds to the inner product with each passage, both in the latent space: no more columns than dimensions
+        spaces.append((used, row_of, ((basis * idf[used][:, None]).astype(np.float32) @ latent.T).astype(np.float32), of))
     square = (idf * idf).astype(np.float64)
     for run in ta.runs(batches):
         w = ta.tokens(ta.column(run, "text"))
@@ -299,10 +302,10 @@ def _found(batches: Iterator[pa.RecordBatch], model) -> Iterator[tuple[pa.Record
         norm2 = mass[end] - mass[begin]  # a word that repeats counts for less than it has, so no cosine is too small
         found: dict[tuple[int, int], tuple] = {}
         last: dict[tuple[int, int], int] = {}
-        for used, row_of, weighted, latent, of in spaces:
+        for used, row_of, weighted, of in spaces:
             known = row_of[c]
             keep = np.flatnonzero((_squares(known, square[used], begin, end) >= 0.999 * COSINE * COSINE * norm2) & (norm2 > 0))
-            for some in np.array_split(keep, max(1, len(keep) // 1024)):
+            for some in np.array_split(keep, max(1, len(keep) // AT_ONCE)):
                 if not len(some):
                     continue
                 blocks = np.union1d(some, some + 1)
@@ -318,7 +321,7 @@ def _found(batches: Iterator[pa.RecordBatch], model) -> Iterator[tuple[pa.Record
                     sums[block[starts]] = np.add.reduceat(weighted[at], starts, axis=0)
                 here = np.searchsorted(blocks, some)
                 more = (some + 1 < len(begin)) & (text[np.minimum(some + 1, len(begin) - 1)] == text[some])
-                cosine = (sums[here] + sums[np.where(more, here + 1, len(blocks))]) @ latent.T / np.sqrt(norm2[some])[:, None].astype(np.float32)
+                cosine = (sums[here] + sums[np.where(more, here + 1, len(blocks))]) / np.sqrt(norm2[some])[:, None].astype(np.float32)
                 for i, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
                     key, b = (int(text[some[i]]), int(of[p])), int(begin[some[i]])
                     half = int(lengths[key[1]]) // 2
