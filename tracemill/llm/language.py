@@ -24,6 +24,8 @@ from .shared import held_out, short_batches
 #: Bytes of a chunk and beside it; hidden units for each direction; documents the network learns from, in all and for one language, and chunks of one of them.
 CHUNK, CONTEXT, HIDDEN, SAMPLE, SAMPLE_LANG, SAMPLE_CHUNKS = 96, 8, 12, 2000, 400, 16
 STEPS, BATCH, RATE = 200, 96, 0.03
+#: Languages it learns: those with the most documents.
+LANGUAGES = 512
 #: Chunks computed at once, and chunks whose labels a worker remembers.
 AT_ONCE, REMEMBERED = 768, 1 << 16
 UNKNOWN = "und"
@@ -258,9 +260,9 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> tuple[list[str], bytes] | None:
-    """Learns from text and lang of up to about SAMPLE documents with a language that aren't held out, in one task; None without any."""
+    """Learns from text and lang of up to about SAMPLE documents of LANGUAGES languages that aren't held out, in one task; None without any."""
     known = labelled(docs).select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     each = min(SAMPLE_LANG, max(1, SAMPLE // len(counts)))
@@ -326,15 +328,17 @@ def _predict(batches: Iterator[pa.RecordBatch], languages: list[str], packed, ke
         yield pa.record_batch([*(ta.column(run, c) for c in kept), pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))], names=[*kept, "lang_pred", "score"])
 
 
-def identify(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, carry: tuple[str, ...] = (), model: tuple[list[str], bytes] | None = None) -> DataFrame:
     """docs(doc_id, text, lang, ...) -> (doc_id, held_out, *carry, lang_pred, score), one row for each row of docs.
 
+    model is what train() gave; without one it is trained on docs.
+
     lang_pred is `und`, with score 0, for texts that are null or hold no letter, and for all texts where no document
     has a language to learn from. lang is read in training only. Rows are independent, so repeated rows and missing
     ids are harmless. An empty table gives no rows.
     """
     short_batches(docs.sparkSession)
-    model = train(docs)
+    model = model or train(docs)
     plain = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
     kept = ["doc_id", "held_out", *carry]
     if model is None:

@@ -62,16 +62,20 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of text in an Arrow batch. Texts are long: Spark's own 10,000 rows would be tens of megabytes on both sides of each task.
-BATCH_ROWS = 1000
+#: Rows and bytes of text in an Arrow batch. Texts are long: Spark's own 10,000 rows and 64 MB are held several times on both sides of each task.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS; a smaller setting stays."""
+    """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 def held_out(doc_id: Column) -> Column:
