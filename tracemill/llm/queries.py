@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, mtree, sharding, substring_dedup
+from . import licenses, merkle, mixing, mtree, sharding, substring_dedup
 from .decontaminate import leaks
 from .html_text import extract
 from .language import identify
@@ -53,6 +53,10 @@ def op10_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity_ftrl": op2_toxicity_ftrl,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_language_gru": op10_language_gru,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -72,4 +77,5 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": licenses.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_rendezvous_shards": sharding.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
