@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, merkle, mixing, mtree, sharding, substring_dedup
+from . import licenses, merkle, mixing, mtree, sharding, substring_dedup, suffix_sort
 from .decontaminate import leaks
 from .html_text import extract
 from .language import identify
@@ -53,6 +53,10 @@ def op10_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sort.remove_repeats(read(spark, sf_dir, "documents"), window=100).drop("spans")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_language_gru": op10_language_gru,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -77,5 +82,6 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": licenses.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_rendezvous_shards": sharding.ORACLE,
+    "op12_suffix_array_dedup": suffix_sort.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }

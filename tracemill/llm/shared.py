@@ -91,15 +91,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 FILTER_BITS, MORE_BITS, FULL = 1 << 22, 1 << 27, 0.2
 
 
-def _bits(ids: DataFrame, key: str, size: int) -> np.ndarray:
-    """A bit for each hash of an id, aggregated by the executors, 32 in a word."""
-    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(size)).cast("int")
+def _bits(ids: DataFrame, key: str, size: int, hashed: bool = False) -> np.ndarray:
+    """A bit for each hash of an id, aggregated by the executors, 32 in a word. hashed: the ids are hashes."""
+    value = F.col(key).cast("long")
+    slot = F.pmod(value if hashed else F.xxhash64(value), F.lit(size)).cast("int")
     bits = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1, s & 31)")).alias("bits")).toArrow()
     words = np.zeros(size // 32, dtype=np.int32)
     words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
     return words
 
 
+def _filter(ids: DataFrame, key: str, hashed: bool = False) -> np.ndarray:
+    """The smaller set of bits, or the larger one where that fills."""
+    words = _bits(ids, key, FILTER_BITS, hashed)
+    return _bits(ids, key, MORE_BITS, hashed) if np.bitwise_count(words).sum() > FULL * FILTER_BITS else words
+
+
+class HashFilter:
+    """Says of 64-bit hashes, in numpy arrays within tasks, whether they may be in a column: a fixed number of bits is broadcast, none is missed, and the join that follows decides."""
+
+    def __init__(self, hashes: DataFrame, key: str):
+        self.bits = hashes.sparkSession.sparkContext.broadcast(_filter(hashes, key, hashed=True))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        words = self.bits.value
+        at = (h & np.uint64(32 * len(words) - 1)).astype(np.int64)
+        return (words[at >> 5] >> (at & 31).astype(np.int32)) & 1 == 1
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", others: bool = False) -> DataFrame:
     """docs without most rows whose key isn't in ids, so that a join with ids moves few other texts.
 
@@ -107,9 +126,7 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", others: bool
     goes wrongly; the join that follows decides. others: the rows that go, in place of those that stay, and rows
     without key.
     """
-    words = _bits(ids, key, FILTER_BITS)
-    if np.bitwise_count(words).sum() > FULL * FILTER_BITS:
-        words = _bits(ids, key, MORE_BITS)
+    words = _filter(ids, key)
     slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(32 * len(words))).cast("int")
     packed = docs.sparkSession.sparkContext.broadcast(words)
 
