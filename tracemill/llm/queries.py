@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses, merkle, mixing, mtree, sharding, substring_dedup, suffix_sort
+from .collocations import ORACLE as COLLOCATIONS
+from .collocations import collocations
 from .decontaminate import leaks
 from .html_text import extract
 from .language import identify
@@ -53,6 +55,10 @@ def op10_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sort.remove_repeats(read(spark, sf_dir, "documents"), window=100).drop("spans")
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_language_gru": op10_language_gru,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_suffix_array_dedup": op12_suffix_array_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -82,6 +89,7 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": licenses.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_rendezvous_shards": sharding.ORACLE,
+    "op11_phrase_collocations": COLLOCATIONS,
     "op12_suffix_array_dedup": suffix_sort.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }

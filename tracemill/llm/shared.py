@@ -110,8 +110,9 @@ def _filter(ids: DataFrame, key: str, hashed: bool = False) -> np.ndarray:
 class HashFilter:
     """Says of 64-bit hashes, in numpy arrays within tasks, whether they may be in a column: a fixed number of bits is broadcast, none is missed, and the join that follows decides."""
 
-    def __init__(self, hashes: DataFrame, key: str):
-        self.bits = hashes.sparkSession.sparkContext.broadcast(_filter(hashes, key, hashed=True))
+    def __init__(self, hashes: DataFrame, key: str, cells: int | None = None):
+        """cells: the column holds the last bits of hashes, as many values as that; without, whole hashes."""
+        self.bits = hashes.sparkSession.sparkContext.broadcast(_bits(hashes, key, cells, hashed=True) if cells else _filter(hashes, key, hashed=True))
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         words = self.bits.value
