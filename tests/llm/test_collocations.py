@@ -94,4 +94,7 @@ def test_phrases_beyond_one_automaton(monkeypatch):
     every = lambda h: h == h  # noqa: E731  a sketch whose cells are all full
     batch = pa.record_batch([pa.array(["en", "en"]), pa.array(["a b a b", "c, a b"])], names=["lang", "text"])
     (rows,) = cc._count(iter([batch]), 2, every, every)
+    (packed,) = cc._packed(iter([rows, rows]), 7)
+    (back,) = cc._unpacked(iter([packed, packed]), 5)
+    assert set(zip(*(back.column(k).to_pylist() for k in range(3)), strict=True)) == {("en", None, 28), ("en", "a", 12), ("en", "b", 12), ("en", "a b", 12)}
     assert dict(zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)) == {None: 7, "a": 3, "b": 3, "c": 1, "a b": 3, "b a": 1}

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -36,8 +37,12 @@ LONGEST, MIN_COUNT, TOP, CONTAINED = 5, 100, 2000, 100
 CELLS, GATHER = 1 << 27, 1 << 21
 #: Phrases in one automaton.
 PATTERNS = 50_000
-#: A longer text is cut at its breaks into parts of about so many bytes.
-PART_BYTES = 8 << 20
+#: Texts of a language are handled in parts of about so many bytes; a longer one is cut at its breaks.
+PART_BYTES = 4 << 20
+#: Parts of several languages that a task gathers at most.
+HELD = 3
+#: Counted phrases that a task gathers before it adds up equal ones.
+COUNTED = 1 << 20
 
 _U = np.uint64
 _BREAK = np.zeros(256, dtype=bool)
@@ -49,21 +54,26 @@ _GUARDED = bytes(ord("\n") if _BREAK[b] else ord(" ") if _SEPARATOR[b] else b fo
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-    """(lang, texts) of each batch and language; a long text in parts that end at breaks."""
+    """(lang, texts) of about PART_BYTES each; a long text in parts that end at breaks. No more than a few of them are held at once."""
+    held: dict[str, list[bytes]] = {}
+    sizes: Counter[str] = Counter()
+
+    def flush(lang: str) -> tuple[str, pa.Array]:
+        sizes.pop(lang)
+        return lang, pa.array(held.pop(lang), pa.large_binary()).view(pa.large_string())
+
     for batch in batches:
-        langs, texts = ta.column(batch, "lang"), pc.fill_null(ta.column(batch, "text"), "")
-        for lang in pc.unique(langs).to_pylist():
-            mine, part, size = texts.filter(pc.equal(langs, lang)), [], 0
-            for text in mine:
-                b = text.as_buffer().to_pybytes()
-                for piece in _parts(b):
-                    if part and size + len(piece) > PART_BYTES:
-                        yield lang, pa.array(part, pa.large_binary()).view(pa.large_string())
-                        part, size = [], 0
-                    part.append(piece)
-                    size += len(piece)
-            if part:
-                yield lang, pa.array(part, pa.large_binary()).view(pa.large_string())
+        for lang, text in zip(ta.column(batch, "lang").to_pylist(), ta.column(batch, "text"), strict=True):
+            if text.is_valid:
+                for piece in _parts(text.as_buffer().to_pybytes()):
+                    held.setdefault(lang, []).append(piece)
+                    sizes[lang] += len(piece)
+                    if sizes[lang] >= PART_BYTES:
+                        yield flush(lang)
+        while sizes.total() > HELD * PART_BYTES:
+            yield flush(sizes.most_common(1)[0][0])
+    while held:
+        yield flush(next(iter(held)))
 
 
 def _parts(b: bytes) -> Iterator[bytes]:
@@ -141,26 +151,70 @@ def _long(batches: Iterator[pa.RecordBatch], width: int, longest: int, short: Ha
     return _cells((p.hash(at, n) for p in (Phrases(*x) for x in shards(batches)) for n, at in p.may_be_frequent(longest, short, None) if n > 2), width)
 
 
-def _count(batches: Iterator[pa.RecordBatch], longest: int, short: HashFilter, long: HashFilter) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], longest: int, short: HashFilter, long: HashFilter) -> Iterator[pa.Table]:
     """How often each phrase stands in a shard, and under a null phrase its words."""
     for lang, texts in shards(batches):
         p = Phrases(lang, texts)
         w = p.words
-        rows: list[tuple[str | None, int]] = [(None, len(w.hash))]
+        phrases: list[str | None] = [None]
+        counts = [np.array([len(w.hash)])]
         patterns: list[str] = []
         for n, at in p.may_be_frequent(longest, short, long):
             at = at[np.unique(p.hash(at, n), return_index=True)[1]]
-            patterns += [b" %b " % b" ".join(w.texts(k, k + n)) for k in at.tolist()]
+            patterns += [(b" %b " % b" ".join(w.texts(k, k + n))).decode() for k in at.tolist()]
         guarded = b" \n ".join(x.as_buffer().to_pybytes() for x in texts).translate(_GUARDED).replace(b"\n", b" \n ")
         guarded = re.sub(rb" {2,}", b" ", b" %b " % guarded).decode()
         for i in range(0, len(patterns), PATTERNS):
-            automaton, some = ahocorasick.Automaton(), [x.decode() for x in patterns[i : i + PATTERNS]]
+            automaton, some = ahocorasick.Automaton(), patterns[i : i + PATTERNS]
             for k, pattern in enumerate(some):
                 automaton.add_word(pattern, k)
             automaton.make_automaton()
-            found = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(guarded)), np.int32), minlength=len(some))
-            rows += zip((x[1:-1] for x in some), found.tolist(), strict=True)
-        yield pa.record_batch([pa.array([lang] * len(rows), pa.string()), pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64())], names=["lang", "phrase", "n"])
+            counts.append(np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(guarded)), np.int32), minlength=len(some)))
+            phrases += [x[1:-1] for x in some]
+        yield pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "n": pa.array(np.concatenate(counts), pa.int64())})
+
+
+def _added(tables: Iterator[pa.Table]) -> pa.Table | None:
+    """Sums by lang and phrase."""
+    held: list[pa.Table] = []
+    for table in tables:
+        held.append(table)
+        if sum(t.num_rows for t in held) >= COUNTED and len(held) > 1:
+            held = [_sum(held)]
+    return _sum(held) if held else None
+
+
+def _sum(tables: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+    return pa.table({"lang": out["lang"], "phrase": out["phrase"], "n": out["n_sum"]})
+
+
+_COUNTS = pa.struct([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+def _packed(tables: Iterator[pa.Table], buckets: int) -> Iterator[pa.RecordBatch]:
+    """All sums of a task, a row for each bucket of phrases' hashes."""
+    total = _added(tables)
+    if total is None:
+        return
+    data, at = ta.raw(total["phrase"])
+    bucket = (ta.hashes(data, at[:-1], at[1:]) % _U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    total, bucket = total.take(pa.array(order)).combine_chunks(), bucket[order]
+    edges = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]])
+    rows = pa.StructArray.from_arrays([total[c].combine_chunks() if total[c].num_chunks else pa.array([], _COUNTS.field(c).type) for c in ("lang", "phrase", "n")], fields=list(_COUNTS))
+    for i in range(0, len(edges) - 1, 64):
+        some = edges[i : i + 65]
+        counts = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), rows.slice(some[0], some[-1] - some[0]))
+        yield pa.record_batch([pa.array(bucket[some[:-1]]), counts], names=["bucket", "counts"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """Sums over all tasks, of phrases that are frequent and of words."""
+    total = _added(pa.Table.from_struct_array(batch.column(1).flatten()) for batch in batches if batch.num_rows)
+    if total is not None:
+        keep = pc.or_(pc.is_null(total["phrase"]), pc.greater_equal(total["n"], min_count))
+        yield from total.filter(keep).to_batches(max_chunksize=10_000)
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, longest: int = LONGEST, min_count: int = MIN_COUNT, cells: int = CELLS) -> DataFrame:
@@ -172,9 +226,10 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, longest: int = LONGEST,
 
     short = sketch(lambda it: _short(it, cells), "short")
     long = sketch(lambda it: _long(it, cells, longest, short), "long")
-    counts = docs.mapInArrow(lambda it: _count(it, longest, short, long), "lang string, phrase string, n long")
-    counts = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return scratch.save(counts.where(F.col("phrase").isNull() | (F.col("n") >= min_count)), "phrases")
+    # a row for each task and bucket: each task has nearly all frequent phrases, so they are added up where they are counted
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.mapInArrow(lambda it: _packed(_count(it, longest, short, long), buckets), "bucket int, counts array<struct<lang: string, phrase: string, n: long>>")
+    return scratch.save(packed.repartition("bucket").mapInArrow(lambda it: _unpacked(it, min_count), "lang string, phrase string, n long"), "phrases")
 
 
 #: floor(1000 a n / (l r)); the products may pass 64 bits.
