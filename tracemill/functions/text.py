@@ -85,12 +85,9 @@ def split_tags(text: Column) -> Column:
 
 
 def byte_label(n: Column) -> Column:
-    """B, KB or MB, the latter two with one decimal."""
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024))
-        .otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
-    )
+    """B, KB or MB, the latter two with one decimal, halves to the even one."""
+    in_units = lambda size: F.bround(n.cast("decimal(20,0)") / F.lit(size), 1).cast("decimal(21,1)").cast("string")
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(in_units(1024), F.lit(" KB"))).otherwise(F.concat(in_units(1024 * 1024), F.lit(" MB")))
 
 
 def preview(text: Column, n: int = 200) -> Column:

@@ -1,62 +1,45 @@
-"""Redaction of all free text of records: texts become rows, are redacted together, and go back to their places."""
+"""Redaction of all free text of records, in place: each record's texts are a column of lists that the steps go over."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CATEGORIES
-from ..functions.scrub import org_domains, scrub
+from ..functions.scrub import org_domains, scrub_lists
 
+TEXTS = "array<array<string>>"
 
-def segments(records: DataFrame, key: str) -> DataFrame:
-    """(key, place, text): turns `t/i`, tool inputs `i/i/j`, outputs `o/i/j`, pain points `p/i`, comment `c`."""
-    turns = F.col("trajectory.conversations")
-    place = lambda kind, *at: F.concat_ws("/", F.lit(kind), *(x.cast("string") for x in at))
-    one = lambda where, text: F.struct(where.alias("place"), text.alias("text"))
-    calls = lambda kind, field: F.flatten(
-        F.transform(turns, lambda t, i: F.coalesce(F.transform(t["tool_calls"], lambda c, j: one(place(kind, i, j), c[field])), F.array().cast("array<struct<place: string, text: string>>")))
-    )
-    listed = F.concat(
-        F.transform(turns, lambda t, i: one(place("t", i), t["value"])),
-        calls("i", "tool_input"),
-        calls("o", "tool_output"),
-        F.coalesce(F.transform("pain_points", lambda p, i: one(place("p", i), p["description"])), F.array().cast("array<struct<place: string, text: string>>")),
-        F.array(one(F.lit("c"), F.col("outcome.user_comment"))),
-    )
-    return records.select(key, F.explode(listed).alias("s")).select(key, "s.place", "s.text").where("text is not null")
+
+def texts() -> Column:
+    """All free text of a record: for each turn its value and then the input and output of each tool call, and at last the pain points' descriptions and the comment."""
+    turn = lambda t: F.concat(F.array(t["value"]), F.coalesce(F.flatten(F.transform(t["tool_calls"], lambda c: F.array(c["tool_input"], c["tool_output"]))), F.array().cast("array<string>")))
+    turns = F.coalesce(F.transform("trajectory.conversations", turn), F.array().cast(TEXTS))
+    rest = F.concat(F.coalesce(F.transform("pain_points", lambda p: p["description"]), F.array().cast("array<string>")), F.array(F.col("outcome.user_comment")))
+    return F.concat(turns, F.array(rest))
 
 
-def scrub_records(records: DataFrame, key: str) -> DataFrame:
-    """Records, key unique, with redacted text and submission.scrub_log filled; items_flagged counts organisations' domains in the redacted text.
+def scrub_records(records: DataFrame) -> DataFrame:
+    """Records with redacted text and submission.scrub_log filled; items_flagged counts organisations' domains in the redacted text.
 
-    One shuffle: the redacted texts meet their record, and its log, by key.
+    Rows stay where they are: no key takes part, so records without one, or with one that repeats, are redacted like all
+    others. A text is written back only as the steps left it; a record without texts has a log of zeros, and one
+    without submission gets none.
     """
-    clean = scrub(segments(records, key)).withColumn("flags", F.size(org_domains(F.col("text"))))
-    per = clean.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("place", "text"))).alias("_text"),
-        *(F.sum(f"{c}_redacted").cast("int").alias(f"{c}_redacted") for c in CATEGORIES),
-        F.sum("flags").cast("int").alias("items_flagged"),
-    )
-    joined = records.join(per, key, "left")
-    got = lambda old, kind, *at: F.coalesce(F.col("_text")[F.concat_ws("/", F.lit(kind), *(x.cast("string") for x in at))], old)
+    clean = scrub_lists(records.withColumn("_texts", texts()), "_texts")
+    flagged = F.aggregate(F.flatten("_texts"), F.lit(0), lambda n, x: n + F.coalesce(F.size(org_domains(x)), F.lit(0)))
+    at = lambda i, k: F.get(F.get(F.col("_texts"), i), k)
     turns = F.transform(
         "trajectory.conversations",
-        lambda t, i: t.withField("value", got(t["value"], "t", i)).withField(
-            "tool_calls",
-            F.transform(t["tool_calls"], lambda c, j: c.withField("tool_input", got(c["tool_input"], "i", i, j)).withField("tool_output", got(c["tool_output"], "o", i, j))),
-        ),
-    )
-    log = F.struct(
-        *(F.coalesce(f"{c}_redacted", F.lit(0)).alias(f"{c}_redacted") for c in CATEGORIES),
-        F.lit(0).alias("potential_names_redacted"),
-        F.coalesce("items_flagged", F.lit(0)).alias("items_flagged"),
+        lambda t, i: t.withField("value", at(i, F.lit(0))).withField("tool_calls", F.transform(t["tool_calls"], lambda c, j: c.withField("tool_input", at(i, 2 * j + 1)).withField("tool_output", at(i, 2 * j + 2)))),
     )
-    return joined.withColumns(
+    rest = F.element_at("_texts", -1)
+    log = F.struct(*(F.col(f"{c}_redacted").alias(f"{c}_redacted") for c in CATEGORIES), F.lit(0).alias("potential_names_redacted"), flagged.cast("int").alias("items_flagged"))
+    return clean.withColumns(
         {
-            "trajectory": F.col("trajectory").withField("conversations", turns),
-            "pain_points": F.transform("pain_points", lambda p, i: p.withField("description", got(p["description"], "p", i))),
-            "outcome": F.when(F.col("outcome").isNotNull(), F.col("outcome").withField("user_comment", got(F.col("outcome.user_comment"), "c"))),
+            "trajectory": F.when(F.col("trajectory").isNotNull(), F.col("trajectory").withField("conversations", turns)),
+            "pain_points": F.transform("pain_points", lambda p, i: p.withField("description", F.get(rest, i))),
+            "outcome": F.when(F.col("outcome").isNotNull(), F.col("outcome").withField("user_comment", F.element_at(rest, -1))),
             "submission": F.when(F.col("submission").isNotNull(), F.col("submission").withField("scrub_log", log)),
         }
     ).select(*records.columns)

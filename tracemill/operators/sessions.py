@@ -7,6 +7,7 @@ came before it and captures model and hardware. A session's events are brought t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed import OUTCOME_TAGS, PAIN_POINT_CATEGORIES, SEVERITIES, TOOL_STATUSES
@@ -70,22 +71,33 @@ def assemble(events: DataFrame) -> DataFrame:
     Turns without a known role, content, or a named tool with a known status are skipped; ratings outside 1 to 5 or with
     unknown tags, and reports of an unknown category or severity, are ignored; what comes after an end still counts,
     until the next start. turn_index is the number of turns so far less one, 0 if there is none.
+
+    Events are dealt by session once: what precedes the last start goes and turns are numbered by windows over the sorted
+    session, so the work for a session grows with its events.
     """
-    fields = [c.split(" ")[0].strip() for c in ("seq", "kind", "role", "content", "rating", "tags", "category", "description", "comment", "severity", "tool_calls", "token_count", "latency_ms", "model", "hardware", "at")]
-    packed = events.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))  # bounded by a session
-    start = F.element_at(F.filter("e", lambda e: e["kind"] == "start"), -1)
-    has_start = F.exists("e", lambda e: e["kind"] == "start")
-    since = packed.withColumn("start", F.when(has_start, start))
-    since = since.withColumn("e", F.filter("e", lambda e: e["seq"] >= F.coalesce(F.col("start.seq"), F.lit(-(1 << 62)))))
-    rated = F.when(F.exists("e", _is_rating), F.element_at(F.filter("e", _is_rating), -1))
-    before = lambda e: F.size(F.filter("e", lambda x: _is_turn(x) & (x["seq"] < e["seq"])))
+    of = W.partitionBy("session_id")
+    e = {f: F.col(f) for f in ("kind", "role", "content", "tool_calls", "rating", "tags", "category", "description", "severity")}
+    last_start = F.max(F.when(F.col("kind") == "start", F.col("seq"))).over(of)
+    since = events.withColumn("_start", last_start).where(F.col("_start").isNull() | (F.col("seq") >= F.col("_start")))
+    before = F.sum(_is_turn(e).cast("int")).over(of.orderBy("seq").rangeBetween(W.unboundedPreceding, -1))
+    kept = since.withColumn("_before", F.coalesce(before, F.lit(0)))
+    one = F.struct(F.col("seq"), *(c for c in events.columns if c not in ("session_id", "seq", "model", "hardware")), "_before")
+    start = F.max_by(F.struct("model", "hardware", "at"), F.when((F.col("kind") == "start") & (F.col("seq") == F.col("_start")), F.col("seq")))
+    packed = kept.groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.when(_is_turn(e), one))).alias("turns"),  # bounded by a session
+        F.array_sort(F.collect_list(F.when(_is_report(e), one))).alias("reports"),
+        F.max_by(one, F.when(_is_rating(e), F.col("seq"))).alias("rated"),
+        start.alias("start"),
+        F.max(F.col("kind") == "end").alias("ended"),
+    )
     reports = F.transform(
-        F.filter("e", _is_report),
-        lambda e: F.struct(e["category"].alias("category"), F.coalesce(e["severity"], F.lit("medium")).alias("severity"), e["description"].alias("description"), F.greatest(before(e) - 1, F.lit(0)).alias("turn_index"), F.lit(None).cast("boolean").alias("reproducible")),
+        "reports",
+        lambda r: F.struct(r["category"].alias("category"), F.coalesce(r["severity"], F.lit("medium")).alias("severity"), r["description"].alias("description"), F.greatest(r["_before"] - 1, F.lit(0)).cast("int").alias("turn_index"), F.lit(None).cast("boolean").alias("reproducible")),
     )
-    return since.select(
+    rated = F.col("rated")
+    return packed.select(
         "session_id",
-        F.transform(F.filter("e", _is_turn), _turn).alias("conversations"),
+        F.transform("turns", _turn).alias("conversations"),
         rated["rating"].alias("user_rating"),
         F.when(rated.isNotNull(), F.coalesce(rated["tags"], F.array().cast("array<string>"))).alias("outcome_tags"),
         F.nullif(rated["comment"], F.lit("")).alias("user_comment"),
@@ -93,7 +105,7 @@ def assemble(events: DataFrame) -> DataFrame:
         model_metadata(F.col("start.model")).alias("model"),
         F.col("start.hardware").alias("hardware"),
         F.col("start.at").alias("created_at"),
-        F.exists("e", lambda e: e["kind"] == "end").alias("ended"),
+        F.coalesce("ended", F.lit(False)).alias("ended"),
     )
 
 
@@ -151,7 +163,7 @@ def from_event_table(events: DataFrame) -> DataFrame:
         (k % 70).alias("latency_ms"),
         F.when(is_start, model).alias("model"),
         F.when(is_start, hardware).alias("hardware"),
-        F.when(is_start, F.col("ts")).alias("at"),
+        F.col("ts").alias("at"),
     )
     return _as_events(out)
 

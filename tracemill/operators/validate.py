@@ -52,8 +52,11 @@ def errors() -> Column:
 
 
 def validate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid records, rejects with a column `errors`)."""
-    judged = records.withColumn("errors", errors())
+    """(valid records, rejects with a column `errors`). Where records come with `unread` (sources.typed), each field in it is an error `type:{field}` first."""
+    found = errors()
+    if "unread" in records.columns:
+        found = F.concat(F.array_distinct(F.transform("unread", lambda x: F.concat(F.lit("type:"), x["field"]))), found)
+    judged = records.withColumn("errors", found)
     return judged.where(F.size("errors") == 0).drop("errors"), judged.where(F.size("errors") > 0)
 
 

@@ -75,16 +75,16 @@ HARDWARE_LITERALS = (
     (12, None, None, None, "Linux"),
 )
 SLUG_LITERALS = ("GPT-4o", "a!!b@@c", "", "my_model_v2", "  Spaced  Name ", "--x--", "Ünïcode.Model", "...", "A__b..c  d")
-SIZES = (0, 1, 1023, 1024, 1536, 1048575, 1048576, 5000000000)
-TAGS = ("a, b ,c", "", " , ,x", "one", "a,a")
-BYTES = 1024
+#: Numbers as JSON has them; all that can be read is five.
+RAW_NUMBERS = ("5", '"5"', "5.0", '"x"', "5.5", "null", '" 5.0 "')
 
 
 def literals(spark: SparkSession, rows: tuple, schema: str) -> DataFrame:
     return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
 
 
-def _of(values: tuple, at: Column) -> Column:
+def pick(values: tuple, at: Column) -> Column:
+    """One of the values, by the remainder."""
     return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
 
 
@@ -96,7 +96,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full record for each conversation, with conv_id: what conversations lack follows from conv_id by fixed rules, some of it invalid."""
     t, k = trajectories(spark, sf_dir), F.col("conv_id")
-    status = lambda i, j: _of(fixed.TOOL_STATUSES, k + i + j)
+    status = lambda i, j: pick(fixed.TOOL_STATUSES, k + i + j)
     call = lambda i, j: F.struct(F.concat(F.lit("tool"), j.cast("string")).alias("tool_name"), F.lit("in").alias("tool_input"), F.lit("out").alias("tool_output"), status(i, j).alias("tool_status"), F.lit(None).cast("bigint").alias("latency_ms"))
     turns = F.transform(
         "conversations",
@@ -113,11 +113,11 @@ def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         F.timestamp_seconds(F.lit(1704067200) + k * 60).alias("created_at"),
         F.struct(F.lit("sharegpt_extended").alias("format"), turns.alias("conversations"), (n + F.when(k % 7 == 0, 1).otherwise(0)).alias("turn_count"), F.lit(0).alias("total_tool_calls"), F.lit(0).alias("successful_tool_calls"), F.lit(0).alias("failed_tool_calls")).alias("trajectory"),
-        F.struct(_of(MODELS, k).alias("model_name"), F.when(k % 13 == 0, "cloud").otherwise(_of(fixed.PROVIDERS, k)).alias("provider")).alias("model"),
-        F.struct(_of(GPUS, k).alias("gpu_name"), (k % 90).cast("int").alias("gpu_vram_gb"), (k * 7 % 700).cast("int").alias("ram_gb"), _of(SYSTEMS, k).alias("os"), F.lit("12.1").alias("cuda_version")).alias("hardware"),
-        F.struct((k % 7).cast("int").alias("user_rating"), F.array(_of(fixed.OUTCOME_TAGS, k), F.when(k % 11 == 0, "not_a_tag").otherwise(_of(fixed.OUTCOME_TAGS, k * 7))).alias("outcome_tags"), F.lit("see ~/notes/x").alias("user_comment")).alias("outcome"),
-        F.array(F.struct(_of(fixed.PAIN_POINT_CATEGORIES, k).alias("category"), F.lit("medium").alias("severity"), F.lit("at 10.0.0.1").alias("description"))).alias("pain_points"),
-        F.struct(F.lit("1.0").alias("agent_version"), F.concat(F.lit("c"), k.cast("string")).alias("contributor_id"), _of(fixed.CONSENT_LEVELS, k).alias("consent_level")).alias("submission"),
+        F.struct(pick(MODELS, k).alias("model_name"), F.when(k % 13 == 0, "cloud").otherwise(pick(fixed.PROVIDERS, k)).alias("provider")).alias("model"),
+        F.struct(pick(GPUS, k).alias("gpu_name"), (k % 90).cast("int").alias("gpu_vram_gb"), (k * 7 % 700).cast("int").alias("ram_gb"), pick(SYSTEMS, k).alias("os"), F.lit("12.1").alias("cuda_version")).alias("hardware"),
+        F.struct((k % 7).cast("int").alias("user_rating"), F.array(pick(fixed.OUTCOME_TAGS, k), F.when(k % 11 == 0, "not_a_tag").otherwise(pick(fixed.OUTCOME_TAGS, k * 7))).alias("outcome_tags"), F.lit("see ~/notes/x").alias("user_comment")).alias("outcome"),
+        F.array(F.struct(pick(fixed.PAIN_POINT_CATEGORIES, k).alias("category"), F.lit("medium").alias("severity"), F.lit("at 10.0.0.1").alias("description"))).alias("pain_points"),
+        F.struct(F.lit("1.0").alias("agent_version"), F.concat(F.lit("c"), k.cast("string")).alias("contributor_id"), pick(fixed.CONSENT_LEVELS, k).alias("consent_level")).alias("submission"),
     )
     return _typed(made)
 
@@ -161,7 +161,7 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
         tier.alias("given_tier"),
         (F.col("n_chars") % 10001 / 10000).alias("score"),
         "lang",
-        F.when(F.col("doc_id") % 3 > 0, _of(GPUS, F.col("doc_id"))).alias("gpu_name"),
+        F.when(F.col("doc_id") % 3 > 0, pick(GPUS, F.col("doc_id"))).alias("gpu_name"),
         "n_chars",
     )
     out = placed(rows, "model_name", "given_tier").drop("given_tier")
@@ -175,15 +175,15 @@ def _turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings of staged records by fixed rules, one for each turn of every third conversation; some are invalid."""
     k, n = F.col("conv_id"), F.col("seq")
-    tags = F.array(F.when((k + n) % 5 == 0, "not_a_tag").otherwise(_of(fixed.OUTCOME_TAGS, k + n)))
+    tags = F.array(F.when((k + n) % 5 == 0, "not_a_tag").otherwise(pick(fixed.OUTCOME_TAGS, k + n)))
     return _turn_rows(spark, sf_dir).where(k % 3 == 0).select("conv_id", "seq", ((k + n) % 7).cast("int").alias("score"), F.when(n % 4 > 0, tags).alias("tags"), F.when(n % 2 == 0, F.concat(F.lit("at "), n.cast("string"))).otherwise("").alias("comment"))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports on staged records by fixed rules, one for each turn of every fourth conversation; some are invalid."""
     k, n = F.col("conv_id"), F.col("seq")
-    severity = F.when(n % 3 == 0, F.upper(_of(fixed.SEVERITIES, k + n))).when(n % 3 == 1, "unheard of")
-    return _turn_rows(spark, sf_dir).where(k % 4 == 0).select("conv_id", "seq", _of(fixed.PAIN_POINT_CATEGORIES, k + n).alias("category"), F.when(n % 5 < 4, F.concat(F.lit("turn "), n.cast("string"))).alias("description"), severity.alias("severity"))
+    severity = F.when(n % 3 == 0, F.upper(pick(fixed.SEVERITIES, k + n))).when(n % 3 == 1, "unheard of")
+    return _turn_rows(spark, sf_dir).where(k % 4 == 0).select("conv_id", "seq", pick(fixed.PAIN_POINT_CATEGORIES, k + n).alias("category"), F.when(n % 5 < 4, F.concat(F.lit("turn "), n.cast("string"))).alias("description"), severity.alias("severity"))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

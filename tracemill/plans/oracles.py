@@ -87,9 +87,6 @@ def _slug(name: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace({s}, '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-HARDWARE = f"(values {_values(adapters.HARDWARE_LITERALS)}) h(id, gpu, vram, ram, os)"
-
-
 def _consent(level: str) -> str:
     gone, text_only, no_text = level == "anonymous", level == "trajectory_only", level == "metadata_only"
     null = lambda x, kind="varchar": f"null::{kind}"
@@ -152,6 +149,10 @@ TIER_OF = "case " + " ".join(f"when score >= {least} then {_s(t)}" for t, least
 RECORD_ID = "'record_' || substr(sha256(canon), 1, 12)"
 SUBMISSION = f"""'sha256:' || sha256('{{"model_name": ' || {_json("model")} || ', "rating": ' || coalesce(rating::varchar, 'null') || ', "tags": ' || coalesce('[' || array_to_string(list_transform(list_sort(tags), lambda t: '"' || t || '"'), ', ') || ']', 'null') || ', "trajectory": ' || canon || '}}')"""
 
+#: Sample records with their ids, as the dataset places them.
+PLACED = f"(select conv_id, {RECORD_ID} as record_id, {MODEL} as model, coalesce(nullif({_slug(MODEL)}, ''), 'unknown') as model_slug, 'review_needed' as tier, n as turns from {CANON})"
+#: Records of a store after two publishes: even ids, then all.
+STORED = f"(select * from {DATASET} qualify row_number() over (partition by model_slug, tier, record_id order by doc_id % 2, doc_id) = 1)"
 #: Addresses in a text, by RE2: a mark goes between a version word and the numbers after it, and numbers with the mark before them are none.
 MARK = "chr(1)"
 _VERSIONS = "|".join(rf"(?i:{w.replace('.', chr(92) + '.')})\s{{0,{fixed.VERSION_REACH - len(w)}}}" for w in sorted(fixed.VERSION_WORDS, key=len, reverse=True))
@@ -180,6 +181,37 @@ def _steps_of(source: str) -> str:
     return f"with {sql}, found as ({' union all '.join(parts)})"
 
 
+def _all_steps(source: str) -> str:
+    """(doc_id, clean, counts) of all steps over source (doc_id, text)."""
+    marks = lambda x: f"len(regexp_extract_all({x}, {_s(chr(92) + '[REDACTED_IP' + chr(92) + ']')}))"
+    addresses = f"coalesce({marks('clean')} - {marks('scrubbed')}, 0)"
+    counts = ", ".join(f"({c}{' + ' + addresses if c == 'network' else ''})::bigint as {c}" for c in fixed.CATEGORIES)
+    return f"(select doc_id, clean, {counts} from (select *, {_no_addresses('scrubbed')} as clean from (select doc_id, text as scrubbed, {', '.join(fixed.CATEGORIES)} from {_scrubbed(source, 'doc_id, text')})))"
+
+
+def _spans() -> str:
+    """Places of all redactions: a step's matches and what lies between them, by running lengths. For addresses all else but digits and points is doubled, as neighbours share a character, and counts half."""
+    sql, parts = "t0 as (select doc_id, text from documents)", []
+    width = lambda x: f"len({x})"
+    half = lambda x: f"(len(regexp_replace({x}, '[^0-9.]', '', 'g')) + len(regexp_replace({x}, '[0-9.]', '', 'g')) / 2)"
+    for i, (category, pattern, to) in enumerate(STEPS):
+        last = i == len(STEPS) - 1
+        p = f"'(?:^|[^.0-9])' || {_s(fixed.IPV4)} || '(?:$|[^.0-9])'" if last else _s(pattern)
+        text = "regexp_replace(text, '([^0-9.])', '\\1\\1', 'g')" if last else "text"
+        size = half if last else width
+        before = f"list_aggregate(list_transform(gaps[1 : k] || found[1 : k - 1], lambda x: {size('x')}), 'sum')"
+        # an address is found with its neighbours, half of each pair
+        lead = "case when regexp_matches(found[k], '^[^0-9]') then 0.5 else 0 end" if last else "0"
+        core = "regexp_extract(found[k], '^[^0-9]?(.*?)[^0-9]?$', 1)" if last else "found[k]"
+        parts.append(
+            f"select doc_id, {i} as step, {_s(category)} as category, ({before} + {lead})::int as start_at, ({before} + {lead} + len({core}))::int as end_at, {core} as original, {_s(to)} as replacement, (len(found) - k)::int as place, true as held "
+            f"from (select *, unnest(range(1, len(found) + 1)) as k from (select doc_id, regexp_extract_all({text}, {p}) as found, regexp_split_to_array({text}, {p}) as gaps from t{i}) where len(found) > 0)"
+        )
+        if not last:
+            sql += f", t{i + 1} as (select doc_id, regexp_replace(text, {_s(pattern)}, {_s(to)}, 'g') as text from t{i})"
+    return f"with {sql} {' union all '.join(parts)}"
+
+
 EVENTS = """with ev as (select 'u' || user_id::varchar as session_id, user_id, event_id as seq, event_type as t, floor(value % 7)::int as rating, props, ts from events),
 began as (select session_id, coalesce(max(seq) filter (t = 'signup'), -1) as b from ev group by 1),
 since as (select ev.* from ev join began using (session_id) where seq >= b),
@@ -230,18 +262,19 @@ ORACLES: dict[str, str] = {
   from (select distinct conv_id from {TURNS}) c left join {CALLS} k on c.conv_id = k.conv_id group by 1""",
     "validation_errors": f"select distinct conv_id, {ERRORS} as errors from {TURNS}",
     "history_rows": f"select 'record_' || substr(sha256(canon), 1, 12) as record_id, 'task_trajectory' as record_type, n as turn_count, {CREATED.format('%Y-%m-%dT%H:%M:%S')} as created_at, '?' as tier, '-' as score from {CANON}",
-    "scrub_counts_by_category": "select unnest(['" + "', '".join(fixed.CATEGORIES) + "']) as category, unnest([" + ", ".join(f"sum({c})::bigint" for c in fixed.CATEGORIES) + f"]) as n from {_scrubbed('(select text from documents)', 'text')}",
-    "scrub_text_hash": f"select doc_id, sha256(text) as hash from {_scrubbed('(select doc_id, text from documents)', 'doc_id, text')}",
+    "scrub_counts_by_category": "select unnest(['" + "', '".join(fixed.CATEGORIES) + "']) as category, unnest([" + ", ".join(f"sum({c})::bigint" for c in fixed.CATEGORIES) + f"]) as n from {_all_steps('(select doc_id, text from documents)')}",
+    "scrub_text_hash": f"select doc_id, sha256(clean) as hash from {_all_steps('(select doc_id, text from documents)')}",
+    "redaction_spans": _spans(),
     "scrub_ips": IPS,
-    "scrub_literals": f"select id, text, {', '.join(fixed.CATEGORIES)} from {_scrubbed(f'(select * from (values {_values(adapters.SCRUB_LITERALS)}) v(id, text))', 'id, text')}",
-    "scrub_ip_literals": f"select id, expected as text from (values {_values(adapters.IP_LITERALS)}) v(id, text, expected)",
+    "scrub_literals": f"select doc_id as id, sha256(clean) as hash, {', '.join(fixed.CATEGORIES)} from {_all_steps('(select doc_id, ' + _pick(tuple(r[1] for r in adapters.SCRUB_LITERALS), 'doc_id') + ' || chr(10) || text as text from documents)')}",
+    "scrub_ip_literals": f"select doc_id as id, {_pick(tuple(r[2] for r in adapters.IP_LITERALS), 'doc_id')} || chr(10) || source as text from documents",
     "org_domain_flags": f"""select id, domains from (values {_values(tuple((i, e) for i, _, e in adapters.DOMAIN_LITERALS))}) v(id, domains)
   union all select doc_id + 1000, array_to_string(d, ',') from (select doc_id, list_filter(regexp_extract_all(text, {_s(fixed.ORG_DOMAIN)}), lambda x: lower(x) not in ({', '.join(map(_s, fixed.SAFE_DOMAINS))})) as d from documents) where len(d) > 0""",
-    "gpu_families": f"select id, {_gpu('gpu')} as family from {HARDWARE}",
-    "memory_tiers": f"select id, {_memory('vram')} as vram, {_memory('ram')} as ram from {HARDWARE}",
-    "os_families": f"select id, {_os('os')} as os from {HARDWARE}",
+    "gpu_families": f"select doc_id, {_gpu('gpu')} as family from (select doc_id, {_pick(tuple(r[1] for r in adapters.HARDWARE_LITERALS), 'doc_id')} || ' in ' || source as gpu from documents)",
+    "memory_tiers": f"select doc_id, {_memory('(n_chars % 700 - 5)')} as vram, {_memory('n_chars')} as ram from documents",
+    "os_families": f"select doc_id, {_os('os')} as os from (select doc_id, {_pick(tuple(r[4] for r in adapters.HARDWARE_LITERALS), 'doc_id')} || ' ' || lang as os from documents)",
     "hardware_anonymized": f"""select distinct conv_id, {_gpu(_pick(adapters.GPUS, 'conv_id'))} as gpu_name, {_memory('(conv_id % 90)')} as gpu_vram_gb, {_memory('(conv_id * 7 % 700)')} as ram_gb, {_os(_pick(adapters.SYSTEMS, 'conv_id'))} as os, null::varchar as cuda_version from {TURNS}""",
-    "tier_thresholds": "with r(t, n) as (values ('gold', 4), ('silver', 3), ('bronze', 2), ('review_needed', 1), ('other', 0), (null, 0)), l(t, n) as (values ('gold', 4), ('silver', 3), ('bronze', 2), ('review_needed', 1), ('none', 0)) select r.t as tier, l.t as least, r.n >= l.n as meets from r cross join l",
+    "tier_thresholds": f"select tier, least, {RANK} >= {RANK.replace('case tier', 'case least')} as meets, count(*) as n from (select tier, {_pick((*fixed.TIER_RANKS, 'none'), 'doc_id')} as least from {DATASET}) group by 1, 2, 3",
     "jitter_offsets": f"select conv_id, {JITTER} as seconds from {CANON}",
     "model_slugs": f"select name, {_slug('name')} as slug from ((select name from (values {_values(adapters.SLUG_LITERALS)}) v(name)) union all (select distinct source from documents))",
     "record_paths": f"""select doc_id, 'data/' || case when doc_id % 5 > 0 then model_slug else 'unknown' end || '/' || case when doc_id % 4 > 0 then tier else 'review_needed' end || '/shard_' || shard || '.jsonl' as path from {DATASET}""",
@@ -256,7 +289,7 @@ ORACLES: dict[str, str] = {
   select model_slug, count(*) as total_records, coalesce(arg_min(name, place) filter (name <> model_slug), model_slug) as display_name, any_value(langs) as langs, any_value(hardware) as hardware from d left join langs using (model_slug) left join gpus using (model_slug) group by model_slug""",
     "quality_distribution": f"select * from {DISTRIBUTION}",
     "quality_shares": f"select tier, record_count, case when total > 0 then printf('%.1f', record_count / total * 100) else '0.0' end as percentage, {RANK} as rank from (select *, sum(record_count) over ()::double as total from {DISTRIBUTION})",
-    "catalog_totals": f"select sum(record_count)::bigint as total_records, 0::bigint as total_size_bytes, 3::bigint as deletions_count from {TIERS}",
+    "catalog_totals": f"select sum(record_count)::bigint as total_records, 0::bigint as total_size_bytes, (select count(*) from labels where toxic = 1)::bigint as deletions_count from {TIERS}",
     "catalog_rollup": f"select model_slug, tier, count(*) as record_count, grouping(model_slug, tier)::bigint as level from {DATASET} group by rollup (model_slug, tier)",
     "catalog_filter": f"select model_slug, tier, record_count from {TIERS} where contains(model_slug, 'src1') and tier = 'gold'",
     "browse_pivot": f"select model_slug, coalesce(max(record_count) filter (tier = 'gold'), 0) as gold, coalesce(max(record_count) filter (tier = 'silver'), 0) as silver, coalesce(max(record_count) filter (tier = 'bronze'), 0) as bronze, sum(record_count)::bigint as total, {AVERAGE} as average from {TIERS} group by 1",
@@ -269,14 +302,14 @@ ORACLES: dict[str, str] = {
     "pain_category_counts": f"select {_pick(fixed.PAIN_POINT_CATEGORIES, 'conv_id')} as category, count(*) as n from (select distinct conv_id from {TURNS}) group by 1",
     "submission_tier_counts": f"select '?' as tier, count(*) as n from (select distinct conv_id from {TURNS}) union all select 'error', count(*) from (select distinct conv_id from {TURNS} where {ERRORS} <> '')",
     "activity_summary": "select event_type as action, count(*) as n from events group by 1",
-    "byte_labels": f"select n, case when n < 1024 then n::varchar || ' B' when n < 1048576 then printf('%.1f KB', n / 1024.0::double) else printf('%.1f MB', n / 1048576.0::double) end as label from (select n::bigint as n from (values {_values(adapters.SIZES)}) v(n))",
-    "tag_splits": f"select tags, array_to_string(list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> ''), '|') as found from (values {_values(adapters.TAGS)}) v(tags)",
+    "byte_labels": "select doc_id, case when n < 1024 then n::varchar || ' B' when n < 1048576 then printf('%.1f KB', n / 1024.0::double) else printf('%.1f MB', n / 1048576.0::double) end as label from (select doc_id, n_chars::bigint * (doc_id % 4) * case when doc_id % 7 = 0 then 1280 else 1 end as n from documents)",
+    "tag_splits": r"select doc_id, len(found)::bigint as n, sha256(array_to_string(found, '|')) as hash from (select doc_id, list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as found from documents)",
     "tool_text_cuts": "select doc_id, sha256(left(text, 2000)) as hash from documents",
     "quality_scores": _score(),
     "sessions_batch": SESSIONS.format("false"),
     "sessions_stream": SESSIONS.format("true"),
-    "scrub_summary_rows": "select label, n from (select unnest([" + ", ".join(_s(c.replace("_", " ").title()) for c in fixed.CATEGORIES) + "]) as label, unnest([" + ", ".join(f"sum({c})::bigint" + (f" + (select coalesce(sum(n), 0)::bigint from ({IPS}))" if c == "network" else "") for c in fixed.CATEGORIES) + f"]) as n from {_scrubbed('(select text from documents)', 'text')}) where n > 0",
-    "scrub_marker_counts": f"select marker, count(*) as n from (select unnest(regexp_extract_all(text, '\\[REDACTED_\\w+\\]')) as marker from {_scrubbed('(select text from documents)', 'text')}) group by 1 union all select {_s(fixed.IP_PLACEHOLDER)}, sum(n)::bigint from ({IPS}) having sum(n) > 0",
+    "scrub_summary_rows": "select label, n from (select unnest([" + ", ".join(_s(c.replace("_", " ").title()) for c in fixed.CATEGORIES) + "]) as label, unnest([" + ", ".join(f"sum({c})::bigint" for c in fixed.CATEGORIES) + f"]) as n from {_all_steps('(select doc_id, text from documents)')}) where n > 0",
+    "scrub_marker_counts": f"select marker, count(*) as n from (select unnest(regexp_extract_all(clean, '\\[REDACTED_\\w+\\]')) as marker from {_all_steps('(select doc_id, text from documents)')}) group by 1",
     "jittered_times": f"select conv_id, strftime(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 60) + to_seconds({JITTER}), '%Y-%m-%d %H:%M:%S') as created_at from {CANON}",
     "scrub_record_logs": f"select distinct conv_id, 'see [REDACTED_PATH]' as user_comment, 'at [REDACTED_IP]' as description, 1::bigint as file_paths, 1::bigint as network, 0::bigint as flagged from {TURNS}",
     "scrub_documents": f"""with t as (select doc_id, text as scrubbed, {', '.join(fixed.CATEGORIES)} from {_scrubbed('(select doc_id, text from documents)', 'doc_id, text')}), u as (select *, {_no_addresses('scrubbed')} as clean from t)
@@ -310,4 +343,24 @@ ORACLES: dict[str, str] = {
     "record_previews": f"""with scored as ({_score()}), p as (select conv_id, count(*) as turns, arg_min(p, i) as first_turn, arg_max(p, i) as last_turn from (select *, case when length(text) > 200 then left(text, 200) || '...' else text end as p from {NUMBERED}) group by 1)
   select conv_id, 'task_trajectory' as record_type, turns + case when conv_id % 7 = 0 then 1 else 0 end as turn_count, '0 total (0 success, 0 failed)' as tool_calls, {MODEL} as model, tier, printf('%.3f', floor(score * 1000 + 0.5 + 1e-7) / 1000) as score, ({RATING})::varchar || '/5' as rating,
   array_to_string({TAGS}, ', ') as tags, 'see [REDACTED_PATH]' as comment, '[medium] ' || {_pick(fixed.PAIN_POINT_CATEGORIES, "conv_id")} || ': at [REDACTED_IP]' as pain_points, '' as flags, first_turn, case when turns > 1 then last_turn end as last_turn from scored join p using (conv_id)""",
+    "keyless_sessions": f"""select conv_id, case when conv_id % 4 = 1 then '' when conv_id % 4 = 2 then 'same' when conv_id % 4 = 3 then conv_id::varchar end as session_id, 'outbox' as place, 'mail [REDACTED_EMAIL] key [REDACTED_KEY]' as user_comment, 1::int as emails, 1::int as api_keys from (select distinct conv_id from {TURNS})""",
+    "staging_files": f"select conv_id, n + case when conv_id % 7 = 0 then 1 else 0 end as turn_count, {RATING} as user_rating, {MODEL} as model_name, {CREATED.format('%Y-%m-%d %H:%M:%S')} as created_at from {CANON}",
+    "outbox_files": f"select {RECORD_ID} as record_id, any_value(n) as turns, 'record_' || {RECORD_ID} || '.jsonl' as file from {CANON} group by 1, 3",
+    "shard_files_scan": f"select distinct record_id, model_slug, tier, 'shard_' || {SHARD.format('record_id')} || '.jsonl' as shard, turns from {PLACED}",
+    "shard_files_of_model": f"select model_slug, tier, count(distinct record_id) as record_count, count(distinct {SHARD.format('record_id')}) as n_shards, true as sized, true as dated from {PLACED} where model_slug = 'beta-7b' group by 1, 2",
+    "download_files": f"""with f as (select distinct model_slug, tier, {SHARD.format('record_id')} as shard from {PLACED}) select 'first' as step, count(*) as downloaded, 0::bigint as skipped, 0::bigint as failed, (select count(*) from (select distinct model_slug, tier, record_id from {PLACED})) as records, true as copied from f
+  union all select 'again', 0, count(*), 0, 0, false from f where model_slug = 'beta-7b'""",
+    "published_catalog": f"""with p as (select * from {PLACED} where conv_id % 13 > 0 and conv_id % 7 between 1 and 5 and conv_id % 11 > 0), d as (select distinct model_slug, record_id from p)
+  select model_slug, count(*) as model_records, any_value((select arg_min(model, {SHARD.format('q.record_id')} || q.record_id) from p q where q.model_slug = d.model_slug)) as display_name, (select count(*) from d) as total_records, (select count(*) + 1 from {CANON} where conv_id % 7 = 0) as deletions_count from d group by 1""",
+    "deleted_from_files": f"with p as (select distinct record_id, model_slug, conv_id from {PLACED}) select distinct record_id, model_slug from p where record_id not in (select record_id from p where conv_id % 5 = 0)",
+    "typed_lines": f"""with r as (select doc_id, {_pick(adapters.RAW_NUMBERS, 'doc_id')} as a, {_pick(adapters.RAW_NUMBERS, 'doc_id * 3 + 1')} as b from documents)
+  select doc_id, case when a not in ('"x"', '5.5', 'null') then 5 end::int as turn_count, case when b not in ('"x"', '5.5', 'null') then 5 end::int as user_rating,
+  array_to_string(list_filter([case when a in ('"x"', '5.5') then 'type:trajectory.turn_count' end, case when b in ('"x"', '5.5') then 'type:outcome.user_rating' end, case when b in ('"x"', '5.5', 'null') then 'user_rating' end], lambda x: x is not null), ',') as errors from r""",
+    "store_records": f"select coalesce(min(doc_id) filter (doc_id % 2 = 0), min(doc_id)) as doc_id, model_slug, tier, record_id from {DATASET} group by 2, 3, 4",
+    "store_records_of_tier": f"select coalesce(min(doc_id) filter (doc_id % 2 = 0), min(doc_id)) as doc_id, record_id from {DATASET} where model_slug = 'src1' and tier = 'gold' group by 2",
+    "store_tiers": f"""select model_slug, tier, count(*) as record_count, coalesce((2 * sum(round(score * 10000)::bigint) + count(score))::bigint // (2 * count(score)) / 10000.0::double, 0.0) as avg_quality_score, array_to_string(list_sort(list_distinct(list(shard))), ',') as shards from {STORED} group by 1, 2""",
+    "store_models": f"""with d as (select * from {STORED}), gpus as (select model_slug, string_agg(gpu_name || '=' || n::varchar, ',' order by gpu_name) as hardware from (select model_slug, gpu_name, count(*) as n from d where gpu_name is not null group by 1, 2) group by 1)
+  select model_slug, count(*) as total_records, model_slug as display_name, array_to_string(list_sort(list_distinct(list(lang))), ',') as langs, any_value(hardware) as hardware from d left join gpus using (model_slug) group by 1""",
+    "store_active": f"with d as (select * from {STORED}) select model_slug, count(*) as n, (select count(*) from {DATASET} where tier = 'review_needed') as deletions from d where record_id not in (select record_id from {DATASET} where tier = 'review_needed') group by 1",
+    "activity_consumed": "select case when event_id % 3 = 0 then 0 else 1 end::int as step, event_type as action, count(*) as n from events group by 1, 2",
 } | {f"consent_strip_{level}": _consent(level) for level in fixed.CONSENT_LEVELS}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +13,19 @@ from ..operators.validate import validate
 from ..sources import files, sinks
 
 
-def submit(records: DataFrame, key: str, now: Column, scoring: Scoring | None = None, score_first: bool = False) -> DataFrame:
+def submit(records: DataFrame, now: Column, scoring: Scoring | None = None, score_first: bool = False) -> DataFrame:
     """Redacted, generalized, jittered records with consent applied, score and ids. score_first: score before consent, as live sessions do."""
     quality = (scoring or Scoring()).quality(now)
-    out = consent.anonymize(scrub_records(records, key))
+    out = consent.anonymize(scrub_records(records))
     if score_first:
         out = out.withColumn("quality", quality)
     out = consent.strip(consent.jitter_created(out), now)
     return consent.with_ids(out if score_first else out.withColumn("quality", quality))
 
 
-def export_records(records: DataFrame, key: str, now: Column) -> DataFrame:
+def export_records(records: DataFrame, now: Column) -> DataFrame:
     """What a session exports: as submit(), but without a score."""
-    return consent.with_ids(consent.strip(consent.jitter_created(consent.anonymize(scrub_records(records, key))), now))
+    return consent.with_ids(consent.strip(consent.jitter_created(consent.anonymize(scrub_records(records))), now))
 
 
 def route(records: DataFrame, least_tier: str) -> tuple[DataFrame, DataFrame]:
@@ -36,22 +34,28 @@ def route(records: DataFrame, least_tier: str) -> tuple[DataFrame, DataFrame]:
     return records.where(good), records.where(~good)
 
 
-def end_sessions(records: DataFrame, now: Column, mode: str = "ad-hoc", least_tier: str = "silver", key: str = "session_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records of ended sessions -> (rows for the outbox, rows for staging, activity).
+def routed(records: DataFrame, now: Column, mode: str = "ad-hoc", least_tier: str = "silver", key: str = "session_id") -> DataFrame:
+    """Records of ended sessions, each in one row: place (`outbox` or `staging`), record (what goes there), and activity (what is logged, or null).
 
     mode `ad-hoc` leaves all of them in staging, as they are, and logs nothing; so does every mode but `continuous`.
     `continuous` submits those that reach least_tier, and logs `auto_submitted`; the others stay in staging as they
     are, not redacted, and are logged as `queued_for_review` by their key. A record's tier is judged once, from its
-    redacted form before consent.
+    redacted form before consent. The key only names records: one that is null or repeats changes no row's way.
     """
-    activity = "action string, record_id string, quality_tier string, timestamp timestamp"
+    activity = "struct<action: string, record_id: string, quality_tier: string, timestamp: timestamp>"
+    as_is = F.struct(*records.columns)
     if mode != "continuous":
-        return records.where("false"), records, records.sparkSession.createDataFrame([], activity)
-    done = submit(records, key, now, score_first=True)
-    sent, kept = route(done, least_tier)
-    log = lambda df, action, name: df.select(F.lit(action).alias("action"), F.col(name).alias("record_id"), F.col("quality.quality_tier").alias("quality_tier"), now.alias("timestamp"))
-    staged = records.join(kept.select(key), key, "left_semi").select(*records.columns)
-    return sent, staged, log(sent, "auto_submitted", "record_id").unionByName(log(kept, "queued_for_review", key))
+        return records.select(F.lit("staging").alias("place"), as_is.alias("record"), F.lit(None).cast(activity).alias("activity"))
+    done = submit(records.withColumn("_as_is", as_is), now, score_first=True)
+    good, tier = F.coalesce(meets_tier(F.col("quality.quality_tier"), F.lit(least_tier)), F.lit(False)), F.col("quality.quality_tier")
+    entry = F.struct(F.when(good, "auto_submitted").otherwise("queued_for_review").alias("action"), F.when(good, F.col("record_id")).otherwise(F.col(key)).alias("record_id"), tier.alias("quality_tier"), now.alias("timestamp"))
+    return done.select(F.when(good, "outbox").otherwise("staging").alias("place"), F.when(good, F.struct(*records.columns)).otherwise(F.col("_as_is")).alias("record"), entry.cast(activity).alias("activity"))
+
+
+def end_sessions(records: DataFrame, now: Column, mode: str = "ad-hoc", least_tier: str = "silver", key: str = "session_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """routed() as (rows for the outbox, rows for staging, activity); who writes all three writes routed() first and splits what was written."""
+    rows = routed(records, now, mode, least_tier, key)
+    return rows.where("place = 'outbox'").select("record.*"), rows.where("place = 'staging'").select("record.*"), rows.where("activity is not null").select("activity.*")
 
 
 def publish(outbox: DataFrame, existing: DataFrame, now: Column, order: str) -> tuple[DataFrame, DataFrame]:
@@ -100,10 +104,9 @@ def write_catalog(spark: SparkSession, root: str, generated_at: str) -> None:
 
 
 def delete(spark: SparkSession, root: str, record_id: str, deleted_at: str, reason: str | None = None) -> None:
-    """Appends a tombstone to the dataset's deletions.jsonl; whether there is such a record isn't looked at."""
-    file = f"{root.rstrip('/')}/deletions.jsonl"
-    before = [r.value for r in files.lines(spark, file).orderBy("line").select("value").collect()]
-    sinks.write_text(spark, file, "\n".join([*before, json.dumps({"record_id": record_id, "deleted_at": deleted_at, "reason": reason})]) + "\n")
+    """Appends a tombstone to the dataset's deletions; whether there is such a record isn't looked at."""
+    one = spark.createDataFrame([(record_id, deleted_at, reason)], "record_id string, deleted_at string, reason string")
+    sinks.append_deletions(one, f"{root.rstrip('/')}/deletions.jsonl")
 
 
 def publish_summary(written: DataFrame) -> DataFrame:

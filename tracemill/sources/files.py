@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .records import record_ddl
+from .typed import parsed
 
 CATALOG = (
     "schema_version string, generated_at string, total_records bigint, total_size_bytes bigint, deletions_count bigint, quality_distribution map<string, bigint>, "
@@ -37,19 +40,20 @@ def lines(spark: SparkSession, pattern: str | list[str], blank: bool = False) ->
 
 def count_lines(spark: SparkSession, file: str) -> int:
     """Lines that aren't blank, readable or not; none where there is no file: how many deletions a dataset has."""
-    return lines(spark, file).count()
+    return lines(spark, _with_appended(file)).count()
 
 
-def _parsed(df: DataFrame, schema: str) -> DataFrame:
-    """Column r, null where the line isn't a JSON object."""
-    return df.withColumn("r", F.when(F.get_json_object("value", "$").startswith("{"), F.from_json("value", schema, {"mode": "PERMISSIVE"})))
+def _records(lines: DataFrame, unread: bool, *keep: str) -> DataFrame:
+    """The records of lines that hold one, after the columns keep; with `unread`, a column of what in them doesn't fit its type (typed.UNREAD), which is null in the record."""
+    out = parsed(lines, record_ddl()).where("r is not null")
+    return out.select(*keep, "r.*", *(["unread"] if unread else []))
 
 
-def staging(spark: SparkSession, folder: str) -> DataFrame:
+def staging(spark: SparkSession, folder: str, unread: bool = False) -> DataFrame:
     """Records of all *.json and *.jsonl files, a file each, newest first by column `modified`; unreadable files are left out."""
     whole = spark.read.option("pathGlobFilter", "*.{json,jsonl}").text(folder, wholetext=True)
     whole = whole.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    return _parsed(whole, record_ddl()).where("r is not null").select("path", "modified", "r.*").orderBy(F.desc("modified"), "path")
+    return _records(whole, unread, "path", "modified").orderBy(F.desc("modified"), "path")
 
 
 def latest_staging(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,31 +63,46 @@ def latest_staging(spark: SparkSession, folder: str) -> DataFrame:
     if newest is None:
         return spark.createDataFrame([], f"path string, modified timestamp, {record_ddl()}")
     one = spark.read.text(newest.path, wholetext=True).select(F.lit(newest.path).alias("path"), F.lit(newest.modified).alias("modified"), "value")
-    return _parsed(one, record_ddl()).where("r is not null").select("path", "modified", "r.*")
+    return _records(one, False, "path", "modified")
 
 
-def outbox(spark: SparkSession, folder: str) -> DataFrame:
+def outbox(spark: SparkSession, folder: str, unread: bool = False) -> DataFrame:
     """Records by line, newest file first; the rest of a file after its first bad line isn't read."""
-    parsed = _parsed(lines(spark, f"{folder}/*.jsonl"), record_ddl())
+    read = parsed(lines(spark, f"{folder}/*.jsonl"), record_ddl())
     before = W.partitionBy("path").orderBy("line")
-    good = parsed.withColumn("bad", F.max(F.col("r").isNull()).over(before)).where("not bad")
-    return good.select("path", "modified", "line", "r.*").orderBy(F.desc("modified"), "path", "line")
+    good = read.withColumn("bad", F.max(F.col("r").isNull()).over(before)).where("not bad")
+    return good.select("path", "modified", "line", "r.*", *(["unread"] if unread else [])).orderBy(F.desc("modified"), "path", "line")
+
+
+def _layout(folder: str, model: str | None, tier: str | None) -> str:
+    """Shard files of one model or tier, or of all: the choice is part of the path, so that no other file is listed or opened."""
+    for name in (model, tier):
+        if name is not None and not re.fullmatch(r"[\w-]+", name):
+            raise ValueError(f"{name!r} names no folder of the layout")
+    return f"{folder}/data/{model or '*'}/{tier or '*'}/shard_*.jsonl"
 
 
-def shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of data/{model}/{tier}/shard_*.jsonl with model_slug, tier, shard and line; blank and bad lines are left out."""
-    parsed = _parsed(lines(spark, f"{folder}/data/*/*/shard_*.jsonl"), record_ddl()).where("r is not null")
+def shards(spark: SparkSession, folder: str, model: str | None = None, tier: str | None = None, unread: bool = False) -> DataFrame:
+    """Records of data/{model}/{tier}/shard_*.jsonl with model_slug, tier, shard and line; blank and bad lines are left out. model, tier: only theirs, by slug."""
     part = F.split("path", "/")
-    return parsed.select(F.element_at(part, -3).alias("model_slug"), F.element_at(part, -2).alias("tier"), F.element_at(part, -1).alias("shard"), "line", "r.*")
+    named = lines(spark, _layout(folder, model, tier)).withColumns({"model_slug": F.element_at(part, -3), "tier": F.element_at(part, -2), "shard": F.element_at(part, -1)})
+    return _records(named, unread, "model_slug", "tier", "shard", "line")
 
 
-def shard_files(spark: SparkSession, folder: str) -> DataFrame:
+def shard_files(spark: SparkSession, folder: str, model: str | None = None, tier: str | None = None) -> DataFrame:
     part = F.split("path", "/")
-    return listing(spark, f"{folder}/data/*/*/shard_*.jsonl").select(F.element_at(part, -3).alias("model_slug"), F.element_at(part, -2).alias("tier"), F.element_at(part, -1).alias("shard"), "size", "modified")
+    return listing(spark, _layout(folder, model, tier)).select(F.element_at(part, -3).alias("model_slug"), F.element_at(part, -2).alias("tier"), F.element_at(part, -1).alias("shard"), "size", "modified")
 
 
 def deletions(spark: SparkSession, file: str) -> DataFrame:
-    return _parsed(lines(spark, file), "record_id string, deleted_at string, reason string").select("r.*")
+    """Tombstones: the file's, and those appended beside it since (sinks.append_deletions())."""
+    rows = parsed(lines(spark, _with_appended(file)), "record_id string, deleted_at string, reason string")
+    return rows.select("r.*")
+
+
+def _with_appended(file: str) -> str:
+    """A pattern of the file and of the folder of what was appended to it: deletions.jsonl and deletions.jsonl.d/*."""
+    return file if "*" in file else f"{file}{{,.d/*.json}}"
 
 
 def activity(spark: SparkSession, file: str) -> DataFrame:
@@ -95,5 +114,5 @@ def catalog(spark: SparkSession, file: str) -> DataFrame | None:
     """The catalog, one row; None where nothing is published yet, or the file isn't JSON."""
     if not listing(spark, file).count():
         return None
-    read = _parsed(spark.read.text(file, wholetext=True), CATALOG).where("r is not null").select("r.*")
+    read = parsed(spark.read.text(file, wholetext=True), CATALOG).where("r is not null").select("r.*")
     return None if read.isEmpty() else read

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,24 +38,28 @@ def write_files(rows: DataFrame, root: str, order: list[Column]) -> int:
 
     The format names its files, Spark doesn't: tasks write each file whole, under a digest of its path, in a folder
     beside them; then the driver moves the files to their names, which reads and writes no content. A file is written by
-    one task, as it is the unit of the format. What was there is replaced file by file, once all are complete.
+    one task, as it is the unit of the format. What was there is replaced file by file, once all are complete, each by a
+    rename that overwrites or fails: a file is never missing. Writers don't share their staged files.
     """
-    spark, staged = rows.sparkSession, f"{root.rstrip('/')}/_incoming"
+    spark, staged = rows.sparkSession, f"{root.rstrip('/')}/_incoming-{uuid.uuid4().hex}"
     keyed = rows.withColumn("_file", F.sha2("path", 256))
     names = {r._file: r.path for r in keyed.select("_file", "path").distinct().collect()}  # a row per file written
     if not names:
         return 0
     in_files = keyed.select("_file", "value", F.struct(*order).alias("_at")).repartition("_file").sortWithinPartitions("_file", "_at")
-    in_files.select("_file", "value").write.mode("overwrite").partitionBy("_file").text(staged)
+    in_files.select("_file", "value").write.partitionBy("_file").text(staged)
     fs, at = _fs(spark, staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
     for name, path in names.items():
         parts = [s.getPath() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}/_file={name}/part-*"))]
         to = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
         fs.mkdirs(to.getParent())
         if len(parts) > 1:
             raise RuntimeError(f"{path} was written in parts")
-        fs.delete(to, False)
-        fs.rename(parts[0], to)
+        context.rename(parts[0], to, overwrite)
     fs.delete(at, True)
     return len(names)
 
@@ -132,6 +137,11 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path, ignoreNullFields=False)
 
 
+def append_deletions(tombstones: DataFrame, file: str) -> None:
+    """Appends tombstones (record_id, deleted_at, reason) to a dataset's deletions as new files beside `file`: nothing that is there is read or written, and appends don't meet."""
+    tombstones.select("record_id", "deleted_at", "reason").write.mode("append").json(f"{file}.d", ignoreNullFields=False)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A single small file through Hadoop, which reaches every store that Spark reads."""
     fs, to = _fs(spark, path)

@@ -1,7 +1,8 @@
-"""Live sessions: the same assembly as a stateful stream, a row for each session when it ends.
+"""Live sessions: the same assembly as a stateful stream, a row for each session some time after it has ended or gone idle.
 
 A session's events are a list in the state store: a batch appends its own events and reads the others only when the
-session ends, so the work for a session grows with its events and not with the square of their number.
+session's row is made, so the work for a session grows with its events and not with the square of their number. The row
+is made when the watermark passes a timer: ratings and reports that follow an end, and events that come late, are in it.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions.fixed import OUTCOME_TAGS, PAIN_POINT_CATEGORIES, SEVERITIES, TOOL_STATUSES, TOOL_TEXT
 from ..operators.sessions import ASSISTANT, HUMAN, SESSION
 
 _EVENT = StructType([StructField("event", StringType())])
+#: Milliseconds of a session's newest event, and whether it has ended.
+_SEEN = StructType([StructField("last", LongType()), StructField("ended", BooleanType())])
 #: The stateful operator keeps lists only in this store.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -78,53 +81,53 @@ def _row(key: str, events: list[dict]) -> dict:
         "model": model,
         "hardware": begin and begin["hardware"],
         "created_at": pd.Timestamp(begin["at"]) if begin and begin["at"] else pd.NaT,
-        "ended": True,
+        "ended": any(e["kind"] == "end" for e in events if begin is None or e["seq"] >= begin["seq"]),
     }
 
 
 class Assembly(StatefulProcessor):
-    """Appends each event to its session's list; an end gives the session's row and clears the list, so do idle_ms without events."""
+    """Appends each event to its session's list. A timer of event time, grace_ms after a session's last event if it has ended and idle_ms if it hasn't, gives its row and clears the list."""
 
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
+    def __init__(self, grace_ms: int, idle_ms: int):
+        self.grace_ms, self.idle_ms = grace_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.events = handle, handle.getListState("events", _EVENT)
+        self.seen = handle.getValueState("seen", _SEEN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [{k: _plain(v) for k, v in r.items()} for frame in rows for r in frame.to_dict("records")]
-        if any(e["kind"] == "end" for e in new):
-            held = [json.loads(x[0]) for x in self.events.get()] + new
-            self.events.clear()
-            self._forget_timers()
-            yield pd.DataFrame([_row(key[0], sorted(held, key=lambda e: e["seq"]))])
-            return
+        last, ended = self.seen.get() or (0, False)
+        last = max([last, *(int(pd.Timestamp(e["at"]).value // 1_000_000) for e in new if e["at"] is not None)])
+        ended = bool(ended) or any(e["kind"] == "end" for e in new)
+        self.seen.update((last, ended))
         self.events.appendList([(json.dumps(e),) for e in new])
-        if self.idle_ms is not None:
-            self._forget_timers()
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        for timer in self._timers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(last + (self.grace_ms if ended else self.idle_ms), timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
 
-    def _forget_timers(self) -> None:
-        if self.idle_ms is not None:
-            for (timer,) in [tuple(t) if isinstance(t, tuple | list) else (t,) for t in self.handle.listTimers()]:
-                self.handle.deleteTimer(timer)
+    def _timers(self) -> list[int]:
+        return [t[0] if isinstance(t, tuple | list) else t for t in self.handle.listTimers()]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = sorted((json.loads(x[0]) for x in self.events.get()), key=lambda e: e["seq"])
         self.events.clear()
-        yield from ()
+        self.seen.clear()
+        if held:
+            yield pd.DataFrame([_row(key[0], held)])
 
     def close(self) -> None:
         pass
 
 
-def assemble_stream(events: DataFrame, idle_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
-    """events: a stream with the columns of operators.sessions.EVENT. A session's state is dropped when it ends, or after idle_ms without events.
-
-    idle_ms None keeps state until the end, as a finite run (availableNow) needs. The session has to be set to the state
-    store ROCKSDB.
+def assemble_stream(events: DataFrame, delay: str = "10 minutes", grace_ms: int = 3600 * 1000, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """events: a stream with the columns of operators.sessions.EVENT, `at` (UTC) in each -> one row (SESSION) for each life of a session.
 
-    Events that arrive in the batch of the session's end, or before, count in the order of seq; those of later batches
-    begin a new session.
+    A session's life is over when no event of it is younger than grace_ms after an end, or than idle_ms without one, by
+    event time: then its row comes, with `ended` false for those that only went idle. Rows hold all events of the life in
+    the order of seq, as operators.sessions.assemble() gives them, whichever batches they came in; later events begin a
+    new life. Events more than `delay` behind the newest one count as too late once their batch is over, and Spark drops
+    them. The session has to be set to the state store ROCKSDB.
     """
-    mode = "None" if idle_ms is None else "ProcessingTime"
-    return events.groupBy("session_id").transformWithStateInPandas(Assembly(idle_ms), outputStructType=SESSION, outputMode="append", timeMode=mode)
+    return events.withWatermark("at", delay).groupBy("session_id").transformWithStateInPandas(Assembly(grace_ms, idle_ms), outputStructType=SESSION, outputMode="append", timeMode="EventTime")
