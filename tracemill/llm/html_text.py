@@ -3,10 +3,12 @@
 A page is cut into text blocks. Blocks in menus, headers, footers, sidebars, forms, adverts, notices and comments go by
 element, role and name. Each page is paired with its nearest pages by URL path on the same host, both sequences of lines
 are aligned by longest common subsequence, and the shared lines, the site's frame, are deleted. The nearest page that
-isn't a copy decides, as a copy shows nothing about a frame. Pages are copies where the shared lines hold COPY or more of
-the characters within article or main, or, of a page without either, WHOLE or more of all its characters. A page that
-has only copies for neighbours keeps what is within article or main; without either it loses the lines that it shares
-with all of them, unless that were all.
+isn't a copy decides about lines that no author writes: those outside article and main, and, where a page has neither,
+outside headings and paragraphs. Lines within article or main go only where two such pages share them, and headings and
+paragraphs within them never do; where a page has neither element, those too go only by two pages' word. Pages are
+copies where the shared lines hold COPY or more of the characters within article or main, or, of a page without either,
+WHOLE or more of all its characters. A page that has only copies for neighbours keeps what is within article or main;
+without either it loses the lines that it shares with all of them, unless that were all.
 """
 
 from __future__ import annotations
@@ -38,9 +40,15 @@ NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadc
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Within article and main only these count, as a whole word of class or id, and not on headings, paragraphs and sections: there the author names things.
 NAMES_WITHIN = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies disqus menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
-#: Of these, the ones that count as a part of a word too.
+#: Of these, the ones that count as a part of a word too, where its other parts are among PLACES.
 NAMES_OF_PARTS = NAMES_WITHIN - frozenset("menu navigation notice notices overlay related widget".split())
+#: Parts of names that say where something stands or how it is arranged, not what it is about.
+PLACES = frozenset("area bar block bottom box container content global group icons inner item items left link links list main outer page panel primary right row secondary section site sticky top unit wrap wrapper".split())
 AUTHORED = frozenset("p h1 h2 h3 h4 h5 h6 section header figure figcaption blockquote pre table article main".split())
+#: What authors write in; a line in one of these is theirs until two pages say otherwise.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+#: Bits of a block's kind.
+WITHIN, WRITTEN = 1, 2
 #: Where a page's pair holds so large a share of the characters within its article or main, or of all where it has neither, the pages are copies.
 COPY, WHOLE = 0.5, 0.9
 
@@ -48,49 +56,56 @@ COPY, WHOLE = 0.5, 0.9
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(.?)", re.S)
 # The same where a quotation mark has no partner: from there on they don't count.
 _TOKEN_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(.?)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _ENDINGS = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
 
 
+def _named(words: str, names: frozenset[str], of_parts: frozenset[str]) -> bool:
+    """Whether a class or id is one of the names, or is made of them and of PLACES: `cookie-notice` and `site-nav` are, `social-science` isn't."""
+    for word in words.split():
+        parts = [x for x in re.split(r"[_-]+", word) if x]
+        if word in names or not of_parts.isdisjoint(parts) and all(x in names or x in PLACES for x in parts):
+            return True
+    return False
+
+
 def _unwanted(tag: str, attributes: str, within: bool) -> bool:
     """Whether an element and all in it isn't text of the article. within: it stands in an article or main element, whose own header holds its title."""
     if tag in DROPPED:
         return not (within and tag == "header")
-    if tag in ("html", "body", "article", "main") or "=" not in attributes:
+    if tag in ("html", "body", "article", "main") or not attributes:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
-        words = value.strip("\"'").lower()
-        if name.lower() == "role":
-            if words in ROLES:
-                return True
-        elif within:
-            if tag not in AUTHORED and (not NAMES_WITHIN.isdisjoint(words.split()) or not NAMES_OF_PARTS.isdisjoint(re.split(r"[\s_-]+", words))):
-                return True
-        elif not NAMES.isdisjoint(re.split(r"[\s_-]+", words)):
+        name, words = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and words == "true" or name == "role" and words in ROLES:
             return True
-    return "hidden" in attributes.split() or 'aria-hidden="true"' in attributes
+        if name in ("class", "id"):
+            if within and tag not in AUTHORED and _named(words, NAMES_WITHIN, NAMES_OF_PARTS) or not within and _named(words, NAMES, NAMES):
+                return True
+    return False
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, whether it lies in an article or main element) of all blocks that structure doesn't rule out, in page order."""
-    out: list[tuple[str, bool]] = []
+def blocks(page: str) -> list[tuple[str, int]]:
+    """(text, kind) of all blocks that structure doesn't rule out, in page order. Bits of kind: WITHIN an article or main element, WRITTEN in a TEXTUAL one. A form that holds an article or main isn't ruled out from there on."""
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements; whether each is ruled out
     opened: dict[str, int] = {}
-    ruled_out, content, at, token = 0, 0, 0, _TOKEN
+    ruled_out, content, written, at, token = 0, 0, 0, 0, _TOKEN
 
     def end_block() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, content > 0))
+                out.append((text, WITHIN * (content > 0) + WRITTEN * (written > 0)))
             parts.clear()
 
     def close(upto: int) -> None:
-        nonlocal ruled_out, content
+        nonlocal ruled_out, content, written
         for name, bad in stack[upto:]:
             ruled_out -= bad
             content -= name in CONTENT
+            written -= name in TEXTUAL
             opened[name] -= 1
         del stack[upto:]
 
@@ -130,11 +145,16 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                     break
                 if stack[i][0] not in INLINE:
                     break
+        if tag in CONTENT and ruled_out and all(name == "form" for name, bad in stack if bad):
+            stack[:] = [(name, False) for name, _ in stack]
+            ruled_out = 0
+            parts.clear()
         bad = _unwanted(tag, m[3], content > 0)
         stack.append((tag, bad))
         opened[tag] = opened.get(tag, 0) + 1
         ruled_out += bad
         content += tag in CONTENT
+        written += tag in TEXTUAL
     if not ruled_out and at < len(page):
         parts.append(page[at:])
     end_block()
@@ -207,7 +227,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hosts.append(host)
             paths.append(path)
         yield pa.record_batch(
-            [ta.column(run, "page_id"), ta.column(run, "url"), *(pa.array(x, pa.list_(t)) for x, t in ((texts, pa.string()), (lines, pa.int64()), (inside, pa.bool_()), (sizes, pa.int32()))), pa.array(hosts, pa.string()), pa.array(paths, pa.string())],
+            [ta.column(run, "page_id"), ta.column(run, "url"), *(pa.array(x, pa.list_(t)) for x, t in ((texts, pa.string()), (lines, pa.int64()), (inside, pa.int32()), (sizes, pa.int32()))), pa.array(hosts, pa.string()), pa.array(paths, pa.string())],
             names=["page_id", "url", "blocks", "lines", "inside", "sizes", "host", "path"],
         )
 
@@ -276,18 +296,21 @@ def nearest(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return whole.select(*_NEAR).mapInArrow(pick, "page_id long, mate long, rank int")
 
 
-def shared_lines(lines: list[int], inside: list[bool], sizes: list[int], mates: list[list[int]]) -> set[int]:
+def shared_lines(lines: list[int], kinds: list[int], sizes: list[int], mates: list[list[int]]) -> set[int]:
     """Numbers of the lines that go. mates: the lines of the neighbours, the nearest first."""
-    within = {i for i, x in enumerate(inside) if x}
+    within = {i for i, x in enumerate(kinds) if x & WITHIN}
     total = sum(sizes[i] for i in within) if within else sum(sizes)
     least = COPY if within else WHOLE
-    copies = []
-    for others in filter(len, mates):
-        gone = common(lines, others)
+    copies, others = [], []
+    for mate in filter(len, mates):
+        gone = common(lines, mate)
         held = sum(sizes[i] for i in gone if i in within or not within)
-        if held < least * total:
-            return gone
-        copies.append(gone)
+        (others if held < least * total else copies).append(gone)
+    if others:
+        both = others[0] & others[1] if len(others) > 1 else set()
+        if within:
+            return others[0] - within | {i for i in both & within if not kinds[i] & WRITTEN}
+        return {i for i in others[0] if not kinds[i] & WRITTEN} | both
     if not copies:
         return set()
     gone = set.intersection(*copies) - within
@@ -315,10 +338,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     scratch = Scratch(pages.sparkSession)
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = scratch.save(plain.mapInArrow(_parse, "page_id long, url string, blocks array<string>, lines array<long>, inside array<boolean>, sizes array<int>, host string, path string"), "parsed")
+    parsed = scratch.save(plain.mapInArrow(_parse, "page_id long, url string, blocks array<string>, lines array<long>, inside array<int>, sizes array<int>, host string, path string"), "parsed")
     parsed = parsed.withColumn("page", F.xxhash64("lines", "inside"))
     mate = lambda rank: F.min(F.when(F.col("rank") == rank, F.col("mate"))).alias(f"mate{rank}")
     mates = nearest(parsed.where("page_id is not null").select("host", "path", "page_id"), scratch).groupBy("page_id").agg(mate(0), mate(1))
+    # the first and the last page of a host have one neighbour: its other one is their second
+    beyond = mates.select(F.col("page_id").alias("mate0"), F.col("mate0").alias("_a"), F.col("mate1").alias("_b"))
+    mates = mates.join(beyond, "mate0", "left").select("page_id", "mate0", F.coalesce("mate1", *(F.when(F.col(c) != F.col("page_id"), F.col(c)) for c in ("_a", "_b"))).alias("mate1"))
     # only the lines' hashes move here; texts move only where lines go
     lined = parsed.where("page_id is not null and size(lines) > 0").select("page_id", "page", "lines", "inside", "sizes").join(mates, "page_id")
     others = parsed.where("page_id is not null").groupBy("page_id").agg(F.min("lines").alias("l"))
