@@ -74,3 +74,13 @@ def test_places(make_docs, spark):
     docs = make_docs([text, text]).select("doc_id", "text")
     found = sd.repeated_windows(docs, Scratch(spark), 50).collect()
     assert [(r.doc_id, sorted(r.places)) for r in found] == [(1, list(range(11)))]
+
+
+def test_rows_of_one_id(make_docs):
+    """Each row loses its own windows alone, and there are as many rows as before."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (2, a + " x"), (2, a + " y"), (2, b), (2, a + " x"), (3, b + " z"), (1, "c"), (None, a)]
+    for window in (7, 50):
+        assert result(make_docs(rows), window) == brute(rows, window)
+    got = {(r.doc_id, r.kept) for r in sd.remove_repeats(make_docs(rows), 50).collect()}
+    assert got == {(1, None), (2, "x"), (2, "y"), (2, None), (3, "z"), (None, None)}

@@ -26,6 +26,7 @@ WINDOW = 50
 LEAST = 12
 _U = np.uint64
 _MOST = _U(0xFFFFFFFFFFFFFFFF)
+_OTHER = _U(0xD1B54A32D192ED03)
 
 
 def window_hash(h: np.ndarray, size: int) -> np.ndarray:
@@ -91,13 +92,15 @@ def _level(batches: Iterator[pa.RecordBatch], window: int, size: int, before: in
             padded = np.zeros(len(h) + span - 1, dtype=_U)
             padded[span - 1 : span - 1 + len(full)] = np.where(full, sliding(h, span), _U(0))
             at = np.flatnonzero((sliding(padded, span, np.maximum) == h) & (h > 0))
-        yield _placed(run, w, h, at)
+        yield _placed(run, w, size, h, at)
 
 
-def _placed(run: pa.RecordBatch, w: ta.Words, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _placed(run: pa.RecordBatch, w: ta.Words, size: int, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Windows by two hashes, h and g, that share no arithmetic but the words' own hashes, and their row and place."""
     row = w.row[at]
-    ids = ta.column(run, "doc_id").to_numpy(zero_copy_only=False)
-    return pa.record_batch([pa.array(ta.signed(h[at])), pa.array(ids[row].astype(np.int64)), pa.array((at - w.first[row]).astype(np.int32))], names=["h", "doc_id", "pos"])
+    g = window_hash(ta.mix(w.hash + _OTHER), size)[at]
+    take = pa.array(row)
+    return pa.record_batch([pa.array(ta.signed(h[at])), pa.array(ta.signed(g)), ta.column(run, "doc_id").take(take), ta.column(run, "v").take(take), pa.array((at - w.first[row]).astype(np.int32))], names=["h", "g", "doc_id", "v", "pos"])
 
 
 def _doubled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -109,7 +112,7 @@ def _doubled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         both = _alive(run, w, window_hash(w.hash, size)) != _MOST
         row = w.row
         n = len(row) - 2 * size + 1
-        yield _placed(run, w, window_hash(w.hash, 2 * size), np.flatnonzero(both[:n] & both[size : size + n] & (row[:n] == row[2 * size - 1 :])))
+        yield _placed(run, w, 2 * size, window_hash(w.hash, 2 * size), np.flatnonzero(both[:n] & both[size : size + n] & (row[:n] == row[2 * size - 1 :])))
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -127,8 +130,8 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             text = b" ".join(x for x, k in zip(w.texts(w.first[i], w.first[i + 1]), keep, strict=True) if k)
             removed.append(n - int(keep.sum()))
             digests.append(hashlib.sha256(text).hexdigest())
-            kept.append(text.decode())
-        yield pa.record_batch([ta.column(run, "doc_id"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept"])
+            kept.append(text.decode() if removed[-1] else None)
+        yield pa.record_batch([ta.column(run, "doc_id"), pa.array(w.counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,37 +141,42 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """h and the smallest doc_id that holds it, for hashes of more than one document; aggregated before it moves."""
-    return rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "low")
+    """h, g and the smallest doc_id that holds them, for hashes of more than one document; aggregated before it moves."""
+    return rows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # no more than a document has words, however often its row is repeated
+    return rows.groupBy("doc_id", "v").agg(F.collect_set("pos").alias("places"))  # no more than a text has words, however often its row is repeated
 
 
-_ROWS = "h long, doc_id long, pos int"
+_ROWS = "h long, g long, doc_id long, v long, pos int"
+
+
+def _versions(docs: DataFrame) -> DataFrame:
+    """docs with v, by which different texts of one doc_id are told apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("v", F.xxhash64("text"))
 
 
 def _last_level(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, DataFrame]:
     """(full windows that may be repeated, hashes of those that are, with their smallest doc_id)."""
     docs, before, alive = docs.where("doc_id is not null and text is not null"), None, None
     for size in levels(window):
-        texts = docs if alive is None else keep_ids(docs, alive).join(alive, "doc_id").select("doc_id", "text", "places")
+        texts = docs if alive is None else keep_ids(docs, alive).join(alive, ["doc_id", "v"]).select("doc_id", "v", "text", "places")
         rows = scratch.save(texts.mapInArrow(lambda it, size=size, before=before: _level(it, window, size, before), _ROWS), f"level{size}")
         # the repeated hashes are written first, so that both sides of the join are plain shuffles and a hot hash's rows can be split
         again = scratch.save(_repeated(rows), f"repeated{size}")
         if alive is not None:
             scratch.drop(alive)
         if size < window:
-            alive, before = scratch.save(_places(rows.join(again.select("h"), "h")), f"alive{size}"), size
+            alive, before = scratch.save(_places(rows.join(again.select("h", "g"), ["h", "g"])), f"alive{size}"), size
             scratch.drop(rows, again)
     return rows, again
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, places): starts of the windows that a smaller doc_id holds too."""
-    rows, again = _last_level(docs, scratch, window)
-    found = scratch.save(_places(rows.join(again, "h").where("doc_id > low")), "found")
+    """docs(doc_id, text) -> (doc_id, v, places): starts of the windows that a smaller doc_id holds too; v is the hash of the text."""
+    rows, again = _last_level(_versions(docs), scratch, window)
+    found = scratch.save(_places(rows.join(again, ["h", "g"]).where("doc_id > low")), "found")
     scratch.drop(rows, again)
     return found
 
@@ -179,18 +187,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word goes if it is covered by a window of `window` words whose word sequence also starts in a document with a
     smaller doc_id; all windows are judged on the input. kept: the words that stay, joined by one space, null where
     nothing was removed. Null, empty and short texts have no windows. Rows without doc_id neither lose words nor cost
-    others theirs. Rows of one doc_id don't remove each other's words; with different texts, places that go in one
-    row go in the others. An empty table gives no rows.
+    others theirs. Rows of one doc_id don't remove each other's words, and each loses its own windows alone. Texts move
+    only to places that go in them, and nothing moves after that. An empty table gives no rows.
     """
     if window < 2:
         raise ValueError("a window has at least two words")
-    scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeated_windows(docs, scratch, window)
-    cut = keep_ids(docs.where("text is not null"), found).join(found, "doc_id").select("doc_id", "text", "places")
-    cut = cut.mapInArrow(lambda it: _remove(it, window), "doc_id long, n_removed long, kept_sha256 string, kept string").distinct()
-    plain = docs.mapInArrow(_plain, "doc_id long, n_words long, whole_sha256 string")
-    return plain.join(cut, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "kept")
+    docs = _versions(docs)
+    found = repeated_windows(docs, Scratch(docs.sparkSession), window)
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    cut = keep_ids(docs, found).join(found, ["doc_id", "v"], "left").select("doc_id", "text", "places")
+    plain = keep_ids(docs, found, others=True).mapInArrow(_plain, "doc_id long, n_words long, whole_sha256 string")
+    plain = plain.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
+    return cut.mapInArrow(lambda it: _remove(it, window), out).unionByName(plain)
 
 
 def grow(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -199,10 +207,10 @@ def grow(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Each length reads only the documents and places that repeat at the one before.
     """
     scratch, size, out = Scratch(docs.sparkSession), window, None
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _versions(docs)
     rows, again = _last_level(docs, scratch, window)
     while True:
-        met = scratch.save(rows.join(again, "h").select("doc_id", "pos", "low").distinct(), "met")
+        met = scratch.save(rows.join(again, ["h", "g"]).select("doc_id", "v", "pos", "low").distinct(), "met")
         scratch.drop(rows, again)
         level = scratch.save(met.where("doc_id > low").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_windows")).select(F.lit(size).alias("window"), "doc_id", "n_windows"), "grown")
         out = level if out is None else out.unionByName(level)
@@ -210,7 +218,7 @@ def grow(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             return out
         alive = scratch.save(_places(met), "alive")
         scratch.drop(met)
-        rows = scratch.save(keep_ids(docs, alive).join(alive, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it, size=size: _doubled(it, size), _ROWS), "doubled")
+        rows = scratch.save(keep_ids(docs, alive).join(alive, ["doc_id", "v"]).select("doc_id", "v", "text", "places").mapInArrow(lambda it, size=size: _doubled(it, size), _ROWS), "doubled")
         again = scratch.save(_repeated(rows), "repeated")
         size *= 2
 
