@@ -101,6 +101,17 @@ def test_languages_without_spaces_told_by_the_order_of_characters(spark):
     assert np.mean([x.lang_pred == "xy"[x.doc_id % 2] for x in got if x.held_out]) > 0.9
 
 
+def test_every_language_is_learned_however_many_there_are(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 600)}{chr(0x5E00 + i % 600)} " * 12, f"l{i % 600:03d}") for i in range(2400)]
+    rows += [(3000 + i, "common words of the largest language", "big") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    known = model[0]
+    assert known == sorted({r.lang for r in language.labelled(docs).select("lang").distinct().collect()}) and len(known) > 590
+    got = language.identify(docs.where("doc_id < 5 or doc_id >= 3590"), model=model).collect()
+    assert len(got) == 15 and {r.lang_pred for r in got} <= set(known)
+
+
 def test_language_of_odd_rows(make_docs):
     rows = language.identify(make_docs(ODD)).collect()
     assert len(rows) == len(ODD)

@@ -133,6 +133,25 @@ def test_odd_vectors(spark):
     assert mtree.top_k(df.where("vec_id = 0"), 10, 100).count() == 0
 
 
+def test_components_and_scores_that_fit_no_long(spark):
+    """A huge component takes its vector out, a huge score its pair; all other queries' results stay."""
+    r = random.Random(8)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(301)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    key = lambda df: sorted(tuple(x) for x in mtree.top_k(df, 10, 100).collect())
+    want = key(plain)
+    assert key(spark.createDataFrame([*rows, (1000, [1e17, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")) == want
+    big = [*rows, (1001, [4e6, 0.0, 0.0, 0.0]), (1002, [4e6, 0.0, 0.0, 1.0]), (1100, [0.0, 4e6, 0.0, 0.0])]
+    exact = {i: [int(np.floor(1024 * x)) for x in v] for i, v in big}
+    ranked = []
+    for q in (i for i in exact if i % 100 == 0):
+        found = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)
+        ranked += [(q, k, i, -s) for k, (s, i) in enumerate([x for x in found if abs(x[0]) < 1 << 63][:10], 1)]
+    assert key(spark.createDataFrame(big, "vec_id long, embedding array<double>")) == sorted(ranked)
+    huge = [*rows, (1100, [4e12, 0.0, 0.0, 0.0]), (1101, [4e12, 0.0, 0.0, 0.0])]
+    assert not any(x[0] == 1100 and x[2] == 1101 for x in key(spark.createDataFrame(huge, "vec_id long, embedding array<double>")))
+
+
 def test_pages_agree_with_their_articles(spark, sf_dir):
     """Also on the larger table beside, where neighbours share lines of their articles by chance."""
     larger = re.sub(r"sf0\.001/?$", "sf0.01", sf_dir)

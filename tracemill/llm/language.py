@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -24,9 +25,7 @@ from .shared import held_out, short_batches
 #: Bytes of a chunk and beside it; hidden units for each direction; documents the network learns from, in all and for one language, and chunks of one of them.
 CHUNK, CONTEXT, HIDDEN, SAMPLE, SAMPLE_LANG, SAMPLE_CHUNKS = 96, 8, 12, 2000, 400, 16
 STEPS, BATCH, RATE = 200, 96, 0.03
-#: Languages it learns: those with the most documents.
-LANGUAGES = 512
-#: Chunks computed at once, and chunks whose labels a worker remembers.
+#: Chunks computed at once where there are few languages, and chunks whose labels a worker remembers.
 AT_ONCE, REMEMBERED = 768, 1 << 16
 UNKNOWN = "und"
 _LETTER = np.zeros(256, dtype=bool)
@@ -260,17 +259,27 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> tuple[list[str], bytes] | None:
-    """Learns from text and lang of up to about SAMPLE documents of LANGUAGES languages that aren't held out, in one task; None without any."""
-    known = labelled(docs).select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    """Learns from text and lang of documents that aren't held out, in one task; None without any.
+
+    All languages are learned: of each, as many documents as SAMPLE allows by their number, one at least and SAMPLE_LANG
+    at most. A number of ids that this bounds reaches the driver, and no text but theirs is moved.
+    """
+    known = labelled(docs)
+    name = F.xxhash64("doc_id", "text", F.lit("language sample"))
+    keys = known.select("lang", name.alias("name"))
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    each = min(SAMPLE_LANG, max(1, SAMPLE // len(counts)))
-    scale = 1 << 30
-    rate = F.coalesce(*(F.when(F.col("lang") == k, F.lit(max(1, int(min(1.0, each / n) * scale)))) for k, n in sorted(counts.items())))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(scale)) < rate).limit(2 * SAMPLE + 2 * len(counts))
-    languages = sorted(counts)
-    return languages, sample.repartition(1).mapInArrow(lambda it: _train(it, languages), "model binary").first().model
+    each = min(SAMPLE_LANG, max(1, SAMPLE // languages))
+    # some more than that by their hash, for no language to miss its number by chance, and of these the first
+    scale, more = 1 << 30, each + 8 + 4 * int(each**0.5)
+    rate = F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), more / F.col("n")) * scale))
+    drawn = keys.join(counts, "lang").where(F.pmod("name", F.lit(scale)) < rate).select("lang", "name").distinct()
+    first = drawn.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("name"))).where(F.col("place") <= each).select("lang", "name").collect()
+    sample = known.select("doc_id", "text", "lang", name.alias("name")).where(F.col("name").isin([r.name for r in first])).dropDuplicates(["name", "lang"])
+    found = sorted({r.lang for r in first})
+    return found, sample.repartition(1).mapInArrow(lambda it: _train(it, found), "model binary").first().model
 
 
 _memory: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -291,7 +300,7 @@ def _labels(net: Network, model: int, c: Chunks) -> tuple[np.ndarray, np.ndarray
     out[met] = sums[at[met]]
     todo = np.flatnonzero(~met)
     todo = todo[np.argsort(c.length[first[todo]], kind="stable")]
-    for some in np.array_split(todo, max(1, -(-len(todo) // AT_ONCE))):
+    for some in np.array_split(todo, max(1, -(-len(todo) // max(8, AT_ONCE * 16 // max(16, languages))))):
         if not len(some):
             continue
         own = first[some]

@@ -44,9 +44,7 @@ def _integers(batches: Iterator[pa.RecordBatch], scale: float, k: int, every: in
             if vec_id is None or not vector.is_valid or vector.values.null_count:
                 continue
             x = np.floor(vector.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-            if np.isfinite(vector.values.to_numpy(zero_copy_only=False)).all():
-                if not (np.abs(x) < LARGEST).all():
-                    raise OverflowError(f"vector {vec_id}: a scaled component doesn't fit a long")
+            if (np.abs(x) < LARGEST).all():  # finite too
                 out.append((x.astype(np.int64).tobytes(), vec_id, len(x)))
         kept, last, n = [], None, 0
         for v, vec_id, dim in sorted(set(out)):
@@ -59,14 +57,18 @@ def _integers(batches: Iterator[pa.RecordBatch], scale: float, k: int, every: in
 
 
 def _dot(q: np.ndarray, points: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Inner products of 64-bit integers; an error if one doesn't fit a long, but for those of queries with their own rows."""
+    """Inner products of 64-bit integers; _NEVER for those that don't fit a long. own: pairs of queries with their own rows, which nobody reads."""
     a, b = q.astype(np.float64), points.astype(np.float64)
     size = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None]
+    beyond = []
     if size.max(initial=0.0) >= 2.0**62:
         for i, j in zip(*np.nonzero(~own & (np.abs(a @ b.T) + 1e-9 * size >= 2.0**62)), strict=True):
             if abs(sum(x * y for x, y in zip(q[i].tolist(), points[j].tolist(), strict=True))) >= LARGEST:
-                raise OverflowError("an inner product doesn't fit a long")
-    return q @ points.T  # sums that fit are right even where a part of them wrapped
+                beyond.append((i, j))
+    out = q @ points.T  # sums that fit are right even where a part of them wrapped
+    for i, j in beyond:
+        out[i, j] = _NEVER
+    return out
 
 
 def hash_bytes(v: bytes) -> int:
@@ -359,8 +361,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
 
     Components are floor(scale * x); the score is the integer inner product; a query's own id is no candidate; ties go to
     the smaller vec_id; all candidates are returned where there are fewer than k. Vectors that are null or hold a null,
-    or a non-finite component take no part, nor do rows without vec_id; a scaled component or a score that doesn't fit a
-    long is an error. Vectors of different length aren't compared. Repeated rows of one vec_id and vector are one row; with different vectors, the
+    or a non-finite component take no part, nor do rows without vec_id, nor vectors with a scaled component that doesn't
+    fit a long; two vectors whose score doesn't fit one are no candidates of each other. Vectors of different length aren't compared. Repeated rows of one vec_id and vector are one row; with different vectors, the
     best counts. An empty table gives no rows.
     """
     found = walked(vectors, k, every, scale).where("query_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
