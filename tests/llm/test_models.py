@@ -101,6 +101,43 @@ def test_languages_without_spaces_told_by_the_order_of_characters(spark):
     assert np.mean([x.lang_pred == "xy"[x.doc_id % 2] for x in got if x.held_out]) > 0.9
 
 
+def test_language_query_agrees_with_a_plain_network(spark, sf_dir):
+    """All documents, byte by byte: the trained weights, one step and one chunk at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known, packed = language.train(docs)
+    p = {k: v.astype(np.float64) for k, v in language.Network.load(packed).p.items()}
+    hidden = p["uf"].shape[0]
+
+    def states(x, way):
+        h, out = np.zeros(hidden), []
+        for byte in x if way == "f" else x[::-1]:
+            g, a = p[f"t{way}"][byte], h @ p[f"u{way}"]
+            z, r = (1 / (1 + np.exp(-(g[i * hidden : (i + 1) * hidden] + a[i * hidden : (i + 1) * hidden]))) for i in (0, 1))
+            n = np.tanh(g[2 * hidden :] + r * a[2 * hidden :])
+            h = n + z * (h - n)
+            out.append(h)
+        return np.array(out if way == "f" else out[::-1])
+
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        c = language.chunks(pa.array([text or ""], pa.large_string()))
+        total, letters = np.zeros(len(known)), 0
+        for start, length, low, high in zip(c.start, c.length, c.low, c.high, strict=True):
+            x = c.data[start : start + length]
+            y = np.concatenate([states(x, "f"), states(x, "b")], axis=1) @ p["v"] + p["c"]
+            y = np.exp(y - y.max(axis=1, keepdims=True))
+            counted = [t for t in range(low, high) if chr(x[t]).isalpha() or x[t] >= 128]
+            total += (y / y.sum(axis=1, keepdims=True))[counted].sum(axis=0)
+            letters += len(counted)
+        if not any(map(str.isalpha, text or "")):
+            assert (got[doc_id].lang_pred, got[doc_id].score) == ("und", 0.0)
+            continue
+        mean = total / letters
+        assert abs(got[doc_id].score - mean.max()) < 1e-3 and mean[known.index(got[doc_id].lang_pred)] > mean.max() - 1e-3
+
+
 def test_every_language_is_learned_however_many_there_are(spark):
     rows = [(i, f"{chr(0x4E00 + i % 600)}{chr(0x5E00 + i % 600)} " * 12, f"l{i % 600:03d}") for i in range(2400)]
     rows += [(3000 + i, "common words of the largest language", "big") for i in range(600)]

@@ -313,6 +313,57 @@ def _pack(batches: Iterator[pa.RecordBatch], k: int, sample) -> Iterator[pa.Reco
         yield packed()
 
 
+def _reaches(batches: Iterator[pa.RecordBatch], pivots) -> Iterator[pa.RecordBatch]:
+    """How far what is below a tree's root lies from its cell's pivot at most: the root's distance and its radius."""
+    for batch in batches:
+        out = []
+        for dim, cell, centre, radius, m2 in zip(*(ta.column(batch, c).to_pylist() for c in ("dim", "cell", "centre", "radius", "m2")), strict=True):
+            if dim in pivots.value:
+                away = float(np.linalg.norm(np.frombuffer(centre, dtype=np.int64).astype(np.float64) - pivots.value[dim][cell].astype(np.float64)))
+                out.append((dim, cell, away + radius, m2))
+        if out:
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["dim", "cell", "reach", "m2"])
+
+
+def _to_cells(batches: Iterator[pa.RecordBatch], pivots, cells) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries -> a row for each cell whose trees they may have to go to, by the cell's pivot and reach. Dimensions without pivots have one cell.
+
+    c.y, c a block's middle, is at most c.p and the length of c times the reach, p the pivot, and at most the length of
+    c times the longest norm; the block's other queries add their distance from c times that norm.
+    """
+    for batch in batches:
+        rows, to = [], []
+        for i, (dim, middle, spread, longest, least) in enumerate(zip(*(ta.column(batch, c).to_pylist() for c in ("dim", "middle", "spread", "longest", "least")), strict=True)):
+            if dim not in pivots.value:
+                rows.append(i)
+                to.append(0)
+                continue
+            number, reach, m2 = cells.value.get(dim, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
+            c = np.frombuffer(middle, dtype=np.float64)
+            size, norm = float(np.linalg.norm(c)), np.sqrt(m2)
+            most = np.minimum(pivots.value[dim][number].astype(np.float64) @ c + size * reach, size * norm) + spread * norm
+            hit = number[most + 1e-6 * (size * (reach + norm) + spread * norm) + 1e-9 * (m2 + longest**2) + 1 >= least]
+            rows += [i] * len(hit)
+            to += hit.tolist()
+        yield pa.record_batch([*(x.take(pa.array(rows, pa.int64())) for x in batch.columns), pa.array(to, pa.int32())], names=[*batch.schema.names, "cell"])
+
+
+def routes(roots: DataFrame, blocks: DataFrame, pivots) -> DataFrame:
+    """roots(dim, tree, cell, centre, radius, m2), blocks(dim, block, middle, spread, longest, least) -> both, for each block and each tree of the cells that it may have to go to.
+
+    An upper level of the trees: a cell is a ball about its pivot. No more cells than pivots, which come from a bounded
+    sample, reach the driver; blocks meet trees by cell, not all by all.
+    """
+    balls = roots.mapInArrow(lambda it: _reaches(it, pivots), "dim int, cell int, reach double, m2 double").groupBy("dim", "cell").agg(F.max("reach").alias("reach"), F.max("m2").alias("m2"))
+    found: dict[int, list[tuple]] = {}
+    for r in balls.collect():
+        found.setdefault(r.dim, []).append((r.cell, r.reach, r.m2))
+    cells = roots.sparkSession.sparkContext.broadcast({d: tuple(np.array(x) for x in zip(*rows, strict=True)) for d, rows in found.items()})
+    schema = "dim int, middle binary, spread double, longest double, least long, block long, cell int"
+    sent = blocks.select("dim", "middle", "spread", "longest", "least", "block").mapInArrow(lambda it: _to_cells(it, pivots, cells), schema)
+    return roots.join(sent, ["dim", "cell"])
+
+
 def _reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a block and a tree, by the tree's root and the block's extent alone -> (dim, tree, block) of those where something of the tree can enter a result.
 
@@ -396,8 +447,8 @@ def walked(vectors: DataFrame, k: int, every: int, scale: float) -> DataFrame:
     blocks = blocks.select("dim", F.xxhash64("cell", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("block"), "v", "vec_id")
     blocks = blocks.repartition("dim", "block").sortWithinPartitions("dim", "block").mapInArrow(lambda it: _pack(it, k, sample), "dim int, middle binary, spread double, longest double, least long, packed binary")
     blocks = scratch.save(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    roots = trees.where("centre is not null").select("dim", "tree", "centre", "radius", "m2")
-    pairs = roots.join(blocks.drop("packed"), "dim").mapInArrow(_reachable, "dim int, tree long, block long")
+    roots = trees.where("centre is not null").select("dim", "tree", F.shiftright("tree", 40).cast("int").alias("cell"), "centre", "radius", "m2")
+    pairs = routes(roots, blocks, pivots).mapInArrow(_reachable, "dim int, tree long, block long")
     none = F.lit(None)
     stream = trees.select("dim", "tree", F.lit(0).alias("kind"), "page", "packed", "centre", "m2").unionByName(
         pairs.join(blocks.select("block", "packed"), "block").select("dim", "tree", F.lit(1).alias("kind"), F.lit(0).alias("page"), "packed", none.cast("binary").alias("centre"), none.cast("double").alias("m2"))
