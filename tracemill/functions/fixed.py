@@ -35,7 +35,7 @@ SCRUB_PATTERNS = (
     ("api_keys", r"Bearer\s+[a-zA-Z0-9._-]+", "[REDACTED_KEY]"),
     ("api_keys", r"""token['"]?\s*[:=]\s*['"][^'"]+['"]""", "[REDACTED_KEY]"),
     ("network", r"[a-zA-Z0-9-]+\.(internal|local|corp|lan)\b", "[REDACTED_HOSTNAME]"),
-    ("hex_tokens", r"""(?i:(?:key|token|secret|password|apikey|api_key|auth|credential)['"\s]*[:=]['"\s]*([a-f0-9]{40,}))""", "[REDACTED_HEX_TOKEN]"),
+    ("hex_tokens", r"""(?i:(?:key|token|secret|password|apikey|api_key|auth|credential)['"\s]*[:=]['"\s]*([a-fA-F0-9]{40,}))""", "[REDACTED_HEX_TOKEN]"),
     ("emails", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "[REDACTED_EMAIL]"),
     ("phone", r"\b\+?1?[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[REDACTED_PHONE]"),
     ("crypto", r"-----BEGIN [A-Z ]+-----[\s\S]*?-----END [A-Z ]+-----", "[REDACTED_CERT]"),
