@@ -135,6 +135,7 @@ def test_odd_vectors(spark):
 
 def test_blocks_go_to_cells_not_to_all_trees(spark, monkeypatch):
     """Clustered vectors: fewer pairs of blocks and trees are looked at than there are, and results are exact."""
+    monkeypatch.setattr(mtree, "TREE", 100)
     r = np.random.default_rng(12)
     centres = r.normal(size=(40, 8)) * 40
     rows = [(i, (centres[i % 40] + r.normal(size=8) * 0.2).tolist()) for i in range(4000)]

@@ -27,6 +27,8 @@ CHUNK, CONTEXT, HIDDEN, SAMPLE, SAMPLE_LANG, SAMPLE_CHUNKS = 96, 8, 12, 2000, 40
 STEPS, BATCH, RATE = 200, 96, 0.03
 #: Chunks computed at once where there are few languages, and chunks whose labels a worker remembers.
 AT_ONCE, REMEMBERED = 768, 1 << 16
+#: Languages of which the counts are broadcast.
+FEW = 1 << 16
 UNKNOWN = "und"
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -275,7 +277,8 @@ def train(docs: DataFrame) -> tuple[list[str], bytes] | None:
     # some more than that by their hash, for no language to miss its number by chance, and of these the first
     scale, more = 1 << 30, each + 8 + 4 * int(each**0.5)
     rate = F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), more / F.col("n")) * scale))
-    drawn = keys.join(counts, "lang").where(F.pmod("name", F.lit(scale)) < rate).select("lang", "name").distinct()
+    # a hot language's ids stay where they are; counts of more languages than FEW aren't broadcast
+    drawn = keys.join(F.broadcast(counts) if languages <= FEW else counts, "lang").where(F.pmod("name", F.lit(scale)) < rate).select("lang", "name").distinct()
     first = drawn.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("name"))).where(F.col("place") <= each).select("lang", "name").collect()
     sample = known.select("doc_id", "text", "lang", name.alias("name")).where(F.col("name").isin([r.name for r in first])).dropDuplicates(["name", "lang"])
     found = sorted({r.lang for r in first})
