@@ -561,7 +561,7 @@ def outbox_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An outbox of all records, a file for each id, written and read back."""
     folder = f"{shared_folder(spark)}/outbox"
     sinks.write_outbox(_keyed(spark, sf_dir).drop("conv_id", "session_id"), folder)
-    return files.outbox(spark, folder).select("record_id", F.size("trajectory.conversations").cast("bigint").alias("turns"), F.element_at(F.split("path", "/"), -1).alias("file"))
+    return files.outbox(spark, folder, ordered=False).select("record_id", F.size("trajectory.conversations").cast("bigint").alias("turns"), F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
 def _shards_written(spark: SparkSession, sf_dir: str) -> str:

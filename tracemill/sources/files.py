@@ -16,6 +16,7 @@ CATALOG = (
     "models map<string, struct<display_name: string, parameter_counts: array<string>, quantizations: array<string>, context_windows: array<bigint>, total_records: bigint, hardware_distribution: map<string, bigint>, "
     "tiers: map<string, struct<record_count: bigint, avg_quality_score: double, shards: array<string>, total_size_bytes: bigint, last_updated: string>>>>"
 )
+LINES = "path string, modified timestamp, line struct<start: bigint, row: bigint>, value string"
 
 
 def listing(spark: SparkSession, pattern: str) -> DataFrame:
@@ -32,9 +33,21 @@ def lines(spark: SparkSession, pattern: str | list[str], blank: bool = False) ->
     Files are read in splits, so one of any size is read by many tasks. No rows where no file matches a pattern.
     """
     if isinstance(pattern, str) and not listing(spark, pattern).count():
-        return spark.createDataFrame([], "path string, modified timestamp, line struct<start: bigint, row: bigint>, value string")
+        return spark.createDataFrame([], LINES)
+    return _lines(spark.read.text(pattern), blank)
+
+
+def lines_in(spark: SparkSession, folder: str, names: str, blank: bool = False) -> DataFrame:
+    """As lines(), of the files of a folder by a pattern of names: the folder is listed once, by Spark, however many files it has."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], LINES)
+    return _lines(spark.read.option("pathGlobFilter", names).text(folder), blank)
+
+
+def _lines(read: DataFrame, blank: bool) -> DataFrame:
     at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
-    rows = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), at.alias("line"), "value")
+    rows = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), at.alias("line"), "value")
     return rows if blank else rows.where(F.trim("value") != "")
 
 
@@ -49,11 +62,12 @@ def _records(lines: DataFrame, unread: bool, *keep: str) -> DataFrame:
     return out.select(*keep, "r.*", *(["unread"] if unread else []))
 
 
-def staging(spark: SparkSession, folder: str, unread: bool = False) -> DataFrame:
-    """Records of all *.json and *.jsonl files, a file each, newest first by column `modified`; unreadable files are left out."""
+def staging(spark: SparkSession, folder: str, unread: bool = False, ordered: bool = True) -> DataFrame:
+    """Records of all *.json and *.jsonl files, a file each, newest first by column `modified`; unreadable files are left out. Without `ordered` in any order: a sort of all records opens each file twice."""
     whole = spark.read.option("pathGlobFilter", "*.{json,jsonl}").text(folder, wholetext=True)
     whole = whole.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    return _records(whole, unread, "path", "modified").orderBy(F.desc("modified"), "path")
+    found = _records(whole, unread, "path", "modified")
+    return found.orderBy(F.desc("modified"), "path") if ordered else found
 
 
 def latest_staging(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,12 +80,13 @@ def latest_staging(spark: SparkSession, folder: str) -> DataFrame:
     return _records(one, False, "path", "modified")
 
 
-def outbox(spark: SparkSession, folder: str, unread: bool = False) -> DataFrame:
-    """Records by line, newest file first; the rest of a file after its first bad line isn't read."""
-    read = parsed(lines(spark, f"{folder}/*.jsonl"), record_ddl())
+def outbox(spark: SparkSession, folder: str, unread: bool = False, ordered: bool = True) -> DataFrame:
+    """Records by line, newest file first (without `ordered` in any order); the rest of a file after its first bad line isn't read."""
+    read = parsed(lines_in(spark, folder, "*.jsonl"), record_ddl())
     before = W.partitionBy("path").orderBy("line")
     good = read.withColumn("bad", F.max(F.col("r").isNull()).over(before)).where("not bad")
-    return good.select("path", "modified", "line", "r.*", *(["unread"] if unread else [])).orderBy(F.desc("modified"), "path", "line")
+    found = good.select("path", "modified", "line", "r.*", *(["unread"] if unread else []))
+    return found.orderBy(F.desc("modified"), "path", "line") if ordered else found
 
 
 def _layout(folder: str, model: str | None, tier: str | None) -> str:

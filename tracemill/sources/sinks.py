@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,33 +39,89 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def _mounted(spark: SparkSession, root: str) -> str | None:
+    """The path of a folder that tasks reach as one of the machine's own, as a shared mount; None in any other store."""
+    fs, at = _fs(spark, root)
+    return fs.makeQualified(at).toUri().getPath() if fs.getScheme() == "file" else None
+
+
+def _write_whole(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Lines (path, value), all of a path in a row -> (path, staged): each path's lines in a file of folder, which no other attempt of the task shares."""
+    task, path, out, done = TaskContext.get().taskAttemptId(), None, None, []
+    os.makedirs(folder, exist_ok=True)
+    for batch in batches:
+        for to, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if to != path:
+                if out:
+                    out.close()
+                path = to
+                done.append((to, f"{task}-{len(done)}"))
+                out = open(f"{folder}/{done[-1][1]}", "wb")  # noqa: SIM115  closed at the next path
+            out.write(((value or "") + "\n").encode())
+    if out:
+        out.close()
+    for some in (done[i : i + 10000] for i in range(0, len(done), 10000)):
+        yield pa.record_batch([pa.array(x, pa.string()) for x in zip(*some, strict=True)], names=["path", "staged"])
+
+
+def _move(batches: Iterator[pa.RecordBatch], folder: str, root: str) -> Iterator[pa.RecordBatch]:
+    """(path, staged) -> n: moves each staged file to its path below root, over one that is there. One that is gone was moved by an earlier attempt of the task."""
+    for batch in batches:
+        for path, staged in zip(batch.column("path").to_pylist(), batch.column("staged").to_pylist(), strict=True):
+            to = f"{root}/{path}"
+            parent, name = os.path.split(to)
+            os.makedirs(parent, exist_ok=True)
+            with contextlib.suppress(FileNotFoundError):  # a checksum that Hadoop left for the file that was there
+                os.remove(f"{parent}/.{name}.crc")
+            try:
+                os.replace(f"{folder}/{staged}", to)
+            except FileNotFoundError:
+                if not os.path.exists(to):
+                    raise
+        yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+
 def write_files(rows: DataFrame, root: str, order: list[Column]) -> int:
     """rows(path, value, ...): writes the lines `value`, in `order`, to the file `path` below root, over one that is there; returns the number of files.
 
-    The format names its files, Spark doesn't: tasks write each file whole, under a digest of its path, in a folder
-    beside them; then the driver moves the files to their names, which reads and writes no content. A file is written by
-    one task, as it is the unit of the format. What was there is replaced file by file, once all are complete, each by a
-    rename that overwrites or fails: a file is never missing. Writers don't share their staged files.
+    The format names its files, Spark doesn't. A file is written by one task, as it is the unit of the format. Where root
+    is in a file system that machines mount, tasks write each file whole to a folder beside them and then, once all are
+    complete, tasks move them to their names; the driver sees their number alone. In any other store Spark writes them
+    under a digest of their path, and the driver moves them, several at a time, which reads and writes no content. What
+    was there is replaced file by file, each by a rename that overwrites or fails: a file is never missing. Writers don't
+    share their staged files.
     """
     spark, staged = rows.sparkSession, f"{root.rstrip('/')}/_incoming-{uuid.uuid4().hex}"
     keyed = rows.withColumn("_file", F.sha2("path", 256))
+    in_files = keyed.select("_file", "path", "value", F.struct(*order).alias("_at")).repartition("_file").sortWithinPartitions("_file", "_at")
+    folder = _mounted(spark, staged)
+    if folder:
+        in_files.select("path", "value").mapInArrow(lambda it: _write_whole(it, f"{folder}/files"), "path string, staged string").write.parquet(f"{staged}/names")
+        to = os.path.dirname(folder)
+        n = spark.read.parquet(f"{staged}/names").mapInArrow(lambda it: _move(it, f"{folder}/files", to), "n bigint").agg(F.sum("n")).first()[0]
+        fs, at = _fs(spark, staged)
+        fs.delete(at, True)
+        return n or 0
     names = {r._file: r.path for r in keyed.select("_file", "path").distinct().collect()}  # a row per file written
     if not names:
         return 0
-    in_files = keyed.select("_file", "value", F.struct(*order).alias("_at")).repartition("_file").sortWithinPartitions("_file", "_at")
     in_files.select("_file", "value").write.partitionBy("_file").text(staged)
     fs, at = _fs(spark, staged)
     hadoop = spark._jvm.org.apache.hadoop.fs
-    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    path_of, overwrite = hadoop.Path, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     overwrite[0] = hadoop.Options.Rename.OVERWRITE
     context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    for name, path in names.items():
-        parts = [s.getPath() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}/_file={name}/part-*"))]
-        to = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
+
+    def move(name: str, path: str) -> None:
+        parts = [s.getPath() for s in fs.globStatus(path_of(f"{staged}/_file={name}/part-*"))]
+        to = path_of(f"{root.rstrip('/')}/{path}")
         fs.mkdirs(to.getParent())
         if len(parts) > 1:
             raise RuntimeError(f"{path} was written in parts")
         context.rename(parts[0], to, overwrite)
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, names, names.values()))
     fs.delete(at, True)
     return len(names)
 
