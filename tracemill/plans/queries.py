@@ -551,7 +551,7 @@ def staging_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A staging folder of all records, written and read back."""
     folder = f"{shared_folder(spark)}/staging"
     sinks.write_staging(_keyed(spark, sf_dir).drop("conv_id"), folder)
-    r = files.staging(spark, folder)
+    r = files.staging(spark, folder, ordered=False)
     session = F.regexp_extract("path", r"session_(\d+)\.json$", 1).cast("bigint")
     return r.select(session.alias("conv_id"), F.col("trajectory.turn_count").cast("bigint").alias("turn_count"), "outcome.user_rating", "model.model_name", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
