@@ -108,3 +108,43 @@ def test_empty_table(make_docs):
 def test_bad_window(make_docs):
     with pytest.raises(ValueError):
         ss.remove_repeats(make_docs([]), 1)
+
+
+def test_parts_stay_small_and_ties_cost_their_own_runs_alone(monkeypatch):
+    """Texts are hashed in parts that fit a cache; a digit that repeats within a window doesn't slow the rest of its part."""
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefghijklmnop ") for _ in range(3000)) for _ in range(200)]
+    texts[7] = texts[7][:500] + "ab" * 60 + texts[7][500:]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    parts = list(ss.segments(iter([batch]), 100))
+    assert max(len(data) for _, _, data, _, _ in parts) <= 1 << 18
+    seen = [texts[i + k] for _, i, data, at, _ in parts for k in range(len(at) - 1)]
+    assert seen == texts
+    assert all(data.tobytes().decode() == "".join(texts[i : i + len(at) - 1]) for _, i, data, at, _ in parts)
+
+    def all_anew(g, span):
+        raise AssertionError("anchors of a whole part found one by one")
+
+    monkeypatch.setattr(ss, "_leftmost", all_anew)
+    for _, _, data, at, _ in parts:
+        ss.anchors(data, at, 100)
+
+
+def test_runs_hold_each_window_once_by_its_anchor():
+    r = random.Random(8)
+    for alphabet in ("a", "ab", "abcdefgh"):
+        texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(90))) for _ in range(30)]
+        data, at = ta.raw(pa.array(texts))
+        for window in (2, 7, 30):
+            size = ss.digit_size(window)
+            total, first, last, anchor = ss.anchors(data, at, window)
+            held = {p: a for f, e, a in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True) for p in range(f, e + 1)}
+            assert len(held) == int((last - first + 1).sum())
+            assert sorted(held) == [int(at[i]) + p for i, t in enumerate(texts) for p in range(len(t) - window + 1)]
+            offset, digit = {}, {}
+            for p, a in held.items():  # equal windows have their anchor at the same place, and it lies within them
+                assert p <= a <= p + window - size
+                assert offset.setdefault(data[p : p + window].tobytes(), a - p) == a - p
+            for a, h in zip(anchor.tolist(), ss.hashes(total, anchor, size).tolist(), strict=True):
+                assert digit.setdefault(data[a : a + size].tobytes(), h) == h
+            assert len(set(digit.values())) == len(digit)

@@ -22,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .merkle import numbered
 from .shared import HashFilter, Scratch, keep_ids
-from .substring_dedup import sliding, window_hash
+from .substring_dedup import sliding
 
 WINDOW = 100
+#: Bytes of text that are hashed at once: their arrays stay within a core's cache and aren't mapped anew each time.
+PART_BYTES = 1 << 16
 _U = np.uint64
 
 
@@ -42,17 +45,35 @@ def digit_size(window: int) -> int:
 def segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, int]]:
     """(batch, first row, bytes, offsets of the texts in these, bytes of the text before them).
 
-    Short texts come many at once; one over ta.RUN_BYTES comes in parts that share window - 1 bytes, so that each of its
+    Short texts come many at once; one of over two parts comes in parts that share window - 1 bytes, so that each of its
     windows lies in one part.
     """
-    for run in ta.runs(batches):
-        data, at = ta.raw(ta.column(run, "text"))
-        if len(at) > 2 or len(data) <= 2 * ta.RUN_BYTES:
-            yield run, 0, data, at, 0
-            continue
-        for lo in range(0, len(data) - window + 1, ta.RUN_BYTES):
-            part = data[lo : lo + ta.RUN_BYTES + window - 1]
-            yield run, 0, part, np.array([0, len(part)]), lo
+    size = min(PART_BYTES, ta.RUN_BYTES)
+    for batch in batches:
+        data, at = ta.raw(ta.column(batch, "text"))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
+            text = data[at[i] : at[j]]
+            if j > i + 1 or len(text) <= 2 * size:
+                yield batch, i, text, at[i : j + 1] - at[i], 0
+            else:
+                for lo in range(0, len(text) - window + 1, size):
+                    part = text[lo : lo + size + window - 1]
+                    yield batch, i, part, np.array([0, len(part)]), lo
+            i = j
+
+
+def sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums over the bytes of a part, from which hashes() makes those of its byte ranges."""
+    total = np.zeros(len(data) + 1, dtype=_U)
+    np.cumsum(ta._BYTE[data] * ta._POWER[: len(data)], out=total[1:])
+    return total
+
+
+def hashes(total: np.ndarray, start: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ranges of `size` bytes at each start; those of one size are equal where the bytes are."""
+    return ta.mix((total[start + size] - total[start]) * ta._POWER[len(ta._POWER) - 1 - start])
 
 
 def _leftmost(g: np.ndarray, span: int) -> np.ndarray:
@@ -69,58 +90,66 @@ def _leftmost(g: np.ndarray, span: int) -> np.ndarray:
 
 def windows_of(at: np.ndarray, n: int, window: int) -> np.ndarray:
     """Which positions start a window that lies within one text."""
-    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-    return row[:n] == row[window - 1 :]
+    inside = np.ones(n, dtype=bool)
+    across = (at[1:-1, None] - np.arange(1, window)).ravel()
+    inside[across[(across >= 0) & (across < n)]] = False
+    return inside
+
+
+def unrolled(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each first, as many as its count."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
 def anchors(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digit hashes by position, and of each run its first and last window and its anchor)."""
-    size = digit_size(window)
+    """(sums of the part, and of each run its first and last window and its anchor)."""
+    size, total = digit_size(window), sums(data)
     none = np.zeros(0, np.int64)
     if len(data) < window:
-        return np.zeros(0, _U), none, none, none
-    g = window_hash(ta._BYTE[data], size)
+        return total, none, none, none
+    # digits are compared by the upper halves of their hashes; where two of a window share that, the leftmost counts
+    g = (total[size:] - total[:-size]) * ta._POWER[: -len(total) + size - 1 : -1]
+    g = (g >> _U(32)).astype(np.uint32)
     span = window - size + 1
     low = sliding(g, span)
     n = len(low)
     inside = windows_of(at, n, window)
 
-    def runs(changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut = np.ones(n + 1, dtype=bool)
-        cut[1:-1] = changes | ~inside[:-1] | ~inside[1:]
-        return np.flatnonzero(cut[:-1] & inside), np.flatnonzero(cut[1:] & inside)
-
-    first, last = runs(low[1:] != low[:-1])
-    if not len(first):
-        return g, none, none, none
-    anchor = first + np.lib.stride_tricks.sliding_window_view(g, span)[first].argmin(axis=1)
-    if (last > anchor).any():  # a digit repeats within a window: anchors one by one
-        every = np.arange(n) + _leftmost(g, span)
-        first, last = runs(every[1:] != every[:-1])
-        anchor = every[first]
-    return g, first, last, anchor
+    cut = np.ones(n + 1, dtype=bool)
+    cut[1:-1] = (low[1:] != low[:-1]) | ~inside[:-1] | ~inside[1:]
+    first, last = np.flatnonzero(cut[:-1] & inside), np.flatnonzero(cut[1:] & inside)
+    digits = np.lib.stride_tricks.sliding_window_view(g, span)
+    anchor = first + digits[first].argmin(axis=1)
+    tied = last > anchor
+    if tied.any():  # a digit repeats within a window: the anchors of these runs one by one
+        every = unrolled(first[tied], (last - first + 1)[tied])
+        leftmost = every + (digits[every].argmin(axis=1) if len(every) < n // 8 else _leftmost(g, span)[every])
+        new = np.ones(len(every), dtype=bool)
+        new[1:] = leftmost[1:] != leftmost[:-1]
+        one = (every[new], every[np.append(new[1:], True)], leftmost[new])
+        first, last, anchor = (np.concatenate([x[~tied], y]) for x, y in zip((first, last, anchor), one, strict=True))
+        by = np.argsort(first)
+        first, last, anchor = first[by], last[by], anchor[by]
+    return total, first, last, anchor
 
 
 def _first_digit(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for _, _, data, at, _ in segments(batches, window):
-        g, _, _, anchor = anchors(data, at, window)
-        yield pa.record_batch([pa.array(ta.signed(g[anchor]))], names=["h"])
+        total, _, _, anchor = anchors(data, at, window)
+        yield pa.record_batch([pa.array(ta.signed(hashes(total, anchor, digit_size(window))))], names=["h"])
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], window: int, may_repeat: HashFilter) -> Iterator[pa.RecordBatch]:
     """h, the digit at the anchor; t, a hash of all of the run's bytes; where it lies and how many windows follow its first."""
-    rest = window - digit_size(window)
-    for run, _, data, at, before in segments(batches, window):
-        g, first, last, anchor = anchors(data, at, window)
-        h = g[anchor]
+    for batch, i, data, at, before in segments(batches, window):
+        total, first, last, anchor = anchors(data, at, window)
+        h = hashes(total, anchor, digit_size(window))
         keep = may_repeat(h)
         h, first, last = h[keep], first[keep], last[keep]
-        t = (last - first).astype(_U)
-        for digit in (g[first], g[first + rest], g[last], g[last + rest]):
-            t = ta.mix(t * ta._BASE + digit)
+        t = ta.mix(hashes(total, first, last - first + window) + (last - first).astype(_U))
         row = np.searchsorted(at, first, side="right") - 1
-        take = pa.array(row)
-        columns = [pa.array(ta.signed(h)), pa.array(ta.signed(t)), ta.column(run, "doc_id").take(take), ta.column(run, "v").take(take)]
+        take = pa.array(i + row)
+        columns = [pa.array(ta.signed(h)), pa.array(ta.signed(t)), ta.column(batch, "doc_id").take(take), ta.column(batch, "v").take(take)]
         yield pa.record_batch([*columns, pa.array((first - at[row] + before).astype(np.int32)), pa.array((last - first).astype(np.int32))], names=["h", "t", "doc_id", "v", "pos", "more"])
 
 
@@ -129,21 +158,24 @@ def _single(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     size = digit_size(window)
     for run in ta.runs(batches):
         data, at = ta.raw(ta.column(run, "text"))
-        order, places = ta.column(run, "o").to_numpy(), ta.column(run, "runs")
-        for i in range(run.num_rows):
-            first, more = (places[i].values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-            start = np.unique(np.repeat(first, more + 1) + np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1))
-            text = data[at[i] : at[i + 1]]
-            one, two = np.empty(len(start), _U), np.empty(len(start), _U)
-            for lo in range(0, len(text) - window + 1, ta.RUN_BYTES):
-                a, b = np.searchsorted(start, (lo, lo + ta.RUN_BYTES))
-                if a < b:
-                    g = window_hash(ta._BYTE[text[lo : lo + ta.RUN_BYTES + window - 1]], size)
-                    one[a:b], two[a:b] = g[start[a:b] - lo], g[start[a:b] - lo + window - size]
-            by = np.lexsort((start, two, one))
-            again = np.zeros(len(start), dtype=bool)
-            again[by[1:]] = (one[by[1:]] == one[by[:-1]]) & (two[by[1:]] == two[by[:-1]])
-            yield pa.record_batch([pa.array(ta.signed(one)), pa.array(ta.signed(two)), pa.array(np.full(len(start), order[i])), pa.array(start.astype(np.int32)), pa.array(again)], names=["one", "two", "o", "pos", "again"])
+        places = ta.column(run, "runs")
+        first, more = (places.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+        start = np.unique(unrolled(np.repeat(at[:-1], pc.list_value_length(places).to_numpy()) + first, more + 1))
+        one, two = np.empty(len(start), _U), np.empty(len(start), _U)
+        for lo in range(0, len(data) - window + 1, PART_BYTES):
+            a, b = np.searchsorted(start, (lo, lo + PART_BYTES))
+            if a < b:
+                total = sums(data[lo : lo + PART_BYTES + window - 1])
+                one[a:b] = hashes(total, start[a:b] - lo, size)
+                two[a:b] = hashes(total, start[a:b] - lo + window - size, size)
+        row = np.searchsorted(at, start, side="right") - 1
+        again = np.zeros(len(start), dtype=bool)
+        both = np.sort(one + ta._BASE * two)
+        if (both[1:] == both[:-1]).any():
+            by = np.lexsort((start, two, one, row))
+            again[by[1:]] = (one[by[1:]] == one[by[:-1]]) & (two[by[1:]] == two[by[:-1]]) & (row[by[1:]] == row[by[:-1]])
+        columns = [pa.array(ta.signed(one)), pa.array(ta.signed(two)), ta.column(run, "o").take(pa.array(row)), pa.array((start - at[row]).astype(np.int32)), pa.array(again)]
+        yield pa.record_batch(columns, names=["one", "two", "o", "pos", "again"])
 
 
 def covered(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
@@ -190,25 +222,28 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in ta.runs(batches):
         data, at = ta.raw(ta.column(run, "text"))
         given = ta.column(run, "spans")
-        counts, digests, merged = [], [], []
+        row = np.repeat(np.arange(run.num_rows), pc.fill_null(pc.list_value_length(given), 0).to_numpy())
+        start, end = (given.flatten().field(k).to_numpy() + at[row] for k in (0, 1))
+        by = np.lexsort((start, row))
+        row, start, end = row[by], start[by], np.maximum.accumulate(end[by])
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (start[1:] > end[:-1]) | (row[1:] != row[:-1])
+        row, start, end = row[new], start[new], end[np.append(new[1:], True)[: len(new)]]
+        of = np.searchsorted(row, np.arange(run.num_rows + 1))
+        digests = []
         for i in range(run.num_rows):
-            text = data[at[i] : at[i + 1]]
-            start = end = np.zeros(0, np.int64)
-            if given[i].is_valid:
-                start, end = (given[i].values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                by = np.argsort(start)
-                start, end = start[by], np.maximum.accumulate(end[by])
-                new = np.ones(len(start), dtype=bool)
-                new[1:] = start[1:] > end[:-1]
-                start, end = start[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]
             kept = hashlib.sha256()
-            for a, b in zip(np.concatenate([[0], end]), np.concatenate([start, [len(text)]]), strict=True):
-                kept.update(text[a:b])
-            counts.append((len(text), int((end - start).sum()), len(start)))
+            lo = at[i]
+            for k in range(of[i], of[i + 1]):
+                kept.update(data[lo : start[k]])
+                lo = end[k]
+            kept.update(data[lo : at[i + 1]])
             digests.append(kept.hexdigest())
-            merged.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-        columns = [pa.array([x[k] for x in counts], pa.int64()) for k in range(3)]
-        yield pa.record_batch([ta.column(run, "doc_id"), *columns, pa.array(digests, pa.string()), pa.array(merged, pa.list_(_SPAN))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        gone = np.append(0, np.cumsum(end - start))[of]
+        columns = [pa.array(np.diff(x).astype(np.int64)) for x in (at, gone, of)]
+        spans = pa.StructArray.from_arrays([pa.array((x - at[row]).astype(np.int32)) for x in (start, end)], fields=list(_SPAN))
+        columns = [*columns, pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), spans)]
+        yield pa.record_batch([ta.column(run, "doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
