@@ -9,11 +9,13 @@ from tracemill.llm.decontaminate import without_leaks
 from tracemill.llm.language import UNKNOWN, identify, train
 from tracemill.llm.mixing import mix
 from tracemill.llm.ngram_join import ngram_classes
-from tracemill.llm.shared import Scratch, keep_ids
+from tracemill.llm.shared import Scratch, keep_ids, short_batches
 from tracemill.llm.sharding import assign
 
 #: How far from chance to certainty the mean probability of a document's likeliest language must lie, at least.
 SURE = 1 / 6
+#: Bytes of an Arrow batch, just under a run of textarrays: all stages share the executors, whose buffers stay as large as the largest batch made them.
+BATCH = 15 << 16
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -28,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one, by their text: a null, empty or blank text goes, doc_id, null or repeated, has no part in
     it. Where there is nothing to learn from (no row with lang and text that isn't held out) only those without a letter go.
     """
+    short_batches(spark, BATCH)
     model = train(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(DOCUMENT)
@@ -42,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with nothing and stay; so do rows without doc_id, each by itself. Only rows whose doc_id goes or comes more than
     once, and a few that the filter mistakes for these, are moved.
     """
+    short_batches(spark, BATCH)
     classes = ngram_classes(docs, shingle=5, percent=80).where("doc_id is not null")
     per = classes.groupBy("doc_id").agg(F.min("component_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     judged = Scratch(spark).save(per.where("doc_id <> _first or _rows > 1"), "judged")
@@ -59,6 +63,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Each row is judged by its text alone, where it is read: doc_id, null or repeated, has no part in it, and null or
     empty texts stay. An empty benchmark drops nothing.
     """
+    short_batches(spark, BATCH)
     return without_leaks(docs.select(DOCUMENT), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -130,3 +130,34 @@ def test_language_stage_names_what_has_no_language(spark):
     assert any(r.doc_id % 3 == 0 for r in rows)
     true = {r.doc_id: r.lang for r in docs.collect()}
     assert all(r.lang == (predicted if r.doc_id % 3 == 0 else true)[r.doc_id] for r in rows)
+
+
+def test_what_executors_hold(spark):
+    """Workers and their batches stay through all stages: a Python process holds no large table, and the stages lower the session's batches to one run."""
+    import numpy as np
+
+    from tracemill.llm import textarrays as ta
+
+    assert sum(x.nbytes for x in vars(ta).values() if isinstance(x, np.ndarray)) < 1 << 20
+    for name, stage in cp.STAGES[:3]:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{8 << 20}b")
+        stage(spark, spark.createDataFrame([(1, "some words", "en", "a", 10)], DOCS), DATA)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= ta.RUN_BYTES, name
+
+
+def test_hashes_of_words_of_any_length():
+    """The sum of (hash of a byte) * base ** place, over bytes 1 and on, scaled, plus the length: also beyond the segments that are hashed at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tracemill.llm import textarrays as ta
+
+    base, texts = int(ta._BASE) | 1, ["ab " * 30000 + "c", "x" * 65535, "y" * 65536 + " z", "z" * 65537, "w" * 200000 + " ab"]
+    w = ta.words(pa.array(texts))
+    for k in [0, 21844, 21845, 21846, 29999, 30000, *range(30001, len(w.hash))]:
+        total = 0
+        for b in reversed(w.data[w.start[k] : w.end[k]].tolist()):
+            total = (total + int(ta._BYTE[b])) * base % (1 << 64)
+        n = int(w.end[k] - w.start[k])
+        value = (total * pow(base, ta._SCALE + 1, 1 << 64) + n) % (1 << 64)
+        assert w.hash[k] == ta.mix(np.array([value], dtype=np.uint64))[0]

@@ -66,16 +66,16 @@ class Scratch:
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+def short_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and `most`; smaller settings stay."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(name).rstrip("b"))
-    if now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
+    if now <= 0 or now > most:
+        spark.conf.set(name, f"{most}b")
 
 
 def held_out(doc_id: Column) -> Column:

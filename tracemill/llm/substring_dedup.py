@@ -34,13 +34,14 @@ def window_hash(h: np.ndarray, size: int) -> np.ndarray:
     if len(h) < size:
         return np.zeros(0, _U)
     out = np.empty(len(h) - size + 1, dtype=_U)
-    step = len(ta._POWER) - 1 - size
+    power = ta.powers()
+    step = len(power) - 1 - size
     for lo in range(0, len(out), step):
         part = h[lo : lo + step + size - 1]
         total = np.zeros(len(part) + 1, dtype=_U)
-        np.cumsum(part * ta._POWER[: len(part)], out=total[1:])
+        np.cumsum(part * power[: len(part)], out=total[1:])
         n = len(part) - size + 1
-        out[lo : lo + n] = (total[size:] - total[:n]) * ta._POWER[len(ta._POWER) - 1 - np.arange(n)]
+        out[lo : lo + n] = (total[size:] - total[:n]) * power[len(power) - 1 - np.arange(n)]
     return ta.mix(out)
 
 

@@ -67,13 +67,13 @@ def segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[p
 def sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums over the bytes of a part, from which hashes() makes those of its byte ranges."""
     total = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(ta._BYTE[data] * ta._POWER[: len(data)], out=total[1:])
+    np.cumsum(ta._BYTE[data] * ta.powers()[: len(data)], out=total[1:])
     return total
 
 
 def hashes(total: np.ndarray, start: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     """64-bit hashes of the ranges of `size` bytes at each start; those of one size are equal where the bytes are."""
-    return ta.mix((total[start + size] - total[start]) * ta._POWER[len(ta._POWER) - 1 - start])
+    return ta.mix((total[start + size] - total[start]) * ta.powers()[ta._SCALE - start])
 
 
 def _leftmost(g: np.ndarray, span: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def anchors(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray,
     if len(data) < window:
         return total, none, none, none
     # digits are compared by the upper halves of their hashes; where two of a window share that, the leftmost counts
-    g = (total[size:] - total[:-size]) * ta._POWER[: -len(total) + size - 1 : -1]
+    g = (total[size:] - total[:-size]) * ta.powers()[: -len(total) + size - 1 : -1]
     g = (g >> _U(32)).astype(np.uint32)
     span = window - size + 1
     low = sliding(g, span)

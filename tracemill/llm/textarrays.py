@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ import pyarrow.compute as pc
 _U = np.uint64
 #: Texts are handled in runs of about so many bytes, which bounds the memory of a task; one longer text is a run of its own.
 RUN_BYTES = 1 << 20
-_SEGMENT = 1 << 21
+#: Bytes hashed at once: each Python process holds as many powers, and what is computed of them stays within a core's cache.
+_SEGMENT = 1 << 16
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
@@ -25,6 +27,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _BASE) | _U(1)
 _POWER = np.cumprod(np.full(_SEGMENT + 1, _BASE | _U(1), dtype=_U), dtype=_U)
+#: The power that hashes are scaled by, whatever the place of their words.
+_SCALE = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -98,25 +102,37 @@ def tokens(texts: pa.Array) -> Words:
     return words(pc.utf8_lower(texts.cast(pa.large_string())), separator=_NO_TOKEN)
 
 
+@cache
+def powers() -> np.ndarray:
+    """The powers of the base of hashes from the first on, 16 MB of them; only processes that ask for them hold them."""
+    return np.cumprod(np.full(_SCALE + 1, _BASE | _U(1), dtype=_U), dtype=_U)
+
+
+def _power(k: int) -> np.uint64:
+    """The base of hashes to the power of k."""
+    return _U(pow(int(_BASE) | 1, int(k), 1 << 64))
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range; the ranges are in order and don't overlap."""
     out = np.empty(len(start), dtype=_U)
+    scale = _power(_SCALE - _SEGMENT)
     i = 0
     while i < len(start):
         lo = start[i]
         j = max(i + 1, int(np.searchsorted(end, lo + _SEGMENT, side="right")))
-        if end[i] - lo > _SEGMENT:  # one huge word: piece by piece
+        if end[i] - lo > _SEGMENT:  # one huge word: the same sum piece by piece
             h = _U(0)
             for k in range(lo, end[i], _SEGMENT):
                 part = data[k : min(k + _SEGMENT, end[i])]
-                h = mix(np.array([h * _BASE + (_BYTE[part] * _POWER[: len(part)]).sum(dtype=_U)], dtype=_U))[0]
-            out[i] = h
+                h = h + (_BYTE[part] * _POWER[: len(part)]).sum(dtype=_U, keepdims=True) * _power(k - lo)
+            out[i] = (h * _power(_SCALE + 1) + _U(end[i] - lo))[0]
         else:
             part = data[lo : end[j - 1]]
             total = np.zeros(len(part) + 1, dtype=_U)
             np.cumsum(_BYTE[part] * _POWER[: len(part)], out=total[1:])
             s, e = start[i:j] - lo, end[i:j] - lo
-            out[i:j] = (total[e] - total[s]) * _POWER[_SEGMENT - s] + (e - s).astype(_U)
+            out[i:j] = (total[e] - total[s]) * (_POWER[_SEGMENT - s] * scale) + (e - s).astype(_U)
         i = j
     return mix(out)
 
