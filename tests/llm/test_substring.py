@@ -84,3 +84,46 @@ def test_rows_of_one_id(make_docs):
         assert result(make_docs(rows), window) == brute(rows, window)
     got = {(r.doc_id, r.kept) for r in sd.remove_repeats(make_docs(rows), 50).collect()}
     assert got == {(1, None), (2, "x"), (2, "y"), (2, None), (3, "z"), (None, None)}
+
+
+def crossed(seed):
+    """Texts cut from few passages with words changed here and there, copies of all sizes, loops of words, ids that repeat."""
+    r = random.Random(seed)
+    base = [[f"b{k}_{i}" for i in range(90)] for k in range(3)] + [(["x", "y", "z"][: r.randrange(1, 4)] * 40)[:70]]
+    rows = []
+    for i in range(120):
+        w = []
+        for p in r.choices(base, k=r.randrange(1, 4)):
+            a, b = sorted(r.randrange(len(p) + 1) for _ in range(2))
+            w += p[a:b]
+            if r.random() < 0.3:
+                w.append(f"u{r.randrange(5)}")
+        for _ in range(r.choice((0, 0, 1, 3)) if w else 0):
+            w[r.randrange(len(w))] = f"c{r.randrange(3)}"
+        rows += [(r.randrange(80), " ".join(w))] * r.choice((1, 1, 1, 2))
+    r.shuffle(rows)
+    return rows
+
+
+def test_runs_that_agree_in_part(make_docs):
+    for window in (10, 50):
+        rows = crossed(window)
+        assert result(make_docs(rows), window) == brute(rows, window)
+
+
+def test_copies_move_by_runs(make_docs, spark, monkeypatch):
+    """Of 3,000 words in each of 12 copies, no step writes a row for each window."""
+    wrote = {}
+    save = Scratch.save
+
+    def counted(self, df, name):
+        table = save(self, df, name)
+        wrote[name] = table.count()
+        return table
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    text = " ".join(f"w{i}" for i in range(3000))
+    docs = make_docs([text] * 12).select("doc_id", "text")
+    found = {r.doc_id: len(r.places) for r in sd.repeated_windows(docs, Scratch(spark), 50).collect()}
+    assert found == dict.fromkeys(range(1, 12), 2951)
+    assert max(wrote.values()) < 12 * 2951 / 4

@@ -4,8 +4,10 @@ The lengths double up to that of the windows (13, 25 and 50 words). At each leng
 its short windows that have the smallest hash within some full window that is still a candidate: equal full windows
 mark equal short ones, so one mark stands for each full window. Marks that only one document holds drop out, and with
 them their full windows; the others are extended to the next length. At the last one, the full windows that remain are
-looked at themselves, and the smallest document of each is found. grow() doubles further, for reports of how long the
-repeats are: the windows that repeat at one length are extended to twice that length, until no candidate survives.
+looked at themselves, and the smallest document of each is found. Consecutive ones that share a mark move as one row, a
+run: runs that are equal as a whole need no look at their windows, and of those that share a mark and differ elsewhere,
+only the first document's go window by window. grow() doubles further, for reports of how long the repeats are: the
+windows that repeat at one length are extended to twice that length, until no candidate survives.
 """
 
 from __future__ import annotations
@@ -73,18 +75,26 @@ def _alive(run: pa.RecordBatch, w: ta.Words, h: np.ndarray) -> np.ndarray:
     return alive
 
 
+def _full(w: ta.Words, window: int) -> np.ndarray:
+    """Which places start a window that lies within one text."""
+    row = w.row
+    return row[: len(row) - window + 1] == row[window - 1 :]
+
+
+def _marked(run: pa.RecordBatch, w: ta.Words, h: np.ndarray, span: int) -> np.ndarray:
+    """Whether the smallest of h[i : i + span] is that of a repeated mark, for each i."""
+    return sliding(_alive(run, w, h), span) == sliding(h, span)
+
+
 def _level(batches: Iterator[pa.RecordBatch], window: int, size: int, before: int | None) -> Iterator[pa.RecordBatch]:
     """Marks of length `size` for the full windows whose mark of length `before` is repeated, all at first; at the last level, these windows."""
     for run in ta.runs(batches):
         w = ta.words(ta.column(run, "text"))
         if len(w.hash) < window:
             continue
-        row = w.row
-        full = row[: len(row) - window + 1] == row[window - 1 :]
+        full = _full(w, window)
         if before is not None:
-            h = window_hash(w.hash, before)
-            span = window - before + 1
-            full &= sliding(_alive(run, w, h), span) == sliding(h, span)
+            full &= _marked(run, w, window_hash(w.hash, before), window - before + 1)
         h = window_hash(w.hash, size)
         if size == window:
             at = np.flatnonzero(full)
@@ -104,6 +114,41 @@ def _placed(run: pa.RecordBatch, w: ta.Words, size: int, h: np.ndarray, at: np.n
     return pa.record_batch([pa.array(ta.signed(h[at])), pa.array(ta.signed(g)), ta.column(run, "doc_id").take(take), ta.column(run, "v").take(take), pa.array((at - w.first[row]).astype(np.int32))], names=["h", "g", "doc_id", "v", "pos"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch], window: int, before: int) -> Iterator[pa.RecordBatch]:
+    """Runs of full windows that share a repeated mark of length `before`.
+
+    h: the mark; t and g, by hashes as in _placed(): the run's words; where its first window starts, and how many more
+    windows follow.
+    """
+    span = window - before + 1
+    for run in ta.runs(batches):
+        w = ta.words(ta.column(run, "text"))
+        if len(w.hash) < window:
+            continue
+        h = window_hash(w.hash, before)
+        at = np.flatnonzero(_full(w, window) & _marked(run, w, h, span))
+        mark = sliding(np.arange(len(h)), span, lambda a, b: np.where(h[b] < h[a], b, a))[at]  # the leftmost smallest
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (mark[1:] != mark[:-1]) | (at[1:] != at[:-1] + 1)
+        first, last, mark = at[new], at[np.append(new[1:], True)[: len(at)]], mark[new]
+        more = last - first  # less than a window, so that the first and the last window hold all the run's words
+        t, g = (ta.mix((more.astype(_U) * ta._BASE + x[first]) * ta._BASE + x[last]) for x in (window_hash(w.hash, window), window_hash(ta.mix(w.hash + _OTHER), window)))
+        row = w.row[first]
+        take = pa.array(row)
+        columns = [*(pa.array(ta.signed(x)) for x in (h[mark], t, g)), ta.column(run, "doc_id").take(take), ta.column(run, "v").take(take)]
+        yield pa.record_batch([*columns, pa.array((first - w.first[row]).astype(np.int32)), pa.array(more.astype(np.int32))], names=["h", "t", "g", "doc_id", "v", "pos", "more"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The windows at the given places."""
+    for run in ta.runs(batches):
+        w = ta.words(ta.column(run, "text"))
+        if len(w.hash) < window:
+            continue
+        h = window_hash(w.hash, window)
+        yield _placed(run, w, window, h, np.flatnonzero((_alive(run, w, h) != _MOST) & _full(w, window)))
+
+
 def _doubled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Windows of twice the length of which both halves are repeated."""
     for run in ta.runs(batches):
@@ -150,7 +195,14 @@ def _places(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "v").agg(F.collect_set("pos").alias("places"))  # no more than a text has words, however often its row is repeated
 
 
+def _run_places(runs: DataFrame) -> DataFrame:
+    """As _places(), of all windows of the runs; those of one text don't overlap."""
+    each = F.transform(F.collect_set(F.struct("pos", "more")), lambda r: F.sequence(r["pos"], r["pos"] + r["more"]))
+    return runs.groupBy("doc_id", "v").agg(F.flatten(each).alias("places"))
+
+
 _ROWS = "h long, g long, doc_id long, v long, pos int"
+_RUNS = "h long, t long, g long, doc_id long, v long, pos int, more int"
 
 
 def _versions(docs: DataFrame) -> DataFrame:
@@ -158,27 +210,52 @@ def _versions(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("v", F.xxhash64("text"))
 
 
-def _last_level(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, DataFrame]:
-    """(full windows that may be repeated, hashes of those that are, with their smallest doc_id)."""
-    docs, before, alive = docs.where("doc_id is not null and text is not null"), None, None
-    for size in levels(window):
-        texts = docs if alive is None else keep_ids(docs, alive).join(alive, ["doc_id", "v"]).select("doc_id", "v", "text", "places")
+def _with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    return keep_ids(docs, places).join(places, ["doc_id", "v"]).select("doc_id", "v", "text", "places")
+
+
+def _narrowed(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, int]:
+    """(places of the repeated marks of the last length below the window's, that length)."""
+    alive, before = None, None
+    for size in levels(window)[:-1]:
+        texts = docs if alive is None else _with_places(docs, alive)
         rows = scratch.save(texts.mapInArrow(lambda it, size=size, before=before: _level(it, window, size, before), _ROWS), f"level{size}")
         # the repeated hashes are written first, so that both sides of the join are plain shuffles and a hot hash's rows can be split
         again = scratch.save(_repeated(rows), f"repeated{size}")
         if alive is not None:
             scratch.drop(alive)
-        if size < window:
-            alive, before = scratch.save(_places(rows.join(again.select("h", "g"), ["h", "g"])), f"alive{size}"), size
-            scratch.drop(rows, again)
-    return rows, again
+        alive, before = scratch.save(_places(rows.join(again.select("h", "g"), ["h", "g"])), f"alive{size}"), size
+        scratch.drop(rows, again)
+    return alive, before
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return _versions(docs).where("doc_id is not null and text is not null")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, v, places): starts of the windows that a smaller doc_id holds too; v is the hash of the text."""
-    rows, again = _last_level(_versions(docs), scratch, window)
-    found = scratch.save(_places(rows.join(again, ["h", "g"]).where("doc_id > low")), "found")
-    scratch.drop(rows, again)
+    docs = _texts(docs)
+    alive, before = _narrowed(docs, scratch, window)
+    runs = scratch.save(_with_places(docs, alive).mapInArrow(lambda it: _runs(it, window, before), _RUNS), "runs")
+    scratch.drop(alive)
+    equal = scratch.save(runs.groupBy("h", "t", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "equal")
+    # marks with several runs: equal windows may lie in runs that differ
+    mixed = equal.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 and low < high")
+    mixed = scratch.save(mixed.select("h", F.lit(True).alias("mixed")), "mixed")
+    told = scratch.save(equal.join(mixed, "h", "left").where("low < high or mixed").select("h", "t", "g", "low", F.coalesce("mixed", F.lit(False)).alias("mixed")), "told")
+    scratch.drop(equal, mixed)
+    met = runs.join(told, ["h", "t", "g"]).where("doc_id > low or mixed")
+    met = scratch.save(met.select("doc_id", "v", "pos", "more", (F.col("doc_id") > F.col("low")).alias("later")), "met")
+    scratch.drop(runs, told)
+    # the smallest document that holds a window holds it in a run that no smaller one has as a whole: only such runs go window by window
+    first = scratch.save(_run_places(met.where("not later")), "first")
+    rows = scratch.save(_with_places(docs, first).mapInArrow(lambda it: _windows(it, window), _ROWS), "windows")
+    scratch.drop(first)
+    again = scratch.save(_repeated(rows), "repeated")
+    single = rows.join(again, ["h", "g"]).where("doc_id > low").select("doc_id", "v", "pos", F.lit(0).alias("more"))
+    found = scratch.save(_run_places(met.where("later").drop("later").unionByName(single)), "found")
+    scratch.drop(met, rows, again)
     return found
 
 
@@ -208,8 +285,11 @@ def grow(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Each length reads only the documents and places that repeat at the one before.
     """
     scratch, size, out = Scratch(docs.sparkSession), window, None
-    docs = _versions(docs)
-    rows, again = _last_level(docs, scratch, window)
+    docs = _texts(docs)
+    alive, before = _narrowed(docs, scratch, window)
+    rows = scratch.save(_with_places(docs, alive).mapInArrow(lambda it: _level(it, window, window, before), _ROWS), "level")
+    again = scratch.save(_repeated(rows), "repeated")
+    scratch.drop(alive)
     while True:
         met = scratch.save(rows.join(again, ["h", "g"]).select("doc_id", "v", "pos", "low").distinct(), "met")
         scratch.drop(rows, again)
@@ -219,7 +299,7 @@ def grow(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             return out
         alive = scratch.save(_places(met), "alive")
         scratch.drop(met)
-        rows = scratch.save(keep_ids(docs, alive).join(alive, ["doc_id", "v"]).select("doc_id", "v", "text", "places").mapInArrow(lambda it, size=size: _doubled(it, size), _ROWS), "doubled")
+        rows = scratch.save(_with_places(docs, alive).mapInArrow(lambda it, size=size: _doubled(it, size), _ROWS), "doubled")
         again = scratch.save(_repeated(rows), "repeated")
         size *= 2
 
