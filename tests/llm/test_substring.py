@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import time
 
 from tests.llm.conftest import ODD
 
 from tracemill.llm import substring_dedup as sd
-from tracemill.llm.shared import Scratch
+from tracemill.llm.shared import SHUFFLES_GO, Scratch
 
 
 def brute(rows, window):
@@ -127,3 +129,28 @@ def test_copies_move_by_runs(make_docs, spark, monkeypatch):
     found = {r.doc_id: len(r.places) for r in sd.repeated_windows(docs, Scratch(spark), 50).collect()}
     assert found == dict.fromkeys(range(1, 12), 2951)
     assert max(wrote.values()) < 12 * 2951 / 4
+
+
+def shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for top in manager.localDirs() for _, _, files in os.walk(top.getPath()) for f in files if f.startswith("shuffle_")}
+
+
+def test_shuffle_files_of_a_step_go_with_it(make_docs, spark, monkeypatch):
+    left = []
+    save = Scratch.save
+
+    def watched(self, df, name):
+        before, setting = shuffle_files(spark), spark.conf.get(SHUFFLES_GO, None)
+        table = save(self, df, name)
+        until = time.time() + 10
+        while shuffle_files(spark) - before and time.time() < until:  # they go in the background
+            time.sleep(0.1)
+        left.append((name, len(shuffle_files(spark) - before)))
+        assert spark.conf.get(SHUFFLES_GO, None) == setting
+        return table
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    text = " ".join(f"w{i}" for i in range(200))
+    assert sorted(r.n_removed for r in sd.remove_repeats(make_docs([text] * 3), 50).collect()) == [0, 200, 200]
+    assert len(left) > 9 and not any(n for _, n in left)

@@ -27,14 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends; one without it keeps them as before.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Intermediate results as Parquet in the shared folder: they cut lineage and outlive executors.
 
     A result is read when its query runs, so its tables stay until then; all folders go when the driver's process ends.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, tidy: bool = False):
+        """tidy: shuffle files of a step go once its table is written, not when the driver happens to collect its garbage."""
         short_batches(spark)
+        self.tidy = tidy
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/tracemill-{uuid.uuid4().hex}", 0
         atexit.register(self._remove)
 
@@ -50,7 +56,14 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLES_GO, None)
+        if self.tidy:
+            self.spark.conf.set(SHUFFLES_GO, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(SHUFFLES_GO) if before is None else self.spark.conf.set(SHUFFLES_GO, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back

@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < 2:
         raise ValueError("a window has at least two words")
     docs = _versions(docs)
-    found = repeated_windows(docs, Scratch(docs.sparkSession), window)
+    found = repeated_windows(docs, Scratch(docs.sparkSession, tidy=True), window)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     cut = keep_ids(docs, found).join(found, ["doc_id", "v"], "left").select("doc_id", "text", "places")
     plain = keep_ids(docs, found, others=True).mapInArrow(_plain, "doc_id long, n_words long, whole_sha256 string")
@@ -284,7 +284,7 @@ def grow(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Each length reads only the documents and places that repeat at the one before.
     """
-    scratch, size, out = Scratch(docs.sparkSession), window, None
+    scratch, size, out = Scratch(docs.sparkSession, tidy=True), window, None
     docs = _texts(docs)
     alive, before = _narrowed(docs, scratch, window)
     rows = scratch.save(_with_places(docs, alive).mapInArrow(lambda it: _level(it, window, window, before), _ROWS), "level")
